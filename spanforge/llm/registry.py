@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm.mixing import op4_mixing
+from spanforge.llm.pieces import op6_pieces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mixing": op4_mixing}
+    return {"op4_mixing": op4_mixing, "op6_pieces": op6_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
