@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm.mixing import op4_mixing
 from spanforge.llm.pieces import op6_pieces
+from spanforge.llm.warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mixing": op4_mixing, "op6_pieces": op6_pieces}
+    return {"op2_warc": op2_warc, "op4_mixing": op4_mixing, "op6_pieces": op6_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
