@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanforge.llm.language import op7_language
+from spanforge.llm.minhash import op10_near_duplicates
 from spanforge.llm.mixing import op4_mixing
 from spanforge.llm.pieces import op6_pieces
 from spanforge.llm.warc import op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op4_mixing": op4_mixing, "op6_pieces": op6_pieces}
+    return {
+        "op2_warc": op2_warc,
+        "op4_mixing": op4_mixing,
+        "op6_pieces": op6_pieces,
+        "op7_language": op7_language,
+        "op10_near_duplicates": op10_near_duplicates,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
