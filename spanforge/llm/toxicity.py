@@ -202,7 +202,9 @@ def learn(texts: DataFrame) -> Lexicon:
     )
     heads = heads.filter("kinds >= 3").persist()
     begin = chosen(heads, heads.count()).orderBy(F.desc("weight"), "head").limit(BEGINNINGS_KEPT)
-    begin = {r["head"]: r.weight for r in begin.collect()}
+    rows = {r["head"]: r for r in begin.collect()}
+    # a beginning whose texts are nearly all those of a longer one is no evidence of its own
+    begin = {h: r.weight for h, r in rows.items() if not any(o != h and o.startswith(h) and rows[o].bad >= 0.9 * r.bad for o in rows)}
     heads.unpersist()
     return Lexicon(single, begin)
 
