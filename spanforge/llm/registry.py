@@ -11,6 +11,7 @@ from spanforge.llm.language import op7_language
 from spanforge.llm.minhash import op10_near_duplicates
 from spanforge.llm.mixing import op4_mixing
 from spanforge.llm.pieces import op6_pieces
+from spanforge.llm.topk import op3_topk
 from spanforge.llm.toxicity import op1_toxicity
 from spanforge.llm.warc import op2_warc
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_warc": op2_warc,
+        "op3_topk": op3_topk,
         "op4_mixing": op4_mixing,
         "op6_pieces": op6_pieces,
         "op7_language": op7_language,
