@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm.classlm import op9_class_lm
+from spanforge.llm.kmeanstree import op5_neighbours
 from spanforge.llm.language import op7_language
 from spanforge.llm.minhash import op10_near_duplicates
 from spanforge.llm.mixing import op4_mixing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_topk": op3_topk,
         "op4_mixing": op4_mixing,
+        "op5_neighbours": op5_neighbours,
         "op6_pieces": op6_pieces,
         "op7_language": op7_language,
         "op9_class_lm": op9_class_lm,
