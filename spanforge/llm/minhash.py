@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import checkpoint, stored, table
@@ -51,8 +51,13 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
     return keys
 
 
+def text_key(text: str) -> Column:
+    """Tells rows with equal or no ids apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, cid, bands, signature): ``cid`` names the set, equal for equal sets; null where it is empty."""
+    """(doc_id, text_key, n_shingles, cid, bands, signature): ``cid`` names the set, equal for equal sets; null where it is empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -69,9 +74,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     own = zip(np.flatnonzero(full).tolist(), mix(summed).view(np.int64).tolist(), bands_of(signatures).view(np.int64), (signatures >> U(56)).astype(np.uint8), strict=True)
                     for k, name, keys, coordinates in own:
                         names[k], bands[k], coded[k] = name, keys, coordinates.tobytes()
-                yield pd.DataFrame({"doc_id": frame["doc_id"].array[low:high], "n_shingles": sizes, "cid": pd.array(names, "Int64"), "bands": bands, "signature": coded})
+                yield pd.DataFrame({"doc_id": frame["doc_id"].array[low:high], "text_key": frame["text_key"].array[low:high], "n_shingles": sizes, "cid": pd.array(names, "Int64"), "bands": bands, "signature": coded})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, cid long, bands array<long>, signature binary")
+    return docs.select("doc_id", "text", text_key("text")).mapInPandas(run, "doc_id long, text_key long, n_shingles long, cid long, bands array<long>, signature binary")
 
 
 def _forest(ids: np.ndarray, pairs_by_rank: Iterator[tuple[int, int]], linked) -> list[tuple[int, int]]:
@@ -150,7 +155,7 @@ def candidate_groups(classes: DataFrame, least: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of (doc_id, text): n_shingles and component_id, the smallest doc_id that links reach.
+    """Per row of (doc_id, text): text_key, n_shingles, component_id, the smallest doc_id that links reach, and grp, null for empty sets.
 
     Two documents are linked when ``100 * |A & B| >= percent * |A | B|`` for their sets of ``width``-word shingles.
     """
@@ -204,12 +209,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labelled = classes.select("cid", "least_id").join(found.withColumnRenamed("node", "cid"), "cid", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "cid"))
     least_ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = labelled.join(least_ids, "component").select("cid", "component_id")
+    named = labelled.join(least_ids, "component").select("cid", "component_id", F.col("component").alias("grp"))
     # equal sets may be a third of all rows: AQE splits that side of the join
-    return sketched.join(named, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sketched.join(named, "cid", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "grp")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id; rows without words all stay."""
+    found = near_duplicates(docs, width, percent)
+    first = found.filter("grp IS NOT NULL").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("x"))
+    kept = first.select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"))
+    empty = found.filter("grp IS NULL").select(F.col("text_key").alias("kept_key")).distinct()
+    keyed = docs.select("*", text_key("text").alias("kept_key"), F.col("doc_id").alias("kept_id"))
+    wordless = keyed.join(empty, "kept_key", "left_semi").select(*docs.columns)
+    chosen = keyed.join(kept, (keyed["kept_key"] == kept["kept_key"]) & keyed["kept_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    # of equal rows one stays
+    order = Window.partitionBy("kept_key", "kept_id").orderBy(F.lit(0))
+    chosen = chosen.withColumn("row_no", F.row_number().over(order)).filter("row_no = 1").select(*docs.columns)
+    return chosen.unionByName(wordless)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents over three-word shingles at a similarity of 0.85."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    found = found.select("doc_id", "n_shingles", "component_id")
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

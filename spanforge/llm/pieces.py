@@ -199,8 +199,8 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield frame.iloc[start : start + ROWS]
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, text: str = "text") -> DataFrame:
-    """Add ``ids`` (end id last), ``piece_starts`` and ``piece_ends`` in bytes of the text; the end id has an empty span."""
+def encode_documents(docs: DataFrame, model: str | None = None, text: str = "text", spans: bool = True) -> DataFrame:
+    """Add ``ids`` (end id last) and, with ``spans``, ``piece_starts`` and ``piece_ends`` in bytes of the text; the end id has an empty span."""
     path = model or default_model()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,10 +211,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, text: str = "tex
                 ids.append(np.array(joined.split(" "), np.int32))
                 starts.append(edges)
                 ends.append(np.append(edges[1:], edges[-1]))
-            yield frame.assign(ids=ids, piece_starts=starts, piece_ends=ends)
+            yield frame.assign(ids=ids, **({"piece_starts": starts, "piece_ends": ends} if spans else {}))
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("ids", "piece_starts", "piece_ends")]
-    return docs.drop("ids", "piece_starts", "piece_ends").mapInPandas(run, ", ".join([*kept, "ids array<int>", "piece_starts array<long>", "piece_ends array<long>"]))
+    return docs.drop("ids", "piece_starts", "piece_ends").mapInPandas(run, ", ".join([*kept, "ids array<int>", *(["piece_starts array<long>", "piece_ends array<long>"] if spans else [])]))
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None, ids: str = "ids") -> DataFrame:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from spanforge.llm.classlm import op9_class_lm
 from spanforge.llm.kmeanstree import op5_neighbours
 from spanforge.llm.language import op7_language
 from spanforge.llm.minhash import op10_near_duplicates
 from spanforge.llm.mixing import op4_mixing
 from spanforge.llm.pieces import op6_pieces
+from spanforge.llm.suffix_dedup import op8_suffix_dedup
 from spanforge.llm.topk import op3_topk
 from spanforge.llm.toxicity import op1_toxicity
 from spanforge.llm.warc import op2_warc
@@ -26,8 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_neighbours": op5_neighbours,
         "op6_pieces": op6_pieces,
         "op7_language": op7_language,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_class_lm": op9_class_lm,
         "op10_near_duplicates": op10_near_duplicates,
+        "pipeline": corpus_pipeline.run,
     }
 
 
