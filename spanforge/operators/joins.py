@@ -42,11 +42,14 @@ def phrase_join(docs: DataFrame, doc_id: str, text_tokens: str, keys: DataFrame,
     An inverted index turned round: every key is looked up by its rarest token only, and the run around it is compared.
     """
     entries = keys.select(key_id, F.col(key_tokens).alias("_key")).join(rarest_tokens(keys, key_id, key_tokens), key_id)
-    words = docs.select(doc_id, F.col(text_tokens).alias("_text"), F.posexplode(text_tokens).alias("_at", "trigger"))
-    begin = F.col("_at") - F.col("offset")
-    run = F.slice("_text", F.greatest(begin + 1, F.lit(1)), F.size("_key"))
-    hits = words.join(entries, "trigger").filter((begin >= 0) & (run == F.col("_key")))
-    return hits.groupBy(doc_id, key_id).agg(F.count("*").alias("n"), F.min(begin).alias("first_at"))
+    words = docs.select(doc_id, F.posexplode(text_tokens).alias("_at", "trigger"))
+    begin = (F.col("_at") - F.col("offset")).alias("_begin")
+    # places to look at, gathered by document, meet the document's tokens once
+    places = words.join(entries, "trigger").select(doc_id, F.struct(begin, F.col(key_id), "_key").alias("_place")).filter("_place._begin >= 0")
+    listed = docs.select(doc_id, F.col(text_tokens).alias("_text")).join(places.groupBy(doc_id).agg(F.collect_list("_place").alias("_places")), doc_id)
+    held = F.filter("_places", lambda x: F.slice(F.col("_text"), x["_begin"] + 1, F.size(x["_key"])) == x["_key"])
+    hits = listed.select(doc_id, F.explode(held).alias("_hit"))
+    return hits.groupBy(doc_id, F.col(f"_hit.{key_id}").alias(key_id)).agg(F.count("*").alias("n"), F.min("_hit._begin").alias("first_at"))
 
 
 def narrowed(candidates: DataFrame, query: str, stages: Sequence[tuple[str, bool]]) -> DataFrame:
