@@ -105,7 +105,7 @@ def greedy_proximity(places: DataFrame, key: str, place_id: str, lat: str, lng:
         return pd.DataFrame({key: frame[key].to_numpy(), place_id: ids, "kept_id": out})
 
     kinds = dict(places.dtypes)
-    return places.select(key, place_id, lat, lng, order).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {place_id} {kinds[place_id]}, kept_id {kinds[place_id]}")
+    return places.select(*dict.fromkeys([key, place_id, lat, lng, order])).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {place_id} {kinds[place_id]}, kept_id {kinds[place_id]}")
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Fixture queries of the library and their SQL counterparts."""
 
-from spanforge.queries import joining, summaries, tagging
+from spanforge.queries import joining, spanning, summaries, tagging, texts
 from spanforge.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "joining", "summaries", "tagging"]
+__all__ = ["ORACLES", "QUERIES", "joining", "spanning", "summaries", "tagging", "texts"]

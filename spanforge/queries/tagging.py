@@ -10,20 +10,20 @@ from spanforge.operators import aggregates, classify
 from spanforge.queries.registry import query
 from spanforge.session import table
 
-SCOPE_RULES = [
-    (F.col("o_orderpriority") == "5-LOW", "remote"),
-    (F.col("c_nationkey") >= 20, "foreign"),
-    (~F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE", "MACHINERY"), "other_line"),
-    (F.col("o_totalprice") < 50000, "unresolved"),
-]
 SCOPE_SQL = """CASE WHEN o_orderpriority = '5-LOW' THEN 'remote' WHEN c_nationkey >= 20 THEN 'foreign'
     WHEN NOT c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') THEN 'other_line' WHEN o_totalprice < 50000 THEN 'unresolved' ELSE 'in_scope' END"""
 
 
 def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their ordered scope reason; every order stays."""
+    rules = [
+        (F.col("o_orderpriority") == "5-LOW", "remote"),
+        (F.col("c_nationkey") >= 20, "foreign"),
+        (~F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE", "MACHINERY"), "other_line"),
+        (F.col("o_totalprice") < 50000, "unresolved"),
+    ]
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.withColumn("scope_reason", classify.first_match(SCOPE_RULES, "in_scope"))
+    return joined.withColumn("scope_reason", classify.first_match(rules, "in_scope"))
 
 
 @query("scope_cascade_counts", f"""
