@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,4 +26,19 @@ def local_session(app: str = "spanforge", cores: str = "*", shuffle_partitions:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture table."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of a local session find this package where it is not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanforge-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
