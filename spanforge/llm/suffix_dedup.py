@@ -36,7 +36,7 @@ FOLLOWING = LENGTH - WINDOW + 1
 #: Phrases of each suffix that neighbours are compared over.
 PHRASES = 10
 #: Anchors with the same following bytes that one task gathers at most.
-GROUP = 20_000
+GROUP = 10_000
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -173,7 +173,12 @@ def _members(texts: DataFrame) -> DataFrame:
 
 
 def _start_hashes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and start of every undecided start of the frame's anchors."""
+    """Hash, row and start of every start of the frame's anchors, a few thousand anchors at a time."""
+    parts = [(k, *_block_hashes(frame.iloc[k : k + 2_000])) for k in range(0, len(frame), 2_000)]
+    return np.concatenate([h for _, h, _, _ in parts]), np.concatenate([row + k for k, _, row, _ in parts]), np.concatenate([start for *_, start in parts])
+
+
+def _block_hashes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(frame["around"]), np.uint8)
     sums, side = prefix_hash(data), 2 * (WINDOW - 1)
     at, low, high = (frame[c].to_numpy(np.int64) for c in ("at", "low", "high"))
