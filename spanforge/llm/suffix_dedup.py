@@ -31,7 +31,7 @@ from spanforge.llm.common import drop_path, shared_path, stored, table
 from spanforge.llm.difference_cover import suffix_ranks
 from spanforge.llm.hashing import U, by_bytes, mix, prefix_hash, substring_hash
 
-LENGTH, WINDOW, GRAM = 400, 160, 8
+LENGTH, WINDOW, GRAM = 400, 200, 8
 FOLLOWING = LENGTH - WINDOW + 1
 #: Phrases of each suffix that neighbours are compared over.
 PHRASES = 10
@@ -126,26 +126,20 @@ def _suffixes(candidates: DataFrame) -> DataFrame:
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for tid, at, after, ts, rank in zip(frame["tid"], frame["at"], frame["after"], frame["ts"], frame["ranks"], strict=True):
-                n = len(at)
-                names, sizes = np.zeros((n, PHRASES), np.int64), np.zeros((n, PHRASES), np.int32)
+            for start in range(0, len(frame), 5_000):
+                part = frame.iloc[start : start + 5_000]
+                sizes = part["at"].map(len).to_numpy()
+                at, after, ts, rank = (np.concatenate(part[c].tolist()) for c in ("at", "after", "ts", "ranks"))
+                n, end = len(at), np.repeat(np.cumsum(sizes), sizes)
+                names, lengths = np.zeros((n, PHRASES), np.int64), np.zeros((n, PHRASES), np.int32)
                 for k in range(min(PHRASES, n)):
-                    names[: n - k, k] = ts[k:]
-                    sizes[: n - k, k] = np.asarray(after)[k:] - np.asarray(at)[k:]
-                yield pd.DataFrame({"tid": tid, "at": at, "rank": rank, "names": [x.tobytes() for x in names], "sizes": [x.tobytes() for x in sizes]})
-
-    def batched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list[pd.DataFrame] = []
-        for part in spread(frames):
-            parts.append(part)
-            if len(parts) >= 500:
-                yield pd.concat(parts, ignore_index=True)
-                parts = []
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
+                    inside = np.arange(n - k) + k < end[: n - k]
+                    names[: n - k, k] = np.where(inside, ts[k:], 0)
+                    lengths[: n - k, k] = np.where(inside, after[k:] - at[k:], 0)
+                yield pd.DataFrame({"tid": np.repeat(part["tid"].to_numpy(), sizes), "at": at, "rank": rank, "names": [x.tobytes() for x in names], "sizes": [x.tobytes() for x in lengths]})
 
     joined = strings.join(ranks, "sid").select("tid", "at", "after", "ts", "ranks")
-    return joined.mapInPandas(batched, "tid long, at int, rank long, names binary, sizes binary")
+    return joined.mapInPandas(spread, "tid long, at int, rank long, names binary, sizes binary")
 
 
 def _members(texts: DataFrame) -> DataFrame:
