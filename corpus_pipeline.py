@@ -13,7 +13,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the rejecting score stay."""
     importable(spark)
     lexicon = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score_texts(docs, lexicon).filter("predicted = 0").select(*docs.columns)
+    return toxicity.clean_texts(docs, lexicon)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

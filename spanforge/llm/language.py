@@ -119,7 +119,7 @@ def decide(found: np.ndarray, total: np.ndarray, false_rate: np.ndarray) -> tupl
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """Add lang_pred and score to rows with ``text``."""
+    """Add lang_pred and score to rows with ``text``; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -134,7 +134,8 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             scores[letters[low:high]] = score
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("found", of("text")).select("*", "found.lang_pred", "found.score").drop("found")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, of("text").alias("__found")).select(*kept, "__found.lang_pred", "__found.score")
 
 
 def held_out(remainder: int, modulus: int) -> Column:

@@ -220,13 +220,14 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     first = found.filter("grp IS NOT NULL").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("x"))
     kept = first.select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"))
     empty = found.filter("grp IS NULL").select(F.col("text_key").alias("kept_key")).distinct()
-    keyed = docs.select("*", text_key("text").alias("kept_key"), F.col("doc_id").alias("kept_id"))
-    wordless = keyed.join(empty, "kept_key", "left_semi").select(*docs.columns)
+    # the row travels as one column, so that its columns may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key("text").alias("kept_key"), F.col("doc_id").alias("kept_id"))
+    wordless = keyed.join(empty, "kept_key", "left_semi")
     chosen = keyed.join(kept, (keyed["kept_key"] == kept["kept_key"]) & keyed["kept_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     # of equal rows one stays
     order = Window.partitionBy("kept_key", "kept_id").orderBy(F.lit(0))
-    chosen = chosen.withColumn("row_no", F.row_number().over(order)).filter("row_no = 1").select(*docs.columns)
-    return chosen.unionByName(wordless)
+    chosen = chosen.withColumn("row_no", F.row_number().over(order)).filter("row_no = 1").drop("row_no")
+    return chosen.unionByName(wordless).select("row.*")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

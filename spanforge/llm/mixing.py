@@ -106,23 +106,22 @@ def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[float, ...] =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows: a document once per whole repetition, and a partial one cut after its share of words.
 
-    A document of size 0 takes no words and stays once; its columns are those of ``docs``.
+    A document of size 0 takes no words and stays once; the columns are those of ``docs``, whatever their names.
     """
-    keyed = docs.withColumn("row_key", F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    sized = keyed.select("row_key", "source", word_count(F.col("text")).alias("size"))
+    # the row travels as one column, so that its columns may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("row_key"))
+    sized = keyed.select("row_key", "row.source", word_count(F.col("row.text")).alias("size"))
     # equal rows share a decision, so one of them carries it
     plan = mix(sized, id_column="row_key", **options).groupBy("row_key").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
-    joined = keyed.join(plan, "row_key")
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))).otherwise(F.lit(1))
-    part = F.when(F.col("size") > 0, F.col("taken") % F.greatest(F.col("size"), F.lit(1))).otherwise(F.lit(0))
-    copies = joined.withColumn("part", part).withColumn("copy", F.explode(F.sequence(F.lit(1), (whole + F.when(F.col("part") > 0, 1).otherwise(0) + 1).cast("int")))).withColumn("whole", whole)
-    copies = copies.filter(F.col("copy") <= F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
-    cut = F.when((F.col("copy") > F.col("whole")) & (F.col("part") > 0), head).otherwise(F.col("text"))
-    result = copies.withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        result = result.withColumn("n_chars", F.when(F.col("copy") > F.col("whole"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return result.select(*docs.columns)
+    words = F.greatest(F.col("size"), F.lit(1))
+    joined = keyed.join(plan, "row_key").withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / words)).otherwise(F.lit(1))).withColumn("part", F.when(F.col("size") > 0, F.col("taken") % words).otherwise(F.lit(0)))
+    times = (F.col("whole") + (F.col("part") > 0).cast("int")).cast("int")
+    copies = joined.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    partial = F.col("copy") > F.col("whole")
+    head = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
+    changed = {"text": head, "n_chars": F.length(head)}
+    columns = [F.when(partial, changed[f.name].cast(f.dataType)).otherwise(F.col(f"row.`{f.name}`")).alias(f.name) if f.name in changed else F.col(f"row.`{f.name}`").alias(f.name) for f in docs.schema]
+    return copies.select(*columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import fold, table
@@ -209,9 +209,9 @@ def learn(texts: DataFrame) -> Lexicon:
     return Lexicon(single, begin)
 
 
-def score_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Add score and predicted to rows with ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, grammar()))
+def score_column(spark: SparkSession, lexicon: Lexicon, text: str = "text") -> Column:
+    """The score of a text column."""
+    shared = spark.sparkContext.broadcast((lexicon, grammar()))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -219,7 +219,17 @@ def score_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", F.when(F.col("score") >= REJECT, 1).otherwise(0))
+    return score(F.col(text))
+
+
+def score_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Add score and predicted to rows with ``text``; columns of these names are replaced."""
+    return docs.withColumn("score", score_column(docs.sparkSession, lexicon)).withColumn("predicted", F.when(F.col("score") >= REJECT, 1).otherwise(0))
+
+
+def clean_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``docs`` without the rows that score REJECT or more."""
+    return docs.filter(score_column(docs.sparkSession, lexicon) < REJECT)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
