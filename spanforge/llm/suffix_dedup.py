@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import drop_path, shared_path, stored, table
+from spanforge.llm.common import drop_path, release, shared_path, stored, table
 from spanforge.llm.difference_cover import suffix_ranks
 from spanforge.llm.hashing import U, by_bytes, mix, prefix_hash, substring_hash
 
@@ -142,28 +142,34 @@ def _suffixes(candidates: DataFrame) -> DataFrame:
     return joined.mapInPandas(spread, "tid long, at int, rank long, names binary, sizes binary")
 
 
-def _members(texts: DataFrame) -> DataFrame:
+def _members(asked: DataFrame, hot: bool) -> DataFrame:
     """(following, tid, at, low, high, around): the starts low..high before an anchor and the bytes that tell them apart.
 
-    ``around`` holds WINDOW - 1 bytes before the anchor and WINDOW - 1 behind its following bytes; the string that starts
-    d bytes before the anchor shows there as the WINDOW - 1 bytes from WINDOW - 1 - d on.
+    ``asked`` has texts with arrays of their wanted anchors; those of groups above GROUP are taken with ``hot``, else the
+    others. ``around`` holds WINDOW - 1 bytes before the anchor and WINDOW - 1 behind its following bytes; the string that
+    starts d bytes before the anchor shows there as the WINDOW - 1 bytes from WINDOW - 1 - d on.
     """
     pad = b"\0" * WINDOW
+    columns = ["following", "tid", "at", "low", "high", "around"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for tid, text, wanted in zip(frame["tid"], frame["text"], frame["wanted"], strict=True):
-                data = pad + text.encode() + pad
-                for w in wanted:
-                    at = w["at"] + WINDOW
-                    rows.append((w["following"], tid, w["at"], w["low"], w["high"], data[at - WINDOW + 1 : at] + data[at + FOLLOWING : at + FOLLOWING + WINDOW - 1]))
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["following", "tid", "at", "low", "high", "around"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["following", "tid", "at", "low", "high", "around"])
-
-    return texts.mapInPandas(run, "following long, tid long, at int, low int, high int, around binary")
+            parts, n = [], 0
+            for tid, text, following, at, low, high, m in zip(frame["tid"], frame["text"], frame["following"], frame["at"], frame["low"], frame["high"], frame["m"], strict=True):
+                chosen = np.flatnonzero((np.asarray(m) > GROUP) == hot)
+                if not len(chosen):
+                    continue
+                data, places = pad + text.encode() + pad, np.asarray(at)[chosen]
+                around = [data[x + 1 : x + WINDOW] + data[x + WINDOW + FOLLOWING : x + 2 * WINDOW + FOLLOWING - 1] for x in places.tolist()]
+                parts.append(pd.DataFrame({"following": np.asarray(following)[chosen], "tid": tid, "at": places, "low": np.asarray(low)[chosen], "high": np.asarray(high)[chosen], "around": around}))
+                n += len(chosen)
+                if n > 20_000:
+                    yield pd.concat(parts, ignore_index=True)
+                    parts, n = [], 0
+            if parts:
+                yield pd.concat(parts, ignore_index=True)[columns]
+
+    return asked.mapInPandas(run, "following long, tid long, at int, low int, high int, around binary")
 
 
 def _start_hashes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,12 +192,11 @@ def _block_hashes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return mix(hashes ^ mix(following + before.astype(np.uint64))), row, start
 
 
-def _repeats(members: DataFrame) -> DataFrame:
-    """(tid, start) of the starts that occur again, as ranges (tid, low, high)."""
-    sizes = members.groupBy("following").agg(F.count("*").alias("m"))
-    members = members.join(sizes, "following")
-    hot = members.filter(F.col("m") > GROUP).drop("m")
-    bins = max(1, members.count() // GROUP + 1)
+def _repeats(asked: DataFrame, n_members: int) -> DataFrame:
+    """Ranges (tid, low, high) of the starts that occur again, for texts and the anchors wanted of them."""
+
+    hot = _members(asked.filter(F.exists("m", lambda m: m > GROUP)), True)
+    bins = max(1, n_members // GROUP + 1)
 
     def ranges(tids: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
         order = np.lexsort((starts, tids))
@@ -206,7 +211,7 @@ def _repeats(members: DataFrame) -> DataFrame:
         return ranges(frame["tid"].to_numpy()[row[again]], start[again])
 
     schema = "tid long, low int, high int"
-    cold = members.filter(F.col("m") <= GROUP).withColumn("bin", F.pmod(F.xxhash64("following"), F.lit(bins))).groupBy("bin").applyInPandas(compare, schema)
+    cold = _members(asked, False).withColumn("bin", F.pmod(F.xxhash64("following"), F.lit(bins))).groupBy("bin").applyInPandas(compare, schema)
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -220,10 +225,11 @@ def _repeats(members: DataFrame) -> DataFrame:
     return cold.unionByName(rows.join(again, "h").select("tid", F.col("start").alias("low"), F.col("start").alias("high")))
 
 
-def _cover(n: int, spans: list) -> list[tuple[int, int]]:
+def _cover(n: int, lows: np.ndarray, highs: np.ndarray) -> list[tuple[int, int]]:
     """Maximal removed runs from ranges of starts."""
     runs: list[list[int]] = []
-    for low, high in sorted((int(s["low"]), int(s["high"])) for s in spans):
+    order = np.argsort(lows, kind="stable")
+    for low, high in zip(np.asarray(lows)[order].tolist(), np.asarray(highs)[order].tolist(), strict=True):
         end = min(n, high + LENGTH)
         if runs and low <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], end)
@@ -233,10 +239,10 @@ def _cover(n: int, spans: list) -> list[tuple[int, int]]:
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every document of (doc_id, text) as (doc_id, n_bytes, sha256, whole), and the texts that lose a part: (doc_id, sha256, text, spans).
+    """Every document of (doc_id, text) as (doc_id, n_bytes, sha256, whole), and the texts that lose a part: (doc_id, sha256, text, low, high).
 
-    ``whole`` documents occur more than once and go whole. The second table has one row for each such text; ``spans`` are
-    ranges of repeating starts.
+    ``whole`` documents occur more than once and go whole. The second table has one row for each such text; its
+    repeating starts are the ranges low..high.
     """
     spark = docs.sparkSession
     path = shared_path(spark, "parsed")
@@ -246,31 +252,43 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = parsed.filter(f"n_bytes >= {LENGTH}").groupBy("sha256").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("first").alias("first"), F.first("following").alias("following"), F.first("phrases").alias("phrases"), F.first("n_bytes").alias("n_bytes"))
     distinct = stored(first.select(tid, "*"), "distinct")
     drop_path(spark, path)
+    release(spark)
     each = distinct.select("tid", "copies", F.explode("following").alias("following"))
-    repeated = each.groupBy("following").agg(F.sum("copies").alias("n")).filter("n > 1").select("following")
+    # written, so that the join deals its sides anew and can split a hash that is everywhere
+    repeated = stored(each.groupBy("following").agg(F.sum("copies").alias("n")).filter("n > 1").select("following"), "repeated")
     # each candidate anchor with its starts, its phrase and where the next anchor is
     entry = """inline(transform(sequence(0, size(at) - 1), i -> struct(following[i] AS following, at[i] AS at, first[i] AS low,
         coalesce(get(first, i + 1) - 1, CAST(n_bytes - {0} AS INT)) AS high, coalesce(get(at, i + 1), CAST(n_bytes AS INT)) AS after, phrases[i] AS phrase)))"""
     found = distinct.selectExpr("tid", "copies", entry.format(LENGTH)).join(repeated, "following")
-    candidates = stored(found, "candidates")
+    candidates_path = shared_path(spark, "candidates")
+    found.write.parquet(candidates_path)
+    candidates = spark.read.schema(found.schema).parquet(candidates_path)
+    release(spark)
     strings = candidates.groupBy("tid").agg(F.collect_list(F.struct("at", "after", "phrase")).alias("x")).select("tid", F.col("x.at").alias("at"), F.col("x.after").alias("after"), F.col("x.phrase").alias("phrases"))
     shared = _neighbours(_suffixes(strings))
     decided = stored(candidates.join(shared, ["tid", "at"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))), "decided")
+    # the suffix array's checkpoints and the candidates are done with
+    del shared, strings, candidates, found
+    drop_path(spark, candidates_path)
+    release(spark)
     # whole strings inside what is shared repeat; an anchor's starts are decided if those from the anchor before it on include them
     sure = decided.filter(F.col("shared") >= LENGTH).select("tid", F.col("at").alias("low"), (F.col("at") + F.col("shared") - LENGTH).cast("int").alias("high"))
     reach = decided.filter(F.col("shared") >= LENGTH).select("tid", F.col("after").alias("at"), F.col("at").alias("from"), (F.col("at") + F.col("shared") - LENGTH).alias("reach"))
     undecided = decided.join(reach, ["tid", "at"], "left").withColumn("open", (F.col("copies") == 1) & F.coalesce((F.col("low") < F.col("from")) | (F.col("high") > F.col("reach")), F.lit(True)))
-    groups = undecided.groupBy("following").agg(F.max("open").alias("open")).filter("open").select("following")
-    wanted = undecided.join(groups, "following").groupBy("tid").agg(F.collect_list(F.struct("following", "at", "low", "high")).alias("wanted"))
+    groups = stored(undecided.groupBy("following").agg(F.max("open").alias("open"), F.count("*").alias("m")).filter("open").select("following", "m"), "groups")
+    n_members = groups.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    fields = ["following", "at", "low", "high", "m"]
+    wanted = undecided.join(groups, "following").groupBy("tid").agg(F.collect_list(F.struct(*fields)).alias("x")).select("tid", *(F.col(f"x.{c}").alias(c) for c in fields))
     # the texts that matter, once each
-    own = distinct.select("tid", "sha256", "doc_id", "copies").join(candidates.select("tid").distinct(), "tid")
+    own = distinct.select("tid", "sha256", "doc_id", "copies").join(decided.select("tid").distinct(), "tid")
     keyed = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     own = own.withColumnRenamed("doc_id", "carrier")
     texts = keyed.join(own, (keyed["sha256"] == own["sha256"]) & keyed["doc_id"].eqNullSafe(own["carrier"])).select("tid", "copies", own["sha256"], own["carrier"].alias("doc_id"), "text")
     texts = stored(texts, "candidate-texts")
-    members = stored(_members(texts.groupBy("tid").agg(F.first("text").alias("text")).join(wanted, "tid").select("tid", "text", "wanted")), "members")
-    spans = _repeats(members).unionByName(sure).groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    partly = texts.filter("copies = 1").join(spans, "tid").select("doc_id", "sha256", "text", "spans")
+    release(spark)
+    asked = texts.dropDuplicates(["tid"]).select("tid", "text").join(stored(wanted, "wanted"), "tid")
+    spans = _repeats(asked, n_members).unionByName(sure).groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("tid", F.col("x.low").alias("low"), F.col("x.high").alias("high"))
+    partly = texts.filter("copies = 1").join(spans, "tid").select("doc_id", "sha256", "text", "low", "high")
     whole = distinct.filter("copies > 1").select("sha256").withColumn("whole", F.lit(True))
     return info.join(whole, "sha256", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), partly
 
@@ -282,9 +300,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for sha, text, spans in zip(frame["sha256"], frame["text"], frame["spans"], strict=True):
+            for sha, text, lows, highs in zip(frame["sha256"], frame["text"], frame["low"], frame["high"], strict=True):
                 data, own, low = text.encode(), hashlib.sha256(), 0
-                runs = _cover(len(data), spans)
+                runs = _cover(len(data), lows, highs)
                 for a, b in runs:
                     own.update(data[low:a])
                     low = b
@@ -292,7 +310,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((sha, sum(b - a for a, b in runs), len(runs), own.hexdigest()))
             yield pd.DataFrame(rows, columns=["sha256", "removed", "runs", "kept"])
 
-    lost = partly.select("sha256", "text", "spans").mapInPandas(digest, "sha256 string, removed long, runs long, kept string")
+    lost = partly.select("sha256", "text", "low", "high").mapInPandas(digest, "sha256 string, removed long, runs long, kept string")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     zero = F.lit(0).cast("long")
     return info.join(lost, "sha256", "left").select(
@@ -306,29 +324,28 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of their texts; characters cut in part go; every document stays."""
     _, partly = removed_spans(docs)
-    spans = partly.select("sha256", "spans")
-    keyed = docs.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    spans = partly.select("sha256", "low", "high")
+    # the row travels as one column, so that its columns may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     copies = keyed.groupBy("sha256").agg(F.count("*").alias("copies")).filter("copies > 1")
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
         out = []
-        for text, own in zip(texts, all_spans, strict=True):
-            if own is None:
+        for text, low_starts, high_starts in zip(texts, lows, highs, strict=True):
+            if low_starts is None:
                 out.append(text)
                 continue
             data, low, kept = text.encode(), 0, b""
-            for a, b in _cover(len(data), own):
+            for a, b in _cover(len(data), low_starts, high_starts):
                 kept += data[low:a]
                 low = b
             out.append((kept + data[low:]).decode(errors="ignore"))
         return pd.Series(out, dtype=object)
 
+    text = F.col("row.text")
+    whole = F.coalesce((F.col("copies") > 1) & (F.octet_length(text) >= LENGTH), F.lit(False))
     joined = keyed.join(spans, "sha256", "left").join(copies, "sha256", "left")
-    whole = (F.col("copies") > 1) & (F.octet_length("text") >= LENGTH)
-    text = F.when(whole, F.lit("")).when(F.col("spans").isNotNull(), cut("text", "spans")).otherwise(F.col("text"))
-    result = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = whole | F.col("spans").isNotNull()
-        result = result.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return result.select(*docs.columns)
+    joined = joined.withColumn("changed", whole | F.col("low").isNotNull()).withColumn("new", F.when(whole, F.lit("")).when(F.col("low").isNotNull(), cut(text, "low", "high")).otherwise(text))
+    new = {"text": F.col("new"), "n_chars": F.length("new")}
+    return joined.select(*(F.when(F.col("changed"), new[f.name].cast(f.dataType)).otherwise(F.col(f"row.`{f.name}`")).alias(f.name) if f.name in new else F.col(f"row.`{f.name}`").alias(f.name) for f in docs.schema))

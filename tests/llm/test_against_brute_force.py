@@ -186,7 +186,7 @@ def expected(texts):
 def check_repeats(spark, texts):
     importable(spark)
     info, partly = suffix_dedup.removed_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    spans = {r.doc_id: suffix_dedup._cover(len(r.text.encode()), r.spans) for r in partly.collect()}
+    spans = {r.doc_id: suffix_dedup._cover(len(r.text.encode()), r.low, r.high) for r in partly.collect()}
     whole = {r.doc_id: r.whole for r in info.collect()}
     for i, (t, (n, removed, runs, _)) in enumerate(zip(texts, expected([t.encode() for t in texts]))):
         own = [(0, n)] if whole[i] and n >= 400 else spans.get(i, [])
