@@ -61,7 +61,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a table in the shared folder and read it back."""
-    path = shared_path(df.sparkSession, name)
+    return stored_at(df, shared_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """Write to ``path`` and read it back."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

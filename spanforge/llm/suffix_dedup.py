@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import drop_path, release, shared_path, stored, table
+from spanforge.llm.common import drop_path, release, shared_path, stored, stored_at, table
 from spanforge.llm.difference_cover import suffix_ranks
 from spanforge.llm.hashing import U, by_bytes, mix, prefix_hash, substring_hash
 
@@ -37,6 +37,8 @@ FOLLOWING = LENGTH - WINDOW + 1
 PHRASES = 10
 #: Anchors with the same following bytes that one task gathers at most.
 GROUP = 10_000
+#: Anchors whose starts are compared at once, about; a group is not split.
+TOGETHER = 2_000
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -205,10 +207,22 @@ def _repeats(asked: DataFrame, n_members: int) -> DataFrame:
         return pd.DataFrame({"tid": tids[new], "low": starts[new], "high": starts[np.append(new[1:], len(tids)) - 1] if len(new) else new})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        hashes, row, start = _start_hashes(frame)
-        _, back, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = n[back] > 1
-        return ranges(frame["tid"].to_numpy()[row[again]], start[again])
+        """Only strings before equal following bytes can be equal, so a few whole groups are compared at a time."""
+        frame = frame.sort_values("following", ignore_index=True)
+        following = frame["following"].to_numpy()
+        firsts, found, low = np.flatnonzero(following[1:] != following[:-1]) + 1, [], 0
+        while low < len(frame):
+            at = np.searchsorted(firsts, low + TOGETHER)
+            before = int(firsts[at - 1]) if at else 0
+            high = before if before > low else int(firsts[at]) if at < len(firsts) else len(frame)
+            part = frame.iloc[low:high]
+            hashes, row, start = _start_hashes(part)
+            order = np.argsort(hashes)
+            equal = hashes[order[1:]] == hashes[order[:-1]]
+            again = order[np.append(equal, False) | np.append(False, equal)]
+            found.append(ranges(part["tid"].to_numpy()[row[again]], start[again]))
+            low = high
+        return pd.concat(found, ignore_index=True)
 
     schema = "tid long, low int, high int"
     cold = _members(asked, False).withColumn("bin", F.pmod(F.xxhash64("following"), F.lit(bins))).groupBy("bin").applyInPandas(compare, schema)
@@ -250,25 +264,30 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     info = stored(parsed.select("doc_id", "n_bytes", "sha256"), "texts")
     tid = F.xxhash64("sha256").alias("tid")
     first = parsed.filter(f"n_bytes >= {LENGTH}").groupBy("sha256").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("first").alias("first"), F.first("following").alias("following"), F.first("phrases").alias("phrases"), F.first("n_bytes").alias("n_bytes"))
-    distinct = stored(first.select(tid, "*"), "distinct")
+    distinct_path, repeated_path = shared_path(spark, "distinct"), shared_path(spark, "repeated")
+    distinct = stored_at(first.select(tid, "*"), distinct_path)
     drop_path(spark, path)
     release(spark)
     each = distinct.select("tid", "copies", F.explode("following").alias("following"))
     # written, so that the join deals its sides anew and can split a hash that is everywhere
-    repeated = stored(each.groupBy("following").agg(F.sum("copies").alias("n")).filter("n > 1").select("following"), "repeated")
+    repeated = stored_at(each.groupBy("following").agg(F.sum("copies").alias("n")).filter("n > 1").select("following"), repeated_path)
     # each candidate anchor with its starts, its phrase and where the next anchor is
     entry = """inline(transform(sequence(0, size(at) - 1), i -> struct(following[i] AS following, at[i] AS at, first[i] AS low,
         coalesce(get(first, i + 1) - 1, CAST(n_bytes - {0} AS INT)) AS high, coalesce(get(at, i + 1), CAST(n_bytes AS INT)) AS after, phrases[i] AS phrase)))"""
     found = distinct.selectExpr("tid", "copies", entry.format(LENGTH)).join(repeated, "following")
     candidates_path = shared_path(spark, "candidates")
-    found.write.parquet(candidates_path)
-    candidates = spark.read.schema(found.schema).parquet(candidates_path)
+    candidates = stored_at(found, candidates_path)
+    # of the texts only their names are needed from here on
+    names = stored(distinct.select("tid", "sha256", "doc_id", "copies"), "names")
+    del distinct, each, repeated, found
+    drop_path(spark, distinct_path)
+    drop_path(spark, repeated_path)
     release(spark)
     strings = candidates.groupBy("tid").agg(F.collect_list(F.struct("at", "after", "phrase")).alias("x")).select("tid", F.col("x.at").alias("at"), F.col("x.after").alias("after"), F.col("x.phrase").alias("phrases"))
     shared = _neighbours(_suffixes(strings))
-    decided = stored(candidates.join(shared, ["tid", "at"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))), "decided")
+    decided = stored(candidates.drop("phrase").join(shared, ["tid", "at"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))), "decided")
     # the suffix array's checkpoints and the candidates are done with
-    del shared, strings, candidates, found
+    del shared, strings, candidates
     drop_path(spark, candidates_path)
     release(spark)
     # whole strings inside what is shared repeat; an anchor's starts are decided if those from the anchor before it on include them
@@ -280,7 +299,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = ["following", "at", "low", "high", "m"]
     wanted = undecided.join(groups, "following").groupBy("tid").agg(F.collect_list(F.struct(*fields)).alias("x")).select("tid", *(F.col(f"x.{c}").alias(c) for c in fields))
     # the texts that matter, once each
-    own = distinct.select("tid", "sha256", "doc_id", "copies").join(decided.select("tid").distinct(), "tid")
+    own = names.join(decided.select("tid").distinct(), "tid")
     keyed = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
     own = own.withColumnRenamed("doc_id", "carrier")
     texts = keyed.join(own, (keyed["sha256"] == own["sha256"]) & keyed["doc_id"].eqNullSafe(own["carrier"])).select("tid", "copies", own["sha256"], own["carrier"].alias("doc_id"), "text")
@@ -289,7 +308,7 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = texts.dropDuplicates(["tid"]).select("tid", "text").join(stored(wanted, "wanted"), "tid")
     spans = _repeats(asked, n_members).unionByName(sure).groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("tid", F.col("x.low").alias("low"), F.col("x.high").alias("high"))
     partly = texts.filter("copies = 1").join(spans, "tid").select("doc_id", "sha256", "text", "low", "high")
-    whole = distinct.filter("copies > 1").select("sha256").withColumn("whole", F.lit(True))
+    whole = names.filter("copies > 1").select("sha256").withColumn("whole", F.lit(True))
     return info.join(whole, "sha256", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), partly
 
 
