@@ -74,7 +74,7 @@ def _parse(docs: DataFrame, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [b"" if t is None else t.encode() for t in frame["text"]]
-            for low, high in by_bytes(texts, 1 << 20):
+            for low, high in by_bytes(texts, 1 << 18):
                 rows = []
                 for text, (at, first, following, phrases) in zip(texts[low:high], anchors(texts[low:high]), strict=True):
                     rows.append((len(text), hashlib.sha256(text).hexdigest(), at.astype(np.int32), first.astype(np.int32), following.view(np.int64), phrases.view(np.int64)))
