@@ -168,8 +168,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sizes = groups.groupBy("grp").agg(F.count("*").alias("m"))
     # one text for each class to be verified
     carriers = groups.join(sizes, "grp").join(classes.select("cid", "least_id", "signature"), "cid")
-    holders = sketched.join(groups.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(holders.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(holders["doc_id"]), "left_semi")
+    holders = carriers.select(F.col("least_id").alias("holder")).distinct()
+    texts = docs.select("doc_id", "text").join(holders, docs["doc_id"].eqNullSafe(holders["holder"]), "left_semi")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
