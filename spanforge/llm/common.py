@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -79,4 +80,5 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files and checkpoints that finished steps have left; it waits for the JVM to collect."""
+    gc.collect()  # Python's own references first
     spark.sparkContext._jvm.System.gc()

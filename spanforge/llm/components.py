@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import checkpoint
+from spanforge.llm.common import checkpoint, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,5 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not after.exceptAll(now).limit(1).count() and after.count() == now.count():
             break
         now = after
+        # the round's shuffle files and the table before it are done with
+        del both, least, large, lower, small, after
+        release(now.sparkSession)
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

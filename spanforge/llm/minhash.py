@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import checkpoint, stored, table
+from spanforge.llm.common import checkpoint, drop_path, release, shared_path, stored, stored_at, table
 from spanforge.llm.components import connected_components
 from spanforge.llm.hashing import BASE, U, by_bytes, mix, shingle_sets
 
@@ -185,7 +185,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     known = texts.mapInPandas(sets, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
     members = _blocked(carriers.select("cid", "grp", "m", "signature"), "grp", "m").join(known, "cid")
-    members = stored(members.select("cid", "signature", "pair", "first", "shingles"), "members")
+    members_path = shared_path(docs.sparkSession, "members")
+    members = stored_at(members.select("cid", "signature", "pair", "first", "shingles"), members_path)
+    release(docs.sparkSession)
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         edges = []
@@ -206,6 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     edges = _in_bins(members, 1_500).groupBy("bin").applyInPandas(verify, "a long, b long")
     found = connected_components(edges)
+    drop_path(docs.sparkSession, members_path)  # the components are checkpointed
     labelled = classes.select("cid", "least_id").join(found.withColumnRenamed("node", "cid"), "cid", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "cid"))
     least_ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
