@@ -62,7 +62,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = ["" if t is None else t for t in frame["text"]]
-            for low, high in by_bytes(texts, 1 << 20):
+            for low, high in by_bytes(texts, 1 << 18):
                 shingles, offsets = shingle_sets([t.encode().lower() for t in texts[low:high]], width)
                 sizes = np.diff(offsets)
                 full = sizes > 0
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             kept = ["" if t is None else t for t in frame["text"]]
-            for low, high in by_bytes(kept, 1 << 20):
+            for low, high in by_bytes(kept, 1 << 18):
                 shingles, offsets = shingle_sets([t.encode().lower() for t in kept[low:high]], width)
                 full = np.diff(offsets) > 0
                 names = np.zeros(0, np.int64)
