@@ -39,21 +39,44 @@ PHRASES = 10
 GROUP = 10_000
 #: Anchors whose starts are compared at once, about; a group is not split.
 TOGETHER = 2_000
+#: Bytes whose anchors and hashes are computed at once, about; places in a slice are packed into 24 bits.
+SLICE = 1 << 21
+
+
+def _places(data: np.ndarray) -> np.ndarray:
+    """For each window of ``data`` the place of its least hash, the last of equals, over a slice of windows at a time."""
+    n, parts, low_bits = len(data) - GRAM - WINDOW + 2, [], U((1 << 24) - 1)
+    for low in range(0, n, SLICE):
+        m = min(SLICE, n - low) + WINDOW - 1
+        words = np.ndarray((m,), "<u8", data, offset=low, strides=(1,))
+        least = (mix(words) & ~low_bits) | (low_bits - np.arange(m, dtype=np.uint64))
+        width = 1
+        while 2 * width <= WINDOW:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[: len(least) - (WINDOW - width)], least[WINDOW - width :])
+        parts.append((low_bits - (least & low_bits)).astype(np.int64) + low)
+    return np.concatenate(parts)
+
+
+def _hashes(data: np.ndarray, found: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of what follows each of the rising places ``found``, and of data from it to its end, over a slice of data at a time."""
+    following, phrases, low = np.zeros(len(found), np.uint64), np.zeros(len(found), np.uint64), 0
+    while low < len(found):
+        high = int(np.searchsorted(found, found[low] + SLICE))
+        first, own = found[low], slice(low, high)
+        sums = prefix_hash(data[first : max(found[high - 1] + FOLLOWING, ends[high - 1])])
+        following[own] = substring_hash(sums, found[own] - first, found[own] - first + FOLLOWING)
+        phrases[own] = substring_hash(sums, found[own] - first, ends[own] - first)
+        low = high
+    return following, phrases
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text: its anchors, the first start of each, hashes of what follows each, and hashes of the phrases from it on."""
     data = np.frombuffer(b"".join(texts) + b"\0" * (WINDOW + GRAM), np.uint8)
-    n = len(data) - GRAM + 1
-    words = np.ndarray((n,), "<u8", data, strides=(1,))
-    least = (mix(words) & ~U((1 << 24) - 1)) | (U((1 << 24) - 1) - (np.arange(n, dtype=np.uint64) & U((1 << 24) - 1)))
-    width = 1
-    while 2 * width <= WINDOW:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: len(least) - (WINDOW - width)], least[WINDOW - width :])
-    place = (U((1 << 24) - 1) - (least & U((1 << 24) - 1))).astype(np.int64)
-    sums, at = prefix_hash(data), 0
+    place = _places(data)
+    sums, at = prefix_hash(data) if len(data) <= SLICE else None, 0
     for text in texts:
         size = len(text)
         if size < LENGTH:
@@ -64,7 +87,8 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             found = own[first]
             ends = np.append(found[1:], at + size)
-            yield found - at, first, substring_hash(sums, found, found + FOLLOWING), substring_hash(sums, found, ends)
+            following, phrases = _hashes(data, found, ends) if sums is None else (substring_hash(sums, found, found + FOLLOWING), substring_hash(sums, found, ends))
+            yield found - at, first, following, phrases
         at += size
 
 

@@ -1,5 +1,6 @@
 """Nulls, empty tables, ties, repeated rows, long texts and clashing columns for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,24 @@ def test_archives_of_odd_pages(spark):
     assert warc.archive_and_read(pages.filter("false")).count() == 0
     key = pages.select(warc.url_key(F.lit("http://www.A.org:80/x?y")).alias("k")).first().k
     assert key == "org,a,www):80/x?y"
+
+
+def test_texts_beyond_24_bits_of_places(spark):
+    importable(spark)
+    rng = np.random.default_rng(5)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    tail, edge = letters(5_000), "ab" * 400
+    long = letters((1 << 24) - 400) + edge + letters(100_000) + tail
+    rows = [(1, long), (2, letters(300) + tail + letters(300)), (3, letters(300) + edge + letters(300))]
+    info, partly = suffix_dedup.removed_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: suffix_dedup._cover(len(r.text), r.low, r.high) for r in partly.collect()}
+    assert got == {1: [((1 << 24) - 400, (1 << 24) + 400), (len(long) - 5_000, len(long))], 2: [(300, 5_300)], 3: [(300, 1_100)]} and info.count() == 3
+
+
+def test_slices_give_the_anchors_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 99, n, dtype=np.uint8).tobytes() + b"x" * 500 for n in (0, 10, 3_000, 9_000)]
+    whole = [[x.tolist() for x in parts] for parts in suffix_dedup.anchors(texts)]
+    for size in (1, 333, 5_000):
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        assert [[x.tolist() for x in parts] for parts in suffix_dedup.anchors(texts)] == whole
