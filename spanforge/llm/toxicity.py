@@ -2,7 +2,8 @@
 
 Words become symbols (insult, threat, target, negation, reported speech, other). Small transducers, one for each concern,
 are composed into one machine; walking a clause through it multiplies each insult's or threat's weight by what its
-context says: aimed at someone, negated, reported. A text's score joins its clauses' scores by noisy or. Insults and
+context says: aimed at someone, negated, reported. A clause with a threat is first walked backwards, by a machine that
+marks threats whose target stands behind them. A text's score joins its clauses' scores by noisy or. Insults and
 their weights are learned from labelled texts, word by word and by word beginnings; the other lists are fixed.
 
 Defined results: a null, empty or blank text scores 0; texts are scored whole; equal texts get equal scores; labels
@@ -37,7 +38,7 @@ REPORTS = "said says say told quoted wrote claimed alleged sagte sagt behauptete
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n]+")
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITYNR."
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, AIMED = "ITYNR.t"
 Arc = tuple[int, str, float]
 
 
@@ -70,18 +71,23 @@ def negation(reach: int = 3, factor: float = 0.5) -> Transducer:
     """An insult or threat within ``reach`` words of a negation is weakened."""
     arcs: dict[tuple[int, str], Arc] = {(s, NEGATION): (reach, NEGATION, 1.0) for s in range(reach + 1)}
     for s in range(1, reach + 1):
-        arcs |= {(s, x): (s - 1, x, factor if x in (INSULT, THREAT) else 1.0) for x in (INSULT, THREAT, TARGET, REPORT, OTHER)}
+        arcs |= {(s, x): (s - 1, x, factor if x in (INSULT, THREAT, AIMED) else 1.0) for x in (INSULT, THREAT, AIMED, TARGET, REPORT, OTHER)}
     return Transducer(arcs)
 
 
 def reported(factor: float = 0.6) -> Transducer:
     """What follows a verb of saying in its clause is someone else's."""
-    return Transducer({(0, REPORT): (1, REPORT, 1.0)} | {(1, x): (1, x, factor) for x in (INSULT, THREAT)})
+    return Transducer({(0, REPORT): (1, REPORT, 1.0)} | {(1, x): (1, x, factor) for x in (INSULT, THREAT, AIMED)})
+
+
+def ahead() -> Transducer:
+    """Read from a clause's end: a threat before someone is addressed is aimed."""
+    return Transducer({(0, TARGET): (1, TARGET, 1.0), (1, THREAT): (1, AIMED, 1.0)})
 
 
 def target(factor: float = 1.25) -> Transducer:
-    """After someone is addressed an insult is aimed, and only then a threat is one; written as small letters."""
-    return Transducer({(0, TARGET): (1, TARGET, 1.0), (1, INSULT): (1, "i", factor), (1, THREAT): (1, "t", 1.0)})
+    """After someone is addressed an insult or a threat is aimed; written as small letters. A threat may be aimed already."""
+    return Transducer({(0, TARGET): (1, TARGET, 1.0), (1, INSULT): (1, "i", factor), (1, THREAT): (1, AIMED, 1.0)})
 
 
 def insult(base: float = 0.8) -> Transducer:
@@ -89,7 +95,7 @@ def insult(base: float = 0.8) -> Transducer:
 
 
 def threat(aimed: float = 0.5, loose: float = 0.02) -> Transducer:
-    return Transducer({(0, "t"): (0, "t", aimed), (0, THREAT): (0, THREAT, loose)})
+    return Transducer({(0, AIMED): (0, AIMED, aimed), (0, THREAT): (0, THREAT, loose)})
 
 
 def grammar() -> Transducer:
@@ -117,6 +123,7 @@ FIXED = dict.fromkeys(THREATS, THREAT) | dict.fromkeys(TARGETS, TARGET) | dict.f
 class Scorer:
     def __init__(self, lexicon: Lexicon, machine: Transducer):
         self.lexicon, self.machine = lexicon, machine
+        self.ahead = ahead()
         self.seen: dict[str, float] = {}
 
     def insult_weight(self, word: str) -> float:
@@ -127,6 +134,14 @@ class Scorer:
             known = self.seen[word] = self.lexicon.weight(word)
         return known
 
+    def look_ahead(self, symbols: list[str]) -> list[str]:
+        """The symbols with what a walk from the clause's end says."""
+        state, marked = 0, []
+        for symbol in reversed(symbols):
+            state, out, _ = self.ahead.step(state, symbol)
+            marked.append(out)
+        return marked[::-1]
+
     def clauses(self, text: str) -> Iterator[tuple[str, float]]:
         """Clauses with an insult or a threat, and their scores."""
         weigh = self.insult_weight
@@ -137,9 +152,12 @@ class Scorer:
             if not any(w in clause for w in hot):
                 continue
             state, calm = 0, 1.0
-            for word in WORD.findall(clause):
-                own = weigh(word)
-                symbol = INSULT if own > 0 else FIXED.get(word, OTHER)
+            words = WORD.findall(clause)
+            owns = [weigh(word) for word in words]
+            symbols = [INSULT if own > 0 else FIXED.get(word, OTHER) for word, own in zip(words, owns, strict=True)]
+            if THREAT in symbols:
+                symbols = self.look_ahead(symbols)
+            for own, symbol in zip(owns, symbols, strict=True):
                 state, out, factor = self.machine.step(state, symbol)
                 if out in "IiTt":
                     calm *= 1 - min(0.99, factor * (own or 1.0))

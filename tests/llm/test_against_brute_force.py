@@ -47,6 +47,17 @@ def test_toxicity_on_what_was_held_out(run, spark):
     assert aimed > plain > said > denied > 0 and score("nice day") == 0 and score("you, i will kill you") > score("kill time")
 
 
+THREATS_FIRST = ["I will kill you", "we will hurt you", "burn your house", "wir töten dich", "wir vernichten euch und alle", "je vais brûler ta maison", "on va détruire votre vie", "voy a matar a tu hermano", "quemar tu casa"]
+
+
+def test_threats_with_their_target_behind():
+    score = toxicity.Scorer(toxicity.Lexicon({}, {}), toxicity.grammar()).score
+    for text in THREATS_FIRST:
+        assert score(text) >= toxicity.REJECT, text
+    assert score("kill time") == score("kill time. you") == pytest.approx(0.02) and score("you, kill you") == score("kill you") == 0.5
+    assert score("not kill you") == 0.25 and score("she said kill you") == pytest.approx(0.3) and 0.02 < score("i will not kill you") < toxicity.REJECT
+
+
 def test_archives(run, spark):
     got = run("op2_warc").set_index("page_id")
     pages = table(spark, SMALL, "pages").toPandas()
