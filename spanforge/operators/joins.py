@@ -68,12 +68,24 @@ def narrowed(candidates: DataFrame, query: str, stages: Sequence[tuple[str, bool
 def succession(spans: DataFrame, entity: str, holder: str, start: str, order: str) -> DataFrame:
     """Add ``next_start`` and ``next_holder``: the earliest later start by another holder, the first in order of equals.
 
-    Without a self-join: among an entity's distinct (start, holder) in order, the next start by another holder is that of
-    the next run of holders, unless that starts at the same time; so rows look ahead in an array of the entity's starts.
+    Without a self-join: an entity's rows become one row for each start, with the first holder and the first other one. The
+    next row gives the answer, unless it has the asking holder only; then the answer is in the row after the run of such rows.
     """
-    per = spans.filter(F.col(start).isNotNull()).groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(order).alias("o"), F.col(holder).alias("h")))).alias("_starts"))
-    later = F.filter("_starts", lambda x: (x["s"] > F.col(start)) & (x["h"] != F.col(holder)))
-    return spans.join(per, entity, "left").withColumn("_next", F.get(later, F.lit(0))).withColumn("next_start", F.col("_next.s")).withColumn("next_holder", F.col("_next.h")).drop("_next", "_starts")
+    s, o, h = F.col(start), F.col(order), F.col(holder)
+    holders = spans.filter(s.isNotNull() & h.isNotNull()).groupBy(F.col(entity).alias("_e"), s.alias("_s"), h.alias("_h")).agg(F.min(F.struct(o.alias("o"), h.alias("h"))).alias("_x"))
+    two = holders.withColumn("_rn", F.row_number().over(W.partitionBy("_e", "_s").orderBy("_x"))).filter("_rn <= 2")
+    per = two.groupBy("_e", "_s").agg(F.max(F.when(F.col("_rn") == 1, F.col("_h"))).alias("_first"), F.max(F.when(F.col("_rn") == 2, F.col("_h"))).alias("_other"))
+    # from the last start to the first: lead() is the start before, and what is behind a row has been seen
+    back = W.partitionBy("_e").orderBy(F.desc("_s"))
+    before, row = lambda c: F.lead(c).over(back), F.struct("_s", "_first", "_other")
+    alone = F.col("_other").isNull() & before("_other").isNull() & F.coalesce(before("_first") == F.col("_first"), F.lit(False))
+    marked = per.withColumn("_turn", F.when(~alone, row))
+    seen = marked.withColumn("_n", F.lag(row).over(back)).withColumn("_t", F.last("_turn", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -2))).select("_e", "_s", "_n", "_t")
+    joined = spans.join(seen, (F.col(entity) == F.col("_e")) & (s == F.col("_s")) & h.isNotNull(), "left")
+    differs = lambda x: (x["_first"] != h) | F.coalesce(x["_other"] != h, F.lit(False))
+    joined = joined.withColumn("_next", F.when(differs(F.col("_n")), F.col("_n")).otherwise(F.col("_t")))
+    answer = F.when(F.col("_next._first") != h, F.col("_next._first")).otherwise(F.col("_next._other"))
+    return joined.withColumn("next_start", F.col("_next._s")).withColumn("next_holder", answer).drop("_e", "_s", "_n", "_t", "_next")
 
 
 def overlaps(spans: DataFrame, entity: str, key: str, holder: str, start: str, end: str) -> DataFrame:

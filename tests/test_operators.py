@@ -1,6 +1,7 @@
 """Operators on small hand-made tables."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,22 @@ def test_geometry(spark):
     assert one(spark, geometry.ring_contains(ring, F.lit(1.0), F.lit(1.0))) is True
     assert one(spark, geometry.distance_to_ring(ring, F.lit(6.0), F.lit(2.0))) == 2.0
     assert len(one(spark, geometry.simplified(geometry.closed_ring(ring), 0.1))) == 5
+
+
+def test_succession_of_runs_ties_and_nulls(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", "z", None]), rng.choice([None, *range(12)]), k) for k in range(150)]
+    rows += [("run", "x", k, 1_000 + k) for k in range(30)] + [("run", "y", 30, 2_000), ("run", "x", 30, 1_999)]
+    got = {r.o: (r.next_start, r.next_holder) for r in joins.succession(spark.createDataFrame(rows, "e string, h string, s int, o int"), "e", "h", "s", "o").collect()}
+    for e, h, s, o in rows:
+        later = [(t, p, g) for f, g, t, p in rows if None not in (e, h, s, g, t) and f == e and t > s and g != h]
+        best = min(later, default=(None, None, None))
+        assert got[o] == (best[0], best[2]), (e, h, s, o)
+    assert len(got) == len(rows)
+
+
+def test_succession_gathers_no_rows(spark):
+    """A row for each start is all that one entity's rows become, so that none holds them all."""
+    spans = spark.range(20).selectExpr("1 AS e", "CAST(id % 3 AS string) AS h", "id AS s", "id AS o")
+    plan = joins.succession(spans, "e", "h", "s", "o")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
