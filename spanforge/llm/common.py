@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch, about; a single longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -21,6 +23,15 @@ def importable(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+    bounded_batches(spark)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python BATCH_BYTES at a time, unless the session asks for less: by rows alone a batch of long texts has no bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None) or ""
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,20 +1,20 @@
 """Removal of byte strings that occur more than once, by a distributed suffix array.
 
-Texts are cut at content-defined anchors: every start i of a LENGTH-byte string has the anchor a(i), the place of the
-least 8-byte hash in the WINDOW places from i on. Equal strings have equal anchors, so only anchors whose following
-LENGTH - WINDOW + 1 bytes occur again can belong to a repeat; the others and their bytes are left out exactly.
-
-The phrases between the remaining anchors are the symbols of a suffix array, which the difference-cover algorithm builds.
-Neighbours in it are compared phrase by phrase: where they share more than LENGTH bytes, the starts in between repeat.
-The starts just before an anchor that this leaves undecided are merged in by their bytes around the anchor: in a group of
-anchors with the same following bytes, equal strings are found at equal distances from the anchor.
-
-Texts that occur more than once are kept as one text with a count. Groups that are too large for a task are not gathered:
-their starts become rows, counted by hash with partial sums. Strings are compared by 64-bit hashes.
+The suffix array is sparse. Texts are cut at content-defined anchors: every start i of a LENGTH-byte string has the anchor
+a(i), the place of the least 8-byte hash in the WINDOW places from i on. Equal strings have equal anchors, so anchors play
+the part of the difference cover's sampled positions. Only anchors whose next FOLLOWING bytes occur again can belong to a
+repeat; they are the candidates, the others are left out exactly.
+
+The symbol at an anchor is its FOLLOWING-byte string, named by its rank in a sort of all distinct ones. FOLLOWING bytes
+settle where the next anchor stands, so symbol strings sort as their bytes do, and the difference-cover algorithm
+(``difference_cover``) sorts the suffixes of the symbol strings, recursing on names until a name spans LENGTH bytes. The
+remaining suffixes, those d bytes before an anchor, are merged in by these d bytes and the rank of the anchor's suffix:
+a start repeats if and only if, among the anchors with the same d bytes before them, a neighbour in rank order shares
+LENGTH - d bytes. Both are read from the bytes themselves, never from hashes.
 
 Defined results: a null text is empty; matches do not cross documents; a start repeats if its LENGTH bytes start anywhere
 else, in the same document, too; every byte of such strings is removed, the first occurrence as well; rows with equal ids
-are separate documents; an empty table gives no rows.
+are separate documents; texts that occur more than once are kept as one text with a count; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,18 +27,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import drop_path, release, shared_path, stored, stored_at, table
+from spanforge.llm.common import checkpoint, drop_path, release, shared_path, stored, stored_at, table
 from spanforge.llm.difference_cover import suffix_ranks
 from spanforge.llm.hashing import U, by_bytes, mix, prefix_hash, substring_hash
 
-LENGTH, WINDOW, GRAM = 400, 200, 8
+LENGTH, WINDOW, GRAM = 400, 196, 8
+#: At least WINDOW + GRAM, so that a symbol settles where the next anchor stands.
 FOLLOWING = LENGTH - WINDOW + 1
-#: Phrases of each suffix that neighbours are compared over.
-PHRASES = 10
-#: Anchors with the same following bytes that one task gathers at most.
+#: The most bytes that a start stands before its anchor.
+BEFORE = WINDOW - 1
+#: Anchors with the same symbol that one task compares; those of larger groups are compared over many tasks.
 GROUP = 10_000
-#: Anchors whose starts are compared at once, about; a group is not split.
-TOGETHER = 2_000
+#: Anchors compared at once, about; a group is not split.
+TOGETHER = 4_000
 #: Bytes whose anchors and hashes are computed at once, about; places in a slice are packed into 24 bits.
 SLICE = 1 << 21
 
@@ -59,21 +60,23 @@ def _places(data: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _hashes(data: np.ndarray, found: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of what follows each of the rising places ``found``, and of data from it to its end, over a slice of data at a time."""
-    following, phrases, low = np.zeros(len(found), np.uint64), np.zeros(len(found), np.uint64), 0
+def _following(data: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Hashes of what follows each of the rising places ``found``, over a slice of data at a time."""
+    following, low = np.zeros(len(found), np.uint64), 0
     while low < len(found):
         high = int(np.searchsorted(found, found[low] + SLICE))
         first, own = found[low], slice(low, high)
-        sums = prefix_hash(data[first : max(found[high - 1] + FOLLOWING, ends[high - 1])])
+        sums = prefix_hash(data[first : found[high - 1] + FOLLOWING])
         following[own] = substring_hash(sums, found[own] - first, found[own] - first + FOLLOWING)
-        phrases[own] = substring_hash(sums, found[own] - first, ends[own] - first)
         low = high
-    return following, phrases
+    return following
+
 
+def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: its anchors and the first start of each, one more of both, and hashes of the symbols.
 
-def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: its anchors, the first start of each, hashes of what follows each, and hashes of the phrases from it on."""
+    The last anchor's symbol does not fit into the text; it has no hash. Anchors near the end may have no start.
+    """
     data = np.frombuffer(b"".join(texts) + b"\0" * (WINDOW + GRAM), np.uint8)
     place = _places(data)
     sums, at = prefix_hash(data) if len(data) <= SLICE else None, 0
@@ -81,186 +84,304 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         size = len(text)
         if size < LENGTH:
             none = np.zeros(0, np.int64)
-            yield none, none, none.view(np.uint64), none.view(np.uint64)
+            yield none, none, none.view(np.uint64)
         else:
-            own = place[at : at + size - LENGTH + 1]
+            own = place[at : at + size - WINDOW - GRAM + 2]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             found = own[first]
-            ends = np.append(found[1:], at + size)
-            following, phrases = _hashes(data, found, ends) if sums is None else (substring_hash(sums, found, found + FOLLOWING), substring_hash(sums, found, ends))
-            yield found - at, first, following, phrases
+            full = int(np.searchsorted(found, at + size - FOLLOWING, "right"))
+            whole = found[:full]
+            following = _following(data, whole) if sums is None else substring_hash(sums, whole, whole + FOLLOWING)
+            yield found[: full + 1] - at, first[: full + 1], following
         at += size
 
 
 def _parse(docs: DataFrame, path: str) -> DataFrame:
-    """Each document's length, digests, anchors and hashes, written to ``path``."""
+    """Each document's length, digest, anchors and hashes, written to ``path``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [b"" if t is None else t.encode() for t in frame["text"]]
             for low, high in by_bytes(texts, 1 << 18):
                 rows = []
-                for text, (at, first, following, phrases) in zip(texts[low:high], anchors(texts[low:high]), strict=True):
-                    rows.append((len(text), hashlib.sha256(text).hexdigest(), at.astype(np.int32), first.astype(np.int32), following.view(np.int64), phrases.view(np.int64)))
-                yield pd.DataFrame(rows, columns=["n_bytes", "sha256", "at", "first", "following", "phrases"]).assign(doc_id=frame["doc_id"].array[low:high])
+                for text, (at, first, following) in zip(texts[low:high], anchors(texts[low:high]), strict=True):
+                    rows.append((len(text), hashlib.sha256(text).hexdigest(), at.astype(np.int32), first.astype(np.int32), following.view(np.int64)))
+                yield pd.DataFrame(rows, columns=["n_bytes", "sha256", "at", "first", "following"]).assign(doc_id=frame["doc_id"].array[low:high])
 
-    schema = "doc_id long, n_bytes long, sha256 string, at array<int>, first array<int>, following array<long>, phrases array<long>"
+    schema = "doc_id long, n_bytes long, sha256 string, at array<int>, first array<int>, following array<long>"
     docs.select("doc_id", "text").mapInPandas(run, schema).write.parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def _neighbours(ranked: DataFrame) -> DataFrame:
-    """(tid, at, shared): bytes of whole phrases that a suffix shares with a neighbour in the suffix array."""
+def _tails(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which candidates' next anchor is none: their string of symbols ends with that anchor's, which no other text has."""
+    return np.flatnonzero(np.append(after[:-1] != at[1:], True))
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
-        for frame in frames:
-            if not len(frame):
-                continue
-            frame = frame if tail is None else pd.concat([tail, frame], ignore_index=True)
-            names = np.frombuffer(b"".join(frame["names"]), np.int64).reshape(len(frame), PHRASES)
-            sizes = np.frombuffer(b"".join(frame["sizes"]), np.int32).reshape(len(frame), PHRASES).astype(np.int64)
-            equal = np.cumprod((names[1:] == names[:-1]) & (names[1:] != 0), axis=1)
-            down = (equal * sizes[1:]).sum(axis=1)
-            shared = np.maximum(np.append(down, 0), np.append(0, down))
-            yield pd.DataFrame({"tid": frame["tid"], "at": frame["at"], "shared": shared})
-            tail = frame.iloc[-1:]
 
-    return ranked.repartitionByRange("rank", "tid", "at").sortWithinPartitions("rank", "tid", "at").mapInPandas(compare, "tid long, at int, shared long").groupBy("tid", "at").agg(F.max("shared").alias("shared"))
+def _tail_hash(symbol: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(symbol, digest_size=8).digest(), "little", signed=True)
 
 
-def _suffixes(candidates: DataFrame) -> DataFrame:
-    """Ranks of the phrase suffixes: (tid, at, rank, names, sizes) for candidates (tid, at array, next array, phrases array), cut where a phrase does not lead to a candidate."""
+def _symbols(asked: DataFrame) -> DataFrame:
+    """(h, symbol) of every candidate and tail of texts with their candidates (at, after, following)."""
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for tid, at, after, phrases in zip(frame["tid"], frame["at"], frame["after"], frame["phrases"], strict=True):
-                order = np.argsort(at)
-                at, after, phrases = np.asarray(at)[order], np.asarray(after)[order], np.asarray(phrases)[order]
-                # symbols are positive
-                symbols = (phrases.astype(np.int64).view(np.uint64) >> U(1)).astype(np.int64) | 1
-                breaks = np.flatnonzero(np.append(after[:-1] != at[1:], True)) + 1
-                low = 0
-                for high in breaks.tolist():
-                    rows.append((int(tid), int(mix(np.array([tid], np.int64).view(np.uint64) + U(int(at[low]) + 1)).view(np.int64)[0]), at[low:high], after[low:high], symbols[low:high]))
-                    low = high
-            yield pd.DataFrame(rows, columns=["tid", "sid", "at", "after", "ts"])
-
-    strings = stored(candidates.mapInPandas(cut, "tid long, sid long, at array<int>, after array<int>, ts array<long>"), "strings")
-    ranks = suffix_ranks(strings.select("sid", "ts"))
+            found: dict[int, bytes] = {}
+            for text, at, after, following in zip(frame["text"], frame["at"], frame["after"], frame["following"], strict=True):
+                data = text.encode()
+                for h, a in zip(following.tolist(), at.tolist(), strict=True):
+                    if h not in found:
+                        found[h] = data[a : a + FOLLOWING]
+                for a in after[_tails(at, after)].tolist():
+                    found[_tail_hash(data[a : a + FOLLOWING])] = data[a : a + FOLLOWING]
+            yield pd.DataFrame({"h": list(found), "symbol": list(found.values())})
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return asked.select("text", "at", "after", "following").mapInPandas(run, "h long, symbol binary")
+
+
+def _strings(asked: DataFrame) -> DataFrame:
+    """(tid, hs, need): each text's symbols by their hashes, and the most symbols that LENGTH bytes from a candidate on take."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), 5_000):
-                part = frame.iloc[start : start + 5_000]
-                sizes = part["at"].map(len).to_numpy()
-                at, after, ts, rank = (np.concatenate(part[c].tolist()) for c in ("at", "after", "ts", "ranks"))
-                n, end = len(at), np.repeat(np.cumsum(sizes), sizes)
-                names, lengths = np.zeros((n, PHRASES), np.int64), np.zeros((n, PHRASES), np.int32)
-                for k in range(min(PHRASES, n)):
-                    inside = np.arange(n - k) + k < end[: n - k]
-                    names[: n - k, k] = np.where(inside, ts[k:], 0)
-                    lengths[: n - k, k] = np.where(inside, after[k:] - at[k:], 0)
-                yield pd.DataFrame({"tid": np.repeat(part["tid"].to_numpy(), sizes), "at": at, "rank": rank, "names": [x.tobytes() for x in names], "sizes": [x.tobytes() for x in lengths]})
-
-    joined = strings.join(ranks, "sid").select("tid", "at", "after", "ts", "ranks")
-    return joined.mapInPandas(spread, "tid long, at int, rank long, names binary, sizes binary")
+            rows = []
+            for tid, text, at, after, following in zip(frame["tid"], frame["text"], frame["at"], frame["after"], frame["following"], strict=True):
+                data, ends = text.encode(), _tails(at, after)
+                places = np.insert(at, ends + 1, after[ends])
+                hs = np.insert(following, ends + 1, [_tail_hash(data[a : a + FOLLOWING]) for a in after[ends].tolist()])
+                need = np.searchsorted(places, places + LENGTH - FOLLOWING) - np.arange(len(places)) + 1
+                rows.append((tid, hs, int(need.max())))
+            yield pd.DataFrame(rows, columns=["tid", "hs", "need"])
+
+    return asked.select("tid", "text", "at", "after", "following").mapInPandas(run, "tid long, hs array<long>, need int")
+
+
+def _ranks(asked: DataFrame) -> DataFrame:
+    """(tid, ranks): the rank of each of a text's symbol suffixes among all; its order is that of their first LENGTH bytes."""
+    strings = stored(_strings(asked), "hashed")
+    # symbols are named by their place in the order of their bytes
+    ordered = _symbols(asked).distinct().repartitionByRange("symbol").sortWithinPartitions("symbol").select("h", (F.monotonically_increasing_id() + 1).alias("name"))
+    names = stored(ordered.groupBy("h").agg(F.min("name").alias("name")), "names")
+    named = strings.select("tid", F.posexplode("hs").alias("pos", "h")).join(names, "h").groupBy(F.col("tid").alias("sid"))
+    named = stored(named.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("ts")), "strings")
+    need, depth = strings.agg(F.max("need")).first()[0] or 1, 1
+    while 3**depth < need:
+        depth += 1
+    return suffix_ranks(named, depth).select(F.col("sid").alias("tid"), "ranks")
 
 
 def _members(asked: DataFrame, hot: bool) -> DataFrame:
-    """(following, tid, at, low, high, around): the starts low..high before an anchor and the bytes that tell them apart.
+    """A row for each candidate of a text: its rank, its starts at - most .. at - least, and the bytes around it.
 
-    ``asked`` has texts with arrays of their wanted anchors; those of groups above GROUP are taken with ``hot``, else the
-    others. ``around`` holds WINDOW - 1 bytes before the anchor and WINDOW - 1 behind its following bytes; the string that
-    starts d bytes before the anchor shows there as the WINDOW - 1 bytes from WINDOW - 1 - d on.
+    ``asked`` has texts with arrays of their candidates; those of groups above GROUP are taken with ``hot``, else the
+    others. ``around`` holds the BEFORE bytes before the anchor, the nearest first, and LENGTH bytes from it on.
     """
-    pad = b"\0" * WINDOW
-    columns = ["following", "tid", "at", "low", "high", "around"]
+    pad = b"\0"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             parts, n = [], 0
-            for tid, text, following, at, low, high, m in zip(frame["tid"], frame["text"], frame["following"], frame["at"], frame["low"], frame["high"], frame["m"], strict=True):
-                chosen = np.flatnonzero((np.asarray(m) > GROUP) == hot)
+            for row in frame.itertuples(index=False):
+                chosen = np.flatnonzero((row.m > 0) & ((row.m > GROUP) == hot))
                 if not len(chosen):
                     continue
-                data, places = pad + text.encode() + pad, np.asarray(at)[chosen]
-                around = [data[x + 1 : x + WINDOW] + data[x + WINDOW + FOLLOWING : x + 2 * WINDOW + FOLLOWING - 1] for x in places.tolist()]
-                parts.append(pd.DataFrame({"following": np.asarray(following)[chosen], "tid": tid, "at": places, "low": np.asarray(low)[chosen], "high": np.asarray(high)[chosen], "around": around}))
+                data, at = row.text.encode(), row.at
+                ends = _tails(at, row.after)
+                places = np.delete(np.arange(len(at) + len(ends)), ends + 1 + np.arange(len(ends)))
+                around = [data[max(0, a - BEFORE) : a][::-1].ljust(BEFORE, pad) + data[a : a + LENGTH].ljust(LENGTH, pad) for a in at[chosen].tolist()]
+                parts.append(pd.DataFrame({
+                    "following": row.following[chosen], "rank": row.ranks[places[chosen]], "tid": row.tid, "at": at[chosen],
+                    "least": at[chosen] - row.high[chosen], "most": at[chosen] - row.low[chosen], "around": around,
+                }))
                 n += len(chosen)
-                if n > 20_000:
+                if n > 5_000:
                     yield pd.concat(parts, ignore_index=True)
                     parts, n = [], 0
             if parts:
-                yield pd.concat(parts, ignore_index=True)[columns]
-
-    return asked.mapInPandas(run, "following long, tid long, at int, low int, high int, around binary")
-
-
-def _start_hashes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and start of every start of the frame's anchors, a few thousand anchors at a time."""
-    parts = [(k, *_block_hashes(frame.iloc[k : k + 2_000])) for k in range(0, len(frame), 2_000)]
-    return np.concatenate([h for _, h, _, _ in parts]), np.concatenate([row + k for k, _, row, _ in parts]), np.concatenate([start for *_, start in parts])
-
-
-def _block_hashes(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"".join(frame["around"]), np.uint8)
-    sums, side = prefix_hash(data), 2 * (WINDOW - 1)
-    at, low, high = (frame[c].to_numpy(np.int64) for c in ("at", "low", "high"))
-    n = high - low + 1
-    row = np.repeat(np.arange(len(frame)), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    before = at[row] - start
-    begin = row * side + WINDOW - 1 - before
-    hashes = substring_hash(sums, begin, begin + WINDOW - 1)
-    following = frame["following"].to_numpy(np.int64).view(np.uint64)[row]
-    return mix(hashes ^ mix(following + before.astype(np.uint64))), row, start
-
-
-def _repeats(asked: DataFrame, n_members: int) -> DataFrame:
-    """Ranges (tid, low, high) of the starts that occur again, for texts and the anchors wanted of them."""
-
-    hot = _members(asked.filter(F.exists("m", lambda m: m > GROUP)), True)
-    bins = max(1, n_members // GROUP + 1)
-
-    def ranges(tids: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
-        order = np.lexsort((starts, tids))
-        tids, starts = tids[order], starts[order]
-        new = np.flatnonzero(np.concatenate([[True], (tids[1:] != tids[:-1]) | (starts[1:] > starts[:-1] + 1)])) if len(tids) else np.zeros(0, int)
-        return pd.DataFrame({"tid": tids[new], "low": starts[new], "high": starts[np.append(new[1:], len(tids)) - 1] if len(new) else new})
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        """Only strings before equal following bytes can be equal, so a few whole groups are compared at a time."""
-        frame = frame.sort_values("following", ignore_index=True)
-        following = frame["following"].to_numpy()
-        firsts, found, low = np.flatnonzero(following[1:] != following[:-1]) + 1, [], 0
-        while low < len(frame):
-            at = np.searchsorted(firsts, low + TOGETHER)
-            before = int(firsts[at - 1]) if at else 0
-            high = before if before > low else int(firsts[at]) if at < len(firsts) else len(frame)
-            part = frame.iloc[low:high]
-            hashes, row, start = _start_hashes(part)
-            order = np.argsort(hashes)
-            equal = hashes[order[1:]] == hashes[order[:-1]]
-            again = order[np.append(equal, False) | np.append(False, equal)]
-            found.append(ranges(part["tid"].to_numpy()[row[again]], start[again]))
-            low = high
-        return pd.concat(found, ignore_index=True)
-
-    schema = "tid long, low int, high int"
-    cold = _members(asked, False).withColumn("bin", F.pmod(F.xxhash64("following"), F.lit(bins))).groupBy("bin").applyInPandas(compare, schema)
+                yield pd.concat(parts, ignore_index=True)
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k in range(0, len(frame), 1_000):
-                part = frame.iloc[k : k + 1_000]
-                hashes, row, start = _start_hashes(part)
-                yield pd.DataFrame({"h": hashes.view(np.int64), "tid": part["tid"].to_numpy()[row], "start": start})
+    return asked.mapInPandas(run, "following long, rank long, tid long, at int, least int, most int, around binary")
+
+
+def _matrix(around: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(around), np.uint8).reshape(len(around), BEFORE + LENGTH)
 
-    rows = hot.mapInPandas(spread, "h long, tid long, start int")
-    again = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return cold.unionByName(rows.join(again, "h").select("tid", F.col("start").alias("low"), F.col("start").alias("high")))
+
+def _shared(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the one before it, from the second row on."""
+    differ = rows[1:] != rows[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+
+
+def _as_strings(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+
+
+def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of each run of true columns."""
+    edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def repeating(following: np.ndarray, least: np.ndarray, most: np.ndarray, around: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first d, last d): starts that repeat, as distances before their anchor, for anchors in the order of (following, rank).
+
+    Anchors with the same bytes all around them repeat wholly, as do those marked ``again``. Of the others, one for each
+    context, starts d before the anchor meet that have the same d bytes before it and lie in one run of the rank order in
+    which neighbours share LENGTH - d bytes.
+    """
+    left, right = around[:, :BEFORE], around[:, BEFORE:]
+    shared = _shared(right)
+    shared[following[1:] != following[:-1]] = 0
+    run = np.concatenate([[0], np.cumsum(shared < LENGTH)])
+    keys = np.concatenate([np.stack([run, least, most], axis=1).astype(">i4").view(np.uint8).reshape(len(run), -1), left], axis=1)
+    _, first, number, count = np.unique(_as_strings(keys), return_index=True, return_inverse=True, return_counts=True)
+    whole = again | (count[number] > 1)
+    rows, low, high = [np.flatnonzero(whole)], [least[whole]], [most[whole]]
+    one = np.sort(first)  # in rank order
+    same = following[one[1:]] == following[one[:-1]]
+    one = one[np.append(same, False) | np.append(False, same)]
+    if len(one):
+        n, flags = len(one), np.zeros((len(one), BEFORE + 1), bool)
+        shared = _shared(right[one])
+        shared[following[one[1:]] != following[one[:-1]]] = 0
+        strings = _as_strings(left[one])
+        order = np.argsort(strings, kind="stable")
+        before = _shared(left[one][order])
+        shallow, deep, left_run = least[one], most[one], np.zeros(n, np.int64)
+        for d in range(BEFORE + 1):
+            own = np.flatnonzero((shallow <= d) & (d <= deep))
+            if len(own) < 2:
+                continue
+            left_run[order] = np.concatenate([[0], np.cumsum(before < d)])
+            pair = (np.concatenate([[0], np.cumsum(shared < LENGTH - d)]) * n + left_run)[own]
+            by = np.argsort(pair)
+            equal = pair[by[1:]] == pair[by[:-1]]
+            flags[own[by[np.append(equal, False) | np.append(False, equal)]], d] = True
+        flags[whole[one]] = False
+        row, a, b = _runs(flags)
+        rows, low, high = [*rows, one[row]], [*low, a], [*high, b]
+    return np.concatenate(rows), np.concatenate(low), np.concatenate(high)
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames in the order of ``following``, recut so that no group is split and about TOGETHER rows come at once."""
+    held, n = [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= TOGETHER:
+            frame = pd.concat(held, ignore_index=True)
+            following = frame["following"].to_numpy()
+            end = int(np.searchsorted(following, following[-1]))
+            if end:
+                yield frame.iloc[:end]
+            held, n = [frame.iloc[end:]], len(frame) - end
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _cold(members: DataFrame, fields: str) -> DataFrame:
+    """(fields, first, last): starts that repeat in groups of at most GROUP rows; a row of ``weight`` above 1 repeats wholly."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(frames):
+            around, weight = _matrix(frame["around"]), frame["weight"].to_numpy()
+            row, first, last = repeating(*(frame[c].to_numpy() for c in ("following", "least", "most")), around, weight > 1)
+            yield frame[names].iloc[row].assign(first=first, last=last)
+
+    rows = members.repartition("following").sortWithinPartitions("following", "rank")
+    return rows.mapInPandas(compare, f"{fields}, first int, last int")
+
+
+def _hot(contexts: DataFrame) -> DataFrame:
+    """(context, first, last) for groups of any size: the runs of the rank order are found by one scan over all tasks, and
+    starts are counted by (run, bytes before the anchor) with partial sums."""
+    order = ["following", "rank", "context"]
+    ranged = checkpoint(contexts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.spark_partition_id()))
+    wanted = np.arange(LENGTH, LENGTH - BEFORE - 1, -1)  # bytes to share for d = 0, 1, ...
+
+    def scan(frames: Iterator[pd.DataFrame], start: np.ndarray, at: int, before: tuple | None) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        """Each frame with the row number of the run's start for each row and d."""
+        for whole in frames:
+            for k in range(0, len(whole), 1_000):
+                frame = whole.iloc[k : k + 1_000]
+                right, following = _matrix(frame["around"])[:, BEFORE:], frame["following"].to_numpy()
+                if before is None:
+                    shared = np.concatenate([[0], _shared(right)])
+                    shared[1:][following[1:] != following[:-1]] = 0
+                else:
+                    shared = _shared(np.concatenate([before[1], right]))
+                    shared[following != np.append(before[0], following[:-1])] = 0
+                number = np.arange(at, at + len(frame))
+                starts = np.where(shared[:, None] < wanted, number[:, None], -1)
+                starts[0] = np.maximum(starts[0], start)
+                starts = np.maximum.accumulate(starts, axis=0)
+                yield frame, starts
+                start, at, before = starts[-1], at + len(frame), (following[-1], right[-1:])
+
+    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = last = None
+        n = 0
+        for frame, starts in scan(frames, np.full(BEFORE + 1, -1), 0, None):
+            head = frame.iloc[0] if head is None else head
+            last, n = (frame.iloc[-1], starts[-1]), n + len(frame)
+        if last is not None:
+            yield pd.DataFrame({"place": [head["place"]], "n": [n], "head": [head["around"]], "head_following": [head["following"]], "tail": [last[0]["around"]], "tail_following": [last[0]["following"]], "starts": [last[1]]})
+
+    schema = "place int, n long, head binary, head_following long, tail binary, tail_following long, starts array<long>"
+    carried, at, start, before = {}, 0, np.full(BEFORE + 1, -1), None
+    for part in sorted(ranged.mapInPandas(ends, schema).collect(), key=lambda r: r.place):  # a row for each partition
+        carried[part.place] = (start, at, before)
+        own = np.array(part.starts)
+        shared = 0
+        if before is not None and before[0] == part.head_following:
+            shared = int(_shared(np.concatenate([before[1], _matrix(pd.Series([part.head]))[:, BEFORE:]]))[0])
+        # own starts are counted from this partition's first row; a start of 0 may lie further back
+        start = np.where((own == 0) & (shared >= wanted), start, own + at)
+        at, before = at + part.n, (part.tail_following, _matrix(pd.Series([part.tail]))[:, BEFORE:])
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = next(frames, None)
+        if first is None:
+            return
+        frames = (f for part in ([first], frames) for f in part)
+        for frame, starts in scan(frames, *carried[int(first["place"].iat[0])]):
+            left, h = _matrix(frame["around"])[:, :BEFORE], np.zeros(len(frame), np.uint64)
+            for d in range(BEFORE + 1):
+                own = ((frame["least"] <= d) & (d <= frame["most"])).to_numpy()
+                if own.any():
+                    yield pd.DataFrame({"run": starts[own, d], "d": d, "h": h[own].view(np.int64), "context": frame["context"].to_numpy()[own]})
+                if d < BEFORE:
+                    h = mix(h * U(3) + left[:, d].astype(np.uint64) + U(1))
+
+    rows = ranged.mapInPandas(spread, "run long, d int, h long, context string")
+    again = stored(rows.groupBy("run", "d", "h").agg(F.count("*").alias("n"), F.min("context").alias("one")).filter("n > 1"), "again")
+    found = rows.join(again.select("run", "d", "h"), ["run", "d", "h"]).select("context", F.col("d").alias("first"), F.col("d").alias("last"))
+    return found.unionByName(ranged.filter("weight > 1").select("context", F.col("least").alias("first"), F.col("most").alias("last")))
+
+
+def _repeats(asked: DataFrame) -> DataFrame:
+    """Ranges (tid, low, high) of the starts that occur again, for texts, the candidates wanted of them and their ranks."""
+    columns = ["tid", (F.col("at") - F.col("last")).alias("low"), (F.col("at") - F.col("first")).alias("high")]
+    cold = _cold(_members(asked, False).withColumn("weight", F.lit(1)), "tid long, at int").select(*columns)
+    large = asked.filter(F.exists("m", lambda m: m > GROUP))
+    if not large.limit(1).count():
+        return cold
+    # equal contexts of a large group are one row first
+    context = F.sha2(F.concat("around", F.encode(F.concat_ws(",", "following", "least", "most"), "utf-8")), 256).alias("context")
+    members = _members(large, True).select("*", context)
+    contexts = members.groupBy("context", "following", "least", "most", "around").agg(F.count("*").alias("weight"), F.min("rank").alias("rank"))
+    contexts = stored(contexts, "contexts")
+    sizes = stored(contexts.groupBy("following").agg(F.count("*").alias("m")), "context-sizes")
+    sized = contexts.join(sizes, "following")
+    few = _cold(sized.filter(F.col("m") <= GROUP), "context string")
+    many = _hot(sized.filter(F.col("m") > GROUP).drop("m"))
+    hot = members.select("context", "tid", "at").join(stored(few.unionByName(many), "context-repeats"), "context")
+    return cold.unionByName(hot.select(*columns))
 
 
 def _cover(n: int, lows: np.ndarray, highs: np.ndarray) -> list[tuple[int, int]]:
@@ -287,50 +408,56 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = _parse(docs, path)
     info = stored(parsed.select("doc_id", "n_bytes", "sha256"), "texts")
     tid = F.xxhash64("sha256").alias("tid")
-    first = parsed.filter(f"n_bytes >= {LENGTH}").groupBy("sha256").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("first").alias("first"), F.first("following").alias("following"), F.first("phrases").alias("phrases"), F.first("n_bytes").alias("n_bytes"))
-    distinct_path, repeated_path = shared_path(spark, "distinct"), shared_path(spark, "repeated")
+    first = parsed.filter(f"n_bytes >= {LENGTH}").groupBy("sha256").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_bytes", "at", "first", "following")))
+    distinct_path, repeated_path, candidates_path, groups_path = (shared_path(spark, x) for x in ("distinct", "repeated", "candidates", "groups"))
     distinct = stored_at(first.select(tid, "*"), distinct_path)
     drop_path(spark, path)
     release(spark)
-    each = distinct.select("tid", "copies", F.explode("following").alias("following"))
+    # of the texts only their names are needed from the candidates on
+    names = stored(distinct.select("tid", "sha256", "doc_id", "copies"), "names")
+    each = distinct.select("copies", F.explode("following").alias("following"))
     # written, so that the join deals its sides anew and can split a hash that is everywhere
     repeated = stored_at(each.groupBy("following").agg(F.sum("copies").alias("n")).filter("n > 1").select("following"), repeated_path)
-    # each candidate anchor with its starts, its phrase and where the next anchor is
-    entry = """inline(transform(sequence(0, size(at) - 1), i -> struct(following[i] AS following, at[i] AS at, first[i] AS low,
-        coalesce(get(first, i + 1) - 1, CAST(n_bytes - {0} AS INT)) AS high, coalesce(get(at, i + 1), CAST(n_bytes AS INT)) AS after, phrases[i] AS phrase)))"""
-    found = distinct.selectExpr("tid", "copies", entry.format(LENGTH)).join(repeated, "following")
-    candidates_path = shared_path(spark, "candidates")
-    candidates = stored_at(found, candidates_path)
-    # of the texts only their names are needed from here on
-    names = stored(distinct.select("tid", "sha256", "doc_id", "copies"), "names")
-    del distinct, each, repeated, found
+    # each candidate with its starts, and where the next anchor is
+    entry = f"""inline(transform(sequence(0, size(following) - 1), i -> struct(following[i] AS following, at[i] AS at, first[i] AS low,
+        least(first[i + 1] - 1, CAST(n_bytes - {LENGTH} AS INT)) AS high, at[i + 1] AS after)))"""
+    candidates = stored_at(distinct.selectExpr("tid", "copies", entry).join(repeated, "following"), candidates_path)
+    del distinct, each, repeated
     drop_path(spark, distinct_path)
     drop_path(spark, repeated_path)
     release(spark)
-    strings = candidates.groupBy("tid").agg(F.collect_list(F.struct("at", "after", "phrase")).alias("x")).select("tid", F.col("x.at").alias("at"), F.col("x.after").alias("after"), F.col("x.phrase").alias("phrases"))
-    shared = _neighbours(_suffixes(strings))
-    decided = stored(candidates.drop("phrase").join(shared, ["tid", "at"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))), "decided")
-    # the suffix array's checkpoints and the candidates are done with
-    del shared, strings, candidates
+    # groups with something to decide; of the other candidates only the symbols are needed
+    groups = candidates.filter("low <= high").groupBy("following").agg(F.count("*").alias("m"), F.min("copies").alias("fewest")).filter("m > 1 AND fewest = 1")
+    groups = stored_at(groups.select("following", F.col("m").cast("int").alias("m")), groups_path)
+    fields = ["at", "after", "low", "high", "following", "m"]
+    sized = candidates.join(groups, "following", "left").withColumn("m", F.when(F.col("low") <= F.col("high"), F.coalesce("m", F.lit(0))).otherwise(0))
+    arrays = sized.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x")).filter(F.exists("x", lambda x: x["m"] > 0))
+    arrays_path, texts_path, asked_path = (shared_path(spark, x) for x in ("arrays", "candidate-texts", "asked"))
+    arrays = stored_at(arrays.select("tid", *(F.col(f"x.{c}").alias(c) for c in fields)), arrays_path)
+    del candidates, groups, sized
     drop_path(spark, candidates_path)
+    drop_path(spark, groups_path)
     release(spark)
-    # whole strings inside what is shared repeat; an anchor's starts are decided if those from the anchor before it on include them
-    sure = decided.filter(F.col("shared") >= LENGTH).select("tid", F.col("at").alias("low"), (F.col("at") + F.col("shared") - LENGTH).cast("int").alias("high"))
-    reach = decided.filter(F.col("shared") >= LENGTH).select("tid", F.col("after").alias("at"), F.col("at").alias("from"), (F.col("at") + F.col("shared") - LENGTH).alias("reach"))
-    undecided = decided.join(reach, ["tid", "at"], "left").withColumn("open", (F.col("copies") == 1) & F.coalesce((F.col("low") < F.col("from")) | (F.col("high") > F.col("reach")), F.lit(True)))
-    groups = stored(undecided.groupBy("following").agg(F.max("open").alias("open"), F.count("*").alias("m")).filter("open").select("following", "m"), "groups")
-    n_members = groups.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    fields = ["following", "at", "low", "high", "m"]
-    wanted = undecided.join(groups, "following").groupBy("tid").agg(F.collect_list(F.struct(*fields)).alias("x")).select("tid", *(F.col(f"x.{c}").alias(c) for c in fields))
     # the texts that matter, once each
-    own = names.join(decided.select("tid").distinct(), "tid")
+    own = names.withColumnRenamed("doc_id", "carrier").join(arrays.select("tid"), "tid")
     keyed = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    own = own.withColumnRenamed("doc_id", "carrier")
     texts = keyed.join(own, (keyed["sha256"] == own["sha256"]) & keyed["doc_id"].eqNullSafe(own["carrier"])).select("tid", "copies", own["sha256"], own["carrier"].alias("doc_id"), "text")
-    texts = stored(texts, "candidate-texts")
+    texts = stored_at(texts, texts_path)
+    release(spark)
+    once = texts.select("tid", "text")
+    if texts.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # rows with equal ids and texts
+        once = once.dropDuplicates(["tid"])
+    asked = stored_at(once.join(arrays, "tid"), asked_path)
+    release(spark)
+    ranks = _ranks(asked.select("tid", "text", "at", "after", "following"))
+    release(spark)
+    ranked = asked.join(ranks, "tid").select("tid", "text", *fields, "ranks")
+    ranges = stored(_repeats(ranked), "ranges")
+    del asked, ranks, ranked, arrays
+    for done in (asked_path, arrays_path):
+        drop_path(spark, done)
     release(spark)
-    asked = texts.dropDuplicates(["tid"]).select("tid", "text").join(stored(wanted, "wanted"), "tid")
-    spans = _repeats(asked, n_members).unionByName(sure).groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("tid", F.col("x.low").alias("low"), F.col("x.high").alias("high"))
+    spans = ranges.groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("x")).select("tid", F.col("x.low").alias("low"), F.col("x.high").alias("high"))
     partly = texts.filter("copies = 1").join(spans, "tid").select("doc_id", "sha256", "text", "low", "high")
     whole = names.filter("copies > 1").select("sha256").withColumn("whole", F.lit(True))
     return info.join(whole, "sha256", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), partly
