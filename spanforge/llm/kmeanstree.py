@@ -10,12 +10,14 @@ makes all norms equal, so that the nearest in distance is the largest product.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows without an id, take no part;
 rows with equal ids are separate candidates, but one query (the least vector), and none is a candidate of its own id; ties
-go to the smaller vec_id; fewer candidates than k give all that are found; an empty table gives no rows.
+go to the smaller vec_id; a query visits leaves until they hold k other rows, so it gets k, or all candidates if there are
+fewer; shorter vectors end in zeros; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import stored, table
-from spanforge.llm.vectors import best, matrix, query_blocks, usable
+from spanforge.llm.vectors import best, even, matrix, query_blocks, usable
 
-#: Rows of the sample that the tree is fitted on, at most about; children of a node; sample rows in a leaf.
-SAMPLE, BRANCHES, LEAF = 20_000, 8, 48
+#: Rows of the sample that the tree is fitted on: all up to SAMPLE, then one in SHARE, at most MOST, so that the tree grows
+#: with the table; children of a node; sample rows in a leaf.
+SAMPLE, SHARE, MOST, BRANCHES, LEAF = 20_000, 100, 120_000, 8, 48
 #: Queries for calibration, and the recall to reach on them.
 CALIBRATION, RECALL = 128, 0.95
-#: Rows of a leaf compared at once; larger leaves are split.
-BLOCK = 2_048
+#: Queries, and rows of neighbouring leaves, that meet at once; larger leaves are split.
+BLOCK, CELL = 2_048, 8_192
 
 
 @dataclass
@@ -66,22 +69,31 @@ class Tree:
             todo += [(int(kid), rows[near == k]) for k, kid in enumerate(kids) if (near == k).any()]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order, ``most`` at most."""
-        query = np.append(query / max(np.sqrt((query**2).sum()), 1e-300) * np.sqrt(self.norm), 0.0)
-        queue: list[tuple[float, int]] = [(0.0, 0)]
-        found: list[int] = []
-        while queue and len(found) < most:
-            _, node = heapq.heappop(queue)
-            while len(kids := self.children[node]):
-                far = ((self.centres[kids] - query) ** 2).sum(axis=1)
-                first = int(far.argmin())
-                for k, kid in enumerate(kids):
-                    if k != first:
-                        heapq.heappush(queue, (float(far[k]), int(kid)))
-                node = int(kids[first])
-            found.append(int(self.leaf[node]))
-        return found
+    def distances(self, queries: np.ndarray) -> np.ndarray:
+        """Squared distances of queries, put on the sphere, to all centres, less the queries' own norm."""
+        length = np.maximum(np.sqrt((queries**2).sum(axis=1)), 1e-300)[:, None]
+        lifted = np.hstack([queries / length * np.sqrt(self.norm), np.zeros((len(queries), 1))])
+        return (self.centres**2).sum(axis=1) - 2 * lifted @ self.centres.T
+
+    def visits(self, queries: np.ndarray, most: int, sizes: np.ndarray | None = None, least: np.ndarray | None = None) -> list[list[int]]:
+        """For each query its leaves in best-bin-first order: ``most``, and more until they hold ``least`` rows by ``sizes``."""
+        kids_of, leaf = [k.tolist() for k in self.children], self.leaf.tolist()
+        rows_in = np.zeros(self.leaves, np.int64) if sizes is None else sizes
+        out = []
+        for q, far in enumerate(self.distances(queries).tolist()):
+            queue, found, wanted, held = [(0.0, 0)], [], 0 if least is None else int(least[q]), 0
+            while queue and (len(found) < most or held < wanted):
+                _, node = heapq.heappop(queue)
+                while kids := kids_of[node]:
+                    first = min(kids, key=far.__getitem__)
+                    for kid in kids:
+                        if kid != first:
+                            heapq.heappush(queue, (far[kid], kid))
+                    node = first
+                found.append(leaf[node])
+                held += int(rows_in[found[-1]])
+            out.append(found)
+        return out
 
 
 def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -112,7 +124,7 @@ def fit(sample: np.ndarray, seed: int = 11) -> Tree:
     while todo:
         node, rows = todo.pop()
         if len(rows) > LEAF:
-            middle, own = k_means(lifted[rows], BRANCHES, rng)
+            middle, own = k_means(lifted[rows], min(BRANCHES, len(rows)), rng)
             used = np.unique(own)
             if len(used) > 1:
                 tree.children[node] = np.arange(len(centres), len(centres) + len(used))
@@ -133,21 +145,22 @@ def exact_scores(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return (candidates * query).sum(axis=1)
 
 
-def _top(query_id: int, query: np.ndarray, ids: np.ndarray, candidates: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best; ``rough`` are their matrix products."""
-    if len(rough) > k + 1:
-        floor = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+def _top(query_id: int, query: np.ndarray, ids: np.ndarray, candidates: np.ndarray, rough: np.ndarray, k: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k best; ``rough`` are their matrix products, ``rows`` their rows of ``candidates`` if not all."""
+    other = np.flatnonzero(ids != query_id)
+    ids, rough, rows = ids[other], rough[other], other if rows is None else rows[other]
+    if len(rough) > k:
+        floor = np.partition(rough, len(rough) - k)[len(rough) - k]
         kept = np.flatnonzero(rough >= floor - 1e-9 * max(1.0, abs(floor)))
         if len(kept) > 8 * k:  # a tie of many copies: the smallest ids of each vector are enough
-            _, same = np.unique(candidates[kept], axis=0, return_inverse=True)
+            _, same = np.unique(candidates[rows[kept]], axis=0, return_inverse=True)
             order = np.lexsort((ids[kept], same.ravel()))
             ordered = same.ravel()[order]
             place = np.arange(len(order)) - np.searchsorted(ordered, ordered)
-            kept = kept[order[place <= k]]
+            kept = kept[order[place < k]]
     else:
         kept = np.arange(len(rough))
-    kept = kept[ids[kept] != query_id]
-    scores = exact_scores(query, candidates[kept])
+    scores = exact_scores(query, candidates[rows[kept]])
     at = best(scores, ids[kept], k)
     return ids[kept][at], scores[at]
 
@@ -197,9 +210,11 @@ def build(vectors: DataFrame, calibration: DataFrame, k: int, recall: float = RE
     if not n:
         return None
     chance = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    sample = vectors.filter(chance < min(1.0, SAMPLE / n) * (1 << 30)).select("embedding").toPandas()
+    wanted = min(MOST, max(SAMPLE, n // SHARE))
+    # equal ids share their chance, so the sample has a bound of its own
+    sample = vectors.filter(chance < min(1.0, wanted / n) * (1 << 30)).select("embedding").limit(2 * wanted).toPandas()
     if not len(sample):
-        sample = vectors.select("embedding").limit(SAMPLE).toPandas()
+        sample = vectors.select("embedding").limit(wanted).toPandas()
     tree = fit(matrix(sample["embedding"]))
     shared = spark.sparkContext.broadcast(tree)
 
@@ -220,8 +235,9 @@ def build(vectors: DataFrame, calibration: DataFrame, k: int, recall: float = RE
         leaf_of = {r.vec_id: r.leaf for r in rows.join(F.broadcast(wanted), "vec_id").select("vec_id", "leaf").collect()}
         place = dict(zip(ids.tolist(), queries, strict=True))
         needed: list[int] = []
-        for r in true:
-            order = {x: at + 1 for at, x in enumerate(tree.visit(place[r.query_id], tree.leaves))}
+        walks = tree.visits(np.array([place[r.query_id] for r in true]).reshape(len(true), queries.shape[1]), tree.leaves)
+        for r, walk in zip(true, walks, strict=True):
+            order = {x: at + 1 for at, x in enumerate(walk)}
             needed += [order[leaf_of[i]] for i in r.vec_ids]
         if needed:
             needed.sort()
@@ -234,41 +250,64 @@ def build(vectors: DataFrame, calibration: DataFrame, k: int, recall: float = RE
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each query (vec_id, embedding).
 
-    Queries meet a leaf's rows in cells of BLOCK rows and BLOCK queries at most: rows are repeated for each part of the
-    leaf's queries, queries for each part of its rows.
+    Neighbouring leaves form cells of about CELL rows; a query goes to each cell once, with its leaves there, and brings
+    back one list. Large leaves are several parts, and the queries of a cell come BLOCK at a time: rows are repeated for
+    each part of a cell's queries, queries for each part of its rows.
     """
-    shared, visits = queries.sparkSession.sparkContext.broadcast(index.tree), index.visits
-
-    @F.pandas_udf("array<int>")
-    def leaves(column: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.visit(x, visits) for x in matrix(column)], dtype=object)
-
-    # one query for each id
-    own = queries.groupBy("vec_id").agg(F.min("embedding").alias("query"))
-    own = stored(own.select(F.col("vec_id").alias("query_id"), "query", F.explode(leaves("query")).alias("leaf")), "visits")
-    asked = np.zeros(index.tree.leaves, np.int64)
-    for row in own.groupBy("leaf").count().collect():
-        asked[row.leaf] = row["count"]
-
-    def parts(counts: np.ndarray) -> Column:
-        return F.element_at(F.lit(np.maximum(-(-counts // BLOCK), 1).tolist()), F.col("leaf") + 1).cast("int")
-
-    def part_of(column: str, n: Column) -> Column:
-        return F.pmod(F.xxhash64(column), n).cast("int")
-
-    row_parts, query_parts = parts(index.sizes), parts(asked)
-    rows = index.rows.withColumn("row_part", part_of("vec_id", row_parts)).withColumn("query_part", F.explode(F.sequence(F.lit(0), query_parts - 1)))
-    own = own.withColumn("query_part", part_of("query_id", query_parts)).withColumn("row_part", F.explode(F.sequence(F.lit(0), row_parts - 1)))
+    spark = queries.sparkSession
+    # one query for each id; its own rows are no candidates
+    own = queries.groupBy("vec_id").agg(F.min("embedding").alias("query"), F.count("*").alias("rows")).select(F.col("vec_id").alias("query_id"), "query", "rows")
+    n = own.count()
+    cells = (np.cumsum(index.sizes) - index.sizes) // CELL
+    shared, visits = spark.sparkContext.broadcast((index.tree, index.sizes, cells)), index.visits
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, sizes, cell_of = shared.value
+        for frame in frames:
+            for start in range(0, len(frame), 64):
+                part, rows = frame.iloc[start : start + 64], []
+                found = tree.visits(matrix(part["query"]), visits, sizes, part["rows"].to_numpy() + k)
+                for query_id, query, leaves in zip(part["query_id"], part["query"], found, strict=True):
+                    leaves = np.sort(np.array(leaves, np.int32))
+                    there, at = np.unique(cell_of[leaves], return_index=True)
+                    rows += [(query_id, query, int(c), x) for c, x in zip(there, np.split(leaves, at[1:]), strict=True)]
+                yield pd.DataFrame(rows, columns=["query_id", "query", "cell", "leaves"])
+
+    spread = own.repartition(max(spark.sparkContext.defaultParallelism, n // BLOCK + 1))
+    own = stored(spread.mapInPandas(walk, "query_id long, query array<double>, cell long, leaves array<int>"), "visits")
+    asked, held = Counter({r["cell"]: r["count"] for r in own.groupBy("cell").count().collect()}), Counter()
+    for cell, size in zip(cells.tolist(), index.sizes.tolist(), strict=True):
+        held[cell] += size
+    # a row for each cell, of which there are no more than leaves
+    sizes = spark.createDataFrame([(c, max(1, -(-held[c] // CELL)), max(1, -(-asked[c] // BLOCK))) for c in sorted(held)], "cell long, row_parts int, query_parts int")
+    leaf_cells = spark.createDataFrame([(leaf, c) for leaf, c in enumerate(cells.tolist())], "leaf int, cell long")
+
+    def part_of(column: str, parts: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.col(parts)).cast("int")
+
+    rows = index.rows.join(F.broadcast(leaf_cells), "leaf").join(F.broadcast(sizes), "cell")
+    rows = rows.withColumn("row_part", part_of("vec_id", "row_parts")).withColumn("query_part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
+    own = own.join(F.broadcast(sizes), "cell").withColumn("query_part", part_of("query_id", "query_parts")).withColumn("row_part", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1)))
 
     def compare(asking: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(asking) and len(part):
-            ids, candidates, vectors = part["vec_id"].to_numpy(np.int64), matrix(part["embedding"]), matrix(asking["query"])
-            for query_id, query, rough in zip(asking["query_id"], vectors, vectors @ candidates.T, strict=True):
-                found.append((int(query_id), *_top(int(query_id), query, ids, candidates, rough, k)))
+            part = part.sort_values("leaf", kind="stable")
+            ids, candidates, leaf = part["vec_id"].to_numpy(np.int64), matrix(part["embedding"]), part["leaf"].to_numpy()
+            for start in range(0, len(asking), 256):
+                some = asking.iloc[start : start + 256]
+                vectors = matrix(some["query"])
+                for query_id, query, leaves, rough in zip(some["query_id"], vectors, some["leaves"], vectors @ candidates.T, strict=True):
+                    visited = np.isin(leaf, leaves)
+                    if not visited.all():
+                        rough = rough[visited]
+                        found.append((int(query_id), *_top(int(query_id), query, ids[visited], candidates, rough, k, np.flatnonzero(visited))))
+                    else:
+                        found.append((int(query_id), *_top(int(query_id), query, ids, candidates, rough, k)))
         return pd.DataFrame(found, columns=["query_id", "vec_ids", "scores"])
 
-    cell = ["leaf", "row_part", "query_part"]
+    cell = ["cell", "row_part", "query_part"]
+    own, rows = own.select(*cell, "query_id", "query", "leaves"), rows.select(*cell, "vec_id", "embedding", "leaf")
     found = own.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(compare, "query_id long, vec_ids array<long>, scores array<double>")
     ranked = merged(found, k).select("query_id", F.posexplode(F.arrays_zip("vec_ids", "scores")).alias("at", "x"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_ids").alias("vec_id"), F.col("x.scores").alias("score"))
@@ -276,7 +315,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty nearest found of every twentieth vector among all others."""
-    vectors = stored(usable(table(spark, sf_dir, "embeddings"), allow_zero=False), "vectors")
+    vectors = even(stored(usable(table(spark, sf_dir, "embeddings"), allow_zero=False), "vectors"))
     queries = vectors.filter(F.col("vec_id") % 20 == 0)
     index = build(vectors, queries, 20)
     if index is None:

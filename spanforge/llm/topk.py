@@ -6,9 +6,13 @@ t of the k-th best score. Phase 2 broadcasts the cutoff: an entry's excess over
 least, reach (t - sum of the lowest) / LISTS, or its sum cannot reach t; these entries are collected. Phase 3 raises
 the bound by the collected sums, drops what can no longer reach it, and resolves the remaining scores exactly.
 
+Copies of one vector tie for every query, so of each vector only the rows that ties can choose are searched, the k + 1
+smallest ids; whatever the number of copies, no query gathers them.
+
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part;
 components are floored to integers first, so scores are exact (as 64-bit integers); ties go to the smaller vec_id; rows
-with equal ids are separate candidates, but one query (the least vector), and none is a candidate of its own id; fewer candidates than k give all of them.
+with equal ids are separate candidates, but one query (the least vector), and none is a candidate of its own id; fewer
+candidates than k give all of them; shorter vectors end in zeros, an empty one is all zeros; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import shared_path, stored, table
-from spanforge.llm.vectors import best, matrix, query_blocks, usable
+from spanforge.llm.vectors import best, even, matrix, query_blocks, usable
 
 LISTS = 2
 SCALE = 1024
@@ -48,6 +52,17 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nda
             yield part["vec_id"].to_numpy(np.int64), matrix(part["embedding"])
 
 
+def choosable(vectors: DataFrame, k: int) -> DataFrame:
+    """The rows that can be among some query's k best: of each vector the k + 1 smallest ids, of each of these k rows.
+
+    Spark limits the groups before they are shuffled, so a vector that is everywhere meets nowhere.
+    """
+    same_id = Window.partitionBy("embedding", "vec_id").orderBy(F.lit(0))
+    by_id = Window.partitionBy("embedding").orderBy("vec_id")
+    once = vectors.withColumn("n", F.row_number().over(same_id)).filter(F.col("n") <= k).drop("n")
+    return once.withColumn("n", F.dense_rank().over(by_id)).filter(F.col("n") <= k + 1).drop("n")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query's k best among ``vectors``; both are (vec_id, embedding of integers)."""
     spark = vectors.sparkSession
@@ -89,8 +104,11 @@ def _search_block(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray
 
     def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Phase 2: entries that reach the cutoff in some list."""
+        from pyspark import TaskContext
+
         own_ids, own = shared.value
-        for ids, candidates in _blocks(frames):
+        for number, (ids, candidates) in enumerate(_blocks(frames)):
+            block = (TaskContext.get().partitionId() << 32) + number  # ids may repeat; this is unique over the job
             scores = np.stack([_product(own[:, s], candidates[:, s]) for s in _parts(own.shape[1])])
             rows = []
             for q, own_id in enumerate(own_ids):
@@ -100,18 +118,18 @@ def _search_block(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray
                 for j in range(LISTS):
                     at = np.flatnonzero(reach[j])
                     if len(at):
-                        rows.append((own_id, j, ids[at].tobytes(), at.astype(np.int32).tobytes(), scores[j, q, at].tobytes(), int(ids[0]), len(ids)))
-            yield pd.DataFrame(rows, columns=["query_id", "list", "ids", "at", "scores", "block", "rows"])
+                        rows.append((own_id, j, ids[at].tobytes(), at.astype(np.int32).tobytes(), scores[j, q, at].tobytes(), block))
+            yield pd.DataFrame(rows, columns=["query_id", "list", "ids", "at", "scores", "block"])
 
     def remain(part: pd.DataFrame) -> pd.DataFrame:
         """Phase 3: what can still reach the raised bound."""
         query_id = int(part["query_id"].iat[0])
         low, least = cutoffs.value[query_id]
-        places: dict[tuple[int, int, int, int], list[int | None]] = {}
-        for j, ids, at, scores, block, rows in zip(part["list"], part["ids"], part["at"], part["scores"], part["block"], part["rows"], strict=True):
+        places: dict[tuple[int, int, int], list[int | None]] = {}
+        for j, ids, at, scores, block in zip(part["list"], part["ids"], part["at"], part["scores"], part["block"], strict=True):
             for i, p, s in zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(at, np.int32).tolist(), np.frombuffer(scores, np.int64).tolist(), strict=True):
-                places.setdefault((int(block), int(rows), p, i), [None] * LISTS)[j] = s
-        ids = np.array([p[3] for p in places], np.int64)
+                places.setdefault((int(block), p, i), [None] * LISTS)[j] = s
+        ids = np.array([p[2] for p in places], np.int64)
         seen = np.array([[np.nan if s is None else s for s in x] for x in places.values()])
         missing = np.isnan(seen)
         # an entry that is missing lies between its list's lowest and the cutoff
@@ -122,7 +140,7 @@ def _search_block(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray
             least = max(least, np.partition(lower, len(lower) - k)[len(lower) - k])
         return pd.DataFrame({"query_id": query_id, "vec_id": np.unique(ids[upper >= least])})
 
-    entries = vectors.mapInPandas(collect, "query_id long, list int, ids binary, at binary, scores binary, block long, rows int")
+    entries = vectors.mapInPandas(collect, "query_id long, list int, ids binary, at binary, scores binary, block long")
     open_ = entries.groupBy("query_id").applyInPandas(remain, "query_id long, vec_id long")
     open_ = open_.groupBy("vec_id").agg(F.collect_list("query_id").alias("query_ids"))
 
@@ -148,4 +166,5 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of every hundredth vector among all others, by integer inner product."""
     vectors = usable(table(spark, sf_dir, "embeddings"))
     vectors = stored(vectors.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * SCALE).cast("double"))), "floored")
-    return search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
+    vectors = even(vectors)
+    return search(stored(choosable(vectors, 10), "choosable"), vectors.filter(F.col("vec_id") % 100 == 0), 10)

@@ -21,6 +21,15 @@ def usable(vectors: DataFrame, allow_zero: bool = True) -> DataFrame:
     return kept if allow_zero else kept.filter(F.exists("embedding", lambda x: x != 0))
 
 
+def even(vectors: DataFrame) -> DataFrame:
+    """Vectors shorter than the longest end in zeros, so that all have one length."""
+    row = vectors.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    if row.low == row.high:
+        return vectors
+    zeros = F.array_repeat(F.lit(0.0), F.lit(row.high) - F.size("embedding"))
+    return vectors.withColumn("embedding", F.concat("embedding", zeros))
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64) if len(column) else np.zeros((0, 1))
 

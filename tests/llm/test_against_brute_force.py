@@ -15,7 +15,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanforge.llm import classlm, difference_cover, kmeanstree, minhash, pieces, registry, suffix_dedup, toxicity
+from spanforge.llm import classlm, difference_cover, kmeanstree, minhash, pieces, registry, suffix_dedup, topk, toxicity, vectors
 from spanforge.llm.common import importable, table
 
 
@@ -342,4 +342,54 @@ def test_tree_assigns_where_it_visits_first():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     tree = kmeanstree.fit(x)
     own = tree.assign(x)
-    assert tree.leaves > 4 and all(tree.visit(v, 1) == [k] for v, k in zip(x, own)) and sorted(tree.visit(x[0], tree.leaves)) == list(range(tree.leaves))
+    assert tree.leaves > 4 and tree.visits(x, 1) == [[k] for k in own] and sorted(tree.visits(x[:1], tree.leaves)[0]) == list(range(tree.leaves))
+
+
+def plain_search(rows, queries, k):
+    """{query id: [(score, id), ...]} over (id, vector) rows; shorter vectors end in zeros."""
+    width = max(len(v) for _, v in rows)
+    even = [(i, np.array([*v, *[0.0] * (width - len(v))])) for i, v in rows]
+    least = {}
+    for i, v in even:
+        if i in queries and (i not in least or tuple(v) < tuple(least[i])):
+            least[i] = v
+    return {i: sorted(((-float((v * q).sum()), j) for j, v in even if j != i))[:k] for i, q in least.items()}
+
+
+def odd_vectors():
+    """Ids stored twice with other vectors, copies of one vector under many ids and under one, vectors of other lengths."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-3, 9, 6).astype(float).tolist()) for i in range(300) for _ in range(2)]
+    rows += [(i, [9.0] * 6) for i in range(300, 420)] + [(100, [8.0] * 6)] * 15 + [(500 + i, rng.integers(1, 9, i % 5).astype(float).tolist()) for i in range(20)]
+    return rows
+
+
+def test_top_k_with_repeated_ids_copies_and_lengths(spark, monkeypatch):
+    importable(spark)
+    monkeypatch.setattr(topk, "ROWS", 50)
+    rows = odd_vectors()
+    table_ = vectors.even(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    got = collections.defaultdict(list)
+    for r in topk.search(topk.choosable(table_, 10), table_.filter("vec_id % 50 = 0"), 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    assert dict(got) == plain_search(rows, set(range(0, 600, 50)), 10)
+
+
+def test_neighbours_with_repeated_ids_copies_and_thin_leaves(spark, monkeypatch):
+    importable(spark)
+    monkeypatch.setattr(kmeanstree, "LEAF", 4)
+    monkeypatch.setattr(kmeanstree, "CELL", 64)
+    monkeypatch.setattr(kmeanstree, "BLOCK", 3)
+    rows = [r for r in odd_vectors() if any(r[1])]
+    table_ = vectors.even(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    queries = table_.filter("vec_id % 50 = 0")
+    index = kmeanstree.build(table_, queries, 20)
+    want = plain_search(rows, set(range(0, 600, 50)), 20)
+    index.visits = 1  # thin leaves: the walk goes on until 20 others are found
+    found = kmeanstree.search(index, queries, 20).toPandas()
+    assert (found.groupby("query_id").size() == 20).all() and set(found.query_id) == set(want)
+    index.visits = index.tree.leaves
+    got = collections.defaultdict(list)
+    for r in kmeanstree.search(index, queries, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    assert dict(got) == want
