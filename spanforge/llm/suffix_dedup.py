@@ -37,7 +37,7 @@ FOLLOWING = LENGTH - WINDOW + 1
 #: The most bytes that a start stands before its anchor.
 BEFORE = WINDOW - 1
 #: Anchors with the same symbol that one task compares; those of larger groups are compared over many tasks.
-GROUP = 10_000
+GROUP = 1_000
 #: Anchors compared at once, about; a group is not split.
 TOGETHER = 4_000
 #: Bytes whose anchors and hashes are computed at once, about; places in a slice are packed into 24 bits.
