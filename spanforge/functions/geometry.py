@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,30 +54,35 @@ def distance_to_ring(ring: Column, x: Column, y: Column) -> Column:
 
 
 def simplified(ring: Column, tolerance: float) -> Column:
-    """Douglas-Peucker without recursion; the ends stay."""
+    """Points nearer than ``tolerance`` to what is left of the ring go; the ends stay."""
 
     @F.pandas_udf("array<struct<x: double, y: double>>")
     def run(rings: pd.Series) -> pd.Series:
-        return rings.map(lambda r: None if r is None else _thin([(p["x"], p["y"]) for p in r], tolerance))
+        return rings.map(lambda r: None if r is None else [] if not len(r) else _thin([(p["x"], p["y"]) for p in r], tolerance))
 
     return run(ring)
 
 
 def _thin(points: list[tuple[float, float]], tolerance: float) -> list[dict]:
-    keep = {0, len(points) - 1}
-    todo = [(0, len(points) - 1)]
-    while todo:
-        low, high = todo.pop()
-        (ax, ay), (bx, by) = points[low], points[high]
-        dx, dy = bx - ax, by - ay
-        length = (dx * dx + dy * dy) ** 0.5
-        worst, at = 0.0, -1
-        for k in range(low + 1, high):
-            px, py = points[k][0] - ax, points[k][1] - ay
-            far = abs(dx * py - dy * px) / length if length else (px * px + py * py) ** 0.5
-            if far > worst:
-                worst, at = far, k
-        if worst > tolerance:
-            keep.add(at)
-            todo += [(low, at), (at, high)]
-    return [{"x": points[k][0], "y": points[k][1]} for k in sorted(keep) if points]
+    """The points that the polyline keeps: stretches are cut where a point is farthest from their chord, all stretches of a round at once."""
+    xy = np.array(points, float).reshape(-1, 2)
+    keep = np.zeros(len(xy), bool)
+    keep[[0, -1]] = True
+    done = len(xy) < 3
+    while not done:
+        ends = np.flatnonzero(keep)
+        stretch = np.searchsorted(ends, np.arange(len(xy)), "right") - 1
+        stretch[-1] = len(ends) - 2
+        start, chord = xy[ends[stretch]], np.diff(xy[ends], axis=0)[stretch]
+        length = (chord**2).sum(axis=1)
+        along = ((xy - start) * chord).sum(axis=1) / np.where(length > 0, length, 1)
+        foot = start + np.clip(along, 0, 1)[:, None] * chord
+        far = np.sqrt(((xy - foot) ** 2).sum(axis=1))
+        far[ends] = 0
+        # the first of the farthest points in each stretch
+        order = np.lexsort((np.arange(len(xy)), -far, stretch))
+        first = order[np.searchsorted(stretch[order], np.arange(len(ends) - 1))]
+        cut = first[far[first] > tolerance]
+        keep[cut] = True
+        done = not len(cut)
+    return [{"x": x, "y": y} for x, y in xy[keep].tolist()]

@@ -35,12 +35,12 @@ def sum_where_row(matched: Column, *parts: Column) -> Column:
 
 
 def wilson(good: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """The 95 % interval of a proportion, rounded to 3 digits; nulls where n is 0."""
+    """The 95 % interval of a proportion, rounded to 3 digits; of nothing, everything from 0 to 1."""
     p, zz = good / F.nullif(n, F.lit(0)), z * z
     middle = (p + zz / (2 * n)) / (1 + zz / n)
     half = F.lit(z) * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
-    guard = lambda x: F.when(n > 0, F.round(x, 3))
-    return guard(F.greatest(F.lit(0.0), middle - half)), guard(F.least(F.lit(1.0), middle + half))
+    guard = lambda x, nothing: F.when(n > 0, F.round(x, 3)).when(n == 0, nothing)
+    return guard(F.greatest(F.lit(0.0), middle - half), 0.0), guard(F.least(F.lit(1.0), middle + half), 1.0)
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

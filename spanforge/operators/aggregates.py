@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.session import scratch
+
 
 def labelled(column: str, label: str) -> Column:
     """Nulls and blanks become a group of their own."""
@@ -47,10 +50,40 @@ def ordered_distinct(df: DataFrame, key: str, value: str, order: Sequence[str],
 
 
 def index_values(df: DataFrame, keys: Sequence[str], value: str, places: Sequence[tuple[str, str]]) -> DataFrame:
-    """Per key the values at given places of the sorted values (not interpolated): (name, SQL of the place from ``n``)."""
-    window = W.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(window.orderBy(value)) - 1).alias("_i"), F.count("*").over(window).alias("n"))
-    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), *(F.max(F.when(F.col("_i") == F.expr(place), F.col(value))).alias(name) for name, place in places))
+    """Per key the values at given places of the sorted values (not interpolated): (name, SQL of the place from ``n``).
+
+    Equal values are counted first and dealt by ranges of (keys, value), so that no key is sorted in one task; a key's
+    places are found from its sums per range.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "index-values")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    # written, so that both uses below see the same ranges
+    counted.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_m"))
+    whole = W.partitionBy(*keys)
+    sums = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), (F.sum("_m").over(whole.orderBy("_range")) - F.col("_m")).alias("_before"), F.sum("_m").over(whole).alias("n"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_range") == F.col("_r"))
+    to = F.sum("_c").over(W.partitionBy(*keys, "_range").orderBy(value))
+    placed = ranged.withColumn("_to", to).join(sums, same).withColumn("_to", F.col("_to") + F.col("_before"))
+    at = lambda place: (F.expr(place) < F.col("_to")) & (F.expr(place) >= F.col("_to") - F.col("_c"))
+    return placed.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(at(place), F.col(value))).alias(name) for name, place in places))
+
+
+def evidence_summary(df: DataFrame, key: str, child: Sequence[str], mentions: str, holder: str, year: str, order: str) -> DataFrame:
+    """(key, n, mentions, holders, first_year, last_year, children): an entity's claims, newest first and undated last; no mentions count as one."""
+    dated = F.struct(F.col(year).isNull().alias("_undated"), (-F.col(year)).alias("_y"), F.col(order).alias("_o"), F.struct(*child).alias("_child"))
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count("*").alias("n"), F.sum(F.coalesce(F.col(mentions), F.lit(1))).alias("mentions"), F.array_sort(F.collect_set(holder)).alias("holders"),
+        F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.transform(F.array_sort(F.collect_list(dated)), lambda x: x["_child"]).alias("children"),
+    )
+
+
+def award_totals(df: DataFrame, group: str, place: str, name: str, amount: str) -> DataFrame:
+    """(group, awards, total, places, names): a group's rows and sum, and its places' names by their own sums, the largest first."""
+    each = df.groupBy(group, place).agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.col(amount), F.lit(0))).alias("_s"), F.max(name).alias("_name"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("_o"), F.col(place).alias("_p"), F.coalesce("_name", F.col(place).cast("string")).alias("_name"))))
+    return each.groupBy(group).agg(F.sum("_n").alias("awards"), F.sum("_s").alias("total"), F.count("*").alias("places"), F.transform(ranked, lambda x: x["_name"]).alias("names"))
 
 
 def histogram(df: DataFrame, bin_: Column, bins: int, value: str) -> DataFrame:

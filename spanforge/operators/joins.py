@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.windows import first_wins
 
+#: Names that are broadcast at once; rarest tokens that are looked up inside a row instead of by a join.
+NAMES_AT_ONCE, TRIGGERS_IN_ROW = 5_000, 20_000
+#: Days of a stretch in which spans and starts meet.
+STRETCH = 365
+
 
 def override_join(left: DataFrame, right: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
     """Where the right side has a row its values replace the left's, null included; ``overridden`` tells where."""
@@ -40,8 +46,21 @@ def phrase_join(docs: DataFrame, doc_id: str, text_tokens: str, keys: DataFrame,
     """(doc_id, key_id, n, first_at): keys that occur in a document as a run of tokens.
 
     An inverted index turned round: every key is looked up by its rarest token only, and the run around it is compared.
+    Up to TRIGGERS_IN_ROW such tokens are looked up inside each document's row, and only the runs around hits leave it;
+    beyond that documents meet the keys by a shuffle on the token.
     """
     entries = keys.select(key_id, F.col(key_tokens).alias("_key")).join(rarest_tokens(keys, key_id, key_tokens), key_id)
+    sizes = entries.agg(F.count("*").alias("n"), F.max("offset").alias("before"), F.max(F.size("_key") - F.col("offset")).alias("after")).first()
+    if sizes.n <= TRIGGERS_IN_ROW:
+        triggers = [r.trigger for r in entries.select("trigger").distinct().collect()]
+        tokens = F.col(text_tokens)
+        hits = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(triggers), F.struct(t.alias("trigger"), i.alias("at")))), lambda x: x.isNotNull())
+        begin = lambda at: F.greatest(at - F.lit(sizes.before or 0), F.lit(0))
+        runs = F.transform(hits, lambda x: F.struct(x["trigger"], x["at"], begin(x["at"]).alias("low"), F.slice(tokens, begin(x["at"]) + 1, F.lit((sizes.before or 0) + (sizes.after or 1))).alias("run")))
+        near = docs.select(doc_id, F.explode(runs).alias("_x")).select(doc_id, "_x.*").join(F.broadcast(entries), "trigger")
+        first = F.col("at") - F.col("offset")
+        held = near.filter((first >= 0) & (F.slice("run", F.greatest(first - F.col("low"), F.lit(0)) + 1, F.size("_key")) == F.col("_key")))
+        return held.groupBy(doc_id, key_id).agg(F.count("*").alias("n"), F.min(first).alias("first_at"))
     words = docs.select(doc_id, F.posexplode(text_tokens).alias("_at", "trigger"))
     begin = (F.col("_at") - F.col("offset")).alias("_begin")
     # places to look at, gathered by document, meet the document's tokens once
@@ -89,14 +108,22 @@ def succession(spans: DataFrame, entity: str, holder: str, start: str, order: st
 
 
 def overlaps(spans: DataFrame, entity: str, key: str, holder: str, start: str, end: str) -> DataFrame:
-    """(entity, a, b): pairs of an entity's spans, a before b by key, of different holders that strictly overlap; no end means open."""
-    columns = [entity, key, holder, start, end]
-    left = spans.filter(F.col(start).isNotNull()).select(entity, *(F.col(c).alias(f"a_{c}") for c in columns[1:]))
-    right = spans.filter(F.col(start).isNotNull()).select(entity, *(F.col(c).alias(f"b_{c}") for c in columns[1:]))
-    open_ = lambda c: F.coalesce(F.col(c).cast("date"), F.lit("9999-12-31").cast("date"))
-    meets = (F.col(f"a_{start}") < open_(f"b_{end}")) & (F.col(f"b_{start}") < open_(f"a_{end}"))
-    joined = left.join(right, entity).filter((F.col(f"a_{key}") < F.col(f"b_{key}")) & (F.col(f"a_{holder}") != F.col(f"b_{holder}")) & meets)
-    return joined.select(entity, F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"))
+    """(entity, a, b): pairs of an entity's spans, a before b by key, of different holders that strictly overlap; no end means open.
+
+    Of two spans that overlap the later one starts inside the earlier, so starts meet the spans that cover their stretch of
+    STRETCH days only, instead of all of the entity's.
+    """
+    dated = spans.filter(F.col(start).isNotNull()).select(entity, key, holder, F.col(start).cast("date").alias("_s"), F.col(end).cast("date").alias("_e"))
+    last = dated.agg(F.max("_s")).first()[0]
+    stretch = lambda c: F.floor(F.unix_date(c) / STRETCH)
+    until = F.least(F.coalesce("_e", F.lit(last)), F.lit(last))
+    first = dated.select(entity, *(F.col(c).alias(f"a{c}") for c in (key, holder, "_s", "_e")), F.explode(F.sequence(stretch(F.col("_s")), F.greatest(stretch(F.col("_s")), stretch(until)))).alias("_bin"))
+    later = dated.select(entity, *(F.col(c).alias(f"b{c}") for c in (key, holder, "_s", "_e")), stretch(F.col("_s")).alias("_bin"))
+    a, b, far = F.col(f"a{key}"), F.col(f"b{key}"), F.lit("9999-12-31").cast("date")
+    meets = (F.col("b_s") < F.coalesce("a_e", far)) & (F.col("a_s") < F.coalesce("b_e", far))
+    order = (F.col("a_s") < F.col("b_s")) | (F.col("a_s") == F.col("b_s")) & (a < b)
+    joined = first.join(later, [entity, "_bin"]).filter(order & (a != b) & (F.col(f"a{holder}") != F.col(f"b{holder}")) & meets)
+    return joined.select(entity, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_date: str, right_date: str, tolerance: Column, width: int) -> DataFrame:
@@ -112,9 +139,18 @@ def tolerance_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_da
 
 
 def mention_counts(docs: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """(name, n_docs) for every name: documents whose text contains it anywhere. For a small table of names."""
-    hits = names.select(name).join(docs.select(text), F.col(text).contains(F.col(name)), "left")
-    return hits.groupBy(name).agg(F.count(F.col(text)).alias("n_docs"))
+    """(name, n_docs) for every name: documents whose text contains it anywhere; repeated names are one.
+
+    The names go to the documents, never the documents to the names: they are broadcast NAMES_AT_ONCE at a time, and each
+    part passes over the documents once.
+    """
+    names = names.select(name).filter(F.col(name).isNotNull()).distinct()
+    parts = -(-names.count() // NAMES_AT_ONCE) or 1
+    found = []
+    for k in range(parts):
+        part = names if parts == 1 else names.filter(F.pmod(F.xxhash64(name), F.lit(parts)) == k)
+        found.append(docs.select(text).join(F.broadcast(part), F.col(text).contains(F.col(name))).groupBy(name).agg(F.count("*").alias("n_docs")))
+    return names.join(reduce(DataFrame.unionByName, found), name, "left").select(name, F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
 def outer_merge(tables: Sequence[DataFrame], on: str, zero: Sequence[str]) -> DataFrame:
@@ -158,8 +194,12 @@ def exact_or_coarse(left: DataFrame, right: DataFrame, coarse: Sequence[str], fi
     same = F.lit(True)
     for c in fine:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    joined = left.join(renamed, list(coarse)).withColumn("exact", same)
-    return joined.withColumn("_any", F.max("exact").over(W.partitionBy("row_id"))).filter(F.col("exact") | ~F.col("_any")).drop("_any")
+    alike = reduce(Column.__and__, [left[c] == renamed[c] for c in coarse])
+    exact = left.join(renamed, alike & same).drop(*(renamed[c] for c in coarse))
+    # only what has no exact partner meets everything with its coarse key
+    rest = left.join(renamed, alike & same, "left_anti").join(renamed, list(coarse))
+    columns = [*coarse, *(c for c in exact.columns if c not in coarse)]
+    return exact.select(*columns, F.lit(True).alias("exact")).unionByName(rest.select(*columns, F.lit(False).alias("exact")))
 
 
 def alias_match(names: DataFrame, name: str, aliases: DataFrame) -> DataFrame:

@@ -42,17 +42,25 @@ def json_schema(fields: Sequence[Field]) -> dict:
     return {"type": "object", "properties": properties, "required": [f.name for f in fields], "additionalProperties": False}
 
 
+def blank(value: Column) -> Column:
+    """Null, or nothing but white space."""
+    return value.isNull() | (F.trim(value.cast("string")) == "")
+
+
 def problems(df: DataFrame, fields: Sequence[Field], rules: Sequence[tuple[Column, str]] = ()) -> Column:
-    """An array of problem texts: missing required values, values off their list, malformed dates, unknown columns, broken rules."""
+    """An array of problem texts: missing required values, values off their list, malformed dates, unknown columns, broken rules.
+
+    A blank value is missing where it is required and no further problem; elsewhere it is none.
+    """
     found = []
     for f in fields:
-        c, text = F.col(f.name), F.trim(F.col(f.name).cast("string"))
+        c, text, empty = F.col(f.name), F.trim(F.col(f.name).cast("string")), blank(F.col(f.name))
         if f.required:
-            found.append((c.isNull() | (text == ""), f"{f.name}: missing"))
+            found.append((empty, f"{f.name}: missing"))
         if f.values:
-            found.append((c.isNotNull() & ~c.isin(*f.values), f"{f.name}: not in list"))
+            found.append((~empty & ~c.cast("string").isin(*f.values), f"{f.name}: not in list"))
         if f.kind == "date":
-            found.append((c.isNotNull() & ~F.substring(text, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), f"{f.name}: not a date"))
+            found.append((~empty & ~F.substring(text, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), f"{f.name}: not a date"))
     known = {f.name for f in fields}
     found += [(F.lit(True), f"{c}: unknown field") for c in df.columns if c not in known]
     return F.array_compact(F.array(*(F.when(condition, F.lit(text)) for condition, text in [*found, *rules])))

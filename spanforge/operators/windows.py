@@ -29,8 +29,12 @@ def collapse_duplicates(events: DataFrame, keys: Sequence[str], at: str, order:
     """Reports of one occurrence collapsed: (keys, at, rank, members).
 
     In order of ``at`` a row joins the current occurrence if it lies within ``window`` of that occurrence's date; a row of
-    finer rank then gives the occurrence its date, so the anchor can move. One aggregation per key, no self-join.
+    finer rank then gives the occurrence its date, so the anchor can move. An occurrence's date is never later than its
+    last row, so a gap above ``window`` always parts occurrences: rows are folded between such gaps, not by whole key.
     """
+    along = W.partitionBy(*keys).orderBy(F.col(at).cast("long"), order)
+    gap = F.col(at).cast("long") - F.lag(F.col(at).cast("long")).over(along) > window
+    events = events.withColumn("_gap", F.coalesce(gap, F.lit(True)).cast("long")).withColumn("_island", F.sum("_gap").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
     listed = F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("d"), F.col(order).alias("o"), F.col(rank).alias("p"))))
     start = F.array().cast("array<struct<d:bigint,p:int,m:array<bigint>>>")
 
@@ -42,7 +46,7 @@ def collapse_duplicates(events: DataFrame, keys: Sequence[str], at: str, order:
         fresh = F.struct(x["d"].alias("d"), x["p"].cast("int").alias("p"), F.array(x["o"].cast("long")).alias("m"))
         return F.when(near, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(done, F.array(fresh)))
 
-    folded = events.groupBy(*keys).agg(listed.alias("_all")).withColumn("_done", F.aggregate("_all", start, step))
+    folded = events.groupBy(*keys, "_island").agg(listed.alias("_all")).withColumn("_done", F.aggregate("_all", start, step))
     return folded.select(*keys, F.explode("_done").alias("_x")).select(*keys, F.col("_x.d").alias("at"), F.col("_x.p").alias("rank"), F.col("_x.m").alias("members"))
 
 

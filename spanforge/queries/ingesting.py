@@ -25,7 +25,7 @@ def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("split_conversation_documents", """
     WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)
-    SELECT conv_id, turn, (i - 1)::INT AS position, l[i] AS block, CAST(coalesce(list_sum(list_transform(l[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS "offset", length(l[i]) >= 40 AS kept FROM l, generate_series(1, len(l)) g(i)""")
+    SELECT conv_id, turn, (i - 1)::INT AS position, l[i] AS block, CAST(coalesce(list_sum(list_transform(l[:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) + length(regexp_extract(l[i], '^\\s*')) AS "offset", length(l[i]) >= 40 AS kept FROM l, generate_series(1, len(l)) g(i)""")
 def split_conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
     parts = files.split_documents(rows, "key", "text", "\n", 40)
@@ -55,11 +55,11 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("positional_series", """
-    SELECT o_custkey, year(o_orderdate)::INT AS y, round(sum(o_totalprice), 4)::VARCHAR IS NOT NULL AS has_total, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2""")
+    SELECT o_custkey, year(o_orderdate)::INT AS y, round(sum(round(o_totalprice * 100)::BIGINT) / 100.0::DOUBLE, 2) AS total, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2""")
 def positional_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yearly = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("total"), F.count("*").cast("double").alias("n"))
+    yearly = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / 100).alias("total"), F.count("*").cast("double").alias("n"))
     packed = sinks.positional_series(yearly, "o_custkey", "y", ["total", "n"])
-    return packed.select("o_custkey", F.explode("series").alias("y", "v")).select("o_custkey", "y", F.col("v")[0].isNotNull().alias("has_total"), F.col("v")[1].alias("n"))
+    return packed.select("o_custkey", F.explode("series").alias("y", "v")).select("o_custkey", "y", F.round(F.col("v")[0], 2).alias("total"), F.col("v")[1].alias("n"))
 
 
 @query("streamed_counts", """

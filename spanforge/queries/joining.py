@@ -43,23 +43,32 @@ def children_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word phrases: the beginnings of the benchmark items."""
-    words = F.split(text.match_key(F.col("text")), " ")
-    return table(spark, sf_dir, "benchmark").select(F.slice(words, 1, 3).alias("key_tokens")).filter(F.size("key_tokens") == 3).distinct().withColumn("key", F.array_join("key_tokens", " "))
+    """Phrases of any length: each benchmark item as a whole, and its first three words."""
+    items = table(spark, sf_dir, "benchmark").select(F.split(text.match_key(F.col("text")), " ").alias("w")).filter(F.size("w") >= 3)
+    both = items.select(F.explode(F.array("w", F.slice("w", 1, 3))).alias("key_tokens")).distinct()
+    return both.withColumn("key", F.array_join("key_tokens", " "))
+
+
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores dealt anew, before work that is heavy per row."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 PHRASE_SQL = """
-    WITH b AS (SELECT DISTINCT string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '\\bthe\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ')[1:3] AS k FROM benchmark),
-    k AS (SELECT array_to_string(k, ' ') AS key FROM b WHERE len(k) = 3),
+    WITH b AS (SELECT DISTINCT string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '\\bthe\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS k FROM benchmark),
+    k AS (SELECT DISTINCT array_to_string(k[1:3], ' ') AS key FROM b WHERE len(k) >= 3), l AS (SELECT DISTINCT array_to_string(k, ' ') AS key FROM b WHERE len(k) > 3),
     d AS (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '\\bthe\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS w FROM documents),
     e AS (SELECT doc_id, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c, generate_subscripts(w, 1) AS i FROM d),
-    h AS (SELECT doc_id, key, count(*) AS n, min(i - 1)::INT AS first_at FROM e JOIN k ON concat(a, ' ', b, ' ', c) = key AND c IS NOT NULL GROUP BY 1, 2)"""
+    f AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d), x AS (SELECT doc_id, key, string_split(replace(t, ' ', '  '), replace(' ' || key || ' ', ' ', '  ')) AS p FROM f JOIN l ON contains(t, ' ' || key || ' ')),
+    h AS (SELECT doc_id, key, count(*) AS n, min(i - 1)::INT AS first_at FROM e JOIN k ON concat(a, ' ', b, ' ', c) = key AND c IS NOT NULL GROUP BY 1, 2
+      UNION ALL SELECT doc_id, key, len(p) - 1, len(regexp_extract_all(p[1], '\\S+'))::INT FROM x)"""
 
 
 @query("phrase_join_candidates", PHRASE_SQL + """
     SELECT doc_id, key, n, first_at, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(key) DESC, n DESC, key) AS rank FROM h) WHERE rank <= 25""")
 def phrase_join_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(text.match_key(F.col("text")), " ").alias("tokens"))
+    docs = spread(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split(text.match_key(F.col("text")), " ").alias("tokens"))
     hits = joins.phrase_join(docs, "doc_id", "tokens", phrases(spark, sf_dir), "key", "key_tokens")
     return windows.best_rows(hits, ["doc_id"], [F.desc(F.length("key")), F.desc("n"), F.col("key")], 25)
 
@@ -67,7 +76,7 @@ def phrase_join_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("three_gate_match", PHRASE_SQL + """
     SELECT doc_id, lang, key FROM (SELECT doc_id, lang, key, row_number() OVER (PARTITION BY doc_id ORDER BY first_at, key) AS rn FROM h JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') AND substr(key, 1, 1) IN ('t', 'a', 'e')) WHERE rn = 1""")
 def three_gate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "de"))
+    docs = spread(spark, table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "de")).select("doc_id", "lang", "text"))
     tokens = docs.select("doc_id", F.split(text.match_key(F.col("text")), " ").alias("tokens"))
     allowed = phrases(spark, sf_dir).filter(F.substring("key", 1, 1).isin("t", "a", "e"))
     hits = joins.phrase_join(tokens, "doc_id", "tokens", allowed, "key", "key_tokens").join(docs.select("doc_id", "lang"), "doc_id")
@@ -75,13 +84,13 @@ def three_gate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("staged_disambiguation", """
-    WITH q AS (SELECT DISTINCT p_name, p_brand AS b, p_size % 3 AS s FROM part WHERE p_partkey % 7 = 0), c AS (SELECT q.*, p_partkey, p_brand = b AS same_brand, p_size % 3 = s AS same_size FROM q JOIN part USING (p_name)),
+    WITH q AS (SELECT DISTINCT p_name, p_brand AS b, p_size % 3 AS s FROM part), c AS (SELECT q.*, p_partkey, p_brand = b AS same_brand, p_size % 3 = s AS same_size FROM q JOIN part USING (p_name)),
     r AS (SELECT * FROM c WHERE same_brand), z AS (SELECT *, bool_or(same_size) OVER (PARTITION BY p_name, b, s) AS has_any FROM r),
     k AS (SELECT *, count(*) OVER (PARTITION BY p_name, b, s) AS n_left FROM z WHERE same_size OR NOT has_any)
     SELECT p_name, b, s, p_partkey, n_left, CASE WHEN n_left = 1 THEN 'matched' ELSE 'ambiguous' END AS outcome FROM k""")
 def staged_disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    asked = parts.filter("p_partkey % 7 = 0").select("p_name", F.col("p_brand").alias("b"), (F.col("p_size") % 3).alias("s")).distinct().withColumn("query", F.concat_ws("|", "p_name", "b", "s"))
+    asked = parts.select("p_name", F.col("p_brand").alias("b"), (F.col("p_size") % 3).alias("s")).distinct().withColumn("query", F.concat_ws("|", "p_name", "b", "s"))
     found = asked.join(parts, "p_name").withColumn("same_brand", F.col("p_brand") == F.col("b")).withColumn("same_size", F.col("p_size") % 3 == F.col("s"))
     left = joins.narrowed(found, "query", [("same_brand", False), ("same_size", True)])
     return left.select("p_name", "b", "s", "p_partkey", "n_left", F.when(F.col("n_left") == 1, "matched").otherwise("ambiguous").alias("outcome"))
@@ -132,28 +141,28 @@ def first_in_array_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("exact_or_coarse_key", """
     WITH j AS (SELECT o_orderkey, s_suppkey, c_mktsegment = CASE s_suppkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'HOUSEHOLD' ELSE 'FURNITURE' END AS exact
-      FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_nationkey = c_nationkey WHERE o_orderstatus = 'P'),
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN supplier ON s_nationkey = c_nationkey),
     m AS (SELECT *, bool_or(exact) OVER (PARTITION BY o_orderkey) AS has_any FROM j)
     SELECT o_orderkey, s_suppkey, exact FROM m WHERE exact OR NOT has_any""")
 def exact_or_coarse_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     left = orders.select(F.col("o_orderkey").alias("row_id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
     kind = F.col("s_suppkey") % 5
     right = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.when(kind == 0, "BUILDING").when(kind == 1, "MACHINERY").when(kind == 2, "HOUSEHOLD").otherwise("FURNITURE").alias("segment"))
     return joins.exact_or_coarse(left, right, ["nation"], ["segment"]).select(F.col("row_id").alias("o_orderkey"), "s_suppkey", "exact")
 
 
-PRECISION_SQL = "CASE WHEN o_orderpriority = '1-URGENT' THEN 45 WHEN o_orderpriority = '2-HIGH' THEN 62 ELSE 30 END"
+PRECISION_SQL = "CASE WHEN o_orderpriority = '1-URGENT' THEN 31 WHEN o_orderpriority = '2-HIGH' THEN 62 WHEN o_orderpriority = '3-MEDIUM' THEN 366 ELSE 30 END"
 
 
 @query("tolerance_join", f"""
     SELECT o_orderkey, l_linenumber, abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)))::INT AS apart FROM orders JOIN lineitem ON o_orderkey = l_orderkey
     WHERE abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) <= {PRECISION_SQL}""")
 def tolerance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("ordered"), F.when(F.col("o_orderpriority") == "1-URGENT", "exact").when(F.col("o_orderpriority") == "2-HIGH", "month").otherwise("day").alias("precision"))
+    left = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("ordered"), F.when(F.col("o_orderpriority") == "1-URGENT", "exact").when(F.col("o_orderpriority") == "2-HIGH", "month").when(F.col("o_orderpriority") == "3-MEDIUM", "unknown").otherwise("day").alias("precision"))
     right = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.to_date("l_shipdate").alias("shipped"))
     allowed = dates.tolerance_days(F.col("precision"), dates.TOLERANCE | {"day": 30})
-    found = joins.tolerance_join(left, right, ["o_orderkey"], "ordered", "shipped", allowed, 550)
+    found = joins.tolerance_join(left, right, ["o_orderkey"], "ordered", "shipped", allowed, max(dates.TOLERANCE.values()))
     return found.select("o_orderkey", "l_linenumber", dates.days_apart(F.col("ordered"), F.col("shipped")).alias("apart"))
 
 
@@ -248,10 +257,11 @@ def crosswalk_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("source_agreement", """
     SELECT CASE WHEN l_orderkey IS NULL THEN 'deleted' WHEN o_orderkey IS NULL THEN 'created' WHEN o_orderstatus = st THEN 'same' ELSE 'modified' END AS change, count(*) AS n
-    FROM (SELECT * FROM orders WHERE o_orderkey % 9 > 0) FULL JOIN (SELECT l_orderkey, max(l_linestatus) AS st FROM lineitem WHERE l_orderkey % 7 > 0 GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1""")
+    FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') FULL JOIN (SELECT l_orderkey, max(l_linestatus) AS st FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1""")
 def source_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = table(spark, sf_dir, "orders").filter("o_orderkey % 9 > 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    after = table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 > 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("v"))
+    # a snapshot of the settled orders against one of all orders by their lines
+    before = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    after = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("v"))
     return joins.snapshot_diff(before, after, "k", "v").groupBy("change").agg(F.count("*").alias("n"))
 
 

@@ -104,12 +104,12 @@ def greedy_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("pairwise_distance", """
-    WITH p AS (SELECT c_custkey, c_nationkey, 40.0::DOUBLE + (c_custkey % 13) / 400.0::DOUBLE AS lat, -75.0::DOUBLE + (c_custkey % 7) / 300.0::DOUBLE AS lng FROM customer WHERE c_custkey < 400)
+    WITH p AS (SELECT c_custkey, c_nationkey, 40.0::DOUBLE + (c_custkey % 13) / 400.0::DOUBLE AS lat, -75.0::DOUBLE + (c_custkey % 7) / 300.0::DOUBLE AS lng FROM customer)
     SELECT a.c_custkey AS a, b.c_custkey AS b, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))), 3) AS km
     FROM p a JOIN p b ON a.c_nationkey = b.c_nationkey AND b.c_custkey = a.c_custkey + 25""")
 def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = places(spark, sf_dir).filter("c_custkey < 400").select(F.col("c_custkey").alias("a"), "c_nationkey", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), (F.col("c_custkey") + 25).alias("b"))
-    b = places(spark, sf_dir).filter("c_custkey < 400").select(F.col("c_custkey").alias("b"), "c_nationkey", "lat", "lng")
+    a = places(spark, sf_dir).select(F.col("c_custkey").alias("a"), "c_nationkey", F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), (F.col("c_custkey") + 25).alias("b"))
+    b = places(spark, sf_dir).select(F.col("c_custkey").alias("b"), "c_nationkey", "lat", "lng")
     km = numbers.haversine_km(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng"))
     return a.join(b, ["c_nationkey", "b"]).select("a", "b", F.round(km, 3).alias("km"))
 

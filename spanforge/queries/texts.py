@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanforge.functions import dates, geometry, hashing, numbers, text
+from spanforge.functions import dates, documents, geometry, hashing, numbers, text
 from spanforge.operators import aggregates, classify, validate
 from spanforge.plans.review import CATEGORIES, review_queue
 from spanforge.queries.registry import query
@@ -148,11 +148,11 @@ def subset_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("custom_order_review_queue", """
-    WITH q AS (SELECT CASE WHEN text IS NULL OR n_chars < 50 THEN 'corpus' WHEN source = 'src1' THEN 'out_of_scope' WHEN contains(text, 'the of') THEN 'silent_source' ELSE 'needs_a_person' END AS category, 'document' AS kind, doc_id AS id FROM documents WHERE doc_id % 3 = 0
+    WITH q AS (SELECT CASE WHEN text IS NULL OR n_chars < 50 THEN 'corpus' WHEN source = 'src1' THEN 'out_of_scope' WHEN contains(text, 'the of') THEN 'silent_source' ELSE 'needs_a_person' END AS category, 'document' AS kind, doc_id AS id FROM documents
       UNION ALL SELECT 'out_of_scope', 'order', o_orderkey FROM orders WHERE o_totalprice < 2000 UNION ALL SELECT 'needs_a_person', 'event', event_id FROM events WHERE event_type = 'error' AND value > 60)
     SELECT category, kind, id, list_position(['corpus', 'out_of_scope', 'silent_source', 'needs_a_person'], category)::BIGINT AS place FROM q""")
 def custom_order_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = review_queue(table(spark, sf_dir, "documents").filter("doc_id % 3 = 0"), table(spark, sf_dir, "orders").filter("o_totalprice < 2000"), table(spark, sf_dir, "events").filter("event_type = 'error' AND value > 60"))
+    queue = review_queue(table(spark, sf_dir, "documents"), table(spark, sf_dir, "orders").filter("o_totalprice < 2000"), table(spark, sf_dir, "events").filter("event_type = 'error' AND value > 60"))
     return queue.withColumn("place", F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")).cast("long")).orderBy("place", "kind", "id")
 
 
@@ -238,17 +238,18 @@ def ring_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", geometry.signed_area(scaled(polygon()[0])).alias("area"), geometry.signed_area(scaled(polygon()[1])).alias("hole"))
 
 
-@query("ring_tools")
+@query("ring_tools", """
+    SELECT n_nationkey, 7 AS points, 4 AS kept, round(CASE WHEN n_nationkey <= 4 THEN least(n_nationkey, 4 - n_nationkey) ELSE sqrt(1 + power(greatest(n_nationkey - 10, 0), 2)) END::DOUBLE, 4) AS away FROM nation""")
 def ring_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = polygon()[0]
     rows = table(spark, sf_dir, "nation").withColumn("ring", geometry.closed_ring(outer))
     return rows.select("n_nationkey", F.size("ring").alias("points"), F.size(geometry.simplified(F.col("ring"), 5.0)).alias("kept"), F.round(geometry.distance_to_ring(outer, F.col("n_nationkey").cast("double"), F.lit(5.0)), 4).alias("away"))
 
 
-@query("english_capitalised", "SELECT doc_id, regexp_matches(text, '[a-z,;]\\s+The\\b') AS inner_the FROM documents")
+@query("english_capitalised", r"""SELECT doc_id, coalesce(regexp_matches(text, '[^\s.!?:"“”](\s*[^\S\n])?\bThe\b'), false) AS inner_the FROM documents""")
 def english_capitalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a word appears with a capital other than at the start of a sentence."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"[a-z,;]\s+The\b").alias("inner_the"))
+    return table(spark, sf_dir, "documents").select("doc_id", documents.appears_capitalised(F.col("text"), F.lit("the")).alias("inner_the"))
 
 
 @query("keyword_categories", "SELECT conv_id, turn, CASE WHEN lower(text) LIKE '%the%' THEN 'english' WHEN lower(text) LIKE '%der %' THEN 'german' ELSE 'other' END AS kind FROM conversations")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from spanforge.functions.dates import flexible_date
 from spanforge.functions.documents import file_to_text
 from spanforge.functions.hashing import content_id
+from spanforge.functions.numbers import coded_number
 
 
 class SchemaDrift(ValueError):
@@ -30,25 +32,41 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
         return spark.createDataFrame([], schema)
 
 
+def by_header(spark: SparkSession, pattern: str, required: Sequence[str], **options) -> list[DataFrame]:
+    """One table of strings for each header among the files of a pattern: Spark takes one header for all that it reads at once.
+
+    Every file's first line is read on its own, in a short job; a file without a required column raises. Names are trimmed
+    of a byte-order mark.
+    """
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(spark.read.text(pattern).inputFiles()):
+        columns = tuple(c.removeprefix("\ufeff") for c in spark.read.options(header=True, **options).csv(path).columns)
+        missing = [c for c in required if c not in columns]
+        if missing:
+            raise SchemaDrift(f"{path}: missing columns: {', '.join(missing)}")
+        layouts.setdefault(columns, []).append(path)
+    read = lambda columns, paths: spark.read.options(header=True, **options).schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(paths)
+    return [read(columns, paths) for columns, paths in layouts.items()]
+
+
+def all_of(tables: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def csv_exports(spark: SparkSession, pattern: str, required: Sequence[str]) -> DataFrame:
-    """All CSV files of a pattern as strings, blanks null, with the file each row is from; columns that are missing raise."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(pattern)
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise SchemaDrift(f"missing columns: {', '.join(missing)}")
+    """All CSV files of a pattern as strings, blanks null, with the file each row is from; columns may stand in any order."""
     blanks = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in required]
-    return df.select(*blanks, F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"))
+    file = F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file")
+    return all_of([df.select(*blanks, file) for df in by_header(spark, pattern, required, multiLine=True, escape='"')])
 
 
 def vintage_table(spark: SparkSession, pattern: str, columns: dict[str, str], key: str = "GEO_ID", year_in_name: str = r"5Y(\d{4})") -> DataFrame:
-    """Yearly tables: the year from the file name, the place from the key's last five digits, the label row skipped, few columns read."""
-    df = spark.read.option("header", True).csv(pattern)
-    missing = [c for c in (key, *columns) if c not in df.columns]
-    if missing:
-        raise SchemaDrift(f"missing columns: {', '.join(missing)}")
+    """Yearly tables, each by its own header: the year from the file name, the place from the key's last five digits, the
+    label row skipped, few columns read, coded cells as numbers."""
     place = F.regexp_extract(key, r"US(\d{5})$", 1)
     year = F.regexp_extract("_metadata.file_name", year_in_name, 1).try_cast("int")
-    return df.filter(place != "").select(year.alias("year"), place.alias("place"), *(F.col(c).alias(name) for c, name in columns.items()))
+    cells = [coded_number(F.col(f"`{c}`")).alias(name) for c, name in columns.items()]
+    return all_of([df.filter(place != "").select(year.alias("year"), place.alias("place"), *cells) for df in by_header(spark, pattern, [key, *columns])])
 
 
 def registered_tables(spark: SparkSession, root: str, registry: dict[str, str], format_: str = "parquet") -> dict[str, DataFrame]:
@@ -60,9 +78,9 @@ def snapshot(df: DataFrame, path: str, query: str, fetched_at: str) -> dict:
     """Write a source's rows with a manifest of the query, their number and their digest; return the manifest."""
     df.write.mode("overwrite").parquet(f"{path}/rows")
     written = df.sparkSession.read.parquet(f"{path}/rows")
-    # independent of the order of rows
-    row = written.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*written.columns)).alias("x")).first()
-    manifest = {"query": query, "rows": row.n, "digest": f"{(row.x or 0) & (1 << 64) - 1:016x}", "fetched_at": fetched_at}
+    # a sum: independent of the order of rows, and repeated rows count
+    row = written.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*written.columns).cast("decimal(20,0)")).alias("x")).first()
+    manifest = {"query": query, "rows": row.n, "digest": f"{int(row.x or 0) % (1 << 64):016x}", "fetched_at": fetched_at}
     df.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
 
@@ -91,12 +109,39 @@ MARKER = r"(?m)^\s*(?:Document \d+ of \d+|\d+ of \d+ DOCUMENTS)\s*$"
 
 
 def split_documents(texts: DataFrame, key: str, text: str, marker: str = MARKER, least: int = 200) -> DataFrame:
-    """(key, position, offset, block, kept): the parts of packed files between marker lines; short ones are tagged, not dropped."""
-    parts = texts.select(key, F.posexplode(F.split(F.col(text), marker)).alias("position", "_part"))
-    before = W.partitionBy(key).orderBy("position").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.length("_part")).over(before), F.lit(0))
-    block = F.trim(F.regexp_replace("_part", r"^\s+|\s+$", ""))
-    return parts.select(key, "position", offset.alias("offset"), block.alias("block"), (F.length(block) >= least).alias("kept"))
+    """(key, position, offset, block, kept): the parts of packed files between marker lines; short ones are tagged, not dropped.
+
+    ``offset`` is the place of the block's first character in the text.
+    """
+    whole, size = F.col(text), lambda x: F.length(x).cast("long")
+    marks = F.regexp_extract_all(whole, F.lit(f"({marker})"), F.lit(1))
+    # a part begins behind the parts and the markers before it
+    ends = lambda pieces: F.aggregate(pieces, F.array(F.lit(0).cast("long")), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + size(x))))
+    parts = texts.select(key, F.split(whole, marker).alias("_parts"), marks.alias("_marks"))
+    parts = parts.select(key, F.posexplode("_parts").alias("position", "_part"), ends(F.col("_parts")).alias("_before"), ends(F.col("_marks")).alias("_marked"))
+    block = F.regexp_replace("_part", r"^\s+|\s+$", "")
+    begin = F.get("_before", F.col("position")) + F.get("_marked", F.col("position")) + F.length(F.regexp_extract("_part", r"^\s*", 0))
+    return parts.select(key, "position", begin.alias("offset"), block.alias("block"), (F.length(block) >= least).alias("kept"))
+
+
+def split_at_links(texts: DataFrame, key: str, text: str, link: str = r"^\s*https?://\S+\s*$", edge: str = r"\|\s*$", least: int = 200) -> DataFrame:
+    """(key, position, offset, block, kept) of packed files without markers, whose documents each hold a line with their link.
+
+    A document begins behind the last line above its link that ends the document before (``edge``), or at the text's start.
+    """
+    lines = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("_no", "_line"))
+    order = W.partitionBy(key).orderBy("_no")
+    so_far = order.rowsBetween(W.unboundedPreceding, -1)
+    place = F.coalesce(F.sum(F.length("_line").cast("long") + 1).over(so_far), F.lit(0).cast("long"))
+    edges = F.coalesce(F.max(F.when(F.col("_line").rlike(edge), F.col("_no") + 1)).over(so_far), F.lit(0))
+    placed = lines.select(key, "_no", "_line", place.alias("_at"), edges.alias("_edge"))
+    starts = placed.filter(F.col("_line").rlike(link)).select(key, F.col("_edge").alias("_no")).distinct()
+    begun = placed.join(starts.withColumn("_begins", F.lit(1)), [key, "_no"], "left")
+    numbered = begun.withColumn("position", F.sum(F.coalesce("_begins", F.lit(0))).over(order) - 1).filter("position >= 0")
+    joined = numbered.groupBy(key, F.col("position").cast("int").alias("position")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_line"))), lambda x: x["_line"]), "\n").alias("_part"), F.min("_at").alias("_at"))
+    block = F.regexp_replace("_part", r"^\s+|\s+$", "")
+    begin = F.col("_at") + F.length(F.regexp_extract("_part", r"^\s*", 0))
+    return joined.select(key, "position", begin.alias("offset"), block.alias("block"), (F.length(block) >= least).alias("kept"))
 
 
 LABELS = {"title": r"(?mi)^(?:headline|title)\s*:\s*(.+)$", "publication": r"(?mi)^(?:publication|source)\s*:\s*(.+)$", "date_raw": r"(?mi)^(?:date|load-date|publication date)\s*:\s*(.+)$"}

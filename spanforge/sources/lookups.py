@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.hashing import payload_hash
+from spanforge.operators.windows import first_wins, last_wins
 
 Fetch = Callable[[list], list[dict]]
 
@@ -50,8 +51,6 @@ def partitioned(spark: SparkSession, boxes: Sequence[tuple], mirrors: Sequence[C
                 else:
                     raise RuntimeError("no mirror answered") from error
 
-    from spanforge.operators.windows import last_wins
-
     return last_wins(tasks.mapInPandas(run, f"{schema}, box int"), keys, ["box"]).drop("box")
 
 
@@ -63,7 +62,8 @@ def todo(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def enriched(wanted: DataFrame, done: DataFrame, key: str, lookup: Callable[[object], dict | None], fields: str, path: str | None = None) -> DataFrame:
     """Answers for all wanted keys: those known, and one lookup for each of the rest; ``state`` tells found, not found and failed.
 
-    With a path new answers are appended there, so a run that stops goes on where it was; failures are asked again.
+    With a path new answers are appended there, so a run that stops goes on where it was; failures are asked again. A key
+    has one row, whatever ``done`` and the path both hold: found before not found before failed.
     """
     names = [f.split()[0] for f in fields.split(",")]
 
@@ -85,7 +85,8 @@ def enriched(wanted: DataFrame, done: DataFrame, key: str, lookup: Callable[[obj
     if path is not None:
         fresh.write.mode("append").parquet(path)
         fresh = wanted.sparkSession.read.schema(schema).parquet(path)
-    return known.unionByName(fresh)
+    place = F.array_position(F.array(F.lit("found"), F.lit("not found"), F.lit("failed")), F.col("state"))
+    return first_wins(known.unionByName(fresh), [key], [place, *names])
 
 
 def cached(requests: DataFrame, columns: Sequence[str], cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 import json
 
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +28,49 @@ def test_missing_json_is_empty(spark, tmp_path):
 def test_vintage_tables(spark, tmp_path):
     (tmp_path / "ACSDT5Y2019.B1.csv").write_text("GEO_ID,M\nGeography,Label\n860Z200US10001,5\n")
     got = files.vintage_table(spark, f"{tmp_path}/*.csv", {"M": "m"}).collect()
-    assert [(r.year, r.place, r.m) for r in got] == [(2019, "10001", "5")]
+    assert [(r.year, r.place, r.m) for r in got] == [(2019, "10001", 5.0)]
+
+
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "T5Y2019.csv").write_text("GEO_ID,M,N\nGeography,a,b\n860Z200US10001,5,7\n")
+    (tmp_path / "T5Y2020.csv").write_text('GEO_ID,X,N,M\nGeography,a,b,c\n860Z200US10001,0,"250,000+",-\n')
+    got = files.vintage_table(spark, f"{tmp_path}/*.csv", {"M": "m", "N": "n"}).orderBy("year").collect()
+    assert [(r.year, r.m, r.n) for r in got] == [(2019, 5.0, 7.0), (2020, None, 250000.0)]
+    (tmp_path / "T5Y2021.csv").write_text("GEO_ID,M\n860Z200US10001,5\n")
+    with pytest.raises(files.SchemaDrift):
+        files.vintage_table(spark, f"{tmp_path}/*.csv", {"M": "m", "N": "n"})
+
+
+def test_offsets_point_into_the_text(spark):
+    body = "word " * 50
+    text = f"banner\nDocument 1 of 2\n  First {body}\nDocument 2 of 2\nSecond {body}"
+    for r in files.split_documents(spark.createDataFrame([("k", text)], "k string, t string"), "k", "t").collect():
+        assert text[r.offset : r.offset + len(r.block)] == r.block
+    linked = f"Head one\nBy A\nhttp://x/1\n{body}\nA | B | C |\nHead two\nhttp://x/2\n{body}\nD | E |\n"
+    got = files.split_at_links(spark.createDataFrame([("k", linked)], "k string, t string"), "k", "t").orderBy("position").collect()
+    assert [r.block.split("\n")[0] for r in got] == ["Head one", "Head two"] and all(linked[r.offset : r.offset + len(r.block)] == r.block and r.kept for r in got)
+
+
+def test_repeated_rows_show_in_the_digest(spark, tmp_path):
+    once = files.snapshot(spark.createDataFrame([(1,), (2,)], "k int"), f"{tmp_path}/a", "q", "now")
+    thrice = files.snapshot(spark.createDataFrame([(1,), (1,), (1,), (2,)], "k int"), f"{tmp_path}/b", "q", "now")
+    assert once["digest"] != thrice["digest"] and thrice["rows"] == 4
+
+
+def test_a_resumed_lookup_gives_every_key_once(spark, tmp_path):
+    importable(spark)
+    wanted, path = spark.createDataFrame([(1,), (2,), (3,)], "k long"), f"{tmp_path}/answers"
+    none = spark.createDataFrame([], "k long, state string, v string")
+
+    def fails(k):
+        if k == 3:
+            raise OSError("down")
+        return {"v": "x"}
+
+    lookups.enriched(wanted, none, "k", fails, "v string", path)
+    done = spark.read.parquet(path)
+    got = [(r.k, r.state) for r in lookups.enriched(wanted, done, "k", lambda k: {"v": "y"}, "v string", path).orderBy("k").collect()]
+    assert got == [(1, "found"), (2, "found"), (3, "found")]
 
 
 def test_snapshot_and_split(spark, tmp_path):
