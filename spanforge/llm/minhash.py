@@ -3,11 +3,12 @@
 Two permutations give a whole signature: the first scatters the shingles over a ring, the second, shifted by k along the
 ring, gives coordinate k. Documents that agree in a band become candidates; links are confirmed on the full shingle sets.
 
-Documents with equal sets are one class from the start. A bucket is compared inside tasks, large ones block by block, and
-only a spanning forest leaves the task; what the forests connect is verified together, largest agreement first, and a pair
-that is connected already needs no test. So no bucket or group is expanded into pairs, and no link between different
-sets is skipped other than by the banding itself (missed with a chance of about 1e-7 at the threshold) or by an
-agreement more than 4.75 standard deviations too low.
+Documents with equal sets, by two 64-bit names, are one class from the start. A bucket is compared inside tasks, and only
+a spanning forest leaves the task; what the forests connect is verified together on the full sets, largest agreement
+first, and a pair that is connected already needs no test. A large bucket or group is first compared with one of its
+members: those near it are its star and need no comparison among themselves, so only the others are compared block by
+block. No link between different sets is skipped other than by the banding itself (missed with a chance of about 1e-7 at
+the threshold) or by an agreement more than 4.75 standard deviations too low.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; equal rows are linked; a null id takes
 part, and its component is the smallest id reached, null if there is none; an empty table gives no rows; columns other
@@ -16,7 +17,7 @@ than id and text are not used.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,10 @@ ROWS_PER_BAND, BANDS = 5, 28
 COORDINATES = ROWS_PER_BAND * BANDS
 #: Classes compared at once in a task; larger buckets and groups are compared block against block.
 BLOCK = 1_200
+#: Bytes of their sets, about.
+BLOCK_BYTES = 8 << 20
+#: Classes with more rows than this share of all, and than this number, meet their result by a broadcast of at most 1 / HOT rows.
+HOT, HOT_ROWS = 1e-4, 1_000
 
 
 def circulant_signatures(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -57,7 +62,7 @@ def text_key(text: str) -> Column:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, cid, bands, signature): ``cid`` names the set, equal for equal sets; null where it is empty."""
+    """(doc_id, text_key, n_shingles, cid, twin, bands, signature): ``cid`` and ``twin`` name the set; null where it is empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -66,17 +71,18 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 shingles, offsets = shingle_sets([t.encode().lower() for t in texts[low:high]], width)
                 sizes = np.diff(offsets)
                 full = sizes > 0
-                names, bands, coded = ([None] * (high - low) for _ in range(3))
+                names, twins, bands, coded = ([None] * (high - low) for _ in range(4))
                 if full.any():
                     signatures = circulant_signatures(shingles, offsets)
                     starts = offsets[:-1][full]
                     summed = np.add.reduceat(mix(shingles + U(BASE)), starts) + sizes[full].astype(np.uint64)
-                    own = zip(np.flatnonzero(full).tolist(), mix(summed).view(np.int64).tolist(), bands_of(signatures).view(np.int64), (signatures >> U(56)).astype(np.uint8), strict=True)
-                    for k, name, keys, coordinates in own:
-                        names[k], bands[k], coded[k] = name, keys, coordinates.tobytes()
-                yield pd.DataFrame({"doc_id": frame["doc_id"].array[low:high], "text_key": frame["text_key"].array[low:high], "n_shingles": sizes, "cid": pd.array(names, "Int64"), "bands": bands, "signature": coded})
+                    second = np.add.reduceat(mix(shingles ^ U(0x2545F4914F6CDD1D)), starts)
+                    own = zip(np.flatnonzero(full).tolist(), mix(summed).view(np.int64).tolist(), mix(second).view(np.int64).tolist(), bands_of(signatures).view(np.int64), (signatures >> U(56)).astype(np.uint8), strict=True)
+                    for k, name, twin, keys, coordinates in own:
+                        names[k], twins[k], bands[k], coded[k] = name, twin, keys, coordinates.tobytes()
+                yield pd.DataFrame({"doc_id": frame["doc_id"].array[low:high], "text_key": frame["text_key"].array[low:high], "n_shingles": sizes, "cid": pd.array(names, "Int64"), "twin": pd.array(twins, "Int64"), "bands": bands, "signature": coded})
 
-    return docs.select("doc_id", "text", text_key("text")).mapInPandas(run, "doc_id long, text_key long, n_shingles long, cid long, bands array<long>, signature binary")
+    return docs.select("doc_id", "text", text_key("text")).mapInPandas(run, "doc_id long, text_key long, n_shingles long, cid long, twin long, bands array<long>, signature binary")
 
 
 def _forest(ids: np.ndarray, pairs_by_rank: Iterator[tuple[int, int]], linked) -> list[tuple[int, int]]:
@@ -98,6 +104,13 @@ def _forest(ids: np.ndarray, pairs_by_rank: Iterator[tuple[int, int]], linked) -
     return edges
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as ``percent`` says."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def agreeing_pairs(signatures: np.ndarray, least: int, left: np.ndarray | None = None, sizes: np.ndarray | None = None, share: float = 0.0) -> Iterator[tuple[int, int]]:
     """Pairs i < j with ``least`` equal coordinates, most equal first; only pairs across blocks where ``left`` marks the first block."""
     found = []
@@ -119,18 +132,48 @@ def agreeing_pairs(signatures: np.ndarray, least: int, left: np.ndarray | None =
             yield int(joined[1, k]), int(joined[2, k])
 
 
-def _blocked(rows: DataFrame, group: str, size: str) -> DataFrame:
-    """Repeat rows of groups above BLOCK for each pair of blocks that holds them; add ``pair`` and ``first`` (in the pair's first block)."""
-    n = F.ceil(F.col(size) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), n).cast("int")
-    others = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.struct(F.least(b, own).alias("low"), F.greatest(b, own).alias("high")))
-    repeated = rows.withColumn("own", own).withColumn("blocks", F.explode(others))
-    return repeated.withColumn("pair", F.xxhash64(group, "blocks.low", "blocks.high")).withColumn("first", F.col("own") == F.col("blocks.low")).drop("own", "blocks")
+def _blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Repeat rows (group, cid, star, weight) for the pairs of blocks to compare; add ``pair`` and ``first`` (in the pair's first block).
 
+    The rows of a group's star are linked already, so they meet only the others; these meet each other, too. A group that
+    hangs together closely is all star, and its rows are repeated a few times at most.
+    """
+    star, weight = F.col("star"), F.col("weight")
+    some = lambda own: F.greatest(F.ceil(F.count_if(own) / BLOCK), F.ceil(F.sum(F.when(own, weight).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    totals = rows.groupBy(group).agg(some(star).alias("_stars"), some(~star).alias("_others"))
+    joined = rows.join(totals, group).withColumn("_own", F.pmod(F.xxhash64("cid"), F.greatest(F.when(star, F.col("_stars")).otherwise(F.col("_others")), F.lit(1))).cast("int"))
+    own, kind = F.col("_own"), "array<struct<across:boolean,low:int,high:int>>"
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda across, low, high: F.struct(F.lit(across).alias("across"), low.alias("low"), high.alias("high"))
+    across = F.transform(numbers(F.when(star, F.col("_others")).otherwise(F.col("_stars"))), lambda o: place(True, F.when(star, own).otherwise(o), F.when(star, o).otherwise(own)))
+    within = F.when(star, F.array().cast(kind)).otherwise(F.transform(numbers(F.col("_others")), lambda o: place(False, F.least(o, own), F.greatest(o, own))).cast(kind))
+    repeated = joined.withColumn("_x", F.explode(F.concat(across.cast(kind), within)))
+    first = F.when(F.col("_x.across"), star).otherwise(own == F.col("_x.low"))
+    return repeated.withColumn("pair", F.xxhash64(group, "_x.across", "_x.low", "_x.high")).withColumn("first", first).drop("_own", "_x", "_stars", "_others", "star", "weight")
+
+
+def _around_pivots(rows: DataFrame, group: str, held: str, near: Callable[[Column, Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Compare the rows of large groups with one of them each: (rows with ``star``, edges of the stars).
+
+    ``rows`` has group, cid, weight and ``held``, what ``near`` tests. Small groups have no star.
+    """
+    totals = rows.groupBy(group).agg(F.count("*").alias("_n"), F.sum("weight").alias("_w"))
+    large = totals.filter((F.col("_n") > BLOCK) | (F.col("_w") > 2 * BLOCK_BYTES)).select(group)
+    # written, so that the joins deal both sides anew and can split a group that is everywhere
+    chosen = rows.join(large, group, "left_semi").groupBy(group).agg(F.min_by(F.struct(F.col("cid").alias("pivot"), F.col(held).alias("_held")), F.xxhash64("cid")).alias("_p"))
+    pivots = stored(chosen.select(group, "_p.pivot", "_p._held"), "pivots")
+    if not pivots.limit(1).count():
+        return rows.withColumn("star", F.lit(False)), rows.select(F.col("cid").alias("a"), F.col("cid").alias("b")).filter("false")
+    small = rows.join(pivots.select(group), group, "left_anti").withColumn("star", F.lit(False))
+    tested = stored(rows.join(pivots, group).withColumn("star", near(F.col(held), F.col("_held"))).drop("_held"), "stars")
+    edges = tested.filter("star AND cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+    return small.unionByName(tested.drop("pivot")), edges
 
-def _in_bins(rows: DataFrame, per_bin: int) -> DataFrame:
-    """Add ``bin``: so many that each holds about ``per_bin`` rows."""
-    return rows.withColumn("bin", F.pmod(F.col("pair"), F.lit(max(1, rows.count() // per_bin + 1))))
+
+def _in_bins(rows: DataFrame, per_bin: int, size: str | None = None) -> DataFrame:
+    """Add ``bin``: so many that each holds about ``per_bin`` rows, and BLOCK_BYTES of the ``size`` column."""
+    total = rows.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.octet_length(size)), F.lit(0)) if size else F.lit(0)).alias("w")).first()
+    return rows.withColumn("bin", F.pmod(F.col("pair"), F.lit(max(1, total.n // per_bin + 1, total.w // BLOCK_BYTES + 1))))
 
 
 def candidate_groups(classes: DataFrame, least: int) -> DataFrame:
@@ -138,9 +181,16 @@ def candidate_groups(classes: DataFrame, least: int) -> DataFrame:
     rows = classes.select("cid", F.explode("bands").alias("key"))
     # buckets with the same members are compared once
     buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("cid").alias("x"), F.bit_xor(F.xxhash64("cid")).alias("y")).filter("m > 1")
-    buckets = buckets.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
-    members = rows.join(buckets, "key").join(classes.select("cid", "signature"), "cid")
-    members = checkpoint(_blocked(members, "key", "m").select("cid", "signature", "pair", "first"))
+    buckets = buckets.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    path = shared_path(classes.sparkSession, "bucket-members")
+    members = stored_at(rows.join(buckets, "key").join(classes.select("cid", "signature"), "cid").withColumn("weight", F.lit(COORDINATES)), path)
+
+    @F.pandas_udf("boolean")
+    def agree(own: pd.Series, pivot: pd.Series) -> pd.Series:
+        return pd.Series([p is not None and int((np.frombuffer(x, np.uint8) == np.frombuffer(p, np.uint8)).sum()) >= least for x, p in zip(own, pivot, strict=True)], dtype=bool)
+
+    starred, edges = _around_pivots(members, "key", "signature", agree)
+    blocks = checkpoint(_blocks(starred, "key").select("cid", "signature", "pair", "first"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         edges = []
@@ -150,8 +200,23 @@ def candidate_groups(classes: DataFrame, least: int) -> DataFrame:
             edges += _forest(ids, agreeing_pairs(signatures, least, first), lambda i, j: True)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    edges = _in_bins(members, 4_000).groupBy("bin").applyInPandas(compare, "a long, b long")
-    return connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("grp"))
+    found = _in_bins(blocks, 4_000).groupBy("bin").applyInPandas(compare, "a long, b long")
+    groups = connected_components(found.unionByName(edges))
+    drop_path(classes.sparkSession, path)  # the components are checkpointed
+    return groups.select(F.col("node").alias("cid"), F.col("component").alias("grp"))
+
+
+def shared_names(sketched: DataFrame) -> DataFrame:
+    """The first names that sets with different second names share: hardly ever there are any."""
+    pairs = sketched.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("twin").alias("low"), F.max("twin").alias("high"))
+    return stored(pairs.filter("low <> high").select("cid", F.lit(True).alias("shared")), "shared-names")
+
+
+def told_apart(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """Sets of shared first names get names of their own from both."""
+    if not shared.limit(1).count():
+        return sets.drop("twin")
+    return sets.join(shared, "cid", "left").withColumn("cid", F.when(F.col("shared"), F.xxhash64("cid", "twin")).otherwise(F.col("cid"))).drop("twin", "shared")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -162,12 +227,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     share = percent / 100
     least = int(COORDINATES * (share - 4.75 * (share * (1 - share) / COORDINATES) ** 0.5))
     sketched = stored(sketch(docs, width), "sketch")
-    classes = sketched.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    shared = shared_names(sketched)
+    sketched = told_apart(sketched, shared)
+    classes = sketched.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
     groups = checkpoint(candidate_groups(classes, least))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("m"))
     # one text for each class to be verified
-    carriers = groups.join(sizes, "grp").join(classes.select("cid", "least_id", "signature"), "cid")
+    carriers = groups.join(classes.select("cid", "least_id", "signature"), "cid")
     holders = carriers.select(F.col("least_id").alias("holder")).distinct()
     texts = docs.select("doc_id", "text").join(holders, docs["doc_id"].eqNullSafe(holders["holder"]), "left_semi")
 
@@ -177,17 +243,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             for low, high in by_bytes(kept, 1 << 18):
                 shingles, offsets = shingle_sets([t.encode().lower() for t in kept[low:high]], width)
                 full = np.diff(offsets) > 0
-                names = np.zeros(0, np.int64)
+                names = twins = np.zeros(0, np.int64)
                 if full.any():
-                    summed = np.add.reduceat(mix(shingles + U(BASE)), offsets[:-1][full]) + np.diff(offsets)[full].astype(np.uint64)
-                    names = mix(summed).view(np.int64)
-                yield pd.DataFrame({"cid": names, "shingles": [shingles[a:b].tobytes() for a, b in zip(offsets[:-1][full], offsets[1:][full], strict=True)]})
-
-    known = texts.mapInPandas(sets, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
-    members = _blocked(carriers.select("cid", "grp", "m", "signature"), "grp", "m").join(known, "cid")
-    members_path = shared_path(docs.sparkSession, "members")
-    members = stored_at(members.select("cid", "signature", "pair", "first", "shingles"), members_path)
-    release(docs.sparkSession)
+                    starts = offsets[:-1][full]
+                    summed = np.add.reduceat(mix(shingles + U(BASE)), starts) + np.diff(offsets)[full].astype(np.uint64)
+                    names, twins = mix(summed).view(np.int64), mix(np.add.reduceat(mix(shingles ^ U(0x2545F4914F6CDD1D)), starts)).view(np.int64)
+                yield pd.DataFrame({"cid": names, "twin": twins, "shingles": [shingles[a:b].tobytes() for a, b in zip(offsets[:-1][full], offsets[1:][full], strict=True)]})
+
+    @F.pandas_udf("boolean")
+    def similar(own: pd.Series, pivot: pd.Series) -> pd.Series:
+        return pd.Series([p is not None and _linked(np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64), percent) for x, p in zip(own, pivot, strict=True)], dtype=bool)
+
+    spark = docs.sparkSession
+    known = told_apart(texts.mapInPandas(sets, "cid long, twin long, shingles binary"), shared).groupBy("cid").agg(F.first("shingles").alias("shingles"))
+    sets_path, members_path = shared_path(spark, "sets"), shared_path(spark, "members")
+    held = stored_at(carriers.select("cid", "grp", "signature").join(known, "cid").withColumn("weight", F.octet_length("shingles")), sets_path)
+    release(spark)
+    starred, star_edges = _around_pivots(held, "grp", "shingles", similar)
+    members = stored_at(_blocks(starred, "grp").select("cid", "signature", "pair", "first", "shingles"), members_path)
+    release(spark)
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         edges = []
@@ -197,24 +271,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             own = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
             sizes = np.array([len(x) for x in own])
 
-            def linked(i: int, j: int, own=own) -> bool:
-                a, b = (own[i], own[j]) if len(own[i]) <= len(own[j]) else (own[j], own[i])
-                at = np.searchsorted(b, a)
-                common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                return 100 * common >= percent * (len(a) + len(b) - common)
-
-            edges += _forest(ids, agreeing_pairs(signatures, least, first, sizes, share - 1e-9), linked)
+            edges += _forest(ids, agreeing_pairs(signatures, least, first, sizes, share - 1e-9), lambda i, j, own=own: _linked(own[i], own[j], percent))
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    edges = _in_bins(members, 1_500).groupBy("bin").applyInPandas(verify, "a long, b long")
-    found = connected_components(edges)
-    drop_path(docs.sparkSession, members_path)  # the components are checkpointed
-    labelled = classes.select("cid", "least_id").join(found.withColumnRenamed("node", "cid"), "cid", "left")
+    edges = _in_bins(members, 1_500, "shingles").groupBy("bin").applyInPandas(verify, "a long, b long")
+    found = connected_components(edges.unionByName(star_edges))
+    for path in (members_path, sets_path):  # the components are checkpointed
+        drop_path(spark, path)
+    labelled = classes.select("cid", "least_id", "copies").join(found.withColumnRenamed("node", "cid"), "cid", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "cid"))
     least_ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = labelled.join(least_ids, "component").select("cid", "component_id", F.col("component").alias("grp"))
-    # equal sets may be a third of all rows: AQE splits that side of the join
-    return sketched.join(named, "cid", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "grp")
+    named = labelled.join(least_ids, "component")
+    named = stored(named.select("cid", "component_id", F.col("component").alias("grp"), "copies"), "named")
+    # a set that many rows have must not gather them in one task: such sets are few and go to the rows
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") > max(HOT_ROWS, total * HOT)
+    columns = [F.coalesce("component_id", "doc_id").alias("component_id"), "grp"]
+    rows = sketched.select("doc_id", "text_key", "n_shingles", "cid")
+    often, seldom = named.filter(hot).drop("copies"), named.filter(~hot).drop("copies")
+    placed = rows.join(F.broadcast(often), "cid", "left")
+    first = placed.filter("grp IS NOT NULL").select("doc_id", "text_key", "n_shingles", *columns)
+    rest = placed.filter("grp IS NULL").drop("component_id", "grp").join(seldom, "cid", "left")
+    return first.unionByName(rest.select("doc_id", "text_key", "n_shingles", *columns))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -321,6 +321,34 @@ def test_chains_of_near_copies_and_blocks(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == roots
 
 
+def test_large_groups_around_a_pivot(spark, monkeypatch):
+    """A close group, two that overlap in part, hot sets and shared names."""
+    importable(spark)
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 3)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 6_000)
+    rng = random.Random(8)
+    base = [str(rng.random()) for _ in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(1 + k // 6):
+            words[rng.randrange(120)] = str(rng.random())
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 8 + [" ".join(str(rng.random()) for _ in range(30)) for _ in range(5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots, _ = components(texts, 3, 85)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(rows, 3, 85).collect()}
+    assert [got[k] for k in range(len(texts))] == roots
+
+
+def test_sets_of_one_name_are_told_apart(spark):
+    sets = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (2, 7), (None, None)], "cid long, twin long")
+    shared = minhash.shared_names(sets)
+    got = [r.cid for r in minhash.told_apart(sets, shared).collect()]
+    assert len({*got}) == 4 and got.count(2) == 2 and got.count(None) == 1 and 1 not in got
+
+
 def test_pipeline(spark, docs):
     importable(spark)
     steps, now = {}, table(spark, SMALL, "documents")
