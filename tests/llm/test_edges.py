@@ -1,12 +1,14 @@
 """Nulls, empty tables, ties, repeated rows, long texts and clashing columns for every operator."""
 
+import gzip
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from spanforge.llm import classlm, kmeanstree, language, minhash, mixing, pieces, suffix_dedup, topk, toxicity, vectors, warc
-from spanforge.llm.common import importable
+from spanforge.llm import classlm, kmeanstree, language, minhash, mixing, pieces, pipeline, suffix_dedup, topk, toxicity, vectors, warc
+from spanforge.llm.common import importable, shared_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k * 7919 % 1013}" for k in range(20_000))
@@ -49,7 +51,7 @@ def test_stages_take_odd_rows_and_keep_columns(spark, odd, none, tmp_path):
     labels(spark, [(4, 1, None), (6, 0, 1), (None, 0, 1)]).write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (clashing(odd), none):
         n = {}
-        for name, stage in corpus_pipeline.STAGES:
+        for name, stage in pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path)).persist()
             n[name] = out.count()
             if name != "encoding":
@@ -131,6 +133,32 @@ def test_archives_of_odd_pages(spark):
     assert warc.archive_and_read(pages.filter("false")).count() == 0
     key = pages.select(warc.url_key(F.lit("http://www.A.org:80/x?y")).alias("k")).first().k
     assert key == "org,a,www):80/x?y"
+    texts = {(r.page_id, r.url, None if r.payload is None else bytes(r.payload).decode()) for r in warc.archive_and_read(pages, payloads=True).collect()}
+    assert texts == {(i, u, None if i in (1, 3) else t or "") for i, u, t in rows}
+
+
+def test_a_lookup_reads_what_it_needs(spark):
+    """Ten records of 8 MB: the bytes that the file system gave, and the records as any reader of archives sees them."""
+    importable(spark)
+    rng = np.random.default_rng(4)
+    rows = [(k, f"http://h{k}.org/ü", rng.integers(97, 123, 4_000, dtype=np.uint8).tobytes().decode()) for k in range(3_000)]
+    archives = warc.write_archives(warc.with_record_types(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)), shared_path(spark, "warc-test"))
+    index = warc.write_index(warc.captures(archives), shared_path(spark, "warc-test-index"))
+    size = archives.agg(F.sum(F.length("data"))).first()[0]
+    assert size > 6_000_000
+
+    def read():
+        stats = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+        return sum(x.getBytesRead() for x in stats if x.getScheme() == "file")
+
+    before = read()
+    wanted = spark.createDataFrame([(f"org,h7)/ü", 7)], "key string, page_id long")
+    found = warc.read_records(warc.lookup(wanted, index), archives, payloads=True).collect()
+    assert [(r.page_id, r.url, bytes(r.payload).decode()) for r in found] == [rows[7]] and read() - before < size / 2
+    member = next(bytes(r.data) for r in archives.filter("name = '000000-000000'").collect())
+    records = gzip.decompress(member).split(b"WARC/1.1\r\n")[1:]
+    names = [re.search(rb"WARC-Record-ID: <urn:uuid:[0-9a-f-]{36}>", r)[0] for r in records]
+    assert len({*names}) == len(records) and all(rb"%C3%BC" in r and b"\r\n\r\nHTTP/1.1 200 OK\r\n" in r for r in records)
 
 
 def test_texts_beyond_24_bits_of_places(spark):
