@@ -4,6 +4,8 @@ Every source gets a share of the whole by weight. A source may be repeated ``max
 above that is clamped and the excess goes to the others by weight, again and again until none is above. A document is
 then repeated as often as its source's rate says: the whole part for every document, the fractional part for the
 documents that come first in a seeded order, the last of them in part, so that the words taken meet the target.
+Clamping is found in one pass: sources are clamped in the order of cap over weight, so a sum over those before a source
+tells the level at which it would be reached.
 
 Defined results: a null source is a source of its own, sorted last; null and empty texts have size 0 and are taken 0
 times; repeated rows and ids count as often as they occur; an empty table gives no rows.
@@ -38,22 +40,30 @@ def ranked_sources(sources: DataFrame) -> DataFrame:
 
 
 def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
-    """Add ``target`` to (source, source_size, weight); each round clamps what is above its cap and reshares the rest."""
-    filled = sources.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))).withColumn("clamped", F.lit(False))
-    level = 0.0
-    while True:
-        row = filled.agg(
-            F.sum(F.when(F.col("clamped"), F.col("cap")).otherwise(0.0)).alias("used"),
-            F.sum(F.when(F.col("clamped"), 0.0).otherwise(F.col("weight"))).alias("open_weight"),
-            F.count_if(F.col("clamped")).alias("n"),
-        ).first()
-        if not row.open_weight:
-            break
-        level = max(0.0, (total - row.used) / row.open_weight)
-        filled = filled.withColumn("clamped", F.col("clamped") | (F.col("weight") * F.lit(level) > F.col("cap")))
-        if filled.agg(F.count_if(F.col("clamped"))).first()[0] == row.n:
-            break
-    return filled.withColumn("target", F.when(F.col("clamped"), F.col("cap")).otherwise(F.col("weight") * F.lit(level))).drop("cap", "clamped")
+    """Add ``target`` to (source, source_size, weight): clamp what is above its cap, reshare the excess by weight, until none is.
+
+    The level that the others share rises with each source that is clamped, so sources are clamped in the order of
+    cap / weight. Sources with the same ratio go together: at their ratio r the clamped ones are those below r, and the
+    level is (total - their caps) / weight of the rest; the sources of ratio r stay below their caps where that is at most r.
+    """
+    caps = sources.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    per_ratio = caps.groupBy("ratio").agg(F.sum("cap").alias("caps"), F.sum("weight").alias("weights"))
+    # sums over all smaller ratios: within ranges, and over the ranges before
+    ranged = checkpoint(per_ratio.repartitionByRange("ratio").withColumn("range_no", F.spark_partition_id()))
+    ranges = ranged.groupBy("range_no").agg(F.sum("caps").alias("range_caps"), F.sum("weights").alias("range_weights"))
+    # one row per shuffle partition, whatever the input
+    so_far = W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("range_no", F.coalesce(F.sum("range_caps").over(so_far), F.lit(0.0)).alias("caps_far"), F.coalesce(F.sum("range_weights").over(so_far), F.lit(0.0)).alias("weights_far"))
+    near = W.partitionBy("range_no").orderBy("ratio").rowsBetween(W.unboundedPreceding, -1)
+    below = ranged.join(F.broadcast(ranges), "range_no").select(
+        "ratio", (F.coalesce(F.sum("caps").over(near), F.lit(0.0)) + F.col("caps_far")).alias("used"), (F.coalesce(F.sum("weights").over(near), F.lit(0.0)) + F.col("weights_far")).alias("clamped_weight"),
+    )
+    weights = caps.agg(F.sum("weight")).first()[0] or 0.0
+    level = (F.lit(total) - F.col("used")) / (F.lit(weights) - F.col("clamped_weight"))
+    # the smallest ratio that its level does not exceed; where there is none, all are clamped
+    first = below.filter(level <= F.col("ratio")).agg(F.min_by(level, "ratio").alias("level")).first()
+    filled = F.lit(max(0.0, first.level)) * F.col("weight") if first.level is not None else F.col("cap")
+    return caps.withColumn("target", F.least("cap", filled)).drop("cap", "ratio")
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
@@ -104,24 +114,27 @@ def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[float, ...] =
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows: a document once per whole repetition, and a partial one cut after its share of words.
+    """The mix as rows: a document once for each time it is taken whole; the one that the mix takes in part is taken whole
+    from half of it on, else left out, so texts are never cut.
 
-    A document of size 0 takes no words and stays once; the columns are those of ``docs``, whatever their names.
+    A document of size 0 takes no words and stays once; equal rows share their copies out; the columns are those of
+    ``docs``, whatever their names.
     """
     # the row travels as one column, so that its columns may have any names
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("row_key"))
-    sized = keyed.select("row_key", "row.source", word_count(F.col("row.text")).alias("size"))
-    # equal rows share a decision, so one of them carries it
-    plan = mix(sized, id_column="row_key", **options).groupBy("row_key").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id"), F.col("source"), F.xxhash64(text), F.length(text)).alias("row_key"))
+    taken = mix(keyed.select("row_key", "row.source", word_count(F.col("row.text")).alias("size")), id_column="row_key", **options)
     words = F.greatest(F.col("size"), F.lit(1))
-    joined = keyed.join(plan, "row_key").withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / words)).otherwise(F.lit(1))).withColumn("part", F.when(F.col("size") > 0, F.col("taken") % words).otherwise(F.lit(0)))
-    times = (F.col("whole") + (F.col("part") > 0).cast("int")).cast("int")
-    copies = joined.filter(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
-    partial = F.col("copy") > F.col("whole")
-    head = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
-    changed = {"text": head, "n_chars": F.length(head)}
-    columns = [F.when(partial, changed[f.name].cast(f.dataType)).otherwise(F.col(f"row.`{f.name}`")).alias(f.name) if f.name in changed else F.col(f"row.`{f.name}`").alias(f.name) for f in docs.schema]
-    return copies.select(*columns)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / words) + (2 * (F.col("taken") % words) >= words).cast("long")).otherwise(F.lit(1))
+    plan = taken.groupBy("row_key").agg(F.sum(times).alias("times"), F.count("*").alias("rows"))
+    joined = keyed.join(plan, "row_key")
+    left = F.col("times") % F.col("rows")
+    each = F.floor(F.col("times") / F.col("rows"))
+    even = joined.filter(left == 0).withColumn("n", each)
+    # equal rows of which the mix takes some more often than others
+    uneven = joined.filter(left > 0).withColumn("n", each + (F.row_number().over(W.partitionBy("row_key").orderBy(F.lit(0))) <= left).cast("long"))
+    copies = even.unionByName(uneven).filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return copies.select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

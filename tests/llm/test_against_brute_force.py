@@ -14,8 +14,8 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from spanforge.llm import classlm, difference_cover, kmeanstree, minhash, pieces, registry, suffix_dedup, topk, toxicity, vectors
+
+from spanforge.llm import classlm, difference_cover, kmeanstree, minhash, mixing, pieces, pipeline, registry, suffix_dedup, topk, toxicity, vectors
 from spanforge.llm.common import importable, table
 
 
@@ -110,6 +110,19 @@ def test_mix(run, docs):
     assert sorted(map(tuple, run("op4_mixing").to_numpy().tolist())) == sorted(map(tuple, got.to_numpy().tolist()))
 
 
+def test_mixed_documents_are_whole(spark):
+    importable(spark)
+    rows = [(k % 30, f"word{k % 30}\n" * (k % 7), "abc"[k % 3]) for k in range(90)] + [(99, "x y", "a")] * 7 + [(1, "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter(map(tuple, mixing.mixed_documents(docs).collect()))
+    own = collections.Counter(rows)
+    sizes = lambda t: len(t.split())
+    plan = {(r.source): r.target for r in mixing.mix(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).collect()}
+    assert set(got) <= set(own) and all(got[r] <= 3 * own[r] for r in got) and all(got[r] == own[r] for r in own if not sizes(r[1]))
+    for source, target in plan.items():
+        assert abs(sum(n * sizes(r[1]) for r, n in got.items() if r[2] == source) - target) <= 6
+
+
 def test_neighbours_reach_their_recall(run, spark):
     got = run("op5_neighbours")
     v = table(spark, SMALL, "embeddings").toPandas()
@@ -352,7 +365,7 @@ def test_sets_of_one_name_are_told_apart(spark):
 def test_pipeline(spark, docs):
     importable(spark)
     steps, now = {}, table(spark, SMALL, "documents")
-    for name, stage in corpus_pipeline.STAGES:
+    for name, stage in pipeline.STAGES:
         now = spark.createDataFrame(stage(spark, now, SMALL).toPandas()) if name != "encoding" else stage(spark, now, SMALL)
         steps[name] = now.toPandas()
     clean = steps["toxicity"].sort_values("doc_id").reset_index(drop=True)
