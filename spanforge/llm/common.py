@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,12 +50,18 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, the context's checkpoint
+    folder, or on one machine a temporary one. A cluster without such a folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         known = context._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spanforge-")
+        if known.isDefined():
+            folder = known.get()
+        elif re.match(r"local(\[|$)", context.master):
+            folder = tempfile.mkdtemp(prefix="spanforge-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
+from spanforge.llm import pipeline
 from spanforge.llm.classlm import op9_class_lm
 from spanforge.llm.kmeanstree import op5_neighbours
 from spanforge.llm.language import op7_language
@@ -31,7 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_class_lm": op9_class_lm,
         "op10_near_duplicates": op10_near_duplicates,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
