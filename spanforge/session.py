@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,6 +40,10 @@ def importable(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanforge-")
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, or on one machine a temporary one where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spanforge-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
