@@ -17,16 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import fold, table
+from spanforge.llm.common import fold, stored, table
 from spanforge.llm.hashing import U, by_bytes, mix
 
 #: Bytes in an n-gram, and cells probed for each.
 N, PROBES = 5, 3
 #: Documents learned from for each language, about (chosen by a hash of the text), and n-grams kept for each.
 SAMPLE_DOCS, GRAMS = 1_500, 60_000
+#: Languages that the filters hold at most; more are an error.
+LANGUAGES = 1_024
 #: An n-gram is in a language if its rate there is at least this share of its highest rate in any.
 LEAST_RATE = 0.25
 CELL_BITS = 20
@@ -63,8 +65,10 @@ def probes(hashes: np.ndarray) -> Iterator[np.ndarray]:
 def learn(docs: DataFrame) -> Filters:
     """Filters from (text, lang) rows; every language's n-grams are counted over its sample of whole texts."""
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     languages = sorted(sizes)
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; the filters hold {LANGUAGES} at most")
     if not languages:
         return Filters([], np.zeros((1, 1 << CELL_BITS), np.uint8), np.zeros(0))
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, SAMPLE_DOCS / n))])
@@ -80,7 +84,7 @@ def learn(docs: DataFrame) -> Filters:
                     found, n = np.unique(hashes[inside], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": found.view(np.int64), "n": n})
 
-    counted = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = stored(sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for item in totals.items() for x in item]), F.col("lang"))
     best = counted.withColumn("rate", rate)
@@ -88,9 +92,11 @@ def learn(docs: DataFrame) -> Filters:
     kept = best.join(most, "gram").filter((F.col("n") > 1) & (F.col("rate") >= LEAST_RATE * F.col("most")))
     dtype = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits or bits == 64)
     cells = np.zeros((-(-len(languages) // 64), 1 << CELL_BITS), dtype)
-    for k, name in enumerate(languages):  # a bounded table for each language
-        rows = kept.filter(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(GRAMS).select("gram").toPandas()["gram"]
-        for at in probes(rows.to_numpy(np.int64).view(np.uint64)):
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    chosen = kept.withColumn("place", place).filter(F.col("place") <= GRAMS).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
+    for row in chosen.toLocalIterator():  # a row of at most GRAMS n-grams for each language
+        k = languages.index(row.lang)
+        for at in probes(np.array(row.grams, np.int64).view(np.uint64)):
             cells[k // 64][at] |= dtype(1 << k % 64)
     load = np.array([np.mean(cells[k // 64] >> dtype(k % 64) & dtype(1)) for k in range(len(languages))])
     return Filters(languages, cells, load**PROBES)
