@@ -15,7 +15,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 
-from spanforge.llm import classlm, difference_cover, kmeanstree, minhash, mixing, pieces, pipeline, registry, suffix_dedup, topk, toxicity, vectors
+from spanforge.llm import classlm, difference_cover, kmeanstree, language, minhash, mixing, pieces, pipeline, registry, suffix_dedup, topk, toxicity, vectors
 from spanforge.llm.common import importable, table
 
 
@@ -265,6 +265,108 @@ def test_language_model(run, docs):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_scores_are_those_of_the_class_model(spark, docs):
+    """The model's classes, read back and counted by plain means, give the query's scores; words sit where their neighbours want them."""
+    importable(spark)
+    split = {i: [*(t or "").encode().lower().split(), None] for i, t in zip(docs.doc_id, docs.text)}
+    train = [ws for i, ws in split.items() if fold(i, 7) != 2]
+    rows = table(spark, SMALL, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    counts = classlm.word_counts(rows.filter(~held)).persist()
+    model = classlm.train(rows.filter(~held), counts)
+
+    def token(w):
+        h, shape, _ = classlm.tokens([w or b""])
+        return (h[:1], shape[:1]) if w else (h[-1:], shape[-1:])
+
+    words = {w for ws in split.values() for w in ws}
+    own = {w: int(model.classes.of(*token(w))[0][0]) for w in words}
+    assert own[None] == classlm.CLASSES - 1 and all(k < classlm.CLASSES - 1 for w, k in own.items() if w)
+    n = collections.Counter(w for ws in train for w in ws)
+    k, joint = classlm.CLASSES, np.zeros((classlm.CLASSES,) * 2)
+    for ws in train:
+        for a, b in zip([None, *ws[:-1]], ws):
+            joint[own[a], own[b]] += 1
+    prior = (joint.sum(axis=0) + 1) / (joint.sum() + k)
+    step = np.log10((joint + classlm.PRIOR * prior) / (joint.sum(axis=1, keepdims=True) + classlm.PRIOR))
+    size, kinds = np.zeros(k), np.zeros(k)
+    for w, c in n.items():
+        size[own[w]] += c
+        kinds[own[w]] += 1
+    got = {r.doc_id: r.score for r in classlm.score(rows.withColumn("held_out", held), model, counts).collect()}
+    for i, ws in split.items():
+        want = sum(step[own[a], own[b]] + math.log10((n[b] + 1) / (size[own[b]] + kinds[own[b]] + 1)) for a, b in zip([None, *ws[:-1]], ws))
+        assert math.isclose(got[i], want, rel_tol=1e-6)
+    # after any class the probabilities of all words and one unseen word of each class add up to 1 and no more
+    mass = sum(10 ** step[5, own[w]] * (c + 1) / (size[own[w]] + kinds[own[w]] + 1) for w, c in n.items())
+    assert 0.9 < mass <= 1 + 1e-9
+
+
+def test_words_go_where_their_neighbours_are(spark):
+    importable(spark)
+    rng = random.Random(3)
+    left, right = [f"l{k}a" for k in range(30)], [f"r{k}b" for k in range(30)]
+    rows = spark.createDataFrame([(" ".join(rng.choice(left) + " " + rng.choice(right) for _ in range(200)) + " " + " ".join(f"{rng.choice(left)} odd{k}x" for k in range(3)),) for _ in range(60)], "text string")
+    counts = classlm.word_counts(rows).persist()
+    frequent = classlm.most_frequent(counts, 10**6)
+    words = np.sort(frequent["h"].to_numpy(np.int64).view(np.uint64))
+    hash_of = lambda w: classlm.tokens([w.encode()])[0][0]
+    of = np.zeros(len(words), np.int64)
+    own = {w: int(np.searchsorted(words, hash_of(w))) for w in [*left, *right, "odd0x"]}
+    of[[own[w] for w in right]] = 1
+    of[np.searchsorted(words, 0)] = classlm.CLASSES - 1
+    of[own["odd0x"]] = 7
+    classes = classlm.Classes(words, of, np.zeros(1 << 16, np.int64))
+    fixed = np.ones(len(words), bool)
+    fixed[own["odd0x"]] = False
+    size, _ = classlm.class_sizes(counts, classes)
+    chosen = classlm.likeliest(rows, classes, fixed, classlm.smoothed(classlm.class_bigrams(rows, classes)), size)
+    assert chosen[own["odd0x"]] == 1 and (np.delete(chosen, own["odd0x"]) == np.delete(of, own["odd0x"])).all()
+
+
+def test_language_filters_against_plain_sets(spark):
+    importable(spark)
+    rng = random.Random(2)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(60))
+    rows = [(make(letters), lang) for lang, letters in (("a", "abcde"), ("b", "defgh"), ("c", "xyzab")) for _ in range(20)]
+    filters = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    windows = lambda t: [(b"\n" + t.lower().encode() + b"\n" * 5)[k : k + 5] for k in range(len(t.encode()) + 2)]
+    n = {lang: collections.Counter(g for t, x in rows if x == lang for g in windows(t)) for lang in "abc"}
+    rate = {lang: {g: c / sum(n[lang].values()) for g, c in n[lang].items()} for lang in "abc"}
+    want = {lang: {g for g, c in n[lang].items() if c > 1 and rate[lang][g] >= language.LEAST_RATE * max(r.get(g, 0) for r in rate.values())} for lang in "abc"}
+    hashed = lambda g: language.mix(np.array([int.from_bytes(g, "little")], np.uint64))
+    cells = {g: [int(p[0]) for p in language.probes(hashed(g))] for g in {g for s in n.values() for g in s}}
+    bits = {lang: {at for g in want[lang] for at in cells[g]} for lang in "abc"}
+    for k, lang in enumerate("abc"):
+        assert {int(x) for x in np.flatnonzero(filters.cells[0] >> k & 1)} == bits[lang]
+        assert math.isclose(filters.false_rate[k], (len(bits[lang]) / (1 << language.CELL_BITS)) ** language.PROBES)
+    texts = [t for t, _ in rows[::7]]
+    found, total = language.popcounts([t.lower().encode() for t in texts], filters)
+    assert [[sum(all(at in bits[lang] for at in cells[g]) for g in windows(t)) for lang in "abc"] for t in texts] == found.tolist() and [len(windows(t)) for t in texts] == total.tolist()
+    best, share = language.decide(np.array([[50.0, 30.0]]), np.array([100]), np.array([0.4, 0.1]))
+    # 10 / 0.6 against 20 / 0.9 true n-grams
+    assert best[0] == 1 and math.isclose(share[0], (20 / 0.9) / (20 / 0.9 + 10 / 0.6), rel_tol=1e-6)
+
+
+def test_the_composed_grammar_against_plain_rules():
+    scorer = toxicity.Scorer(toxicity.Lexicon({"fool": 0.9, "pest": 0.6}, {}), toxicity.grammar())
+    rng, words = random.Random(4), ["fool", "pest", "kill", "burn", "you", "not", "said", "tree", "sky"]
+    for _ in range(500):
+        clause, calm = [rng.choice(words) for _ in range(rng.randrange(1, 9))], 1.0
+        near, heard, aimed = 0, False, False  # words that a negation still reaches, a verb of saying, someone addressed
+        for k, w in enumerate(clause):
+            if w == "not":
+                near = 3
+                continue
+            factor = (0.5 if near else 1.0) * (0.6 if heard else 1.0)
+            if w in ("fool", "pest"):
+                calm *= 1 - min(0.99, factor * 0.8 * (1.25 if aimed else 1.0) * {"fool": 0.9, "pest": 0.6}[w])
+            if w in ("kill", "burn"):
+                calm *= 1 - min(0.99, factor * (0.5 if aimed or "you" in clause[k + 1 :] else 0.02))
+            near, heard, aimed = max(0, near - 1), heard or w == "said", aimed or w == "you"
+        assert math.isclose(scorer.score(" ".join(clause)), 1 - calm, rel_tol=1e-9, abs_tol=1e-12), clause
+
+
 def test_rare_words_come_from_the_join(spark, docs, monkeypatch):
     monkeypatch.setattr(classlm, "DICTIONARY", 50)
     importable(spark)
