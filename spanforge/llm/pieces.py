@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import table
+from spanforge.llm.hashing import by_bytes
 
 SPACE = "▁"
-#: Words kept in a worker's cache before it is begun anew.
-CACHE_WORDS = 120_000
+#: Words kept in a worker's cache, and their bytes, before it is begun anew.
+CACHE_WORDS, CACHE_BYTES = 120_000, 4 << 20
 
 
 class CharacterMap:
@@ -88,6 +89,7 @@ class Codec:
         inner = any(SPACE in p.piece.lstrip(SPACE) or "\n" in p.piece for p in model.pieces)
         self.by_words = not inner and not len(self.map.units) and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and model.trainer_spec.byte_fallback
         self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.held = 0
 
     # normalisation
 
@@ -98,17 +100,24 @@ class Codec:
         if SPACE in text:  # a three-byte sign became one byte
             wide = np.frombuffer(b"".join(b"\3\0\0" if c == SPACE else b"\1" * len(c.encode()) for c in text), np.uint8)
             shift[1:] = np.cumsum(wide[wide > 0]) - np.arange(1, len(data) + 1)
-        out, source, at = bytearray(), [], 0
-        blank = True
-        if spec.add_dummy_prefix and data:
+        if not len(self.map.units) and not spec.remove_extra_whitespaces:
+            # an empty map has no prefix to find: every byte comes from itself
+            front = b" " if spec.add_dummy_prefix and data else b""
+            own = np.arange(len(data) + 1) + shift
+            return front + data, np.concatenate([own[: len(front)], own])
+        def prefix(at: int) -> tuple[int, bytes]:
+            """Length of the longest known prefix, else of one character, and what it becomes."""
+            width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+            return self.map.longest(data, at) or (width, data[at : at + width])
+
+        out, source, at, blank = bytearray(), [], 0, True
+        while spec.remove_extra_whitespaces and at < len(data) and prefix(at)[1] == b" ":
+            at += prefix(at)[0]
+        if spec.add_dummy_prefix and at < len(data):
             out += b" "
-            source.append(0)
+            source.append(at)
         while at < len(data):
-            hit = self.map.longest(data, at)
-            if hit is None:
-                width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-                hit = width, data[at : at + width]
-            size, new = hit
+            size, new = prefix(at)
             for k, byte in enumerate(new):
                 if spec.remove_extra_whitespaces and byte == 0x20 and blank:
                     continue
@@ -116,12 +125,12 @@ class Codec:
                 out.append(byte)
                 source.append(at + (k if new == data[at : at + size] else 0))
             at += size
-        if spec.remove_extra_whitespaces:
-            while out[-1:] == b" ":
-                out.pop()
-                source.pop()
-        aligned = np.array([*source, len(data)], np.int64)
-        return bytes(out), aligned + shift[np.minimum(aligned, len(data))]
+        end = len(data)
+        while spec.remove_extra_whitespaces and out[-1:] == b" ":
+            out.pop()
+            end = source.pop()
+        aligned = np.array([*source, end], np.int64)
+        return bytes(out), aligned + shift[aligned]
 
     # encoding
 
@@ -129,9 +138,11 @@ class Codec:
         """The words of each text; those not yet known are encoded together and cached."""
         split = [WORDS.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         new = {w for words in split for w in words if w not in self.words}
-        if len(self.words) + len(new) > CACHE_WORDS:
+        self.held += sum(map(len, new))
+        if len(self.words) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.words.clear()
             new = {w for words in split for w in words}
+            self.held = sum(map(len, new))
         fresh = list(new)
         for start in range(0, len(fresh), 20_000):
             part = fresh[start : start + 20_000]
@@ -156,9 +167,7 @@ class Codec:
             edges = np.zeros(1, np.int64)
             if parts:
                 edges = np.concatenate([edges, np.cumsum(np.frombuffer(b"".join([p[2] for p in parts]), np.uint8), dtype=np.int64)])
-                edges = np.maximum(edges - 1, 0)  # the blank put before the text has no source
-                if SPACE in text:
-                    edges = self.normalise(text)[1][1:][edges]
+                edges = self.normalise(text)[1][edges]
             yield " ".join([*[p[0] for p in parts], str(self.end)]), sum([p[1] for p in parts]) + 1, edges
 
     # decoding
@@ -177,7 +186,7 @@ class Codec:
 
 WORDS = re.compile(r" +[^ \n]*|\n[^ \n]*")
 #: Rows handled together; a batch's texts and results are in memory at once.
-ROWS = 1_000
+ROWS, ROWS_BYTES = 1_000, 1 << 20
 _codecs: dict[str, Codec] = {}
 
 
@@ -193,10 +202,12 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batches(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for start in range(0, len(frame), ROWS):
-            yield frame.iloc[start : start + ROWS]
+            part = frame.iloc[start : start + ROWS]
+            for low, high in by_bytes(part[text].tolist(), ROWS_BYTES, lambda t: 0 if t is None else len(t)):
+                yield part.iloc[low:high]
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, text: str = "text", spans: bool = True) -> DataFrame:
@@ -205,7 +216,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, text: str = "tex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
-        for frame in _batches(frames):
+        for frame in _batches(frames, text):
             ids, starts, ends = [], [], []
             for joined, _, edges in own.encode_batch(["" if t is None else t for t in frame[text]]):
                 ids.append(np.array(joined.split(" "), np.int32))
@@ -235,7 +246,7 @@ def encode_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
-        for frame in _batches(frames):
+        for frame in _batches(frames, "text"):
             rows = []
             for joined, n, edges in own.encode_batch(["" if t is None else t for t in frame["text"]]):
                 decoded = own.decode(list(map(int, joined.split(" "))))

@@ -178,6 +178,37 @@ def test_character_map_takes_the_longest_prefix():
     assert own.longest(b"ac", 0) == (1, b"x") and own.longest(b"cab", 1) == (2, b"yz") and own.longest(b"q", 0) is None
 
 
+@pytest.mark.parametrize("trim", [False, True])
+def test_a_map_with_entries_end_to_end(spark, tmp_path, trim):
+    """The registered model with the library's own NFKC map: ids, decoded texts and spans are the library's."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.default_model(), "rb") as file:
+        model.ParseFromString(file.read())
+    own = sentencepiece_model_pb2.ModelProto()
+    own.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    model.normalizer_spec.precompiled_charsmap = own.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = trim
+    path = f"{tmp_path}/mapped.model"
+    with open(path, "wb") as file:
+        file.write(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(6)
+    texts = ["Ｆｕｌｌ ｗｉｄｔｈ ﬁne ① ㍿ e\u0301 ½", "", "  two  blanks ", "plain"] + ["".join(rng.choice("aé ①ﬁＡ㌔z ½\u0301カ゛.") for _ in range(rng.randrange(30))) for _ in range(80)]
+    importable(spark)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces.decode_documents(pieces.encode_documents(rows, path), path).collect()}
+    assert len(pieces.Codec(path).map.units)
+    for k, text in enumerate(texts):
+        want = library.encode(text, return_type="proto")
+        assert list(got[k].ids) == [*(p.id for p in want.pieces), library.eos_id()] and got[k].decoded == library.decode(list(got[k].ids))
+        for p, start, end in zip(want.pieces, got[k].piece_starts, got[k].piece_ends):
+            if not library.is_byte(p.id):
+                assert (p.begin, p.end) == (start, end), (text, p.piece)
+
+
 def test_languages_held_out(run, docs):
     got = run("op7_language").set_index("doc_id")
     lang = dict(zip(docs.doc_id, docs.lang))
