@@ -122,14 +122,18 @@ def agreeing_pairs(signatures: np.ndarray, least: int, left: np.ndarray | None =
             others = np.arange(i + 1, len(signatures))
         if sizes is not None:
             others = others[np.minimum(sizes[others], sizes[i]) >= share * np.maximum(sizes[others], sizes[i])]
-        equal = (signatures[others] == signatures[i]).sum(axis=1)
+        equal = (signatures[others] == signatures[i]).sum(axis=1, dtype=np.uint16)
         keep = equal >= least
         if keep.any():
-            found.append(np.stack([equal[keep], np.full(keep.sum(), i), others[keep]]))
+            found.append((equal[keep].astype(np.uint8), np.full(keep.sum(), i, np.uint16), others[keep].astype(np.uint16)))
     if found:
-        joined = np.concatenate(found, axis=1)
-        for k in np.argsort(-joined[0], kind="stable").tolist():
-            yield int(joined[1, k]), int(joined[2, k])
+        # a close pair of blocks has a million pairs: small numbers, handed on a few at a time
+        equal, one, other = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        order = np.argsort(255 - equal, kind="stable").astype(np.uint32)
+        for k in range(0, len(order), 1 << 14):
+            part = order[k : k + (1 << 14)]
+            yield from zip(one[part].tolist(), other[part].tolist(), strict=True)
 
 
 def _blocks(rows: DataFrame, group: str) -> DataFrame:
