@@ -54,7 +54,9 @@ def phrase_join(docs: DataFrame, doc_id: str, text_tokens: str, keys: DataFrame,
     if sizes.n <= TRIGGERS_IN_ROW:
         triggers = [r.trigger for r in entries.select("trigger").distinct().collect()]
         tokens = F.col(text_tokens)
-        hits = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(triggers), F.struct(t.alias("trigger"), i.alias("at")))), lambda x: x.isNotNull())
+        # as SQL, for one literal at a time is slow to hand over
+        quoted = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in triggers) or "NULL"
+        hits = F.expr(f"filter(transform(`{text_tokens}`, (t, i) -> IF(t IN ({quoted}), struct(t AS trigger, i AS at), NULL)), x -> x IS NOT NULL)")
         begin = lambda at: F.greatest(at - F.lit(sizes.before or 0), F.lit(0))
         runs = F.transform(hits, lambda x: F.struct(x["trigger"], x["at"], begin(x["at"]).alias("low"), F.slice(tokens, begin(x["at"]) + 1, F.lit((sizes.before or 0) + (sizes.after or 1))).alias("run")))
         near = docs.select(doc_id, F.explode(runs).alias("_x")).select(doc_id, "_x.*").join(F.broadcast(entries), "trigger")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.documents import html_to_text
 from spanforge.functions.text import normal_text
 from spanforge.queries.registry import query
+from spanforge.queries.spanning import COLLAPSED, SIX_HOURS
 from spanforge.session import scratch, table
 from spanforge.sources import files, sinks
 from spanforge.streaming import events as streams
@@ -73,6 +74,18 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("event_type", F.date_format("began", "yyyy-MM-dd").alias("began"), "n")
 
 
+@query("streamed_duplicates", COLLAPSED.replace("unnest(o) AS x", "unnest(o[:-2]) AS x"))
+def streamed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate collapse as state; what is still open at the end of the stream has not come out."""
+    source, out = table(spark, sf_dir, "events"), scratch(spark, "occurrences")
+    schema = ", ".join(f"{c} {k}" for c, k in source.dtypes)
+    rows = streams.read_events(spark, f"{sf_dir}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("p", (F.floor("value") % 4).cast("int"))
+    found = streams.collapsed(rows, ["user_id", "event_type"], "ts", "event_id", "p", SIX_HOURS, late="4000 days")
+    streams.run_available(found, f"{out}/state", lambda df, _: df.write.mode("append").parquet(f"{out}/rows"))
+    rows = spark.read.schema(f"user_id {dict(source.dtypes)['user_id']}, event_type string, {streams.OCCURRENCE}").parquet(f"{out}/rows")
+    return rows.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+
+
 @query("streamed_spans")
 def streamed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans folded as state."""

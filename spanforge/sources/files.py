@@ -49,6 +49,25 @@ def by_header(spark: SparkSession, pattern: str, required: Sequence[str], **opti
     return [read(columns, paths) for columns, paths in layouts.items()]
 
 
+def row_count(spark: SparkSession, pattern: str) -> int:
+    """Data rows of CSV files that are not loaded otherwise; a pattern without files has none."""
+    try:
+        return spark.read.options(header=True, multiLine=True, escape='"').csv(pattern).count()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return 0
+
+
+def feature_collection(spark: SparkSession, path: str, properties: T.StructType | str) -> DataFrame:
+    """(lng, lat, *properties) of a GeoJSON file's point features; other geometries have no point."""
+    kind = properties if isinstance(properties, str) else properties.simpleString().removeprefix("struct<").removesuffix(">")
+    schema = f"features array<struct<geometry: struct<type: string, coordinates: string>, properties: struct<{kind}>>>"
+    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    point = F.when(F.col("f.geometry.type") == "Point", F.from_json("f.geometry.coordinates", "array<double>"))
+    return features.select(point[0].alias("lng"), point[1].alias("lat"), "f.properties.*")
+
+
 def all_of(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 

@@ -1,5 +1,7 @@
 """Operators on small hand-made tables."""
 
+import io
+import zipfile
 import datetime as dt
 import random
 
@@ -76,7 +78,11 @@ def test_text_keys(spark):
 def test_documents_to_text():
     assert documents.html_text("<head><title>x</title></head><p>a&amp;b</p><script>no</script><p>c") == "a&b\n\nc"
     assert documents.rtf_text(rb"{\rtf1{\fonttbl x}a\bin3 }}}b\par c}") == "ab\nc"
-    assert documents.decoded("é".encode("cp1252")) == "é"
+    assert documents.decoded("é".encode("cp1252")) == "é" and documents.decoded("\ufeffé".encode()) == "é" and documents.decoded(b"\xe9\x81") == "é\x81"
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        archive.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>one &amp; </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>three</w:t></w:r></w:p></w:body></w:document>')
+    assert documents.docx_text(packed.getvalue()) == "one & two\n\nthree"
 
 
 def test_capitalised_within_a_sentence(spark):

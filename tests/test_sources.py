@@ -148,3 +148,11 @@ def test_sinks(spark, tmp_path):
     assert sinks.flat(df, ["k", "l"]).first().l == '["a"]'
     assert len(sinks.nested_profile(a=df.select("k"), b=df.select("x")).first().a) == 2
     assert sinks.publish({"t": df}, ["t", "u"], str(tmp_path / "p")) == ["t"]
+
+
+def test_points_of_a_feature_collection_and_rows_not_loaded(spark, tmp_path):
+    (tmp_path / "f.geojson").write_text('{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1.5, 2]}, "properties": {"a": "x", "n": 3}}, {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}, "properties": {"a": null}}]}')
+    got = [tuple(r) for r in files.feature_collection(spark, f"{tmp_path}/f.geojson", "a string, n long").collect()]
+    assert got == [(1.5, 2.0, "x", 3), (None, None, None, None)]
+    (tmp_path / "p.csv").write_text('a,b\n1,"two\nlines"\n3,4\n')
+    assert files.row_count(spark, f"{tmp_path}/*.csv") == 2 and files.row_count(spark, f"{tmp_path}/none*.csv") == 0
