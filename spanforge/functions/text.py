@@ -42,8 +42,9 @@ def squeeze(text: Column) -> Column:
 
 def match_key(text: Column) -> Column:
     """A name's key: folded, lower case, without the article, letters and digits only."""
-    plain = F.regexp_replace(F.lower(fold_accents(straight(text))), r"\bthe\b", " ")
-    return squeeze(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    plain = F.regexp_replace(F.lower(F.translate(text, CURLY + ACCENTED, STRAIGHT + PLAIN)), r"\bthe\b", " ")
+    # runs of anything else are one blank already
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def search_fold(text: Column) -> Column:

@@ -84,10 +84,24 @@ def handoff_or_contested(spans: DataFrame, entity: str, holder: str, start: str,
     return grouped.select(entity, F.when(~contested, F.col("_last")).alias("holder"), "n_holders", contested.alias("contested"))
 
 
+def _parted(rows: DataFrame, keys: Sequence[str], part: str, column: str, lat: str, lng: str, km: float) -> DataFrame:
+    """Number the runs of ``column`` between gaps that no two places nearer than ``km`` can span; places without coordinates are a run."""
+    whole, along = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(column)
+    # a little less than the length of a degree; for longitudes at the place farthest from the equator
+    degree = F.lit(111.0) if column == lat else 111.0 * F.cos(F.radians(F.max(F.abs(lat)).over(whole)))
+    gap = (F.col(column) - F.lag(column).over(along)) * degree > km
+    if column == lng:
+        # degrees bend over wide gaps, and the ends of the scale meet
+        gap = gap & (F.max(lng).over(whole) - F.min(lng).over(whole) < 20)
+    marked = rows.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
+    return marked.withColumn(part, F.sum("_gap").over(along.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_gap")
+
+
 def greedy_proximity(places: DataFrame, key: str, place_id: str, lat: str, lng: str, order: str, km: float) -> DataFrame:
     """(key, place_id, kept_id): places of a key in order; each goes to the first kept one nearer than ``km``, else is kept.
 
-    Not transitive, so a key's places are folded in order. A key is a name: its places are few.
+    Not transitive, so places are folded in order. Only places near one another matter to each other: a key's places are
+    parted first wherever a stretch of latitude or longitude wider than ``km`` is empty, and each part is folded alone.
     """
     import numpy as np
 
@@ -109,7 +123,10 @@ def greedy_proximity(places: DataFrame, key: str, place_id: str, lat: str, lng:
         return pd.DataFrame({key: frame[key].to_numpy(), place_id: ids, "kept_id": out})
 
     kinds = dict(places.dtypes)
-    return places.select(*dict.fromkeys([key, place_id, lat, lng, order])).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {place_id} {kinds[place_id]}, kept_id {kinds[place_id]}")
+    rows = places.select(*dict.fromkeys([key, place_id, lat, lng, order]))
+    for part, column in (("_north", lat), ("_east", lng), ("_again", lat)):
+        rows = _parted(rows, [key, *(c for c in ("_north", "_east") if c in rows.columns)], part, column, lat, lng, km)
+    return rows.groupBy(key, "_north", "_east", "_again").applyInPandas(fold, f"{key} {kinds[key]}, {place_id} {kinds[place_id]}, kept_id {kinds[place_id]}")
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import dates, text
 from spanforge.operators import joins, windows
 from spanforge.queries.registry import query
-from spanforge.session import table
+from spanforge.session import spread, table
 
 
 
@@ -49,12 +49,6 @@ def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("key", F.array_join("key_tokens", " "))
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than cores dealt anew, before work that is heavy per row."""
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 PHRASE_SQL = """
     WITH b AS (SELECT DISTINCT string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '\\bthe\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS k FROM benchmark),
     k AS (SELECT DISTINCT array_to_string(k[1:3], ' ') AS key FROM b WHERE len(k) >= 3), l AS (SELECT DISTINCT array_to_string(k, ' ') AS key FROM b WHERE len(k) > 3),
@@ -68,7 +62,7 @@ PHRASE_SQL = """
 @query("phrase_join_candidates", PHRASE_SQL + """
     SELECT doc_id, key, n, first_at, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(key) DESC, n DESC, key) AS rank FROM h) WHERE rank <= 25""")
 def phrase_join_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split(text.match_key(F.col("text")), " ").alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split(text.match_key(F.col("text")), " ").alias("tokens"))
     hits = joins.phrase_join(docs, "doc_id", "tokens", phrases(spark, sf_dir), "key", "key_tokens")
     return windows.best_rows(hits, ["doc_id"], [F.desc(F.length("key")), F.desc("n"), F.col("key")], 25)
 
@@ -76,7 +70,7 @@ def phrase_join_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("three_gate_match", PHRASE_SQL + """
     SELECT doc_id, lang, key FROM (SELECT doc_id, lang, key, row_number() OVER (PARTITION BY doc_id ORDER BY first_at, key) AS rn FROM h JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') AND substr(key, 1, 1) IN ('t', 'a', 'e')) WHERE rn = 1""")
 def three_gate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(spark, table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "de")).select("doc_id", "lang", "text"))
+    docs = spread(table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "de")).select("doc_id", "lang", "text"))
     tokens = docs.select("doc_id", F.split(text.match_key(F.col("text")), " ").alias("tokens"))
     allowed = phrases(spark, sf_dir).filter(F.substring("key", 1, 1).isin("t", "a", "e"))
     hits = joins.phrase_join(tokens, "doc_id", "tokens", allowed, "key", "key_tokens").join(docs.select("doc_id", "lang"), "doc_id")

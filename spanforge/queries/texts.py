@@ -10,13 +10,13 @@ from spanforge.functions import dates, documents, geometry, hashing, numbers, te
 from spanforge.operators import aggregates, classify, validate
 from spanforge.plans.review import CATEGORIES, review_queue
 from spanforge.queries.registry import query
-from spanforge.session import table
+from spanforge.session import spread, table
 
 
 @query("match_key_norm", """
     SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '\\bthe\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS key FROM documents""")
 def match_key_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.match_key(F.col("text"))).alias("key"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(text.match_key(F.col("text"))).alias("key"))
 
 
 @query("company_keys", """

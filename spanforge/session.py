@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores dealt anew, before work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers of a local session find this package where it is not installed."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

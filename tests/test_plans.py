@@ -133,3 +133,20 @@ def test_collapse_between_gaps(spark):
         else:
             want.append((at, p, [o]))
     assert sorted((r.at, r["rank"], list(r.members)) for r in got.collect()) == sorted(want)
+
+
+def test_proximity_by_parts_is_that_of_the_whole(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), k, rng.choice([10.0, 40.0, 40.2]) + rng.random() / 40, rng.choice([-75.0, -70.0, 179.99]) + rng.random() / 40) for k in range(150)] + [("a", 200, None, None), ("a", 201, None, 1.0)]
+    got = {r.k: r.kept_id for r in windows.greedy_proximity(spark.createDataFrame(rows, "name string, k long, lat double, lng double"), "name", "k", "lat", "lng", "k", 1.0).collect()}
+
+    def km(a, b):
+        h = math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(h))
+
+    kept, want = [], {}
+    for row in rows:
+        near = [o for o in kept if o[0] == row[0] and None not in (row[2], row[3], o[2], o[3]) and km(o, row) < 1]
+        want[row[1]] = near[0][1] if near else row[1]
+        kept += [] if near else [row]
+    assert got == want
