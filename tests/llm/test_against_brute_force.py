@@ -258,7 +258,34 @@ def test_repeated_strings_of_all_alignments(spark):
     check_repeats(spark, texts)
 
 
-def test_large_groups_go_another_way(spark, monkeypatch):
+def branching_texts():
+    """Passages that go on in several ways, some of which go on alike for a while longer."""
+    rng = random.Random(12)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(12):
+        passage, ways = fresh(370), [fresh(90) for _ in range(3)]
+        texts += [fresh(30) + passage + way + fresh(rng.randrange(60, 160)) for way in ways for _ in range(2)]
+    return texts
+
+
+def test_the_suffix_order_decides(spark, monkeypatch):
+    """With right ranks the result is brute force's; with ranks in any other order it is not."""
+    texts = branching_texts()
+    check_repeats(spark, texts)
+    monkeypatch.setattr(suffix_dedup, "suffix_ranks", lambda strings, depth: strings.select("sid", F.transform("ts", lambda t, i: F.xxhash64("sid", i)).alias("ranks")))
+    with pytest.raises(AssertionError):
+        check_repeats(spark, texts)
+
+
+@pytest.mark.parametrize("most", [2, 3])
+def test_large_groups_go_another_way(spark, monkeypatch, most):
+    """Above 3 distinct contexts the runs of the rank order come from the scan over all tasks."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", most)
+    check_repeats(spark, branching_texts()[:18] + ["ab " * 200, "ab " * 180])
+
+
+def test_large_groups_of_shifted_copies(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", 3)
     rng = random.Random(3)
     passage = " ".join(str(rng.random()) for _ in range(40))
