@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import checkpoint
+from spanforge.llm.common import checkpoint, release
 
 
 def counts_before(keys: DataFrame, order: list[str], counts: list[str]) -> DataFrame:
@@ -53,6 +53,8 @@ def suffix_ranks(strings: DataFrame, depth: int = 3) -> DataFrame:
     named = triples.join(names, ["t0", "t1", "t2"]).select("sid", (F.col("pos") % 3).alias("m"), "pos", (F.col("n_before") + 1).alias("name"))
     halves = named.groupBy("sid", "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("ts"))
     halves = checkpoint(halves)
+    del triples, distinct, names, named  # their shuffle files go before the next level writes its own
+    release(strings.sparkSession)
     if depth > 1:
         below = suffix_ranks(halves.select(F.xxhash64("sid", "m").alias("sid"), "ts"), depth - 1).withColumnRenamed("sid", "key")
         halves = halves.select("sid", "m", F.xxhash64("sid", "m").alias("key")).join(below, "key").select("sid", "m", (F.transform("ranks", lambda r: r + 1)).alias("ts"))
@@ -60,6 +62,8 @@ def suffix_ranks(strings: DataFrame, depth: int = 3) -> DataFrame:
     both = strings.join(sides, "sid", "left").withColumn("r1", F.coalesce("r1", F.array().cast("array<long>"))).withColumn("r2", F.coalesce("r2", F.array().cast("array<long>")))
     rank = "coalesce(CASE (i + {0}) % 3 WHEN 1 THEN get(r1, CAST((i + {0}) DIV 3 AS INT)) WHEN 2 THEN get(r2, CAST((i + {0}) DIV 3 AS INT)) END, 0L)"
     all_ = checkpoint(both.selectExpr("sid", f"inline(transform(filter(sequence(0, greatest(size(ts) - 1, 0)), i -> i < size(ts)), i -> struct(i AS pos, i % 3 AS m, ts[i] AS t0, {at.format(1)} AS t1, {rank.format(1)} AS ra, {rank.format(2)} AS rb, {rank.format(0)} AS own)))"))
+    del halves, sides, both
+    release(strings.sparkSession)
     # the remaining suffixes among themselves and against each half of the sample
     one = all_.filter("m <> 2").groupBy("t0", "ra").agg(F.count_if(F.col("m") == 0).alias("n0"), F.count_if(F.col("m") == 1).alias("n1"))
     two = all_.filter("m <> 1").groupBy("t0", "t1", "rb").agg(F.count_if(F.col("m") == 0).alias("k0"), F.count_if(F.col("m") == 2).alias("k2"))
@@ -70,4 +74,7 @@ def suffix_ranks(strings: DataFrame, depth: int = 3) -> DataFrame:
     # a sampled suffix's own rank counts the smaller sampled ones
     sampled = first.unionByName(second).select("sid", "pos", (F.col("own") - 1 + F.col("less")).alias("rank"))
     ranked = rest.unionByName(sampled).groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "rank"))), lambda x: x["rank"]).alias("ranks"))
-    return checkpoint(ranked)
+    ranked = checkpoint(ranked)
+    del all_, one, two, rest, first, second, sampled
+    release(strings.sparkSession)
+    return ranked

@@ -36,8 +36,9 @@ LENGTH, WINDOW, GRAM = 400, 196, 8
 FOLLOWING = LENGTH - WINDOW + 1
 #: The most bytes that a start stands before its anchor.
 BEFORE = WINDOW - 1
-#: Anchors with the same symbol that one task compares; those of larger groups are compared over many tasks.
-GROUP = 1_000
+#: Anchors with the same symbol that one task compares; of larger groups only the distinct contexts are compared, and
+#: more of these than CONTEXTS over many tasks.
+GROUP, CONTEXTS = 1_000, 10_000
 #: Anchors compared at once, about; a group is not split.
 TOGETHER = 4_000
 #: Bytes whose anchors and hashes are computed at once, about; places in a slice are packed into 24 bits.
@@ -298,9 +299,9 @@ def _cold(members: DataFrame, fields: str) -> DataFrame:
 
 
 def _hot(contexts: DataFrame) -> DataFrame:
-    """(context, first, last) for groups of any size: the runs of the rank order are found by one scan over all tasks, and
+    """(context_no, first, last) for groups of any size: the runs of the rank order are found by one scan over all tasks, and
     starts are counted by (run, bytes before the anchor) with partial sums."""
-    order = ["following", "rank", "context"]
+    order = ["following", "rank", "context_no"]
     ranged = checkpoint(contexts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.spark_partition_id()))
     wanted = np.arange(LENGTH, LENGTH - BEFORE - 1, -1)  # bytes to share for d = 0, 1, ...
 
@@ -354,14 +355,14 @@ def _hot(contexts: DataFrame) -> DataFrame:
             for d in range(BEFORE + 1):
                 own = ((frame["least"] <= d) & (d <= frame["most"])).to_numpy()
                 if own.any():
-                    yield pd.DataFrame({"run": starts[own, d], "d": d, "h": h[own].view(np.int64), "context": frame["context"].to_numpy()[own]})
+                    yield pd.DataFrame({"run": starts[own, d], "d": d, "h": h[own].view(np.int64), "context_no": frame["context_no"].to_numpy()[own]})
                 if d < BEFORE:
                     h = mix(h * U(3) + left[:, d].astype(np.uint64) + U(1))
 
-    rows = ranged.mapInPandas(spread, "run long, d int, h long, context string")
-    again = stored(rows.groupBy("run", "d", "h").agg(F.count("*").alias("n"), F.min("context").alias("one")).filter("n > 1"), "again")
-    found = rows.join(again.select("run", "d", "h"), ["run", "d", "h"]).select("context", F.col("d").alias("first"), F.col("d").alias("last"))
-    return found.unionByName(ranged.filter("weight > 1").select("context", F.col("least").alias("first"), F.col("most").alias("last")))
+    rows = ranged.mapInPandas(spread, "run long, d int, h long, context_no long")
+    again = stored(rows.groupBy("run", "d", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    found = rows.join(again, ["run", "d", "h"]).select("context_no", F.col("d").alias("first"), F.col("d").alias("last"))
+    return found.unionByName(ranged.filter("weight > 1").select("context_no", F.col("least").alias("first"), F.col("most").alias("last")))
 
 
 def _repeats(asked: DataFrame) -> DataFrame:
@@ -375,12 +376,17 @@ def _repeats(asked: DataFrame) -> DataFrame:
     context = F.sha2(F.concat("around", F.encode(F.concat_ws(",", "following", "least", "most"), "utf-8")), 256).alias("context")
     members = _members(large, True).select("*", context)
     contexts = members.groupBy("context", "following", "least", "most", "around").agg(F.count("*").alias("weight"), F.min("rank").alias("rank"))
-    contexts = stored(contexts, "contexts")
-    sizes = stored(contexts.groupBy("following").agg(F.count("*").alias("m")), "context-sizes")
-    sized = contexts.join(sizes, "following")
-    few = _cold(sized.filter(F.col("m") <= GROUP), "context string")
-    many = _hot(sized.filter(F.col("m") > GROUP).drop("m"))
-    hot = members.select("context", "tid", "at").join(stored(few.unionByName(many), "context-repeats"), "context")
+    contexts = stored(contexts.withColumn("context_no", F.monotonically_increasing_id()), "contexts")
+    release(asked.sparkSession)
+    compared = contexts.drop("context")
+    sizes = contexts.groupBy("following").agg(F.count("*").alias("m"))
+    varied = stored(sizes.filter(F.col("m") > CONTEXTS).select("following"), "varied")
+    found = _cold(compared.join(varied, "following", "left_anti"), "context_no long")
+    if varied.limit(1).count():
+        found = found.unionByName(_hot(compared.join(varied, "following", "left_semi")))
+    found = stored(found.join(contexts.select("context_no", "context"), "context_no").drop("context_no"), "context-repeats")
+    release(asked.sparkSession)
+    hot = members.select("context", "tid", "at").join(found, "context")
     return cold.unionByName(hot.select(*columns))
 
 
