@@ -31,7 +31,7 @@ from spanforge.llm.hashing import BASE, U, by_bytes, mix, shingle_sets
 ROWS_PER_BAND, BANDS = 5, 28
 COORDINATES = ROWS_PER_BAND * BANDS
 #: Classes compared at once in a task; larger buckets and groups are compared block against block.
-BLOCK = 1_200
+BLOCK = 600
 #: Bytes of their sets, about.
 BLOCK_BYTES = 8 << 20
 #: Classes with more rows than this share of all, and than this number, meet their result by a broadcast of at most 1 / HOT rows.
@@ -85,22 +85,16 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text", text_key("text")).mapInPandas(run, "doc_id long, text_key long, n_shingles long, cid long, twin long, bands array<long>, signature binary")
 
 
-def _forest(ids: np.ndarray, pairs_by_rank: Iterator[tuple[int, int]], linked) -> list[tuple[int, int]]:
+def _forest(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], linked) -> list[tuple[int, int]]:
     """Tested edges that connect what can be connected; ``linked(i, j)`` is asked only for what is not yet connected."""
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
-    for i, j in pairs_by_rank:
-        a, b = root(i), root(j)
-        if a != b and linked(i, j):
-            parent[max(a, b)] = min(a, b)
-            edges.append((int(ids[i]), int(ids[j])))
+    label, edges = np.arange(len(ids)), []
+    for one, other in pairs:
+        apart = label[one] != label[other]
+        for i, j in zip(one[apart].tolist(), other[apart].tolist(), strict=True):
+            a, b = label[i], label[j]
+            if a != b and linked(i, j):
+                label[label == b] = a
+                edges.append((int(ids[i]), int(ids[j])))
     return edges
 
 
@@ -111,7 +105,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def agreeing_pairs(signatures: np.ndarray, least: int, left: np.ndarray | None = None, sizes: np.ndarray | None = None, share: float = 0.0) -> Iterator[tuple[int, int]]:
+def agreeing_pairs(signatures: np.ndarray, least: int, left: np.ndarray | None = None, sizes: np.ndarray | None = None, share: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs i < j with ``least`` equal coordinates, most equal first; only pairs across blocks where ``left`` marks the first block."""
     found = []
     for i in range(len(signatures) - 1):
@@ -131,9 +125,9 @@ def agreeing_pairs(signatures: np.ndarray, least: int, left: np.ndarray | None =
         equal, one, other = (np.concatenate(x) for x in zip(*found, strict=True))
         del found
         order = np.argsort(255 - equal, kind="stable").astype(np.uint32)
-        for k in range(0, len(order), 1 << 14):
-            part = order[k : k + (1 << 14)]
-            yield from zip(one[part].tolist(), other[part].tolist(), strict=True)
+        for k in range(0, len(order), 1 << 12):
+            part = order[k : k + (1 << 12)]
+            yield one[part], other[part]
 
 
 def _blocks(rows: DataFrame, group: str) -> DataFrame:
@@ -204,7 +198,7 @@ def candidate_groups(classes: DataFrame, least: int) -> DataFrame:
             edges += _forest(ids, agreeing_pairs(signatures, least, first), lambda i, j: True)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    found = _in_bins(blocks, 4_000).groupBy("bin").applyInPandas(compare, "a long, b long")
+    found = _in_bins(blocks, 500).groupBy("bin").applyInPandas(compare, "a long, b long")
     groups = connected_components(found.unionByName(edges))
     drop_path(classes.sparkSession, path)  # the components are checkpointed
     return groups.select(F.col("node").alias("cid"), F.col("component").alias("grp"))
@@ -278,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             edges += _forest(ids, agreeing_pairs(signatures, least, first, sizes, share - 1e-9), lambda i, j, own=own: _linked(own[i], own[j], percent))
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    edges = _in_bins(members, 1_500, "shingles").groupBy("bin").applyInPandas(verify, "a long, b long")
+    edges = _in_bins(members, 300, "shingles").groupBy("bin").applyInPandas(verify, "a long, b long")
     found = connected_components(edges.unionByName(star_edges))
     for path in (members_path, sets_path):  # the components are checkpointed
         drop_path(spark, path)
