@@ -24,9 +24,6 @@ def importable(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
-    # workers give memory that they have freed back to the system; set before the first of them starts
-    for name, value in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "131072"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
-        spark.sparkContext.environment.setdefault(name, value)
     bounded_batches(spark)
 
 
