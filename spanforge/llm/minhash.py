@@ -155,11 +155,11 @@ def _around_pivots(rows: DataFrame, group: str, held: str, near: Callable[[Colum
 
     ``rows`` has group, cid, weight and ``held``, what ``near`` tests. Small groups have no star.
     """
-    totals = rows.groupBy(group).agg(F.count("*").alias("_n"), F.sum("weight").alias("_w"))
-    large = totals.filter((F.col("_n") > BLOCK) | (F.col("_w") > 2 * BLOCK_BYTES)).select(group)
+    first = F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("_p")
+    totals = rows.groupBy(group).agg(F.count("*").alias("_n"), F.sum("weight").alias("_w"), first)
+    large = totals.filter((F.col("_n") > BLOCK) | (F.col("_w") > 2 * BLOCK_BYTES)).select(group, F.col("_p.cid").alias("pivot"))
     # written, so that the joins deal both sides anew and can split a group that is everywhere
-    chosen = rows.join(large, group, "left_semi").groupBy(group).agg(F.min_by(F.struct(F.col("cid").alias("pivot"), F.col(held).alias("_held")), F.xxhash64("cid")).alias("_p"))
-    pivots = stored(chosen.select(group, "_p.pivot", "_p._held"), "pivots")
+    pivots = stored(large.join(rows.select(group, F.col("cid").alias("pivot"), F.col(held).alias("_held")), [group, "pivot"]), "pivots")
     if not pivots.limit(1).count():
         return rows.withColumn("star", F.lit(False)), rows.select(F.col("cid").alias("a"), F.col("cid").alias("b")).filter("false")
     small = rows.join(pivots.select(group), group, "left_anti").withColumn("star", F.lit(False))
