@@ -13,6 +13,7 @@ from spanforge.llm.language import op7_language
 from spanforge.llm.minhash import op10_near_duplicates
 from spanforge.llm.mixing import op4_mixing
 from spanforge.llm.pieces import op6_pieces
+from spanforge.llm.runs import op11_runs
 from spanforge.llm.suffix_dedup import op8_suffix_dedup
 from spanforge.llm.topk import op3_topk
 from spanforge.llm.toxicity import op1_toxicity
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_class_lm": op9_class_lm,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_runs": op11_runs,
         "pipeline": pipeline.run,
     }
 
