@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.llm import pipeline
 from spanforge.llm.classlm import op9_class_lm
+from spanforge.llm.divergence import SQL as DIVERGENCE_SQL
+from spanforge.llm.divergence import op12_divergence
 from spanforge.llm.kmeanstree import op5_neighbours
 from spanforge.llm.language import op7_language
 from spanforge.llm.minhash import op10_near_duplicates
@@ -33,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_class_lm": op9_class_lm,
         "op10_near_duplicates": op10_near_duplicates,
         "op11_runs": op11_runs,
+        "op12_divergence": op12_divergence,
         "pipeline": pipeline.run,
     }
 
@@ -52,4 +55,4 @@ TOPK_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op3_topk": TOPK_SQL}
+    return {"op2_warc": WARC_SQL, "op3_topk": TOPK_SQL, "op12_divergence": DIVERGENCE_SQL}
