@@ -10,6 +10,7 @@ from spanforge.llm import pipeline
 from spanforge.llm.classlm import op9_class_lm
 from spanforge.llm.divergence import SQL as DIVERGENCE_SQL
 from spanforge.llm.divergence import op12_divergence
+from spanforge.llm.htmlmain import op13_main_text
 from spanforge.llm.kmeanstree import op5_neighbours
 from spanforge.llm.language import op7_language
 from spanforge.llm.minhash import op10_near_duplicates
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_near_duplicates": op10_near_duplicates,
         "op11_runs": op11_runs,
         "op12_divergence": op12_divergence,
+        "op13_main_text": op13_main_text,
         "pipeline": pipeline.run,
     }
 
