@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,8 +65,12 @@ def simplified(ring: Column, tolerance: float) -> Column:
 
 
 def _thin(points: list[tuple[float, float]], tolerance: float) -> list[dict]:
-    """The points that the polyline keeps: stretches are cut where a point is farthest from their chord, all stretches of a round at once."""
     xy = np.array(points, float).reshape(-1, 2)
+    return [{"x": x, "y": y} for x, y in xy[kept_points(xy, tolerance)].tolist()]
+
+
+def kept_points(xy: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points a polyline keeps: stretches are cut where a point is farthest from their chord, all stretches of a round at once."""
     keep = np.zeros(len(xy), bool)
     keep[[0, -1]] = True
     done = len(xy) < 3
@@ -85,4 +90,72 @@ def _thin(points: list[tuple[float, float]], tolerance: float) -> list[dict]:
         cut = first[far[first] > tolerance]
         keep[cut] = True
         done = not len(cut)
-    return [{"x": x, "y": y} for x, y in xy[keep].tolist()]
+    return keep
+
+
+POINTS = "array<struct<x: double, y: double>>"
+
+
+def nested(rings: Column) -> Column:
+    """An array of rings to polygons: what lies in what decides, not the order or the winding of the rings.
+
+    Every ring hangs under the smallest ring around it. Rings at even depth are outlines, those at odd depth are holes of
+    the ring above them; so an island in a lake is a polygon again. Outlines come out counter-clockwise, holes clockwise,
+    all closed; rings without an area and repeated rings go. Outlines are ordered by area, the largest first.
+    """
+
+    @F.arrow_udf(f"array<array<{POINTS}>>")
+    def run(shapes: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+        return pa.array([None if shape is None else _forest([[(p["x"], p["y"]) for p in ring] for ring in shape if ring]) for shape in shapes.to_pylist()], kind)
+
+    return run(rings)
+
+
+def _area(xy: np.ndarray) -> float:
+    (x, y), (nx, ny) = xy.T, np.roll(xy, -1, axis=0).T
+    return float((x * ny - nx * y).sum() / 2)
+
+
+def _crossings(xy: np.ndarray, y: float) -> np.ndarray:
+    """Where a ring crosses a height, from left to right."""
+    (ax, ay), (bx, by) = xy.T, np.roll(xy, -1, axis=0).T
+    at = (ay > y) != (by > y)
+    return np.sort((bx - ax)[at] * (y - ay[at]) / (by - ay)[at] + ax[at])
+
+
+def _inner_point(xy: np.ndarray) -> tuple[float, float]:
+    """A point in the ring: half way along its first stretch inside, between its two lowest heights."""
+    heights = np.unique(xy[:, 1])
+    y = (heights[0] + heights[1]) / 2
+    left, right = _crossings(xy, y)[:2]
+    return (left + right) / 2, y
+
+
+def _forest(rings: list[list[tuple[float, float]]]) -> list[list[list[dict]]]:
+    opened = [np.array(r[:-1] if r[0] == r[-1] else r, float).reshape(-1, 2) for r in rings]
+    sized = sorted(((abs(_area(r)), -k) for k, r in enumerate(opened) if len(r) > 2), reverse=True)
+    order, seen = [], set()
+    for size, k in sized:
+        shape = frozenset(map(tuple, opened[-k].tolist()))
+        if size > 0 and shape not in seen:
+            seen.add(shape)
+            order.append(-k)
+    boxes = np.array([[*opened[k].min(axis=0), *opened[k].max(axis=0)] for k in order]).reshape(-1, 4)
+    depth: list[int] = []
+    polygons: dict[int, list[np.ndarray]] = {}
+    for n, k in enumerate(order):
+        x, y = _inner_point(opened[k])
+        around = np.flatnonzero((boxes[:n, 0] < x) & (boxes[:n, 1] < y) & (boxes[:n, 2] > x) & (boxes[:n, 3] > y))
+        # the smallest ring around comes last
+        above = next((m for m in around[::-1].tolist() if (_crossings(opened[order[m]], y) > x).sum() % 2), None)
+        depth.append(0 if above is None else depth[above] + 1)
+        if depth[n] % 2 == 0:
+            polygons[n] = [opened[k]]
+        else:
+            polygons[above].append(opened[k])
+    out = []
+    for own in polygons.values():
+        turned = [r if (_area(r) > 0) == (k == 0) else r[::-1] for k, r in enumerate(own)]
+        out.append([[{"x": x, "y": y} for x, y in [*r.tolist(), r[0].tolist()]] for r in turned])
+    return out
