@@ -18,7 +18,7 @@ def coordinates(polygons: Column, digits: int = 5) -> Column:
 def geometry_json(polygons: Column) -> Column:
     """A GeoJSON Polygon, a MultiPolygon if there are several, null if there is none."""
     numbers = coordinates(polygons)
-    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), numbers[0].alias("coordinates")))
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get(numbers, F.lit(0)).alias("coordinates")))
     many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), numbers.alias("coordinates")))
     return F.when(F.size(polygons) == 1, one).when(F.size(polygons) > 1, many)
 
