@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.documents import html_to_text
 from spanforge.functions.text import normal_text
+from spanforge.plans.tenure import EVENT_KINDS
 from spanforge.queries.registry import query
-from spanforge.queries.spanning import COLLAPSED, SIX_HOURS
+from spanforge.queries.spanning import COLLAPSED, MACHINE, SIX_HOURS
 from spanforge.session import scratch, table
 from spanforge.sources import files, sinks
 from spanforge.streaming import events as streams
+from spanforge.streaming import stateful
 
 
 @query("html_to_text")
@@ -74,23 +76,40 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("event_type", F.date_format("began", "yyyy-MM-dd").alias("began"), "n")
 
 
-@query("streamed_duplicates", COLLAPSED.replace("unnest(o) AS x", "unnest(o[:-2]) AS x"))
-def streamed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate collapse as state; what is still open at the end of the stream has not come out."""
-    source, out = table(spark, sf_dir, "events"), scratch(spark, "occurrences")
-    schema = ", ".join(f"{c} {k}" for c, k in source.dtypes)
-    rows = streams.read_events(spark, f"{sf_dir}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("p", (F.floor("value") % 4).cast("int"))
-    found = streams.collapsed(rows, ["user_id", "event_type"], "ts", "event_id", "p", SIX_HOURS, late="4000 days")
-    streams.run_available(found, f"{out}/state", lambda df, _: df.write.mode("append").parquet(f"{out}/rows"))
-    rows = spark.read.schema(f"user_id {dict(source.dtypes)['user_id']}, event_type string, {streams.OCCURRENCE}").parquet(f"{out}/rows")
-    return rows.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+def arriving(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The events as a stream of files about five days long, in which rows come up to two days late."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(2 * 86_400))
+    parts = events.withColumn("part", F.floor((F.unix_timestamp("ts") + delay) / (5 * 86_400)))
+    # file names in the order of arrival
+    parts.repartitionByRange("part").sortWithinPartitions("part").drop("part").write.parquet(folder)
+    schema = ", ".join(f"{c} {k}" for c, k in events.dtypes)
+    return streams.read_events(spark, folder, schema)
 
 
-@query("streamed_spans")
+@query("streamed_duplicates", COLLAPSED)
+def streamed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate collapse as state: what the batch collapse gives, also for what is still open."""
+    out = scratch(spark, "occurrences")
+    stateful.stateful_session(spark)
+    rows = arriving(spark, sf_dir, f"{out}/in").withColumn("us", F.unix_micros("ts")).withColumn("p", (F.floor("value") % 4).cast("long"))
+    keys, fold = ["user_id", "event_type"], stateful.Occurrences(SIX_HOURS)
+    found = stateful.refolded(rows, "ts", keys, fold, ["us", "event_id", "p"], "40 days")
+    streams.run_available(found, f"{out}/state", stateful.batch_sink(f"{out}/rows"), "update")
+    done = stateful.latest(stateful.versions(spark, f"{out}/rows", f"user_id {dict(rows.dtypes)['user_id']}, event_type string, {fold.record}"), [*keys, "no"])
+    return done.select(*keys, "at", F.col("rank").cast("int").alias("rank"), F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query("streamed_spans", MACHINE + """ SELECT user_id, span_no, start, "end", opened, known_through, n_events, last_kind,
+    CASE WHEN "end" IS NOT NULL THEN 'ended' WHEN known_through + 3 <= (SELECT max(ts) - INTERVAL 40 DAY FROM events) THEN 'unknown' ELSE 'ongoing' END AS status FROM s""")
 def streamed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans folded as state."""
-    source, out = table(spark, sf_dir, "events"), scratch(spark, "spans")
-    schema = ", ".join(f"{c} {k}" for c, k in source.dtypes)
-    rows = streams.read_events(spark, f"{sf_dir}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    streams.run_available(streams.open_spans(rows), f"{out}/state", lambda df, _: df.write.mode("append").parquet(f"{out}/rows"))
-    return spark.read.schema(streams.SPAN).parquet(f"{out}/rows")
+    """Spans folded as state: what the batch fold gives, also for open spans; silence makes a span's end unknown."""
+    out = scratch(spark, "spans")
+    stateful.stateful_session(spark)
+    pairs = [F.lit(x) for item in EVENT_KINDS.items() for x in item]
+    rows = arriving(spark, sf_dir, f"{out}/in").withColumn("day", F.unix_date(F.to_date("ts")).cast("long")).withColumn("kind", F.create_map(*pairs)[F.col("event_type")])
+    fold = stateful.Spans(("won", "renewed"), ("expired", "lost"), 3)
+    found = stateful.refolded(rows, "ts", ["user_id"], fold, ["day", "event_id", "kind"], "40 days")
+    streams.run_available(found, f"{out}/state", stateful.batch_sink(f"{out}/rows"), "update")
+    done = stateful.latest(stateful.versions(spark, f"{out}/rows", f"user_id {dict(rows.dtypes)['user_id']}, {fold.record}"), ["user_id", "no"])
+    return done.select("user_id", F.col("no").alias("span_no"), *(F.date_from_unix_date(F.col(c).cast("int")).alias(c) for c in ("start", "end")), "opened", F.date_from_unix_date(F.col("known_through").cast("int")).alias("known_through"), "n_events", "last_kind", "status")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.hashing import payload_hash
 from spanforge.operators.windows import first_wins, last_wins
+from spanforge.session import path_exists
+from spanforge.streaming.events import run_available
+from spanforge.streaming.stateful import batch_sink, versions
 
 Fetch = Callable[[list], list[dict]]
 
@@ -59,12 +62,11 @@ def todo(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key), key, "left_anti")
 
 
-def enriched(wanted: DataFrame, done: DataFrame, key: str, lookup: Callable[[object], dict | None], fields: str, path: str | None = None) -> DataFrame:
-    """Answers for all wanted keys: those known, and one lookup for each of the rest; ``state`` tells found, not found and failed.
+ORDER = ("found", "not found", "failed")
 
-    With a path new answers are appended there, so a run that stops goes on where it was; failures are asked again. A key
-    has one row, whatever ``done`` and the path both hold: found before not found before failed.
-    """
+
+def _asked(keys: DataFrame, key: str, lookup: Callable[[object], dict | None], fields: str) -> DataFrame:
+    """One lookup for each key; ``state`` tells found, not found and failed."""
     names = [f.split()[0] for f in fields.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,21 +74,70 @@ def enriched(wanted: DataFrame, done: DataFrame, key: str, lookup: Callable[[obj
             rows = []
             for value in frame[key]:
                 try:
-                    answer = lookup(value)
-                    rows.append({key: value, "state": "found" if answer else "not found", **(answer or {})})
+                    answer = lookup(value) or {}
+                    rows.append((value, "found" if answer else "not found", *map(answer.get, names)))
                 except Exception:  # noqa: BLE001  a failed lookup is a row
-                    rows.append({key: value, "state": "failed"})
-            yield pd.DataFrame(rows, columns=[key, "state", *names])
+                    rows.append((value, "failed", *[None] * len(names)))
+            yield pd.DataFrame(rows, columns=[key, "state", *names], dtype=object)
 
-    kind = dict(wanted.dtypes)[key]
-    schema = f"{key} {kind}, state string, {fields}"
+    return keys.mapInPandas(run, f"{key} {dict(keys.dtypes)[key]}, state string, {fields}")
+
+
+def _best(answers: DataFrame, key: str) -> DataFrame:
+    """One row for each key: found before not found before failed."""
+    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("state"))
+    return first_wins(answers, [key], [place, *(c for c in answers.columns if c not in (key, "state"))])
+
+
+def enriched(wanted: DataFrame, done: DataFrame, key: str, lookup: Callable[[object], dict | None], fields: str, path: str | None = None) -> DataFrame:
+    """Answers for all wanted keys: those known, and one lookup for each of the rest.
+
+    With a path new answers are appended there, so a later run goes on where this one ended; failures are asked again. A
+    run that stops loses its own answers; ``enriched_in_batches`` loses one batch. A key has one row, whatever ``done`` and
+    the path both hold.
+    """
+    names = [f.split()[0] for f in fields.split(",")]
     known = done.filter("state <> 'failed'").select(key, "state", *names)
-    fresh = todo(wanted.select(key).distinct(), known, key).mapInPandas(run, schema)
+    fresh = _asked(todo(wanted.select(key).distinct(), known, key), key, lookup, fields)
     if path is not None:
         fresh.write.mode("append").parquet(path)
-        fresh = wanted.sparkSession.read.schema(schema).parquet(path)
-    place = F.array_position(F.array(F.lit("found"), F.lit("not found"), F.lit("failed")), F.col("state"))
-    return first_wins(known.unionByName(fresh), [key], [place, *names])
+        fresh = wanted.sparkSession.read.schema(fresh.schema).parquet(path)
+    return _best(known.unionByName(fresh), key)
+
+
+def answers(spark: SparkSession, path: str, key: str, kind: str, fields: str) -> DataFrame:
+    """What ``enriched_in_batches`` has found out so far: one row for each key."""
+    schema = f"{key} {kind}, state string, {fields}"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return _best(versions(spark, path, schema).drop("batch"), key)
+
+
+def enriched_in_batches(wanted: DataFrame, key: str, lookup: Callable[[object], dict | None], fields: str, path: str, checkpoint: str, after: Callable[[int], None] | None = None) -> DataFrame:
+    """Answers for a stream of wanted keys, a batch of the stream at a time.
+
+    Batch N's answers are written to ``path/batch=N`` before the stream commits it. A run that stops in between finds the
+    folder complete and asks nothing again; one that stops while asking asks for that batch again and for no other. Keys
+    answered in earlier batches are not asked. Before the stream goes on, earlier failures are asked again, in batches
+    numbered below 0. ``after`` is called with each batch that has been written.
+    """
+    spark, kind = wanted.sparkSession, dict(wanted.dtypes)[key]
+
+    def known() -> DataFrame:
+        return answers(spark, path, key, kind, fields)
+
+    def write(df: DataFrame, batch: int) -> None:
+        fresh = todo(df.select(key).filter(F.col(key).isNotNull()).distinct(), known(), key)
+        batch_sink(path, after)(_asked(fresh, key, lookup, fields), batch)
+
+    failed = known().filter("state = 'failed'").select(key)
+    if not failed.isEmpty():
+        turn = -1
+        while path_exists(spark, f"{path}/batch={turn}/_SUCCESS"):
+            turn -= 1
+        batch_sink(path)(_asked(failed, key, lookup, fields), turn)
+    run_available(wanted.select(key), checkpoint, write)
+    return known()
 
 
 def cached(requests: DataFrame, columns: Sequence[str], cache: DataFrame) -> tuple[DataFrame, DataFrame]:

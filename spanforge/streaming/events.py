@@ -1,17 +1,11 @@
-"""Event streams: windowed counts, re-ingest without repeats, open spans as state."""
+"""Event streams: reading, windowed counts, re-ingest without repeats, running what is there."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-SPAN = "user_id long, started timestamp, ended timestamp, n_events long, status string"
-STATE = "started timestamp, last timestamp, n long"
-CLOSERS = ("purchase", "error")
 
 
 def read_events(spark: SparkSession, path: str, schema: str, format_: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -30,74 +24,6 @@ def without_repeats(events: DataFrame, at: str, keys: list[str], late: str = "1
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def open_spans(events: DataFrame, at: str = "ts", late: str = "1 hour", idle: str = "3 days") -> DataFrame:
-    """Spans of a user's events: a closing event ends one; one without news for long enough becomes unknown.
-
-    A batch is ordered by time before it is folded; rows later than the watermark have been left out.
-    """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            started, last, n = state.get
-            out.append((key[0], started, last, n, "unknown"))
-            state.remove()
-        else:
-            started, last, n = state.get if state.exists else (None, None, 0)
-            rows = pd.concat(list(frames)).sort_values([at, "event_id"])
-            for when, kind in zip(rows[at], rows["event_type"], strict=True):
-                started, last, n = started if n else when, when if last is None else max(last, when), n + 1
-                if kind in CLOSERS:
-                    out.append((key[0], started, when, n, "ended"))
-                    started, last, n = None, None, 0
-            if n:
-                state.update((started, last, n))
-                state.setTimeoutTimestamp(max(int(pd.Timestamp(last).timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=["user_id", "started", "ended", "n_events", "status"])
-
-    keyed = events.withWatermark(at, late).groupBy("user_id")
-    return keyed.applyInPandasWithState(fold, SPAN, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-OCCURRENCE = "at long, rank int, members array<long>"
-
-
-def collapsed(events: DataFrame, keys: list[str], at: str, order: str, rank: str, window_us: int, late: str = "1 hour") -> DataFrame:
-    """Reports of one occurrence collapsed as state: (keys, at in microseconds, rank, members), each when the next one begins
-    or the watermark has passed its window.
-
-    A row joins the occurrence whose date is within the window; a row of finer rank gives it its date, as in
-    ``windows.collapse_duplicates``. The state of a key is its open occurrence.
-    """
-    kinds = dict(events.dtypes)
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, now = [], state.get if state.exists else None
-        if state.hasTimedOut:
-            done, now = [now], None
-        else:
-            rows = pd.concat(list(frames)).sort_values([at, order])
-            for when, own, p in zip(rows[at].astype("datetime64[us]").astype("int64"), rows[order], rows[rank], strict=True):
-                if now is None or abs(when - now[0]) > window_us:
-                    done += [now] if now else []
-                    now = (int(when), int(p), [int(own)])
-                else:
-                    now = (int(when) if p < now[1] else now[0], min(int(p), now[1]), [*now[2], int(own)])
-        if now is None:
-            state.remove()
-        else:
-            state.update(now)
-            state.setTimeoutTimestamp(max((now[0] + window_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, *x) for x in done], columns=[*keys, "at", "rank", "members"])
-
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), OCCURRENCE])
-    keyed = events.withWatermark(at, late).groupBy(*keys)
-    return keyed.applyInPandasWithState(fold, schema, OCCURRENCE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process what is there now and stop; a later run goes on from the checkpoint, so each row is handled once."""
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
