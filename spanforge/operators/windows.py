@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.session import scratch
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key in the given order; a null key is a key."""
@@ -84,49 +86,151 @@ def handoff_or_contested(spans: DataFrame, entity: str, holder: str, start: str,
     return grouped.select(entity, F.when(~contested, F.col("_last")).alias("holder"), "n_holders", contested.alias("contested"))
 
 
-def _parted(rows: DataFrame, keys: Sequence[str], part: str, column: str, lat: str, lng: str, km: float) -> DataFrame:
-    """Number the runs of ``column`` between gaps that no two places nearer than ``km`` can span; places without coordinates are a run."""
-    whole, along = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(column)
-    # a little less than the length of a degree; for longitudes at the place farthest from the equator
-    degree = F.lit(111.0) if column == lat else 111.0 * F.cos(F.radians(F.max(F.abs(lat)).over(whole)))
-    gap = (F.col(column) - F.lag(column).over(along)) * degree > km
-    if column == lng:
-        # degrees bend over wide gaps, and the ends of the scale meet
-        gap = gap & (F.max(lng).over(whole) - F.min(lng).over(whole) < 20)
-    marked = rows.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
-    return marked.withColumn(part, F.sum("_gap").over(along.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_gap")
+#: Places that one task folds in order; larger parts are decided in rounds.
+FOLD_ROWS = 20_000
+EARTH_KM = 6371.0
+
+
+def _km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    half = lambda a, b: F.pow(F.sin((F.radians(b) - F.radians(a)) / 2), 2)
+    return 2 * EARTH_KM * F.asin(F.sqrt(half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng1, lng2)))
+
+
+def _cells(places: DataFrame, km: float) -> DataFrame:
+    """Add ``_row`` and ``_col`` of cells in which two places are always nearer than ``km``; rows of cells have their own number of columns."""
+    step = km / 111.2 * 0.7  # degrees of latitude; a degree is 111.19 km at the most, so diagonals stay below km
+    row = F.floor((F.col("_lat") + 90) / step).cast("long")
+    return places.withColumn("_row", row).withColumn("_col", F.pmod(F.floor((F.col("_lng") + 180) / 360 * _columns(row, step)).cast("long"), _columns(row, step)))
+
+
+def _columns(row: Column, step: float) -> Column:
+    """How many columns a row of cells has: its widest circle of latitude in steps."""
+    nearest = F.least(F.abs(row * step - 90), F.abs((row + 1) * step - 90))
+    wide = F.when((row * step - 90) * ((row + 1) * step - 90) <= 0, 1.0).otherwise(F.cos(F.radians(F.least(nearest, F.lit(90.0)))))
+    return F.greatest(F.ceil(360 * wide / step), F.lit(1)).cast("long")
+
 
+def _around(places: DataFrame, km: float) -> DataFrame:
+    """A row for each cell that may hold a place nearer than ``km``, as ``_row`` and ``_col``."""
+    step = km / 111.2 * 0.7
+    # the angle in longitude that km may span, from the place's own latitude
+    angle = km / EARTH_KM
+    near_pole = F.abs(F.radians("_lat")) + angle >= 1.5707
+    spread = F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(angle)) / F.cos(F.radians("_lat"))))) + 1e-6)
+    reach = F.lit(km / 111.19 + 1e-6)
+    low, high = F.floor((F.col("_lat") - reach + 90) / step), F.floor((F.col("_lat") + reach + 90) / step)
+    rows = places.withColumn("_spread", spread).withColumn("_r", F.explode(F.sequence(low.cast("long"), high.cast("long")))).withColumn("_n", _columns(F.col("_r"), step))
+    first, last = (F.floor((F.col("_lng") + sign * F.col("_spread") + 180) / 360 * F.col("_n")).cast("long") for sign in (-1, 1))
+    columns = F.when(last - first + 1 >= F.col("_n"), F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).otherwise(F.transform(F.sequence(first, last), lambda c: F.pmod(c, F.col("_n"))))
+    return rows.withColumn("_c", F.explode(columns)).drop("_row", "_col", "_spread", "_n").withColumnRenamed("_r", "_row").withColumnRenamed("_c", "_col")
 
-def greedy_proximity(places: DataFrame, key: str, place_id: str, lat: str, lng: str, order: str, km: float) -> DataFrame:
+
+def _round(open_: DataFrame, km: float) -> DataFrame:
+    """The undecided places that no earlier undecided place is near: the first of each cell, unless a place around it is earlier.
+
+    Cells are so small that only the first of one can be kept, so a place meets one row for each cell around it.
+    """
+    first = open_.groupBy("_key", "_row", "_col").agg(F.min(F.struct("_order", "_id", "_lat", "_lng")).alias("_f")).select("_key", F.col("_f._order").alias("_order"), F.col("_f._id").alias("_id"), F.col("_f._lat").alias("_lat"), F.col("_f._lng").alias("_lng"))
+    asked = _around(first, km).select("_key", "_row", "_col", *(F.col(c).alias(f"_f{c}") for c in ("_order", "_id", "_lat", "_lng")))
+    earlier = open_.join(asked, ["_key", "_row", "_col"]).filter((F.struct("_order", "_id") < F.struct(F.col("_f_order").alias("_order"), F.col("_f_id").alias("_id"))) & (_km(F.col("_lat"), F.col("_lng"), F.col("_f_lat"), F.col("_f_lng")) < km))
+    blocked = earlier.select("_key", F.col("_f_id").alias("_id")).distinct()
+    return first.join(blocked, ["_key", "_id"], "left_anti")
+
+
+def _near(places: DataFrame, kept: DataFrame, km: float) -> DataFrame:
+    """(_key, _id, _k): places with the first kept one before them that is near; kept places lie at least ``km`` apart, so a cell holds one."""
+    there = _around(kept, km).select("_key", "_row", "_col", *(F.col(c).alias(f"_k{c}") for c in ("_order", "_id", "_lat", "_lng")))
+    met = places.join(there, ["_key", "_row", "_col"]).filter((F.struct("_order", "_id") > F.struct(F.col("_k_order").alias("_order"), F.col("_k_id").alias("_id"))) & (_km(F.col("_lat"), F.col("_lng"), F.col("_k_lat"), F.col("_k_lng")) < km))
+    return met.groupBy("_key", "_id").agg(F.min(F.struct("_k_order", "_k_id")).alias("_k"))
+
+
+def greedy_proximity(places: DataFrame, key: str, place_id: str, lat: str, lng: str, order: str, km: float, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(key, place_id, kept_id): places of a key in order; each goes to the first kept one nearer than ``km``, else is kept.
 
-    Not transitive, so places are folded in order. Only places near one another matter to each other: a key's places are
-    parted first wherever a stretch of latitude or longitude wider than ``km`` is empty, and each part is folded alone.
+    Not transitive, so order decides; equal orders go by id, which names a place. Places without coordinates are kept. A
+    key's places are parted wherever a stretch of latitude or longitude wider than ``km`` is empty; parts of up to
+    ``fold_rows`` places are folded in order. Larger ones go by rounds: a place is kept when no earlier undecided place is
+    near, and what is near it is then decided as well. What is left is parted anew after each round.
+    """
+    kind = dict(places.dtypes)
+    # a null key is a key, and joins have to find it
+    named = F.when(F.col(key).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
+    placed = places.select(named.alias("_key"), F.col(place_id).alias("_id"), F.col(lat).cast("double").alias("_lat"), F.col(lng).cast("double").alias("_lng"), F.col(order).alias("_order"))
+    nowhere = F.col("_lat").isNull() | F.col("_lng").isNull() | F.isnan("_lat") | F.isnan("_lng")
+    placed = placed.withColumn("_none", nowhere)
+    open_ = _stored(_cells(placed.filter("NOT _none").drop("_none"), km), "places")
+    every, kept = open_, []
+    while True:
+        parted = _stored(_sized_parts(open_, km), "parts")
+        small = parted.filter(F.col("_size") <= fold_rows)
+        kept.append(_stored(small.groupBy("_key", "_part").applyInPandas(_folded(km), f"_key string, _id {kind[place_id]}, _lat double, _lng double, _order {kind[order]}"), "kept"))
+        open_ = parted.filter(F.col("_size") > fold_rows).select(*every.columns)
+        if open_.isEmpty():
+            break
+        found = _stored(_round(open_, km), "kept")
+        kept.append(found.select("_key", "_id", "_lat", "_lng", "_order"))
+        decided = _near(open_, found, km).select("_key", "_id").unionByName(found.select("_key", "_id"))
+        open_ = _stored(open_.join(decided, ["_key", "_id"], "left_anti"), "places")
+    chosen = kept[0].select("_key", "_id", "_lat", "_lng", "_order")
+    for more in kept[1:]:
+        chosen = chosen.unionByName(more)
+    chosen = _stored(chosen, "kept") if len(kept) > 1 else chosen
+    lost = _near(every.join(chosen.select("_key", "_id"), ["_key", "_id"], "left_anti"), chosen, km)
+    answered = lost.select("_key", "_id", F.col("_k._k_id").alias("_kept")).unionByName(chosen.select("_key", "_id", F.col("_id").alias("_kept"))).unionByName(placed.filter("_none").select("_key", "_id", F.col("_id").alias("_kept")))
+    return answered.select(F.when(F.col("_key") != "-", F.substring("_key", 2, 1 << 30)).cast(kind[key]).alias(key), F.col("_id").alias(place_id), F.col("_kept").alias("kept_id"))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back, so that a round does not compute the rounds before it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _sized_parts(open_: DataFrame, km: float) -> DataFrame:
+    """Add ``_part``, what empty stretches divide, and its ``_size``.
+
+    Gaps are sought among occupied rows of cells, then among the occupied columns of a stretch of rows, so only cells, not
+    places, are sorted by key.
     """
+    step = km / 111.2 * 0.7
+    rows = open_.select("_key", "_row").distinct()
+    along = W.partitionBy("_key").orderBy("_row")
+    # two rows of cells without a place between them are more than km apart
+    wide = int(-(-(km / 111.19 + 1e-6) // step)) + 1
+    bands = rows.withColumn("_gap", F.coalesce(F.col("_row") - F.lag("_row").over(along) > wide, F.lit(True)).cast("long"))
+    bands = bands.select("_key", "_row", F.sum("_gap").over(along).alias("_band"))
+    cells = open_.groupBy("_key", "_row", "_col").agg(F.count("*").alias("_n"), F.min(F.pmod(F.col("_lng") + 180, F.lit(360.0))).alias("_west"), F.max(F.pmod(F.col("_lng") + 180, F.lit(360.0))).alias("_east"), F.max(F.abs("_lat")).alias("_polar")).join(bands, ["_key", "_row"])
+    band = W.partitionBy("_key", "_band")
+    east = band.orderBy("_west", "_row")
+    angle = F.when(F.max("_polar").over(band) > 89, 360.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(km / EARTH_KM)) / F.cos(F.radians(F.max("_polar").over(band)))))) + 1e-6)
+    reached = F.max("_east").over(east.rowsBetween(W.unboundedPreceding, -1))
+    # the ends of the scale meet, so a band that reaches nearly round is one part
+    round_ = F.max("_east").over(band) - F.min("_west").over(band) > 360 - 2 * angle
+    cells = cells.withColumn("_gap", F.when(round_, False).otherwise(F.coalesce(F.col("_west") - reached > angle, F.lit(False))).cast("long"))
+    cells = cells.withColumn("_part", F.struct("_band", F.sum("_gap").over(east.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_stretch")))
+    cells = cells.withColumn("_size", F.sum("_n").over(W.partitionBy("_key", "_part")))
+    return open_.join(cells.select("_key", "_row", "_col", "_part", "_size"), ["_key", "_row", "_col"])
+
+
+def _folded(km: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The places that a fold of a part in order keeps."""
     import numpy as np
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        ids, spots = frame[place_id].to_numpy(), np.radians(frame[[lat, lng]].to_numpy(float))
-        kept: list[int] = []
-        out = []
-        for k in range(len(ids)):
-            if kept and not np.isnan(spots[k]).any():
-                a = spots[kept]
-                h = np.sin((a[:, 0] - spots[k, 0]) / 2) ** 2 + np.cos(a[:, 0]) * np.cos(spots[k, 0]) * np.sin((a[:, 1] - spots[k, 1]) / 2) ** 2
-                near = np.flatnonzero(2 * 6371.0 * np.arcsin(np.sqrt(h)) < km)
-                if len(near):
-                    out.append(ids[kept[near[0]]])
-                    continue
-            kept.append(k)
-            out.append(ids[k])
-        return pd.DataFrame({key: frame[key].to_numpy(), place_id: ids, "kept_id": out})
-
-    kinds = dict(places.dtypes)
-    rows = places.select(*dict.fromkeys([key, place_id, lat, lng, order]))
-    for part, column in (("_north", lat), ("_east", lng), ("_again", lat)):
-        rows = _parted(rows, [key, *(c for c in ("_north", "_east") if c in rows.columns)], part, column, lat, lng, km)
-    return rows.groupBy(key, "_north", "_east", "_again").applyInPandas(fold, f"{key} {kinds[key]}, {place_id} {kinds[place_id]}, kept_id {kinds[place_id]}")
+        frame = frame.sort_values(["_order", "_id"], kind="stable", na_position="first")
+        spots = np.radians(frame[["_lat", "_lng"]].to_numpy(float))
+        kept = np.empty_like(spots)
+        places: list[int] = []
+        for k, spot in enumerate(spots):
+            a = kept[: len(places)]
+            h = np.sin((spot[0] - a[:, 0]) / 2) ** 2 + np.cos(a[:, 0]) * np.cos(spot[0]) * np.sin((spot[1] - a[:, 1]) / 2) ** 2
+            if not (2 * EARTH_KM * np.arcsin(np.sqrt(h)) < km).any():
+                kept[len(places)] = spot
+                places.append(k)
+        return frame.iloc[places][["_key", "_id", "_lat", "_lng", "_order"]]
+
+    return fold
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
