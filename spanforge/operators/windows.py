@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanforge.session import scratch
+from spanforge.session import stored
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -52,9 +52,11 @@ def collapse_duplicates(events: DataFrame, keys: Sequence[str], at: str, order:
     return folded.select(*keys, F.explode("_done").alias("_x")).select(*keys, F.col("_x.d").alias("at"), F.col("_x.p").alias("rank"), F.col("_x.m").alias("members"))
 
 
-def build_spans(events: DataFrame, keys: Sequence[str], at: str, order: str, kind: str, openers: Sequence[str], closers: Sequence[str]) -> DataFrame:
+def build_spans(events: DataFrame, keys: Sequence[str], at: str, order: str, kind: str, openers: Sequence[str], closers: Sequence[str], members: str | None = None) -> DataFrame:
     """Fold point events into spans: (keys, span_no, start, end, opened, known_through, n_events, last_kind).
 
+    With ``members``, an array column, spans have the sorted members of all their rows under that name, too.
+
     A closer ends the span it is in, so the span number is the count of closers before a row: one window, one aggregation.
     A span that no opener began has a start inferred from its first evidence; one without a closer has no end.
     """
@@ -62,6 +64,7 @@ def build_spans(events: DataFrame, keys: Sequence[str], at: str, order: str, kin
     closes = F.col(kind).isin(*closers)
     numbered = events.withColumn("span_no", F.coalesce(F.sum(closes.cast("long")).over(rows), F.lit(0)))
     place = F.struct(at, order)
+    gathered = [F.array_sort(F.flatten(F.collect_list(members))).alias(members)] if members else []
     return numbered.groupBy(*keys, "span_no").agg(
         F.min(at).alias("start"),
         F.max(F.when(closes, F.col(at))).alias("end"),
@@ -69,6 +72,7 @@ def build_spans(events: DataFrame, keys: Sequence[str], at: str, order: str, kin
         F.max(at).alias("known_through"),
         F.count("*").alias("n_events"),
         F.max_by(kind, place).alias("last_kind"),
+        *gathered,
     )
 
 
@@ -158,35 +162,28 @@ def greedy_proximity(places: DataFrame, key: str, place_id: str, lat: str, lng:
     placed = places.select(named.alias("_key"), F.col(place_id).alias("_id"), F.col(lat).cast("double").alias("_lat"), F.col(lng).cast("double").alias("_lng"), F.col(order).alias("_order"))
     nowhere = F.col("_lat").isNull() | F.col("_lng").isNull() | F.isnan("_lat") | F.isnan("_lng")
     placed = placed.withColumn("_none", nowhere)
-    open_ = _stored(_cells(placed.filter("NOT _none").drop("_none"), km), "places")
+    open_ = stored(_cells(placed.filter("NOT _none").drop("_none"), km), "places")
     every, kept = open_, []
     while True:
-        parted = _stored(_sized_parts(open_, km), "parts")
+        parted = stored(_sized_parts(open_, km), "parts")
         small = parted.filter(F.col("_size") <= fold_rows)
-        kept.append(_stored(small.groupBy("_key", "_part").applyInPandas(_folded(km), f"_key string, _id {kind[place_id]}, _lat double, _lng double, _order {kind[order]}"), "kept"))
+        kept.append(stored(small.groupBy("_key", "_part").applyInPandas(_folded(km), f"_key string, _id {kind[place_id]}, _lat double, _lng double, _order {kind[order]}"), "kept"))
         open_ = parted.filter(F.col("_size") > fold_rows).select(*every.columns)
         if open_.isEmpty():
             break
-        found = _stored(_round(open_, km), "kept")
+        found = stored(_round(open_, km), "kept")
         kept.append(found.select("_key", "_id", "_lat", "_lng", "_order"))
         decided = _near(open_, found, km).select("_key", "_id").unionByName(found.select("_key", "_id"))
-        open_ = _stored(open_.join(decided, ["_key", "_id"], "left_anti"), "places")
+        open_ = stored(open_.join(decided, ["_key", "_id"], "left_anti"), "places")
     chosen = kept[0].select("_key", "_id", "_lat", "_lng", "_order")
     for more in kept[1:]:
         chosen = chosen.unionByName(more)
-    chosen = _stored(chosen, "kept") if len(kept) > 1 else chosen
+    chosen = stored(chosen, "kept") if len(kept) > 1 else chosen
     lost = _near(every.join(chosen.select("_key", "_id"), ["_key", "_id"], "left_anti"), chosen, km)
     answered = lost.select("_key", "_id", F.col("_k._k_id").alias("_kept")).unionByName(chosen.select("_key", "_id", F.col("_id").alias("_kept"))).unionByName(placed.filter("_none").select("_key", "_id", F.col("_id").alias("_kept")))
     return answered.select(F.when(F.col("_key") != "-", F.substring("_key", 2, 1 << 30)).cast(kind[key]).alias(key), F.col("_id").alias(place_id), F.col("_kept").alias("kept_id"))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back, so that a round does not compute the rounds before it again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _sized_parts(open_: DataFrame, km: float) -> DataFrame:
     """Add ``_part``, what empty stretches divide, and its ``_size``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.dates import PRECISION_RANK
 from spanforge.functions.hashing import content_id
 from spanforge.operators import joins, windows
+from spanforge.session import stored
 
 #: Fixture event types in the roles of contract events.
 EVENT_KINDS = {"signup": "won", "view": "renewed", "click": "presence", "purchase": "expired", "error": "lost"}
@@ -34,20 +35,16 @@ def tenures(events: DataFrame, as_of: Column, collapse_days: int = COLLAPSE_DAYS
     keys = ["venue_id", "operator"]
     once = windows.collapse_duplicates(dated, [*keys, "kind"], "day", "event_id", "p", collapse_days)
     once = once.withColumn("day", F.date_from_unix_date(F.col("at").cast("int"))).withColumn("first_id", F.col("members")[0])
-    rows = windows.build_spans(once, keys, "day", "first_id", "kind", OPENERS, CLOSERS)
-    # members by span, along the same numbering
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy(*keys).orderBy("day", "first_id").rowsBetween(W.unboundedPreceding, -1)
-    closes = F.col("kind").isin(*CLOSERS).cast("long")
-    members = once.withColumn("span_no", F.coalesce(F.sum(closes).over(before), F.lit(0))).groupBy(*keys, "span_no").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("derived_from"))
-    spans = rows.join(members, [*keys, "span_no"])
+    spans = windows.build_spans(once, keys, "day", "first_id", "kind", OPENERS, CLOSERS, members="members").withColumnRenamed("members", "derived_from")
     spans = spans.withColumn("tenure_id", content_id("sp-", 10, F.col("venue_id"), F.col("operator"), F.array_join(F.transform("derived_from", lambda x: x.cast("string")), ",")))
+    # each step reads the one before it from the shared folder: events are scanned once
+    spans = stored(spans, "spans")
     followed = joins.succession(spans, "venue_id", "operator", "start", "tenure_id")
     # a span that nothing closed ends where another operator begins
     inferred = F.col("end").isNull() & F.col("next_start").isNotNull()
     followed = followed.withColumn("end_inferred_from", F.when(inferred, "succession")).withColumn("succeeded_by", F.when(inferred, F.col("next_holder"))).withColumn("end", F.coalesce("end", "next_start"))
     followed = followed.withColumn("end_status", windows.end_status(F.col("end"), F.col("known_through"), as_of, recent_days))
+    followed = stored(followed, "followed")
     pairs = joins.overlaps(followed, "venue_id", "tenure_id", "operator", "start", "end")
     both = pairs.select(F.col("a").alias("tenure_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("tenure_id"), F.col("a").alias("other")))
     met = both.groupBy("tenure_id").agg(F.array_sort(F.collect_set("other")).alias("overlaps_with"))

@@ -52,7 +52,27 @@ def render_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("user_id", "span_no", low.alias("y0"), high.alias("y1"))
 
 
-@query("tenure_end_to_end")
+TENURES = """
+    WITH e AS (SELECT user_id % 40 AS venue_id, 'op' || (user_id % 3)::VARCHAR AS operator, event_id, date_diff('day', DATE '1970-01-01', ts::DATE) AS d,
+        CASE event_type WHEN 'signup' THEN 'won' WHEN 'view' THEN 'renewed' WHEN 'click' THEN 'presence' WHEN 'purchase' THEN 'expired' ELSE 'lost' END AS kind FROM events),
+    l AS (SELECT venue_id, operator, kind, list([{'d': d, 'm': [event_id]}] ORDER BY d, event_id) AS l FROM e GROUP BY ALL),
+    o AS (SELECT venue_id, operator, kind, unnest(list_reduce(l, lambda a, x: CASE WHEN x[1].d - a[-1].d <= 45 THEN list_concat(a[:-2], [{'d': a[-1].d, 'm': list_concat(a[-1].m, x[1].m)}]) ELSE list_concat(a, x) END)) AS x FROM l),
+    n AS (SELECT *, coalesce(sum((kind IN ('expired', 'lost'))::INT) OVER (PARTITION BY venue_id, operator ORDER BY x.d, x.m[1] ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span_no FROM o),
+    g AS (SELECT venue_id, operator, min(x.d) AS s, max(CASE WHEN kind IN ('expired', 'lost') THEN x.d END) AS e, arg_min(kind, {'d': x.d, 'i': x.m[1]}) IN ('won', 'renewed') AS opened, max(x.d) AS known, count(*) AS n_events,
+        array_to_string(list_sort(flatten(list(x.m))), ',') AS derived_from FROM n GROUP BY venue_id, operator, span_no),
+    i AS (SELECT *, 'sp-' || left(sha256(venue_id::VARCHAR || '|' || operator || '|' || derived_from), 10) AS tenure_id FROM g),
+    f AS (SELECT i.*, (SELECT min({'s': b.s, 't': b.tenure_id, 'o': b.operator}) FROM i b WHERE b.venue_id = i.venue_id AND b.operator <> i.operator AND b.s > i.s) AS nx FROM i),
+    w AS (SELECT * EXCLUDE (e), e IS NULL AND nx IS NOT NULL AS inferred, coalesce(e, nx.s) AS e FROM f),
+    v AS (SELECT a.tenure_id, array_to_string(list(DISTINCT b.tenure_id ORDER BY b.tenure_id), ',') AS overlaps_with FROM w a JOIN w b ON a.venue_id = b.venue_id AND a.operator <> b.operator AND a.tenure_id <> b.tenure_id
+        AND a.s < coalesce(b.e, 9999999) AND b.s < coalesce(a.e, 9999999) GROUP BY 1)
+    SELECT tenure_id, venue_id, operator, DATE '1970-01-01' + s::INT AS start, DATE '1970-01-01' + e::INT AS "end",
+        CASE WHEN e IS NOT NULL THEN 'ended' WHEN date_diff('day', DATE '1970-01-01' + known::INT, DATE '2024-03-01') <= 1095 THEN 'ongoing' ELSE 'unknown' END AS end_status, DATE '1970-01-01' + known::INT AS known_through, n_events,
+        CASE WHEN inferred THEN 'succession' END AS end_inferred_from, CASE WHEN inferred THEN nx.o END AS succeeded_by, coalesce(overlaps_with, '') AS overlaps_with, derived_from,
+        concat_ws('; ', CASE WHEN NOT opened THEN 'start inferred' END, CASE WHEN inferred THEN 'end inferred' END, CASE WHEN overlaps_with IS NOT NULL THEN 'overlap' END) AS review_reasons
+    FROM w LEFT JOIN v USING (tenure_id)"""
+
+
+@query("tenure_end_to_end", TENURES)
 def tenure_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("venue_id"), F.concat(F.lit("op"), F.col("user_id") % 3).alias("operator"), "event_id", "event_type", F.to_date("ts").alias("event_date"), F.lit("exact").alias("date_precision"))
     return tenures(events, F.lit("2024-03-01").cast("date")).withColumn("derived_from", F.array_join(F.transform("derived_from", lambda x: x.cast("string")), ",")).withColumn("overlaps_with", F.array_join("overlaps_with", ","))
