@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.operators.mentions import mention_counts as mention_counts  # noqa: PLC0414  its callers know it from here
 from spanforge.operators.windows import first_wins
 
-#: Names that are broadcast at once; rarest tokens that are looked up inside a row instead of by a join.
-NAMES_AT_ONCE, TRIGGERS_IN_ROW = 5_000, 20_000
+#: Rarest tokens that are looked up inside a row instead of by a join.
+TRIGGERS_IN_ROW = 20_000
 #: Days of a stretch in which spans and starts meet.
 STRETCH = 365
 
@@ -140,21 +141,6 @@ def tolerance_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_da
     return looked.join(stretched, [*on, "_bin"]).filter(F.abs(F.datediff(F.col(left_date), F.col(right_date))) <= tolerance).drop("_bin")
 
 
-def mention_counts(docs: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """(name, n_docs) for every name: documents whose text contains it anywhere; repeated names are one.
-
-    The names go to the documents, never the documents to the names: they are broadcast NAMES_AT_ONCE at a time, and each
-    part passes over the documents once.
-    """
-    names = names.select(name).filter(F.col(name).isNotNull()).distinct()
-    parts = -(-names.count() // NAMES_AT_ONCE) or 1
-    found = []
-    for k in range(parts):
-        part = names if parts == 1 else names.filter(F.pmod(F.xxhash64(name), F.lit(parts)) == k)
-        found.append(docs.select(text).join(F.broadcast(part), F.col(text).contains(F.col(name))).groupBy(name).agg(F.count("*").alias("n_docs")))
-    return names.join(reduce(DataFrame.unionByName, found), name, "left").select(name, F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
-
-
 def outer_merge(tables: Sequence[DataFrame], on: str, zero: Sequence[str]) -> DataFrame:
     """Full outer join by name of several sources; missing numbers are 0."""
     merged = tables[0]
