@@ -167,7 +167,7 @@ def dates_within_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, F.concat(F.lit("Erie, "), F.date_format(d, "MMMM d"), F.lit("th "), F.date_format(d, "yyyy"), F.lit(" Thursday"))).when(kind == 1, F.concat(F.lit("Paper; Erie [Erie]"), F.date_format(d, " dd MMM yyyy"), F.lit(": B.1")))
         .when(kind == 2, F.concat(F.lit("on "), F.date_format(d, "yyyy-MM-dd"), F.lit(" 10:00"))).when(kind == 3, F.date_format(d, "'(printed 'M/d/yyyy')'")).when(kind == 4, F.date_format(d, "MMMM yyyy")).otherwise(F.lit("February 31, 2001 or 2001-02-03"))
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.date_within(written).alias("d"), dates.month_only(written).alias("month_only")).withColumn("month_only", F.col("month_only") & (F.col("o_orderkey") % 6 == 4))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.date_within(written).alias("d"), dates.month_only(written).alias("month_only"))
 
 
 @query("drifting_headers", "SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, s_nationkey::VARCHAR AS s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'a' ELSE 'b' END AS layout FROM supplier")

@@ -160,3 +160,16 @@ def test_succession_gathers_no_rows(spark):
     spans = spark.range(20).selectExpr("1 AS e", "CAST(id % 3 AS string) AS h", "id AS s", "id AS o")
     plan = joins.succession(spans, "e", "h", "s", "o")._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "collect_set" not in plan
+
+
+def test_dates_written_in_texts(spark):
+    cases = {
+        "Erie, March 3rd, 2001 Thursday": ("2001-03-03", False), "on 03 Sept. 2001: B.1": ("2001-09-03", False), "3rd may, 2001": ("2001-05-03", False), "dec. 25 1999": ("1999-12-25", False),
+        "2001-02-03 10:00": ("2001-02-03", False), "(printed 2/3/2001)": ("2001-02-03", False), "2/3/2001, then June 1, 2000": ("2000-06-01", False), "June 1, 2000 and May 2, 2000": ("2000-06-01", False),
+        "June 2001": (None, True), "Marchand 2001": (None, False), "maybe 2001": (None, False), "Marchand 3, 2001": (None, False), "xMay 3, 2001": (None, False), "éMay 3, 2001": (None, False),
+        "February 31, 2001 or 2001-02-03": (None, False), "13/45/2001": (None, False), "May 3, 20011": (None, False), "a2001-02-03": (None, False), "2001-02-03_x": (None, False), "": (None, False), "no date": (None, False),
+        "June. 2001 and 5/6/2002": ("2002-05-06", False), "January 5 th, 2001": (None, False), "12 dec 1999st": (None, False),
+    }
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", dates.date_within(F.col("t")).alias("d"), dates.month_only(F.col("t")).alias("m"))
+    got = {r.t: (None if r.d is None else str(r.d), r.m) for r in df.collect()}
+    assert {t: v for t, v in got.items() if t is not None} == cases and got[None][0] is None
