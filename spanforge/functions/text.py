@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 # fixed values
 CURLY, STRAIGHT = "‘’‚“”„–—", "'''\"\"\"--"
+INVISIBLE = "\u00a0\u2007\u202f\u2060\ufeff\u200b\u200c\u200d"
 LEGAL_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "llc", "lp", "ltd", "limited", "plc", "group", "usa", "holdings")
 PLACE_SUFFIXES = ("city", "town", "township", "village", "borough", "county")
 
@@ -68,12 +70,22 @@ def zip5(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{5}"), F.substring(text, 1, 5))
 
 
+def composed(text: Column) -> Column:
+    """Unicode's canonical composition (NFC). Texts below the first combining mark are composed as they are and stay in the JVM."""
+
+    @F.arrow_udf("string")
+    def compose(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    return F.coalesce(compose(F.when(text.rlike(r"[\x{300}-\x{10FFFF}]"), text)), text)
+
+
 def normal_text(text: Column) -> Column:
-    """Invisible characters blank, line ends \\n, no trailing blanks, two line ends at most."""
-    text = F.translate(text, "​﻿ ", "   ")
+    """Composed, invisible signs blank, line ends \\n, no trailing blanks, two line ends at most, no white space at the ends."""
+    text = F.translate(composed(text), INVISIBLE, " " * len(INVISIBLE))
     text = F.regexp_replace(text, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"[ \t]+\n", "\n")
-    return F.regexp_replace(text, r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def snippet(text: Column, needle: Column, width: int) -> Column:

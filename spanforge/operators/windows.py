@@ -230,10 +230,15 @@ def _folded(km: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return fold
 
 
-def fill_forward(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """Nulls take the last value before them."""
-    window = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(window))
+def fill_forward(df: DataFrame, keys: Sequence[str], order: str, value: str, reset: Column | None = None) -> DataFrame:
+    """Nulls take the last value before them, but none from before the last row at which ``reset`` holds; such a row keeps its own."""
+    along = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("v"))), ignorenulls=True).over(along)
+    if reset is None:
+        return df.withColumn(value, last["v"])
+    cut = F.last(F.when(F.coalesce(reset, F.lit(False)), F.col(order)), ignorenulls=True).over(along)
+    # one sort serves both windows
+    return df.withColumn("_last", last).withColumn("_cut", cut).withColumn(value, F.when(F.col("_cut").isNull() | (F.col("_last.at") >= F.col("_cut")), F.col("_last.v"))).drop("_last", "_cut")
 
 
 def with_next(df: DataFrame, keys: Sequence[str], order: str, name: str = "next") -> DataFrame:

@@ -11,7 +11,7 @@ from spanforge.plans.tenure import EVENT_KINDS
 from spanforge.queries.registry import query
 from spanforge.queries.spanning import COLLAPSED, MACHINE, SIX_HOURS
 from spanforge.session import scratch, table
-from spanforge.sources import files, sinks
+from spanforge.sources import files, labels, sinks
 from spanforge.streaming import events as streams
 from spanforge.streaming import stateful
 
@@ -36,11 +36,27 @@ def split_conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("normal_texts", """
-    SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, chr(8203), ' '), chr(65279), ' '), chr(160), ' '), '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents""")
+    SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(nfc_normalize(text), chr(160) || chr(8199) || chr(8239) || chr(8288) || chr(65279) || chr(8203) || chr(8204) || chr(8205), '        '),
+        '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM documents""")
 def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(normal_text(F.col("text"))).alias("digest"))
 
 
+@query("wrapped_labels", """
+    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, ' '), 1) - 1 AS i, unnest(string_split(text, ' ')) AS w FROM documents),
+    m AS (SELECT doc_id, i, i // 11 AS g, i % 11 AS k, trim(regexp_replace(w, '\\s+', ' ', 'g')) AS w FROM l),
+    f AS (SELECT doc_id, g, string_agg(w, ' ' ORDER BY i) AS v, min(i) AS first_line FROM m WHERE k = 0 OR k < 6 AND w <> '' AND NOT EXISTS (SELECT 1 FROM m x WHERE x.doc_id = m.doc_id AND x.g = m.g AND x.k BETWEEN 1 AND m.k AND x.w = '') GROUP BY 1, 2)
+    SELECT doc_id::VARCHAR AS document, 'part ' || translate(g::VARCHAR, '0123456789', 'abcdefghij') AS label, trim(v) AS value, first_line::INT AS first_line FROM f""")
+def wrapped_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as labels of eleven words: a label is wrapped over six lines, an empty line ends it, and what stands behind that is lost."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.posexplode(F.split("text", " ")).alias("at", "word"))
+    place, name = F.col("at") % 11, F.translate(F.floor(F.col("at") / 11).cast("string"), "0123456789", "abcdefghij")
+    one = F.trim(F.regexp_replace("word", r"\s+", " "))
+    line = F.when(place == 0, F.concat(F.lit("Part "), F.upper(name), F.lit(": "), one)).when((place == 6) | (one == ""), "").otherwise(F.concat(F.lit("  "), one))
+    found = labels.labels(spark, words.select("document", F.col("at").alias("line_no"), line.alias("line")))
+    return found.select("document", "label", "value", "first_line")
+
+
 @query("file_roundtrip", "SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, s_nationkey::VARCHAR AS s_nationkey FROM supplier")
 def file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written as CSV and read back with its declared columns."""

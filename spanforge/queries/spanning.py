@@ -141,6 +141,16 @@ def fill_forward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.fill_forward(marked, ["user_id"], "event_id", "label")
 
 
+@query("labels_until_reset", """
+    WITH c AS (SELECT user_id, event_id, event_type, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER w AS s, max(CASE WHEN event_type = 'error' THEN event_id END) OVER w AS e FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+    SELECT user_id, event_id, CASE WHEN e IS NULL OR s >= e THEN s END AS label FROM c""")
+def labels_until_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last signup, until an error forgets it."""
+    marked = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_type") == "signup", F.col("event_id")).alias("label"))
+    return windows.fill_forward(marked, ["user_id"], "event_id", "label", F.col("event_type") == "error").drop("event_type")
+
+
 @query("boundary_pairs", "SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next FROM orders")
 def boundary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.with_next(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")

@@ -1,13 +1,15 @@
 """Sources, sinks and lookups on files in a temporary folder."""
 
 import json
-
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanforge.functions import text
 from spanforge.session import importable
-from spanforge.sources import files, lookups, sinks
+from spanforge.sources import files, labels, lookups, sinks
 
 
 def test_csv_exports_check_their_columns(spark, tmp_path):
@@ -156,3 +158,28 @@ def test_points_of_a_feature_collection_and_rows_not_loaded(spark, tmp_path):
     assert got == [(1.5, 2.0, "x", 3), (None, None, None, None)]
     (tmp_path / "p.csv").write_text('a,b\n1,"two\nlines"\n3,4\n')
     assert files.row_count(spark, f"{tmp_path}/*.csv") == 2 and files.row_count(spark, f"{tmp_path}/none*.csv") == 0
+
+
+def test_labels_over_lines(spark):
+    written = "Title: A long\n  headline of\n\tthree lines\n\n  lost\nSource : Paper\nTITLE: second\n  not taken\nDate: \n 2001\nplain\n  more\nFull text: Begins here\nTitle: of the body\n\nends"
+    rows = spark.createDataFrame([(1, written), (2, ""), (3, None), (4, "a line: with: colons\r\n  and more\r\nx")], "k long, t string").repartition(3)
+    found = labels.labels(spark, labels.lines_of(rows, "k", "t").repartition(5))
+    got = {(r.document, r.label): (r.value, r.first_line, r.n_lines) for r in found.collect()}
+    assert got == {("1", "title"): ("A long headline of three lines", 0, 3), ("1", "source"): ("Paper", 5, 1), ("1", "date"): ("2001 more", 8, 3), ("1", "body"): ("Begins here\nTitle: of the body\n\nends", 12, 4), ("4", "a line"): ("with: colons and more", 0, 2)}
+    with pytest.raises(Exception, match="document, line_no"):
+        F.udtf(labels.LabelledLines)(rows.asTable()).collect()
+
+
+def test_texts_are_composed_as_unicode_says(spark):
+    importable(spark)
+    every = [chr(c) for c in range(0x20, 0x11_0000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[k : k + 3_000]) for k in range(0, 60_000, 3_000)] + ["".join(every[k : k + 1_000]) for k in range(110_000, 140_000, 1_000)]
+    marks = [chr(c) for c in range(0x300, 0x370)] + list("aeoAzs한ᄒ") + ["ᅡ", "ᆫ", "ཱ", "ི", "ে", "া"]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice(marks) for _ in range(40)) for _ in range(300)] + ["", "plain", "\u00e9", "e\u0301"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string")
+    got = {r.k: (r.c, r.n) for r in df.select("k", text.composed(F.col("t")).alias("c"), text.normal_text(F.col("t")).alias("n")).collect()}
+    assert all(got[k][0] == unicodedata.normalize("NFC", t) for k, t in enumerate(texts)) and got[len(texts)] == (None, None)
+    signs = "\u00a0\u2007\u202f\u2060\ufeff\u200b\u200c\u200d"
+    one = spark.createDataFrame([(f"{signs}a{signs}b \t\r\n\r\r\n\n  c\n",)], "t string").select(text.normal_text(F.col("t")).alias("n")).first().n
+    assert one == "a        b\n\n  c"
