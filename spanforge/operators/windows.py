@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanforge.session import stored
+from spanforge.session import checkpointed, stored
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -32,24 +33,93 @@ def collapse_duplicates(events: DataFrame, keys: Sequence[str], at: str, order:
 
     In order of ``at`` a row joins the current occurrence if it lies within ``window`` of that occurrence's date; a row of
     finer rank then gives the occurrence its date, so the anchor can move. An occurrence's date is never later than its
-    last row, so a gap above ``window`` always parts occurrences: rows are folded between such gaps, not by whole key.
+    last row, so a gap above ``window`` always parts occurrences. Rows are ranged by key and date: each range finds its own
+    gaps, the stretch that is open at its end is carried into the next range, and the stretches between gaps are folded
+    where they then meet, a row at a time. No key is sorted or held in one task. A row without ``at`` is an occurrence.
     """
-    along = W.partitionBy(*keys).orderBy(F.col(at).cast("long"), order)
-    gap = F.col(at).cast("long") - F.lag(F.col(at).cast("long")).over(along) > window
-    events = events.withColumn("_gap", F.coalesce(gap, F.lit(True)).cast("long")).withColumn("_island", F.sum("_gap").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    listed = F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("d"), F.col(order).alias("o"), F.col(rank).alias("p"))))
-    start = F.array().cast("array<struct<d:bigint,p:int,m:array<bigint>>>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        near = (F.size(done) > 0) & (F.abs(x["d"] - F.try_element_at(done, F.lit(-1))["d"]) <= window)
-        finer = x["p"].cast("int") < last["p"]
-        merged = F.struct(F.when(finer, x["d"]).otherwise(last["d"]).alias("d"), F.least(x["p"].cast("int"), last["p"]).alias("p"), F.concat(last["m"], F.array(x["o"].cast("long"))).alias("m"))
-        fresh = F.struct(x["d"].alias("d"), x["p"].cast("int").alias("p"), F.array(x["o"].cast("long")).alias("m"))
-        return F.when(near, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(done, F.array(fresh)))
-
-    folded = events.groupBy(*keys, "_island").agg(listed.alias("_all")).withColumn("_done", F.aggregate("_all", start, step))
-    return folded.select(*keys, F.explode("_done").alias("_x")).select(*keys, F.col("_x.d").alias("at"), F.col("_x.p").alias("rank"), F.col("_x.m").alias("members"))
+    spark = events.sparkSession
+    kinds = dict(events.dtypes)
+    rows = events.select(*keys, F.col(at).cast("long").alias("_at"), F.col(order).cast("long").alias("_order"), F.col(rank).cast("int").alias("_rank"))
+    sort = [*keys, "_at", "_order"]
+    checkpointed(spark)
+    # the ranges and their order are those that were written
+    ranged = rows.filter("_at IS NOT NULL").repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_place", F.spark_partition_id()).checkpoint()
+    names = list(keys)
+
+    def stretches(frame: pd.DataFrame, key: tuple | None, last: int, start: int) -> tuple[list[int], tuple, int, int]:
+        """Where the stretch of each row starts, and what is open behind the last row."""
+        starts = []
+        for row in zip(*(frame[k] for k in names), frame["_at"], strict=True):
+            own, when = _plain(row[:-1]), int(row[-1])
+            if own != key or when - last > window:
+                key, start = own, when
+            last = when
+            starts.append(start)
+        return starts, key, last, start
+
+    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A range's first and last row, whether a gap lies between, and where the last stretch starts."""
+        first = key = place = None
+        last = start = 0
+        for frame in frames:
+            if len(frame):
+                if first is None:
+                    first, place = (_plain(tuple(frame[k].iat[0] for k in names)), int(frame["_at"].iat[0])), int(frame["_place"].iat[0])
+                _, key, last, start = stretches(frame, key, last, start)
+        if first is not None:
+            yield pd.DataFrame({"place": [place], "first_key": [json.dumps(first[0], default=str)], "first_at": [first[1]], "last_key": [json.dumps(key, default=str)], "last_at": [last], "start": [start]})
+
+    carried, before = {}, None
+    for r in sorted(ranged.mapInPandas(ends, "place int, first_key string, first_at long, last_key string, last_at long, start long").collect(), key=lambda r: r.place):  # a row for each range
+        joins = before is not None and before[0] == r.first_key and r.first_at - before[1] <= window
+        carried[r.place] = before[2] if joins else r.first_at
+        whole = r.last_key == r.first_key and r.start == r.first_at  # one stretch from the first row to the last
+        before = (r.last_key, r.last_at, carried[r.place] if whole else r.start)
+
+    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last, start = None, 0, 0
+        first = None
+        for frame in frames:
+            if len(frame):
+                own, key, last, start = stretches(frame, key, last, start)
+                first = first or (_plain(tuple(frame[k].iat[0] for k in names)), int(frame["_at"].iat[0]), carried[int(frame["_place"].iat[0])])
+                # the range's first stretch may have begun in a range before
+                begun = [first[2] if s == first[1] and _plain(k) == first[0] else s for s, k in zip(own, zip(*(frame[k] for k in names), strict=True), strict=True)]
+                yield frame.drop(columns="_place").assign(_stretch=begun)
+
+    columns = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_at long, _order long, _rank int"])
+    parted = ranged.mapInPandas(numbered, f"{columns}, _stretch long").repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "_at", "_order")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, done = None, []
+        for frame in frames:
+            for row in zip(*(frame[k] for k in names), frame["_stretch"], frame["_at"], frame["_order"], frame["_rank"], strict=True):
+                key, (when, member, finer) = _plain(row[:-3]), row[-3:]
+                if now is not None and now[0] == key and when - now[2] <= window:
+                    now = (key, now[1], when if finer < now[3] else now[2], min(finer, now[3]), now[4])
+                    now[4].append(member)
+                else:
+                    done += [now] if now else []
+                    now = (key, row[: len(names)], when, finer, [member])
+            if len(done) > 10_000:
+                yield _occurrences(done, names)
+                done = []
+        if now:
+            yield _occurrences([*done, now], names)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "at long, rank int, members array<long>"])
+    undated = rows.filter("_at IS NULL").select(*keys, F.col("_at").alias("at"), F.col("_rank").alias("rank"), F.array("_order").alias("members"))
+    return parted.mapInPandas(fold, schema).unionByName(undated)
+
+
+def _plain(values: tuple) -> tuple:
+    """A key that equals itself, missing values included."""
+    return tuple(None if v is None or v != v else v for v in values)
+
+
+def _occurrences(done: list[tuple], names: list[str]) -> pd.DataFrame:
+    columns = {name: [k[1][n] for k in done] for n, name in enumerate(names)}
+    return pd.DataFrame(columns | {"at": [k[2] for k in done], "rank": [k[3] for k in done], "members": [k[4] for k in done]})
 
 
 def build_spans(events: DataFrame, keys: Sequence[str], at: str, order: str, kind: str, openers: Sequence[str], closers: Sequence[str], members: str | None = None) -> DataFrame:

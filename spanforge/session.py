@@ -56,6 +56,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(spark: SparkSession) -> None:
+    """See that the session has a folder for reliable checkpoints, that of ``spark.checkpoint.dir`` where it is set."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(scratch(spark, "checkpoints"))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, asked through Spark's own file system layer."""
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -149,6 +149,34 @@ def test_collapse_between_gaps(spark):
     assert sorted((r.at, r["rank"], list(r.members)) for r in got.collect()) == sorted(want)
 
 
+def test_collapse_of_dense_keys_spreads_over_ranges(spark):
+    importable(spark)
+    rng = random.Random(8)
+    rows = [(key, rng.randrange(span), n, rng.randrange(3)) for n, (key, span) in enumerate(rng.choices([("dense", 300), ("dense", 300), ("wide", 9_000), (None, 200), ("é", 40)], k=900))]
+    rows += [("dense", None, 5_000, 1), ("dense", None, 5_001, 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        df = spark.createDataFrame(rows, "k string, at long, o long, p int")
+        found = windows.collapse_duplicates(df, ["k"], "at", "o", "p", 6)
+        got = sorted(((str(r.k), r["at"], r["rank"], list(r.members)) for r in found.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = [(str(k), None, p, [o]) for k, at, o, p in rows if at is None]
+    for key in ("dense", "wide", None, "é"):
+        mine = []
+        for _, at, o, p in sorted((r for r in rows if r[0] == key and r[1] is not None), key=lambda r: (r[1], r[2])):
+            if mine and abs(at - mine[-1][1]) <= 6:
+                _, d, q, m = mine[-1]
+                mine[-1] = (str(key), at if p < q else d, min(p, q), [*m, o])
+            else:
+                mine.append((str(key), at, p, [o]))
+        want += mine
+    assert got == sorted(want, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert windows.collapse_duplicates(df.limit(0), ["k"], "at", "o", "p", 6).count() == 0
+
+
 def test_proximity_by_parts_is_that_of_the_whole(spark):
     rng = random.Random(11)
     rows = [(rng.choice("ab"), k, rng.choice([10.0, 40.0, 40.2]) + rng.random() / 40, rng.choice([-75.0, -70.0, 179.99]) + rng.random() / 40) for k in range(150)] + [("a", 200, None, None), ("a", 201, None, 1.0)]
