@@ -14,6 +14,8 @@ from spanforge.operators.windows import first_wins
 
 #: Rarest tokens that are looked up inside a row instead of by a join.
 TRIGGERS_IN_ROW = 20_000
+#: Years that are listed within a span's row instead of by a join.
+YEARS_IN_ROW = 1_000
 #: Days of a stretch in which spans and starts meet.
 STRETCH = 365
 
@@ -74,6 +76,18 @@ def phrase_join(docs: DataFrame, doc_id: str, text_tokens: str, keys: DataFrame,
     return hits.groupBy(doc_id, F.col(f"_hit.{key_id}").alias(key_id)).agg(F.count("*").alias("n"), F.min("_hit._begin").alias("first_at"))
 
 
+def staged_match(queries: DataFrame, query: str, rows: DataFrame, required: dict[str, str], stages: dict[str, Column]) -> DataFrame:
+    """Candidates of each query, narrowed in stages; add ``n_left``.
+
+    ``required`` names a column of the queries and the column of ``rows`` that must equal it: these are the keys of the
+    join, so what a required stage drops is never paired. ``stages`` are conditions that narrow only where they leave any.
+    """
+    paired = queries.join(rows, reduce(Column.__and__, [queries[q] == rows[r] for q, r in required.items()]))
+    paired = paired.drop(*(rows[r] for q, r in required.items() if q == r))
+    marked = paired.select("*", *(c.alias(f"_stage_{name}") for name, c in stages.items()))
+    return narrowed(marked, query, [(f"_stage_{name}", True) for name in stages]).drop(*(f"_stage_{name}" for name in stages))
+
+
 def narrowed(candidates: DataFrame, query: str, stages: Sequence[tuple[str, bool]]) -> DataFrame:
     """Disambiguation in stages: a boolean column's rows replace a query's candidates.
 
@@ -150,9 +164,20 @@ def outer_merge(tables: Sequence[DataFrame], on: str, zero: Sequence[str]) -> Da
 
 
 def holders_by_year(spans: DataFrame, years: DataFrame, start_year: str, end_year: str) -> DataFrame:
-    """Spans repeated for each of a few ``year`` rows that they cover."""
-    covered = (F.col(start_year) <= F.col("year")) & (F.coalesce(F.col(end_year), F.lit(9999)) >= F.col("year"))
-    return spans.join(F.broadcast(years), covered)
+    """Spans repeated for each ``year`` row that they cover; years that are given twice count twice.
+
+    Up to YEARS_IN_ROW different years are listed within each span's row. Beyond that spans meet the years by equality, a
+    row for each year that they cover between the first and the last.
+    """
+    few = [tuple(r) for r in years.groupBy("year").agg(F.count("*").alias("n")).filter("year IS NOT NULL").orderBy("year").limit(YEARS_IN_ROW + 1).collect()]
+    end = F.coalesce(F.col(end_year), F.lit(9999))
+    if len(few) <= YEARS_IN_ROW:
+        listed = F.array(*(F.lit(y) for y, n in few for _ in range(n))).cast(f"array<{dict(years.dtypes)['year']}>")
+        return spans.withColumn("year", F.explode(F.filter(listed, lambda y: (F.col(start_year) <= y) & (end >= y))))
+    low, high = years.agg(F.min("year"), F.max("year")).first()
+    first, last = F.greatest(F.col(start_year), F.lit(low)), F.least(end, F.lit(high))
+    covered = spans.filter(F.col(start_year).isNotNull() & (first <= last)).withColumn("year", F.explode(F.sequence(first, last)))
+    return covered.join(years.select("year"), "year").select(*spans.columns, "year")
 
 
 def name_in_year(aliases: Column, canonical: Column, year: Column) -> Column:
@@ -162,12 +187,21 @@ def name_in_year(aliases: Column, canonical: Column, year: Column) -> Column:
 
 
 def nearest(wanted: DataFrame, series: DataFrame, on: str, at: str, series_at: str) -> DataFrame:
-    """For each wanted row the series row nearest in ``series_at``, the earlier of equals."""
-    listed = series.groupBy(on).agg(F.collect_list(F.struct(*series.columns)).alias("_all"))
-    gap = lambda x: F.struct(F.abs(x[series_at] - F.col(at)), x[series_at])
-    best = F.array_min(F.transform("_all", lambda x: F.struct(gap(x).alias("g"), x.alias("x"))))["x"]
+    """For each wanted row the series row nearest in ``series_at``, the earlier of equals; nulls where its key has none.
+
+    Both sides lie along one order of each key, so the nearest is the last series row before or the first one behind.
+    """
     keep = [c for c in series.columns if c not in wanted.columns]
-    return wanted.join(listed, on, "left").withColumn("_best", best).select(*wanted.columns, *(F.col(f"_best.{c}").alias(c) for c in keep))
+    point = series.filter(F.col(series_at).isNotNull()).groupBy(F.col(on).alias("_on"), F.col(series_at).alias("_at")).agg(F.min(F.struct(*keep)).alias("_s"))
+    asked = wanted.select(F.col(on).alias("_on"), F.col(at).alias("_at"), F.struct(*wanted.columns).alias("_w"))
+    both = asked.withColumn("_s", F.lit(None).cast(point.schema["_s"].dataType)).unionByName(point, allowMissingColumns=True)
+    found = F.when(F.col("_s").isNotNull(), F.struct("_at", "_s"))
+    order = W.partitionBy("_on").orderBy(F.col("_at"))
+    placed = both.withColumn("_before", F.last(found, ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, W.currentRow)))
+    placed = placed.withColumn("_behind", F.first(found, ignorenulls=True).over(order.rangeBetween(W.currentRow, W.unboundedFollowing))).filter("_w IS NOT NULL")
+    behind = F.col("_before").isNull() | (F.col("_behind._at") - F.col("_at") < F.col("_at") - F.col("_before._at"))
+    best = F.when(F.coalesce(behind, F.lit(False)), F.col("_behind._s")).otherwise(F.col("_before._s"))
+    return placed.withColumn("_best", best).select("_w.*", *(F.col(f"_best.{c}").alias(c) for c in keep))
 
 
 def first_listed(lists: DataFrame, key: str, ids: str, rows: DataFrame, row_id: str) -> DataFrame:
@@ -191,17 +225,21 @@ def exact_or_coarse(left: DataFrame, right: DataFrame, coarse: Sequence[str], fi
 
 
 def alias_match(names: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
-    """Add the best alias (alias, operator, tier) of a small table (alias, operator, distinctive, ord) for each name.
+    """Add the best alias (alias, operator, tier) of a table (alias, operator, distinctive, ord) for each name.
 
     Tier 0: the whole name; 1: its beginning; 2: a distinctive alias anywhere in it. In a tier the longest wins, then the
-    first. Names are grouped before they meet the aliases, so each distinct name is compared once.
+    first. All are runs of a name's words, so each distinct name's runs, no longer than the longest alias, meet the aliases
+    by equality, however many there are.
     """
-    distinct = names.select(name).distinct()
-    text, alias = F.col(name), F.col("alias")
-    tier = F.when(text == alias, 0).when(text.startswith(F.concat(alias, F.lit(" "))), 1).when(F.col("distinctive") & F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), alias, F.lit(" "))), 2)
-    hits = distinct.join(F.broadcast(aliases), tier.isNotNull()).withColumn("tier", tier)
-    best = hits.groupBy(name).agg(F.min_by(F.struct("alias", "operator", "tier"), F.struct("tier", -F.length("alias"), "ord")).alias("x"))
-    return names.join(best, name, "left").select(*names.columns, "x.alias", "x.operator", "x.tier")
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    words = F.split("_name", " ", -1)
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.size(words) - i, F.lit(longest))), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("run")))))
+    distinct = names.select(F.col(name).alias("_name")).filter(F.col(name).isNotNull()).distinct()
+    each = distinct.select("_name", F.size(words).alias("_words"), F.explode(runs).alias("_r")).select("_name", "_words", "_r.*")
+    tier = F.when((F.col("at") == 0) & (F.col("n") == F.col("_words")), 0).when(F.col("at") == 0, 1).when(F.col("distinctive"), 2)
+    hits = each.join(aliases.select(F.col("alias"), "operator", "distinctive", "ord"), F.col("run") == F.col("alias")).withColumn("tier", tier).filter("tier IS NOT NULL")
+    best = hits.groupBy("_name").agg(F.min_by(F.struct("alias", "operator", "tier"), F.struct("tier", -F.length("alias"), "ord")).alias("x"))
+    return names.join(best, F.col(name) == F.col("_name"), "left").select(*names.columns, "x.alias", "x.operator", "x.tier")
 
 
 def crosswalk(names: DataFrame, key: str, table: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,14 @@ def place_values(entities: DataFrame, zone: str, value: str, cuts: list[float])
     return first.withColumn("bin", bucket_of(F.col(value), cuts))
 
 
+
+
+def verdict_report(rows: DataFrame, verdict: str, known: Sequence[str], correct: str, undecided: Sequence[str] = ()) -> DataFrame:
+    """(kind, verdict, n) of an audit's rows, so that each row is accounted for.
+
+    ``correct``, ``failure`` (each failure mode by name), ``undecided``, ``unfilled`` where nothing is written, and
+    ``unrecognised`` for verdicts that are not known, each as it was written.
+    """
+    said = F.trim(F.col(verdict))
+    kind = F.when(F.coalesce(said, F.lit("")) == "", "unfilled").when(~said.isin(*known), "unrecognised").when(said == correct, "correct").when(said.isin(*undecided), "undecided").otherwise("failure")
+    return rows.select(kind.alias("kind"), F.when(kind != "unfilled", said).alias("verdict")).groupBy("kind", "verdict").agg(F.count("*").alias("n"))

@@ -59,6 +59,17 @@ def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.audit_scores(judged, "verdict", ("correct", "wrong"), "correct", ("lang", "toxic"))
 
 
+@query("audit_verdicts", """
+    WITH v AS (SELECT trim(CASE WHEN quality = 1 AND toxic = 0 THEN ' correct' WHEN quality = 1 THEN 'wrong_date ' WHEN toxic = 1 THEN 'wrong_operator' WHEN doc_id % 5 = 0 THEN '  ' WHEN doc_id % 5 = 1 THEN 'cant_tell' WHEN doc_id % 5 = 2 THEN 'Correct' ELSE NULL END) AS v FROM labels)
+    SELECT CASE WHEN coalesce(v, '') = '' THEN 'unfilled' WHEN v = 'Correct' THEN 'unrecognised' WHEN v = 'correct' THEN 'correct' WHEN v = 'cant_tell' THEN 'undecided' ELSE 'failure' END AS kind, nullif(v, '') AS verdict, count(*) AS n FROM v GROUP BY 1, 2""")
+def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label's verdict counted, those that are off the list and those that are missing too."""
+    quality, toxic, fifth = F.col("quality"), F.col("toxic"), F.col("doc_id") % 5
+    said = F.when((quality == 1) & (toxic == 0), " correct").when(quality == 1, "wrong_date ").when(toxic == 1, "wrong_operator").when(fifth == 0, "  ").when(fifth == 1, "cant_tell").when(fifth == 2, "Correct")
+    rows = table(spark, sf_dir, "labels").select(said.alias("verdict"))
+    return profiles.verdict_report(rows, "verdict", ("correct", "wrong_date", "wrong_operator", "cant_tell"), "correct", ("cant_tell",))
+
+
 @query("year_map", SPANS_SQL + """
     , c AS (SELECT * FROM s WHERE year(st) <= 1998 AND coalesce(year(en), 9999) >= 1998), m AS (SELECT *, coalesce(coalesce(en, DATE '9999-12-31') > lead(st) OVER (PARTITION BY o_custkey ORDER BY st, o_orderkey), false) AS past FROM c),
     g AS (SELECT o_custkey, count(DISTINCT o_orderpriority) > 1 AND bool_or(past) AS contested, arg_max(o_orderpriority, {'s': st, 'k': o_orderkey}) AS holder FROM m GROUP BY 1),

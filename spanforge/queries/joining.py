@@ -85,8 +85,7 @@ def three_gate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     asked = parts.select("p_name", F.col("p_brand").alias("b"), (F.col("p_size") % 3).alias("s")).distinct().withColumn("query", F.concat_ws("|", "p_name", "b", "s"))
-    found = asked.join(parts, "p_name").withColumn("same_brand", F.col("p_brand") == F.col("b")).withColumn("same_size", F.col("p_size") % 3 == F.col("s"))
-    left = joins.narrowed(found, "query", [("same_brand", False), ("same_size", True)])
+    left = joins.staged_match(asked, "query", parts, {"p_name": "p_name", "b": "p_brand"}, {"same_size": F.col("p_size") % 3 == F.col("s")})
     return left.select("p_name", "b", "s", "p_partkey", "n_left", F.when(F.col("n_left") == 1, "matched").otherwise("ambiguous").alias("outcome"))
 
 
