@@ -164,3 +164,8 @@ def covers(start_year: Column, end_year: Column, year: Column) -> Column:
 def plausible_in(opened: Column, closed: Column, year: Column) -> Column:
     """Unknown opening and closing years count as open."""
     return (F.coalesce(opened, F.lit(-9999)) <= year) & (F.coalesce(closed, F.lit(9999)) >= year)
+
+
+def plausible_as(opened: Column, closed: Column, alias_start: Column, alias_end: Column, year: Column) -> Column:
+    """Open in a year under a name of its own years; what is not known does not count against it."""
+    return plausible_in(opened, closed, year) & plausible_in(alias_start, alias_end, year)

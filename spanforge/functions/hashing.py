@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,6 @@ def content_id(prefix: str, size: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(seed, 256), 1, size))
 
 
-def payload_hash(*columns: Column) -> Column:
-    """SHA-256 of a row as JSON, for caches keyed by content."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def payload_hash(names: Sequence[str]) -> Column:
+    """SHA-256 of named columns as JSON in the order of their names, for caches keyed by content: the same request has one key however it is put together."""
+    return F.sha2(F.to_json(F.struct(*sorted(names))), 256)

@@ -61,9 +61,15 @@ def company_key(text: Column, legal_words: tuple[str, ...] = LEGAL_WORDS) -> Col
 
 
 def without_tokens(text: Column, tokens: tuple[str, ...]) -> Column:
-    """Words of ``tokens`` dropped wherever they stand, then a trailing "and"."""
+    """Words of ``tokens`` dropped wherever they stand, then every "and" at the end."""
     kept = F.array_join(F.filter(F.split(squeeze(text), " "), lambda t: ~t.isin(*tokens)), " ")
-    return F.regexp_replace(kept, r"\s+and$", "")
+    return F.regexp_replace(kept, r"(?:(?:^|\s+)and)+$", "")
+
+
+def employer_key(text: Column, tokens: tuple[str, ...] = LEGAL_WORDS) -> Column:
+    """An employer's name for comparison: lower case, ``&`` as a word, "doing business as" a mere break, legal words dropped."""
+    spoken = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), r"\bd/?b/?a\b", " ")
+    return without_tokens(F.regexp_replace(spoken, "[^a-z0-9]+", " "), tokens)
 
 
 def zip5(text: Column) -> Column:

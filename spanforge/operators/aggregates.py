@@ -129,3 +129,9 @@ def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 def invariants(df: DataFrame, checks: dict[str, Column], *more: Column) -> DataFrame:
     """One row: for each check whether it holds for all rows (true on none), and further aggregates in the same pass."""
     return df.agg(*(F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True)).alias(name) for name, c in checks.items()), *more)
+
+
+def census(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row (either, both_, only_a, only_b): how many keys two censuses list, together and alone; each key counts once."""
+    sides = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full_outer")
+    return sides.agg(F.count("*").alias("either"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both_"), F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"))

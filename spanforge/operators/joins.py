@@ -242,11 +242,35 @@ def alias_match(names: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     return names.join(best, F.col(name) == F.col("_name"), "left").select(*names.columns, "x.alias", "x.operator", "x.tier")
 
 
-def crosswalk(names: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """Resolve keys through a relation table (key, relation, parent, priority); the least priority wins; ``relation`` is ``unknown`` where none applies."""
+def crosswalk(names: DataFrame, key: str, table: DataFrame, self_operated: Sequence[str] = (), self_name: str = "Self-operated") -> DataFrame:
+    """Resolve keys through a relation table (key, relation, parent, priority); the least priority wins.
+
+    Before the table, a key that is one of the forms ``self_operated``, blanks aside, is ``self_op``. ``relation`` is
+    ``unknown`` where nothing applies.
+    """
     first = first_wins(table.withColumnRenamed("key", "_key"), ["_key"], ["priority", "relation", "parent"])
-    joined = names.join(first.select("_key", "relation", "parent"), F.col(key) == F.col("_key"), "left")
-    return joined.drop("_key").withColumn("relation", F.coalesce("relation", F.lit("unknown"))).withColumn("parent", F.coalesce("parent", F.col(key)))
+    joined = names.join(first.select("_key", "relation", "parent"), F.col(key) == F.col("_key"), "left").drop("_key")
+    own = F.coalesce(F.replace(F.col(key), F.lit(" "), F.lit("")).isin(*(f.replace(" ", "") for f in self_operated)), F.lit(False)) if self_operated else F.lit(False)
+    relation = F.when(own, "self_op").otherwise(F.coalesce("relation", F.lit("unknown")))
+    return joined.withColumn("parent", F.when(own, self_name).otherwise(F.coalesce("parent", F.col(key)))).withColumn("relation", relation)
+
+
+def gated_match(hits: DataFrame, row: str, venue: str, key: str, order: Sequence[Column], rows: DataFrame, place: str, venues: DataFrame, places: str, aliases: str) -> DataFrame:
+    """(row, venue, key): of each row's name hits, in order, the first that passes both other gates.
+
+    The row's place must be one of the venue's ``places``, and the name that was hit one of its recorded ``aliases``. Gates
+    are asked before hits are ranked, so a hit that fails one does not hide the next.
+    """
+    open_ = venues.select(venue, F.explode(places).alias("_place"), F.col(aliases).alias("_aliases")).distinct()
+    placed = hits.join(rows.select(row, F.col(place).alias("_place")).filter("_place IS NOT NULL"), row).join(open_, [venue, "_place"])
+    return first_wins(placed.filter(F.array_contains("_aliases", F.col(key))), [row], [*order, F.col(venue)]).select(row, venue, key)
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str, value: str, least: int) -> DataFrame:
+    """One row (shared, equal, agrees): keys in both tables, those with the same value, and whether all agree over at least ``least`` keys."""
+    both = a.select(key, F.col(value).alias("_a")).join(b.select(key, F.col(value).alias("_b")), key)
+    counted = both.agg(F.count("*").alias("shared"), F.count_if(F.col("_a").eqNullSafe(F.col("_b"))).alias("equal"))
+    return counted.withColumn("agrees", (F.col("shared") == F.col("equal")) & (F.col("shared") >= least))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

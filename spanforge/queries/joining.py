@@ -77,6 +77,21 @@ def three_gate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.first_wins(hits, ["doc_id"], ["first_at", "key"]).select("doc_id", "lang", "key")
 
 
+@query("gated_venue_match", PHRASE_SQL + """,
+    v AS (SELECT key, key || '/' || (k % 3)::VARCHAR AS venue, [(length(key) + k) % 7, (length(key) + 2 * k) % 7] AS zips, (length(key) + k) % 2 = 0 AS recorded FROM (SELECT DISTINCT key FROM h), range(3) t(k)),
+    g AS (SELECT doc_id, venue, key, row_number() OVER (PARTITION BY doc_id ORDER BY length(key) DESC, n DESC, key, venue) AS rn FROM h JOIN v USING (key) WHERE recorded AND list_contains(zips, doc_id % 7))
+    SELECT doc_id, venue, key FROM g WHERE rn = 1""")
+def gated_venue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, place and recorded name: every phrase names three venues, each with two places, and some are recorded under it."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", (F.col("doc_id") % 7).alias("zip"), F.split(text.match_key(F.col("text")), " ").alias("tokens"))
+    named = phrases(spark, sf_dir)
+    size, k = F.length("key"), F.col("k")
+    venues = named.select("key", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).select("key", F.concat_ws("/", "key", "k").alias("venue"), F.array((size + k) % 7, (size + 2 * k) % 7).alias("zips"), F.array(F.when((size + k) % 2 == 0, F.col("key")).otherwise("-")).alias("aliases"))
+    hits = joins.phrase_join(docs, "doc_id", "tokens", named, "key", "key_tokens").join(venues.select("key", "venue"), "key")
+    order = [F.desc(F.length("key")), F.desc("n"), F.col("key")]
+    return joins.gated_match(hits, "doc_id", "venue", "key", order, docs, "zip", venues, "zips", "aliases")
+
+
 @query("staged_disambiguation", """
     WITH q AS (SELECT DISTINCT p_name, p_brand AS b, p_size % 3 AS s FROM part), c AS (SELECT q.*, p_partkey, p_brand = b AS same_brand, p_size % 3 = s AS same_size FROM q JOIN part USING (p_name)),
     r AS (SELECT * FROM c WHERE same_brand), z AS (SELECT *, bool_or(same_size) OVER (PARTITION BY p_name, b, s) AS has_any FROM r),
@@ -248,6 +263,26 @@ def crosswalk_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.crosswalk(names, "key", relations).select("c_custkey", "key", "relation", "parent")
 
 
+@query("crosswalk_self_operated", f"""
+    WITH t AS (SELECT * FROM (VALUES {RELATION_VALUES}) v(k, relation, parent, pr)), f AS (SELECT k, arg_min(relation, pr) AS relation, arg_min(parent, pr) AS parent FROM t GROUP BY 1),
+    n AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'in house' WHEN 1 THEN 'inhouse' ELSE lower(c_mktsegment) END AS key FROM customer)
+    SELECT c_custkey, key, CASE WHEN c_custkey % 4 < 2 THEN 'self_op' ELSE coalesce(relation, 'unknown') END AS relation, CASE WHEN c_custkey % 4 < 2 THEN 'Self-operated' ELSE coalesce(parent, key) END AS parent FROM n LEFT JOIN f ON k = key""")
+def crosswalk_self_operated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relations = spark.createDataFrame([*RELATIONS, ("inhouse", "exact", "Never", 1)], "key string, relation string, parent string, priority int")
+    own = F.when(F.col("c_custkey") % 4 == 0, "In-House").when(F.col("c_custkey") % 4 == 1, "inhouse").otherwise(F.col("c_mktsegment"))
+    names = table(spark, sf_dir, "customer").select("c_custkey", text.company_key(own).alias("key"))
+    return joins.crosswalk(names, "key", relations, ("in house", "self operated")).select("c_custkey", "key", "relation", "parent")
+
+
+@query("agreement_of_sources", """
+    WITH a AS (SELECT o_orderkey AS k, year(o_orderdate) AS v FROM orders), b AS (SELECT l_orderkey AS k, year(min(l_shipdate)) AS v FROM lineitem GROUP BY 1), j AS (SELECT a.v = b.v AS same FROM a JOIN b USING (k))
+    SELECT count(*) AS shared, count(*) FILTER (WHERE same) AS equal, count(*) = count(*) FILTER (WHERE same) AND count(*) >= 100 AS agrees FROM j""")
+def agreement_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.year("o_orderdate").alias("v"))
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.year(F.min("l_shipdate")).alias("v"))
+    return joins.agreement(ordered, shipped, "k", "v", 100)
+
+
 @query("source_agreement", """
     SELECT CASE WHEN l_orderkey IS NULL THEN 'deleted' WHEN o_orderkey IS NULL THEN 'created' WHEN o_orderstatus = st THEN 'same' ELSE 'modified' END AS change, count(*) AS n
     FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') FULL JOIN (SELECT l_orderkey, max(l_linestatus) AS st FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1""")

@@ -107,6 +107,18 @@ def open_in_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("year").agg(F.count_if(dates.plausible_in(F.col("o"), F.col("c"), F.col("year"))).alias("open_n"), F.count("*").alias("n"))
 
 
+@query("open_under_name", """
+    SELECT p_partkey, y::INT AS year, coalesce(o, -9999) <= y AND coalesce(c, 9999) >= y AND coalesce(s, -9999) <= y AND coalesce(e, 9999) >= y AS plausible
+    FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 1950 + p_size END AS o, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 1980 + p_size END AS c, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 1960 + p_partkey % 30 END AS s, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 1990 + p_partkey % 30 END AS e FROM part), (VALUES (1970), (1990), (2010)) AS t(y)""")
+def open_under_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each part could have been there in a year under a name that it had for some years."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    opened, closed = F.when(size % 5 != 0, size + 1950), F.when(size % 3 != 0, size + 1980)
+    start, end = F.when(key % 4 != 0, key % 30 + 1960), F.when(key % 3 != 0, key % 30 + 1990)
+    rows = table(spark, sf_dir, "part").withColumn("year", F.explode(F.array(*map(F.lit, (1970, 1990, 2010)))))
+    return rows.select("p_partkey", "year", dates.plausible_as(opened, closed, start, end, F.col("year")).alias("plausible"))
+
+
 @query("coordinate_truthiness", """
     SELECT count(*) FILTER (WHERE lat IS NOT NULL AND lat <> 0 AND lng IS NOT NULL AND lng <> 0) AS truthy, count(*) FILTER (WHERE lat IS NOT NULL) AS present
     FROM (SELECT CASE WHEN s_nationkey = 3 THEN NULL ELSE s_nationkey - 5 END AS lat, s_suppkey % 4 AS lng FROM supplier)""")
@@ -132,6 +144,14 @@ def usable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(ok).alias("usable"), F.count("*").alias("n"))
 
 
+@query("first_usable_documents", """
+    SELECT doc_id, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND length(trim(coalesce(text, ''))) > 0 AND n_chars >= 200 ORDER BY doc_id LIMIT 25""")
+def first_usable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents that can be used: what cannot be does not count against the limit."""
+    ok = F.col("source").isNotNull() & F.col("lang").isNotNull() & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0) & (F.col("n_chars") >= 200)
+    return table(spark, sf_dir, "documents").filter(ok).orderBy("doc_id").limit(25).select("doc_id", "lang")
+
+
 @query("faceted_counts", """
     SELECT c_mktsegment, count(*) AS total, count(*) FILTER (WHERE c_acctbal > 9000 AND c_nationkey < 10) AS n FROM customer GROUP BY 1 ORDER BY total DESC""")
 def faceted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,31 @@ def set_ops_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rich.union(table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select("o_custkey")).distinct()
 
 
+@query("census_differences", """
+    WITH a AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 300000)
+    SELECT count(*) AS either, count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS both_, count(*) FILTER (WHERE b.k IS NULL) AS only_a, count(*) FILTER (WHERE a.k IS NULL) AS only_b FROM a FULL JOIN b ON a.k = b.k""")
+def census_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two censuses' union, and how many each has alone."""
+    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k"))
+    buying = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("k"))
+    return aggregates.census(rich, buying, "k")
+
+
+@query("employer_keys", """
+    WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' Group, Inc. d/b/a ' || p_type WHEN 1 THEN p_type || ' & ' || p_name || ' Co. and' ELSE 'The ' || p_brand || ' DBA ' || p_name || ' & Subsidiaries, L.P.' END AS name FROM part),
+    t AS (SELECT p_partkey, string_split(trim(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '\\bd/?b/?a\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' ') AS t FROM n)
+    SELECT p_partkey, regexp_replace(array_to_string(list_filter(t, lambda x: x NOT IN ('inc', 'incorporated', 'corp', 'corporation', 'co', 'company', 'llc', 'lp', 'ltd', 'limited', 'plc', 'group', 'usa', 'holdings')), ' '), '(?:(?:^|\\s+)and)+$', '') AS key FROM t""")
+def employer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("p_partkey") % 3
+    name = F.when(third == 0, F.concat("p_name", F.lit(" Group, Inc. d/b/a "), "p_type")).when(third == 1, F.concat("p_type", F.lit(" & "), "p_name", F.lit(" Co. and"))).otherwise(F.concat(F.lit("The "), "p_brand", F.lit(" DBA "), "p_name", F.lit(" & Subsidiaries, L.P.")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.employer_key(name).alias("key"))
+
+
+@query("payload_hashes", """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS payload FROM orders""")
+def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", hashing.payload_hash(["o_orderstatus", "o_orderkey", "o_custkey"]).alias("payload"))
+
+
 @query("set_ops_intersect", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000 INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_ops_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rich = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k"))

@@ -142,7 +142,7 @@ def enriched_in_batches(wanted: DataFrame, key: str, lookup: Callable[[object],
 
 def cached(requests: DataFrame, columns: Sequence[str], cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answered, open): requests with an answer in a cache keyed by payload hash, and those to send."""
-    hashed = requests.withColumn("payload", payload_hash(*map(F.col, columns)))
+    hashed = requests.withColumn("payload", payload_hash(columns))
     return hashed.join(cache, "payload"), hashed.join(cache.select("payload"), "payload", "left_anti")
 
 
