@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.plans import profiles, spine
-from spanforge.queries.joining import SPANS_SQL, order_spans
+from spanforge.functions import text
+from spanforge.plans import gold, profiles, spine
+from spanforge.queries.joining import RELATION_VALUES, RELATIONS, SPANS_SQL, order_spans
 from spanforge.queries.registry import query
 from spanforge.queries.tagging import SCOPE_SQL, scoped
 from spanforge.session import table
@@ -84,3 +85,44 @@ def year_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zone_choropleth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("ord"), F.when(F.col("c_acctbal") > 1000, F.col("c_acctbal")).alias("v"))
     return profiles.place_values(rows, "c_nationkey", "v", [0, 4000, 8000])
+
+
+@query("gold_load", f"""
+    WITH s AS (SELECT *, p_partkey // 4 AS g FROM part),
+    v AS (SELECT p_partkey AS venue_id, 'hall ' || g || CASE WHEN p_partkey % 8 = 0 THEN ' annex' ELSE '' END AS canonical, 'hall ' || g AS key, 'S' || p_size % 2 AS state, 'Town ' || p_partkey % 3 AS city, CASE WHEN p_size % 3 = 0 THEN 'arena' ELSE 'stadium' END AS type,
+        CASE WHEN p_size % 5 > 0 THEN 1950 + p_size END AS opened, CASE WHEN p_size % 4 > 0 THEN 1970 + p_size END AS closed, (p_size / 10.0)::DOUBLE AS lat FROM s),
+    t AS (SELECT k, arg_min(relation, pr) AS relation, arg_min(parent, pr) AS parent FROM (VALUES {RELATION_VALUES}) v(k, relation, parent, pr) GROUP BY 1),
+    r AS (SELECT c_custkey AS row_no, c_custkey % (SELECT count(*) + 40 FROM part) AS pk, c_mktsegment, c_custkey % 6 AS m, c_nationkey FROM customer),
+    e AS (SELECT row_no, CASE WHEN m = 5 THEN NULL ELSE 'hall ' || pk // 4 END AS key, CASE WHEN m IN (1, 2) THEN 'S' || c_nationkey % 2 END AS state, CASE WHEN m IN (2, 3) THEN 'town ' || c_nationkey % 3 END AS city, CASE WHEN m > 2 THEN 1990 + c_nationkey END AS year,
+        lower(c_mktsegment) AS op, m FROM r),
+    n AS (SELECT key, count(*) AS n FROM v GROUP BY 1),
+    c0 AS (SELECT e.*, v.venue_id, n.n, lower(v.city) = e.city AS same_city, coalesce(opened, -9999) <= year AND coalesce(closed, 9999) >= year AS then_ FROM e JOIN n USING (key) JOIN v USING (key) WHERE n.n = 1 OR e.state IS NULL OR e.state = v.state),
+    c1 AS (SELECT * FROM (SELECT *, bool_or(coalesce(same_city, false)) OVER (PARTITION BY row_no) AS any_ FROM c0) WHERE same_city OR NOT any_),
+    c2 AS (SELECT *, count(*) OVER (PARTITION BY row_no) AS left_ FROM (SELECT *, bool_or(coalesce(then_, false)) OVER (PARTITION BY row_no) AS any2 FROM c1) WHERE then_ OR NOT any2),
+    o AS (SELECT row_no, venue_id FROM c2 WHERE left_ = 1)
+    SELECT e.row_no, o.venue_id, CASE WHEN e.key IS NULL THEN 'no_name' WHEN n.n IS NULL THEN 'not_in_spine' WHEN o.venue_id IS NULL THEN 'ambiguous' WHEN v.canonical = e.key THEN 'exact' ELSE 'alias' END AS match, coalesce(n.n, 0) AS n_candidates,
+        CASE WHEN op = 'furniture' THEN 'self_op' ELSE coalesce(relation, 'unknown') END AS relation, CASE WHEN op = 'furniture' THEN 'Self-operated' ELSE coalesce(parent, op) END AS operator_normalized,
+        concat_ws(',', CASE WHEN e.state <> v.state THEN 'state: ' || e.state || ' against ' || v.state END, CASE WHEN v.type <> 'arena' THEN 'venue_type: arena against ' || v.type END, CASE WHEN abs(2.5 - lat) > 0.05 THEN 'lat' END) AS warnings, m <> 4 AS verified,
+        'gold-' || left(sha256(coalesce(o.venue_id::VARCHAR, 'The Hall ' || upper(substr(e.key, 6)), '') || '|' || CASE WHEN op = 'furniture' THEN 'Self-operated' ELSE coalesce(parent, op) END || '|' || coalesce(year::VARCHAR, '')), 10) AS tenure_id
+    FROM e LEFT JOIN n USING (key) LEFT JOIN o USING (row_no) LEFT JOIN v USING (venue_id) LEFT JOIN t ON t.k = op""")
+def gold_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as hand-made rows about halls that four parts share: name, then state, city and year tell which is meant."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    part = table(spark, sf_dir, "part").withColumn("g", F.floor(key / 4))
+    hall = F.concat(F.lit("Hall "), F.col("g").cast("string"))
+    venues = part.select(
+        key.alias("venue_id"), F.concat(hall, F.when(key % 8 == 0, " Annex").otherwise("")).alias("canonical_name"), F.when(size % 3 == 0, "arena").otherwise("stadium").alias("venue_type"), F.concat(F.lit("Town "), key % 3).alias("city"),
+        F.concat(F.lit("S"), size % 2).alias("state"), (size / 10).alias("lat"), F.lit(0.0).alias("lng"), F.when(size % 5 > 0, size + 1950).alias("opened"), F.when(size % 4 > 0, size + 1970).alias("closed"), text.match_key(hall).alias("key"),
+    )
+    nobody = F.lit(None).cast("int")
+    keys = venues.select("venue_id", "key", nobody.alias("key_start"), nobody.alias("key_end"))
+    m, nation = F.col("c_custkey") % 6, F.col("c_nationkey")
+    n = part.agg((F.count("*") + 40).alias("n"))
+    rows = table(spark, sf_dir, "customer").crossJoin(n).select(
+        F.col("c_custkey").alias("row_no"), F.when(m != 5, F.concat(F.lit("The Hall "), F.floor(F.col("c_custkey") % F.col("n") / 4).cast("string"))).alias("venue_name"), F.when(m.isin(1, 2), F.concat(F.lit("S"), nation % 2)).alias("state"),
+        F.when(m.isin(2, 3), F.concat(F.lit("town "), nation % 3)).alias("city"), F.when(m > 2, nation + 1990).alias("year"), F.col("c_mktsegment").alias("operator"), F.lit("arena").alias("venue_type"), F.lit(2.5).alias("lat"), F.lit(0.0).alias("lng"),
+        F.when(m == 4, "to VERIFY").otherwise("press").alias("source"),
+    )
+    relations = spark.createDataFrame(RELATIONS, "key string, relation string, parent string, priority int")
+    loaded = gold.gold_load(rows, venues.drop("key"), keys, relations, ("furniture",))
+    return loaded.select("row_no", "venue_id", "match", "n_candidates", "relation", "operator_normalized", F.array_join("warnings", ",").alias("warnings"), "verified", "tenure_id")
