@@ -56,15 +56,20 @@ def wkt_point(text: Column) -> Column:
     return F.struct(part(2).alias("lat"), part(1).alias("lng"))
 
 
+# fixed values: what a sentence says where nothing is known
+NO_OPERATOR, NO_PLACE, NO_DATE = "(no operator)", "(no venue named)", "date unknown"
+
+
 def claim(operator: Column, kind: Column, place: Column, institution: Column, date: Column, precision: Column, verbs: dict[str, str] = VERBS) -> Column:
-    """An event as a sentence."""
-    listed = F.create_map(*[F.lit(x) for item in verbs.items() for x in item])
-    verb = F.coalesce(F.try_element_at(listed, kind), F.concat(F.lit("had a '"), F.coalesce(kind, F.lit("None")), F.lit("' event at")))
-    where = F.coalesce(F.nullif(place, F.lit("")), F.lit("(no venue named)"))
-    where = F.when((F.coalesce(institution, F.lit("")) != "") & (institution != where), F.concat(where, F.lit(", "), institution)).otherwise(where)
-    dated = F.when(F.coalesce(precision, F.lit("")) != "", F.concat(date, F.lit(" ("), precision, F.lit(")"))).otherwise(date)
-    when = F.coalesce(dated, F.lit("date unknown"))
-    return F.concat(F.coalesce(F.nullif(operator, F.lit("")), F.lit("(no operator)")), F.lit(" "), verb, F.lit(" "), where, F.lit(" — "), when, F.lit("."))
+    """An event as a sentence: who, what, where and when, each from the parts that are there."""
+    there = lambda c: F.nullif(c, F.lit(""))
+    said = lambda parts, between, otherwise: F.coalesce(there(F.array_join(F.array_compact(F.array(*parts)), between)), F.lit(otherwise))
+    known = F.try_element_at(F.create_map(*[F.lit(x) for item in verbs.items() for x in item]), kind)
+    verb = F.coalesce(known, F.format_string("had a '%s' event at", F.coalesce(kind, F.lit("None"))))
+    named = F.coalesce(there(place), F.lit(NO_PLACE))
+    where = said([named, F.when(there(institution) != named, institution)], ", ", NO_PLACE)
+    when = said([date, F.when(date.isNotNull() & there(precision).isNotNull(), F.format_string("(%s)", precision))], " ", NO_DATE)
+    return F.format_string("%s %s %s — %s.", said([there(operator)], "", NO_OPERATOR), verb, where, when)
 
 
 def verified(source: Column) -> Column:
