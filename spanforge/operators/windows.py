@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -311,6 +312,21 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: str, value: str, res
     return df.withColumn("_last", last).withColumn("_cut", cut).withColumn(value, F.when(F.col("_cut").isNull() | (F.col("_last.at") >= F.col("_cut")), F.col("_last.v"))).drop("_last", "_cut")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str = "place") -> DataFrame:
+    """Add each row's place within its key, from 0, in the order of ``order`` (no two rows of a key equal).
+
+    Rows are dealt by ranges of (key, order) and numbered within their range; a key's ranges start where the ones before
+    end, so a key that holds most rows is not sorted in one task.
+    """
+    ranged = stored(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    start = F.sum("_n").over(W.partitionBy(*keys).orderBy("_range")) - F.col("_n")
+    sums = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), start.alias("_start"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_range") == F.col("_r"))
+    own = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(order)) - 1
+    return ranged.withColumn("_own", own).join(sums, same).withColumn(name, F.col("_own") + F.col("_start")).select(*df.columns, name)
+
+
 def with_next(df: DataFrame, keys: Sequence[str], order: str, name: str = "next") -> DataFrame:
     """Pair each boundary with the next one."""
     return df.withColumn(name, F.lead(order).over(W.partitionBy(*keys).orderBy(order)))

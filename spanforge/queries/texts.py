@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions import dates, documents, geometry, hashing, numbers, text
-from spanforge.operators import aggregates, classify, validate
+from spanforge.operators import aggregates, classify, validate, windows
 from spanforge.plans.review import CATEGORIES, review_queue
 from spanforge.queries.registry import query
 from spanforge.session import spread, table
@@ -196,8 +196,8 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fixed_batches", "SELECT c_nationkey, c_custkey, ((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 25)::BIGINT AS batch FROM customer")
 def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.floor(place / 25).alias("batch"))
+    placed = windows.numbered(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], "c_custkey")
+    return placed.select("c_nationkey", "c_custkey", F.floor(F.col("place") / 25).alias("batch"))
 
 
 ORDER_FIELDS = [
