@@ -41,3 +41,26 @@ def spot_check(probes: DataFrame, probe: str, keys: DataFrame) -> DataFrame:
     found = keys.groupBy("key").agg(F.count_distinct("venue_id").alias("n"))
     joined = probes.withColumn("key", text.match_key(F.col(probe))).join(found, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return joined.withColumn("outcome", F.when(F.col("n") == 0, "miss").when(F.col("n") == 1, "hit").otherwise("ambiguous"))
+
+
+def spine_keys(venues: DataFrame, stop_words: Sequence[str], least: int = 4) -> DataFrame:
+    """(venue_id, key, key_start, key_end, canonical, n_venues): all names by which a spine's venues are found.
+
+    venues: (venue_id, name, city, state, aliases: array of (name, start, end)). Names are taken apart where several are packed
+    into one, and shortened; of a venue's equal keys the first keeps its years. A key of type words alone, or one that is the
+    name of a city or state of the spine, names no venue, unless it is the venue's own name. ``n_venues`` tells shared keys.
+    """
+    own = F.struct(F.col("name").alias("name"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    aliases = F.concat(F.array(own), F.coalesce("aliases", F.array().cast("array<struct<name: string, start: int, end: int>>")))
+    named = venues.select("venue_id", "city", text.match_key(F.col("name")).alias("_own"), F.posexplode(aliases).alias("_a", "_alias"))
+    parts = named.select("*", F.posexplode(text.packed_parts(F.col("_alias.name"))).alias("_p", "_part"))
+    forms = parts.select("*", F.posexplode(F.concat(F.array("_part"), text.short_forms(F.col("_part"), F.col("city")))).alias("_f", "_form"))
+    keyed = forms.select("venue_id", "_own", "_a", "_p", "_f", text.match_key(F.col("_form")).alias("key"), F.col("_alias.start").alias("key_start"), F.col("_alias.end").alias("key_end"))
+    canonical = F.col("key") == F.col("_own")
+    usable = (F.length("key") >= least) & ~F.forall(F.split("key", " "), lambda w: w.isin(*stop_words))
+    kept = keyed.filter((F.col("key") != "") & (canonical | usable))
+    places = venues.select(F.explode(F.array("city", "state")).alias("place")).select(text.match_key(F.col("place")).alias("key")).filter("key <> ''").distinct().withColumn("_place", F.lit(True))
+    named_only = kept.join(places, "key", "left").filter(canonical | F.col("_place").isNull())
+    first = windows.first_wins(named_only, ["venue_id", "key"], ["_a", "_p", "_f"])
+    owners = first.groupBy("key").agg(F.count("*").alias("n_venues"))
+    return first.join(owners, "key").select("venue_id", "key", "key_start", "key_end", canonical.alias("canonical"), "n_venues")

@@ -35,6 +35,27 @@ def coverage_spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.spot_check(probes, "probe", keys).select("probe", "n", "outcome")
 
 
+@query("spine_keys", r"""
+    WITH v AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 = 0 THEN 'Riverton ' || p_partkey % 3 WHEN p_partkey % 50 = 1 THEN 'Arena Hall' ELSE p_name || ' ' || p_partkey // 4 END AS name, 'Riverton ' || p_partkey % 3 AS city, 1950 + p_size AS s FROM part),
+    f AS (SELECT id, 0 AS a, 0 AS f, lower(name) AS key, NULL::INT AS s FROM v
+      UNION ALL SELECT id, 1, 0, 'old ' || lower(name) || ' at park ' || id % 7, s FROM v UNION ALL SELECT id, 1, 1, 'old ' || lower(name), s FROM v
+      UNION ALL SELECT id, 2, 0, 'hall arena arena number ' || id % 9 || ' ' || lower(city), NULL FROM v UNION ALL SELECT id, 2, 1, 'hall arena arena number ' || id % 9, NULL FROM v
+      UNION ALL SELECT id, 2, 2, 'hall arena', NULL FROM v UNION ALL SELECT id, 2, 3, 'arena number ' || id % 9, NULL FROM v UNION ALL SELECT id, 2, 4, lower(city), NULL FROM v),
+    k AS (SELECT f.*, f.key = lower(v.name) AS canonical FROM f JOIN v USING (id) WHERE f.key = lower(v.name) OR (f.key <> 'hall arena' AND f.key NOT IN (SELECT lower(city) FROM v UNION SELECT 'pa'))),
+    g AS (SELECT id, key, arg_min({'s': s}, a * 10 + f).s AS s, bool_or(canonical) AS canonical FROM k GROUP BY 1, 2)
+    SELECT id AS venue_id, key, s AS key_start, NULL::INT AS key_end, canonical, count(*) OVER (PARTITION BY key) AS n_venues FROM g""")
+def spine_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of parts as venues: a name of their own (some of type words alone, some a city's), a former one, and one that packs three."""
+    key = F.col("p_partkey")
+    city = F.concat(F.lit("Riverton "), key % 3)
+    name = F.when(key % 50 == 0, city).when(key % 50 == 1, "Arena Hall").otherwise(F.concat("p_name", F.lit(" "), F.floor(key / 4).cast("string")))
+    alias = lambda n, start: F.struct(n.alias("name"), start.cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    packed = F.concat(F.lit("Hall Arena; Arena Number "), key % 9, F.lit(", "), city)
+    former = F.concat(F.lit("Old "), F.col("name"), F.lit(" at Park "), key % 7)
+    venues = table(spark, sf_dir, "part").withColumn("name", name).select(key.alias("venue_id"), "name", city.alias("city"), F.lit("PA").alias("state"), F.array(alias(former, F.col("p_size") + 1950), alias(packed, F.lit(None))).alias("aliases"))
+    return spine.spine_keys(venues, ["arena", "hall"])
+
+
 @query("scoped_profile", f"""
     WITH r AS (SELECT *, {SCOPE_SQL} AS scope_reason, year(o_orderdate)::INT AS y FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
     SELECT 'scope' AS part, scope_reason AS name, count(*) AS n, NULL::DOUBLE AS total FROM r GROUP BY 2
