@@ -11,7 +11,8 @@ makes all norms equal, so that the nearest in distance is the largest product.
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows without an id, take no part;
 rows with equal ids are separate candidates, but one query (the least vector), and none is a candidate of its own id; ties
 go to the smaller vec_id; a query visits leaves until they hold k other rows, so it gets k, or all candidates if there are
-fewer; shorter vectors end in zeros; an empty table gives no rows.
+fewer; shorter vectors end in zeros; an empty table gives no rows; only vec_id and embedding are read, whatever else a
+table has and however it is named.
 """
 
 from __future__ import annotations

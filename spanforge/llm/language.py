@@ -6,7 +6,9 @@ before the largest decides.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text where nothing was
 learned; ties go to the smaller language value; rows with a null id are not learned from and count as held out;
-a null lang is not learned from; equal rows are predicted each.
+a null lang is not learned from; equal rows are predicted each; a text of any length is counted whole, by itself if it
+fills a batch; other columns, however named, are passed on by ``predict`` and not read by ``learn``; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

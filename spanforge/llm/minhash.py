@@ -11,8 +11,8 @@ block. No link between different sets is skipped other than by the banding itsel
 the threshold) or by an agreement more than 4.75 standard deviations too low.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; equal rows are linked; a null id takes
-part, and its component is the smallest id reached, null if there is none; an empty table gives no rows; columns other
-than id and text are not used.
+part, and its component is the smallest id reached, null if there is none; an empty table gives no rows; a text of any
+length has one set of all its shingles; columns other than id and text are not used.
 """
 
 from __future__ import annotations

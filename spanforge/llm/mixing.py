@@ -8,7 +8,8 @@ Clamping is found in one pass: sources are clamped in the order of cap over weig
 tells the level at which it would be reached.
 
 Defined results: a null source is a source of its own, sorted last; null and empty texts have size 0 and are taken 0
-times; repeated rows and ids count as often as they occur; an empty table gives no rows.
+times; repeated rows and ids count as often as they occur; an empty table gives no rows; a text of any length is one row
+whose words are counted in place; other columns, however named, go through the pipeline's mix unread.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ piece is projected to a span of original bytes. Pieces never cross from a word i
 vocabulary has no such piece; then a text is the sequence of its words, and words seen before come from a cache.
 
 Defined results: a null text is empty; an empty text has no pieces, only the end id; U+2581 is white space, as in the
-library; repeated rows are encoded each; other columns are left alone.
+library; repeated rows are encoded each; a text of any length is encoded whole; other columns are left alone; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

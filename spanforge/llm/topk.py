@@ -12,7 +12,9 @@ smallest ids; whatever the number of copies, no query gathers them.
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part;
 components are floored to integers first, so scores are exact (as 64-bit integers); ties go to the smaller vec_id; rows
 with equal ids are separate candidates, but one query (the least vector), and none is a candidate of its own id; fewer
-candidates than k give all of them; shorter vectors end in zeros, an empty one is all zeros; an empty table gives no rows.
+candidates than k give all of them; shorter vectors end in zeros, an empty one is all zeros; an empty table gives no rows;
+only vec_id and embedding are read, whatever else a table has and however it is named. Components beyond 2**20 in size
+times 1024 could carry a product of long vectors past 64 bits; such input is out of the score's range.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ only blocks and chunks that hold what is looked up are read.
 
 Defined results: a null html is an empty payload; a null or odd url is kept as it is and sorts under its own text;
 records with equal payloads of at least ``least_bytes`` bytes are one response (the largest page_id) and revisits of it;
-rows with equal page_id and payload are all written and all read back, with the same type; no rows give no archives.
+rows with equal page_id and payload are all written and all read back, with the same type; no rows give no archives; a
+payload of any length is one record, compressed in chunks; only page_id, url and html are read.
 """
 
 from __future__ import annotations

@@ -123,6 +123,27 @@ def test_vector_searches(spark):
     assert topk.search(empty, empty, 3).count() == 0 and kmeanstree.build(empty, empty, 3) is None
 
 
+def test_clashing_columns_are_passed_on_or_unread(spark, odd):
+    rows = spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>")
+    plain, more = vectors.usable(rows), vectors.usable(clashing(rows))
+    found = [sorted(map(str, topk.search(v, v.filter("vec_id % 100 = 0"), 3).collect())) for v in (plain, more)]
+    assert found[0] == found[1]
+    found = []
+    for v in (vectors.usable(rows, allow_zero=False), vectors.usable(clashing(rows), allow_zero=False)):
+        index = kmeanstree.build(v, v.filter("vec_id = 0"), 3)
+        found.append(sorted(map(str, kmeanstree.search(index, v.filter("vec_id = 0"), 3).collect())))
+    assert found[0] == found[1]
+    filters = language.learn(clashing(odd.select("text", "lang")))
+    named = language.predict(clashing(odd.drop("lang")), filters)
+    assert [c for c in CLASHING if c not in ("score",)] == [c for c in named.columns if c in CLASHING and c != "score"] and named.columns[-2:] == ["lang_pred", "score"]
+    assert sorted(map(str, named.select("doc_id", "lang_pred").collect())) == sorted(map(str, language.predict(odd, filters).select("doc_id", "lang_pred").collect()))
+    held = odd.withColumn("held_out", F.col("doc_id") % 2 == 0).select("doc_id", "held_out", "text")
+    extra = held.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING) if c != "held_out"))
+    counts = classlm.word_counts(held.filter("NOT held_out"))
+    model = classlm.train(held.filter("NOT held_out"), counts)
+    assert sorted(map(str, classlm.score(extra, model, counts).select("doc_id", "n_tokens", "n_known").collect())) == sorted(map(str, classlm.score(held, model, counts).select("doc_id", "n_tokens", "n_known").collect()))
+
+
 def test_archives_of_odd_pages(spark):
     importable(spark)
     rows = [(1, "http://a.org/x", "same"), (2, "http://b.a.org/", "same"), (3, None, None), (4, "", ""), (4, "", ""), (5, "not a url", "é" * 400_000), (None, "http://c.org", "q")]
