@@ -103,6 +103,18 @@ def arriving(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return streams.read_events(spark, folder, schema)
 
 
+@query("streamed_reingest", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def streamed_reingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as CSV files that arrive twice: a stream takes each event once."""
+    source, out = table(spark, sf_dir, "events"), scratch(spark, "reingest")
+    rows = source.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for name in ("a", "b"):
+        rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(f"{out}/in/{name}")
+    stream = streams.read_events(spark, f"{out}/in/*", "event_id long, event_type string, ts timestamp", "csv", 4)
+    streams.run_available(streams.without_repeats(stream, "ts", ["event_id"], "60 days"), f"{out}/state", stateful.batch_sink(f"{out}/rows"))
+    return stateful.versions(spark, f"{out}/rows", "event_id long, event_type string, ts timestamp").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("streamed_duplicates", COLLAPSED)
 def streamed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate collapse as state: what the batch collapse gives, also for what is still open."""

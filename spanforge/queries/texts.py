@@ -50,6 +50,41 @@ def place_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", text.without_place_suffix(name).alias("place"), text.zip5(F.when(even, "12345-6789").otherwise("n/a")).alias("zip"))
 
 
+@query("search_folds", "SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9 ]', ' ', 'g')) AS folded FROM documents")
+def search_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.search_fold(F.col("text"))).alias("folded"))
+
+
+@query("strict_name_parts", """
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' arena|old ' || p_type || ' hall' ELSE '' END AS parts FROM part""")
+def strict_name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that pack two venues, against those that only look so: a part of one word, one without a venue word, one with parentheses."""
+    kind, name = F.col("p_partkey") % 4, F.col("p_name")
+    packed = F.when(kind == 0, F.concat(name, F.lit(" arena, old "), "p_type", F.lit(" hall"))).when(kind == 1, F.concat(name, F.lit(" arena; "), "p_type")).when(kind == 2, F.concat(name, F.lit(" arena / "), name, F.lit(" hall (east)"))).otherwise(F.concat(name, F.lit(" arena")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.strict_parts(packed, ("arena", "hall")), "|").alias("parts"))
+
+
+@query("rewritten_names", """
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'saint saint ' || p_name || '|st ' || p_name WHEN 1 THEN 'mount ' || p_name || '|mt ' || p_name ELSE p_name END AS forms FROM part""")
+def rewritten_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and what rewrite rules make of them until nothing changes."""
+    third = F.col("p_partkey") % 3
+    name = F.concat(F.when(third == 0, "saint saint ").when(third == 1, "mount ").otherwise(""), "p_name")
+    forms = text.rewritten_forms(name, [(r"\bsaint\b", "st"), (r"\bmount\b", "mt"), (r"\bst st\b", "st")])
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(forms, "|").alias("forms"))
+
+
+@query("straight_quotes", "SELECT conv_id, turn, md5(chr(39) || text || chr(34) || '-' || chr(34)) AS digest FROM conversations")
+def straight_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curled = F.concat(F.lit("‘"), "text", F.lit("”—“"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.straight(curled)).alias("digest"))
+
+
+@query("degree_distances", "SELECT c_custkey, round((c_custkey % 90) / 10.0::DOUBLE * 111.32 * cos(radians((c_nationkey * 3)::DOUBLE)), 6) AS km FROM customer")
+def degree_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(numbers.degrees_km(F.col("c_custkey") % 90 / F.lit(10.0), (F.col("c_nationkey") * 3).cast("double")), 6).alias("km"))
+
+
 @query("snippet_window", """
     WITH t AS (SELECT doc_id, text, instr(text, 'the') AS found FROM documents), b AS (SELECT *, greatest(1, found - 130) AS s FROM t)
     SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || substr(text, s, 260) || CASE WHEN s + 259 < length(text) THEN '…' ELSE '' END AS snippet FROM b""")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,15 +34,41 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
         return spark.createDataFrame([], schema)
 
 
+def first_lines(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """Each file's first line, read by one job with a task for each file; files without a line are left out."""
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                if frame["start"].iat[0] == 0:
+                    yield frame[["path", "value"]].iloc[:1]
+                return  # what is behind the first line is not read
+
+    # a partition holds one split, so that each file's beginning is the beginning of a task
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        return {r.path: r.value for r in lines.mapInPandas(first, "path string, value string").collect()}
+    finally:
+        spark.conf.set(key, before)
+
+
 def by_header(spark: SparkSession, pattern: str, required: Sequence[str], **options) -> list[DataFrame]:
     """One table of strings for each header among the files of a pattern: Spark takes one header for all that it reads at once.
 
-    Every file's first line is read on its own, in a short job; a file without a required column raises. Names are trimmed
-    of a byte-order mark.
+    The first lines of all files are read by one job. A header that a single line does not settle (an open quotation, names
+    that are empty or repeated, or none) is left to Spark's reader, file by file. A file without a required column raises.
+    Names are trimmed of a byte-order mark.
     """
+    lines = first_lines(spark, pattern)
     layouts: dict[tuple[str, ...], list[str]] = {}
     for path in sorted(spark.read.text(pattern).inputFiles()):
-        columns = tuple(c.removeprefix("\ufeff") for c in spark.read.options(header=True, **options).csv(path).columns)
+        names = next(csv.reader([lines.get(path, "").removeprefix("\ufeff")], delimiter=options.get("sep", ",")), [])
+        columns = tuple(c.strip() for c in names)
+        if path not in lines or lines[path].count('"') % 2 or "" in columns or len(set(columns)) < len(columns) or columns != tuple(names):
+            columns = tuple(c.removeprefix("\ufeff") for c in spark.read.options(header=True, **options).csv(path).columns)
         missing = [c for c in required if c not in columns]
         if missing:
             raise SchemaDrift(f"{path}: missing columns: {', '.join(missing)}")

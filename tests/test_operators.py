@@ -173,3 +173,18 @@ def test_dates_written_in_texts(spark):
     df = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", dates.date_within(F.col("t")).alias("d"), dates.month_only(F.col("t")).alias("m"))
     got = {r.t: (None if r.d is None else str(r.d), r.m) for r in df.collect()}
     assert {t: v for t, v in got.items() if t is not None} == cases and got[None][0] is None
+
+
+def test_full_folding_drops_all_marks(spark):
+    importable(spark)
+    cases = {"ﬁne": "fine", "été": "ete", "Ångström": "Angstrom", "①": "1", "": "", None: None, "plain": "plain"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", documents.nfkd_fold(F.col("t")).alias("f"))
+    assert {r.t: r.f for r in df.collect()} == cases
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), k) for k in rng.sample(range(5_000), 600)]
+    got = windows.numbered(spark.createDataFrame(rows, "k string, o int"), ["k"], "o")
+    want = {(k, o): n for key in ("a", "b", None) for n, (k, o) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1]))}
+    assert {(r.k, r.o): r.place for r in got.collect()} == want

@@ -183,3 +183,22 @@ def test_texts_are_composed_as_unicode_says(spark):
     signs = "\u00a0\u2007\u202f\u2060\ufeff\u200b\u200c\u200d"
     one = spark.createDataFrame([(f"{signs}a{signs}b \t\r\n\r\r\n\n  c\n",)], "t string").select(text.normal_text(F.col("t")).alias("n")).first().n
     assert one == "a        b\n\n  c"
+
+
+def test_headers_of_many_files_are_read_by_one_job(spark, tmp_path):
+    for k in range(12):
+        (tmp_path / f"a{k:02}.csv").write_text(("x,y\n" if k % 2 else "y,x\n") + "".join(f"{k},{n}\n" for n in range(k * 50)))
+    (tmp_path / "b.csv").write_text('"x","odd\nname",y\n1,2,3\n')
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        lines = files.first_lines(spark, f"{tmp_path}/a*.csv")
+        assert len(lines) == 12 and set(lines.values()) == {"x,y", "y,x"} and len(tracker.getJobIdsForGroup("headers")) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = files.csv_exports(spark, f"{tmp_path}/*.csv", ["x", "y"]).collect()
+    assert len(rows) == 50 * sum(range(12)) + 1 and all((r.x if int(r.source_file[1:3]) % 2 else r.y) == str(int(r.source_file[1:3])) for r in rows if r.source_file != "b.csv")
+    assert [(r.x, r.y) for r in rows if r.source_file == "b.csv"] == [("1", "3")]
+    (tmp_path / "c.csv").write_text("")
+    with pytest.raises(files.SchemaDrift, match="c.csv"):
+        files.csv_exports(spark, f"{tmp_path}/*.csv", ["x"])
