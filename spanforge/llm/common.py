@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch, about; a single longer row is a batch of its own.
 BATCH_BYTES = 2 << 20
+#: Small rows (numbers only) that one task handles at least.
+ROWS_IN_TASK = 50_000
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -89,6 +91,16 @@ def stored_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fewer_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` small rows in as few tasks as they need, where the session deals them to more.
+
+    Loops over few rows would otherwise start the session's number of tasks in every step. Tables that fill these tasks stay
+    as they are, with the partitioning that they have.
+    """
+    tasks = max(1, -(-rows // ROWS_IN_TASK))
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm

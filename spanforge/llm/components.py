@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import checkpoint, release
+from spanforge.llm.common import checkpoint, fewer_tasks, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,17 +15,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the edge table never grows, and neighbour lists are never gathered.
     """
     now = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    n = now.count()
+    most = 2 * n  # no step has more rows than the edges both ways
+    now = fewer_tasks(now, most)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b").alias("x"), "m").filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
-        after = checkpoint(small.distinct())
-        if not after.exceptAll(now).limit(1).count() and after.count() == now.count():
+        least = fewer_tasks(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), most)
+        large = fewer_tasks(both.filter("b > a").join(least, "a"), most).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = fewer_tasks(large.filter("a <> b").distinct(), most)
+        lower = fewer_tasks(large.groupBy("a").agg(F.min("b").alias("m")), most)
+        small = fewer_tasks(large.join(lower, "a"), most).select(F.col("b").alias("x"), "m").filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
+        after = checkpoint(fewer_tasks(small.distinct(), most))
+        left = after.count()
+        if left == n and not fewer_tasks(after.exceptAll(now), most).limit(1).count():
             break
-        now = after
+        now, n = after, left
         # the round's shuffle files and the table before it are done with
         del both, least, large, lower, small, after
         release(now.sparkSession)
