@@ -192,3 +192,15 @@ def test_proximity_by_parts_is_that_of_the_whole(spark):
         want[row[1]] = near[0][1] if near else row[1]
         kept += [] if near else [row]
     assert got == want
+
+
+def test_collapse_of_number_keys_goes_on_over_range_borders(spark):
+    """One occurrence of a whole-number key lies over all ranges; what is open at a range's end is carried into the next."""
+    df = spark.createDataFrame([(7, i * 10, i, 1 + (i + 1) % 2) for i in range(400)], "k int, at long, o long, p int")
+    previous = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = [r.members for r in windows.collapse_duplicates(df, ["k"], "at", "o", "p", 4000).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", previous)
+    assert found == [list(range(400))]
