@@ -63,4 +63,5 @@ def spine_keys(venues: DataFrame, stop_words: Sequence[str], least: int = 4) ->
     named_only = kept.join(places, "key", "left").filter(canonical | F.col("_place").isNull())
     first = windows.first_wins(named_only, ["venue_id", "key"], ["_a", "_p", "_f"])
     owners = first.groupBy("key").agg(F.count("*").alias("n_venues"))
-    return first.join(owners, "key").select("venue_id", "key", "key_start", "key_end", canonical.alias("canonical"), "n_venues")
+    # names are taken apart to many rows, whose size Spark cannot guess: it must not choose a broadcast by that
+    return first.join(owners.hint("merge"), "key").select("venue_id", "key", "key_start", "key_end", canonical.alias("canonical"), "n_venues")

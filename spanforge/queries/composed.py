@@ -10,7 +10,7 @@ from spanforge.plans import gold, profiles, spine
 from spanforge.queries.joining import RELATION_VALUES, RELATIONS, SPANS_SQL, order_spans
 from spanforge.queries.registry import query
 from spanforge.queries.tagging import SCOPE_SQL, scoped
-from spanforge.session import table
+from spanforge.session import spread, table
 
 
 @query("spine_build")
@@ -52,7 +52,7 @@ def spine_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     alias = lambda n, start: F.struct(n.alias("name"), start.cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
     packed = F.concat(F.lit("Hall Arena; Arena Number "), key % 9, F.lit(", "), city)
     former = F.concat(F.lit("Old "), F.col("name"), F.lit(" at Park "), key % 7)
-    venues = table(spark, sf_dir, "part").withColumn("name", name).select(key.alias("venue_id"), "name", city.alias("city"), F.lit("PA").alias("state"), F.array(alias(former, F.col("p_size") + 1950), alias(packed, F.lit(None))).alias("aliases"))
+    venues = spread(table(spark, sf_dir, "part")).withColumn("name", name).select(key.alias("venue_id"), "name", city.alias("city"), F.lit("PA").alias("state"), F.array(alias(former, F.col("p_size") + 1950), alias(packed, F.lit(None))).alias("aliases"))
     return spine.spine_keys(venues, ["arena", "hall"])
 
 

@@ -204,3 +204,10 @@ def test_collapse_of_number_keys_goes_on_over_range_borders(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", previous)
     assert found == [list(range(400))]
+
+
+def test_shared_keys_are_counted_without_a_guessed_broadcast(spark):
+    from spanforge.queries import QUERIES
+
+    plan = QUERIES["spine_keys"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == plan.count("LeftOuter")  # the names of places; the owners of keys come by shuffle
