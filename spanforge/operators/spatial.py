@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spanforge.session import spread
+
 #: Cells across a zone, at least; a quarter of the most. Points in a cell above which it is split, where it holds a share of all points too.
 SIDE, HOT_ROWS, HOT_SHARE = 8, 1_000_000, 10_000
 PART = "struct<base: boolean, flips: array<double>, edges: array<struct<ax: double, ay: double, bx: double, by: double>>>"
@@ -88,7 +90,8 @@ def zone_cells(zones: DataFrame, key: str, polygons: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return zones.select(key, polygons).mapInArrow(run, schema)
+    # a small file of zones is work for all tasks
+    return spread(zones.select(key, polygons)).mapInArrow(run, schema)
 
 
 def _inside(part: Column, x: Column, y: Column) -> Column:
@@ -122,7 +125,8 @@ def zones_of_points(points: DataFrame, x: str, y: str, zones: DataFrame, key: st
         salt = F.coalesce(F.pmod(F.xxhash64(x, y), F.col("_ways")), F.lit(0)).cast("int")
         own = own.join(hot, ["_level", "_col", "_row"], "left")
         shares = shares.drop("_salt").join(hot, ["_level", "_col", "_row"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ways") - 1, F.lit(0))))).drop("_ways")
-    met = own.withColumn("_salt", salt).join(shares, ["_level", "_col", "_row", "_salt"])
+    # a zone has many cells and Spark takes it for one row, so it must not choose a broadcast by that size
+    met = own.withColumn("_salt", salt).join(shares.hint("merge"), ["_level", "_col", "_row", "_salt"])
     return met.filter(F.exists("parts", lambda p: _inside(p, F.col(x), F.col(y)))).select(*points.columns, key)
 
 
@@ -133,5 +137,5 @@ def outside_own_zone(points: DataFrame, x: str, y: str, zone: str, zones: DataFr
     named = points.join(zones.select(F.col(key).alias("_zone")).distinct(), F.col(zone) == F.col("_zone")).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     own = _placed(named.join(sizes, "_zone", "left"), x, y, F.col("_own"))
     there = cells.select(F.col(key).alias("_zone"), F.col("col").alias("_col"), F.col("row").alias("_row"), "parts")
-    met = own.join(there, ["_zone", "_col", "_row"], "left")
+    met = own.join(there.hint("merge"), ["_zone", "_col", "_row"], "left")
     return met.filter(~F.coalesce(F.exists("parts", lambda p: _inside(p, F.col(x), F.col(y))), F.lit(False))).select(*points.columns)

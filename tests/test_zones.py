@@ -177,3 +177,12 @@ def test_zone_shapes_name_what_is_missing(spark):
     shape = json.loads(got["a"][1])
     assert shape["type"] == "MultiPolygon" and [len(p) for p in shape["coordinates"]] == [2, 1] and shape["coordinates"][0][0][0] == shape["coordinates"][0][0][-1]
     assert tuple(plans.shape_report(shapes).first()) == (4, 1, 1, 2)
+
+
+@pytest.mark.parametrize("name", ["points_in_zones", "points_outside_their_zone"])
+def test_cells_of_zones_are_not_broadcast_by_a_guessed_size(spark, name):
+    from spanforge.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    at = [line for line in plan.splitlines() if "Join" in line and "_col" in line and "_row" in line]
+    assert at and all("SortMergeJoin" in line for line in at)
