@@ -188,3 +188,7 @@ def test_rows_are_numbered_over_ranges(spark):
     got = windows.numbered(spark.createDataFrame(rows, "k string, o int"), ["k"], "o")
     want = {(k, o): n for key in ("a", "b", None) for n, (k, o) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1]))}
     assert {(r.k, r.o): r.place for r in got.collect()} == want
+
+
+def test_article_beside_letters_outside_ascii_is_no_part_of_a_key(spark):
+    assert one(spark, text.match_key(F.lit("\u03a9the b_the \u00e6The\u00e6 soothe"))) == "b the soothe"
