@@ -192,3 +192,7 @@ def test_rows_are_numbered_over_ranges(spark):
 
 def test_article_beside_letters_outside_ascii_is_no_part_of_a_key(spark):
     assert one(spark, text.match_key(F.lit("\u03a9the b_the \u00e6The\u00e6 soothe"))) == "b the soothe"
+
+
+def test_marks_beside_their_letter_leave_a_key(spark):
+    assert one(spark, text.match_key(F.lit("Cafe\u0301 Zu\u0308rich"))) == "cafe zurich"
