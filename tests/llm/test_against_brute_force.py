@@ -294,6 +294,24 @@ def test_large_groups_of_shifted_copies(spark, monkeypatch):
     check_repeats(spark, [str(rng.random()) * 4 + passage[k % 5 :] + str(rng.random()) for k in range(12)])
 
 
+def test_members_of_large_groups_meet_one_row_each(spark, monkeypatch):
+    """A context's starts are one row of ranges however many they are, so the members' join makes no more rows than members."""
+    kept, store = {}, suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", 3)
+
+    def keep(df, name):
+        kept[name] = store(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(suffix_dedup, "stored", keep)
+    rng = random.Random(3)
+    passage = " ".join(str(rng.random()) for _ in range(40))
+    check_repeats(spark, [str(rng.random()) * 4 + passage[k % 5 :] + str(rng.random()) for k in range(12)])
+    rows = kept["context-repeats"].toPandas()
+    assert len(rows) and rows["context"].is_unique
+
+
 def test_repeats_of_the_query(run, docs):
     got = run("op8_suffix_dedup").set_index("doc_id")
     texts = [(t or "").encode() for t in docs.text]
