@@ -12,8 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -52,53 +51,61 @@ class Fold:
 
 
 class Refold(StatefulProcessor):
+    """One value a key: what is settled, the rows since then, and the timer that is set.
+
+    Every call of the state costs a round trip, so a key is read once and written once for a batch, and timers are touched
+    only where they change.
+    """
+
     def __init__(self, fold: Fold, columns: list[str], names: list[str]):
-        self.fold, self.columns, self.names = fold, columns, names
+        self.fold, self.columns, self.out = fold, columns, Row(*names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.base = handle.getValueState("base", self.fold.accumulator)
-        self.recent = handle.getListState("recent", self.fold.row)
+        self.held = handle.getValueState("held", f"base struct<{self.fold.accumulator}>, recent array<struct<{self.fold.row}>>, timer long")
 
-    def _out(self, key: tuple, records: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in records], columns=self.names).astype(object)
+    def _held(self) -> tuple[tuple | None, list[tuple], int | None]:
+        base, recent, timer = self.held.get() or (None, [], None)
+        return tuple(base) if base is not None else None, list(map(tuple, recent)), timer
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803  Spark's names
         watermark = timerValues.getCurrentWatermarkInMs()
         horizon = self.fold.horizon(watermark)
-        known = list(self.recent.get()) if self.recent.exists() else []
-        new = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for frame in rows for r in frame[self.columns].itertuples(index=False)]
-        rows_now = sorted([*map(tuple, known), *new], key=lambda r: r[:2])
-        base = now = tuple(self.base.get()) if self.base.exists() else None
+        base, known, timer = self._held()
+        rows_now = sorted([*known, *(tuple(r[c] for c in self.columns) for r in rows)], key=lambda r: r[:2])
+        now = base
         out, settled = [], 0
         for k, row in enumerate(rows_now):
             now, done = self.fold.step(now, row)
             out += [done] if done else []
             if row[0] < horizon:
                 base, settled = now, k + 1
-        if base is not None:
-            self.base.update(base)
-        self.recent.clear()
-        if rows_now[settled:]:
-            self.recent.put(rows_now[settled:])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        still = self.fold.open(now) if now is not None else None
+        still, wanted = self.fold.open(now) if now is not None else None, None
         if still:
             expiry = self.fold.expires(now)
             if expiry is not None and expiry <= watermark:
                 still = self.fold.expired(still)
-            elif expiry is not None:
-                self.handle.registerTimer(expiry)
+            else:
+                wanted = expiry
             out.append(still)
-        yield self._out(key, out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = tuple(self.base.get()) if self.base.exists() else None
-        for row in sorted(map(tuple, self.recent.get()), key=lambda r: r[:2]) if self.recent.exists() else []:
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.held.update((base, rows_now[settled:], wanted))
+        for record in out:
+            yield self.out(*key, *record)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        base, recent, _ = self._held()
+        now = base
+        for row in recent:
             now, _ = self.fold.step(now, row)
+        self.held.update((base, recent, None))
         still = self.fold.open(now) if now is not None else None
-        yield self._out(key, [self.fold.expired(still)] if still else [])
+        if still:
+            yield self.out(*key, *self.fold.expired(still))
 
     def close(self) -> None:
         pass
@@ -173,8 +180,9 @@ def refolded(events: DataFrame, at: str, keys: list[str], fold: Fold, columns: l
     kinds = dict(events.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), fold.record])
     names = [part.strip().split()[0] for part in schema.split(", ")]
-    watched = events.withWatermark(at, late)
-    return watched.groupBy(*keys).transformWithStateInPandas(Refold(fold, columns, names), schema, "Update", "EventTime")
+    # only what the fold reads goes through the shuffle and to Python
+    watched = events.select(*dict.fromkeys([*keys, at, *columns])).withWatermark(at, late)
+    return watched.groupBy(*keys).transformWithState(Refold(fold, columns, names), schema, "Update", "EventTime")
 
 
 def stateful_session(spark: SparkSession) -> None:

@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spanforge.operators import windows
@@ -148,3 +149,46 @@ def test_silence_makes_an_end_unknown(spark, tmp_path):
     # 1 was unknown and came back; 2 is unknown no more than two days after its last sign
     assert {(r.u, r.status, r.n_events) for r in stateful.latest(every, ["u", "no"]).collect()} == {(1, "ongoing", 2), (2, "ongoing", 2), (3, "ongoing", 1)}
     assert every.filter("u = 1 AND status = 'unknown'").count() > 0
+
+
+class Calls:
+    """Stands for the handle and a value of Spark's state, and notes what is asked of them."""
+
+    def __init__(self):
+        self.now, self.made = None, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+    def get(self):
+        self.made.append("get")
+        return self.now
+
+    def update(self, value):
+        self.made.append("update")
+        self.now = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.made.append("register")
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.made.append("delete")
+
+
+def test_a_key_is_read_and_written_once_for_a_batch():
+    row = Row("at", "ord", "rank")
+    for fold, batches, timers in (
+        (stateful.Occurrences(10), [[row(1, 1, 0), row(5, 2, 1)], [row(3, 3, 2)]], []),
+        (stateful.Spans(("won",), ("lost",), 3), [[row(1, 1, "won")], [row(1, 3, "presence")], [row(2, 4, "lost")]], ["register", "delete"]),
+    ):
+        calls = Calls()
+        state = stateful.Refold(fold, ["at", "ord", "rank"], ["key", *(part.split()[0] for part in fold.record.split(", "))])
+        state.init(calls)
+        for batch in batches:
+            list(state.handleInputRows(("k",), iter(batch), calls))
+        made = calls.made
+        assert made.count("get") == made.count("update") == len(batches)
+        assert [m for m in made if m not in ("get", "update")] == timers
