@@ -312,6 +312,24 @@ def test_members_of_large_groups_meet_one_row_each(spark, monkeypatch):
     assert len(rows) and rows["context"].is_unique
 
 
+def test_ranges_of_a_text_are_one_row(spark, monkeypatch):
+    """Ranges stay arrays from a context to its members' texts: no row is made for each range of each member."""
+    kept, store = {}, suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", 3)
+
+    def keep(df, name):
+        if name == "ranges":
+            kept["plan"] = df._jdf.queryExecution().executedPlan().toString()
+        kept[name] = store(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(suffix_dedup, "stored", keep)
+    check_repeats(spark, branching_texts())
+    rows = kept["ranges"].toPandas()
+    assert len(rows) and rows["tid"].is_unique and rows["low"].map(len).max() > 1 and "Generate" not in kept["plan"]
+
+
 def test_repeats_of_the_query(run, docs):
     got = run("op8_suffix_dedup").set_index("doc_id")
     texts = [(t or "").encode() for t in docs.text]
