@@ -420,6 +420,22 @@ def test_words_go_where_their_neighbours_are(spark):
     assert chosen[own["odd0x"]] == 1 and (np.delete(chosen, own["odd0x"]) == np.delete(of, own["odd0x"])).all()
 
 
+def test_rare_endings_go_where_their_neighbours_are(spark, monkeypatch):
+    """Endings beyond the SHAPES don't share a class: each has that of the words outside the dictionary that end so."""
+    importable(spark)
+    monkeypatch.setattr(classlm, "SHAPES", 2)
+    monkeypatch.setattr(classlm, "DICTIONARY", 61)
+    monkeypatch.setattr(classlm, "SHARE", 10**9)
+    rng = random.Random(3)
+    left, right = [f"l{k}xa" for k in range(30)], [f"r{k}xb" for k in range(30)]
+    rows = [" ".join(f"{rng.choice(left)} {rng.choice(right)}" for _ in range(150)) + f" u{n}q1 {rng.choice(right)} {rng.choice(left)} v{n}q2 {rng.choice(left)} {rng.choice(right)}" for n in range(60)]
+    rows = spark.createDataFrame([(t,) for t in rows], "text string")
+    counts = classlm.word_counts(rows).persist()
+    classes = classlm.train(rows, counts).classes
+    of = lambda w: int(classes.of(*(x[:1] for x in classlm.tokens([w.encode()])[:2]))[0][0])
+    assert of("u1q1") in {of(w) for w in left} and of("v1q2") in {of(w) for w in right} and of("u1q1") != of("v1q2")
+
+
 def test_language_filters_against_plain_sets(spark):
     importable(spark)
     rng = random.Random(2)
