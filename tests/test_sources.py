@@ -4,11 +4,14 @@ import json
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from spanforge.functions import text
-from spanforge.session import importable
+from spanforge.queries import QUERIES
+from spanforge.session import BATCH_BYTES, importable, table
 from spanforge.sources import files, labels, lookups, sinks
 
 
@@ -170,6 +173,33 @@ def test_labels_over_lines(spark):
         F.udtf(labels.LabelledLines)(rows.asTable()).collect()
 
 
+def test_labels_of_packed_texts_need_no_shuffle(spark):
+    written = "Title: A long\n  headline of\n\tthree lines\n\n  lost\nSource : Paper\nTITLE: second\n  not taken\nDate: \n 2001\nplain\n  more\nFull text: Begins here\nTitle: of the body\n\nends\n"
+    rows = spark.createDataFrame([(1, written), (2, ""), (3, None), (4, "a line: with: colons\r\n  and more\r\rx"), (None, "B: c\rbody:\n"), (6, "body: x\u2028y\n\x85")], "k long, t string").repartition(3)
+    found = labels.labels_of(rows, "k", "t")
+    assert sorted(map(str, found.collect())) == sorted(map(str, labels.labels(spark, labels.lines_of(rows, "k", "t")).collect()))
+    plan = QUERIES["wrapped_labels"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_rows_go_to_python_by_bytes(spark):
+    """Batches of long texts have a bound in bytes after a table is opened; a lower one of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for set_, want in ((1 << 28, BATCH_BYTES), (1 << 20, 1 << 20)):
+            spark.conf.set(key, set_)
+            table(spark, SMALL, "documents")
+            assert int(spark.conf.get(key)) == want
+        spark.conf.set(key, 1 << 28)
+        table(spark, SMALL, "documents")
+        held = F.pandas_udf(lambda t: pd.Series([int(t.str.len().sum())] * len(t)), "long")
+        long = spark.range(300).coalesce(1).select(F.repeat(F.lit("text "), 10_000).alias("text"))
+        assert all(r.n <= BATCH_BYTES + 100_000 for r in long.select(held("text").alias("n")).collect())
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_texts_are_composed_as_unicode_says(spark):
     importable(spark)
     every = [chr(c) for c in range(0x20, 0x11_0000) if not 0xD800 <= c < 0xE000]
