@@ -330,6 +330,26 @@ def test_ranges_of_a_text_are_one_row(spark, monkeypatch):
     assert len(rows) and rows["tid"].is_unique and rows["low"].map(len).max() > 1 and "Generate" not in kept["plan"]
 
 
+@pytest.mark.parametrize("group", [1_000, 3])
+def test_periodic_stretches_leave_few_anchors(spark, monkeypatch, group):
+    """Anchors a period apart with the same bytes around them are a few suffixes however long the stretch is; each of their starts is found."""
+    kept, store = {}, suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS", group)
+
+    def keep(df, name):
+        kept[name] = store(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(suffix_dedup, "stored", keep)
+    rng = random.Random(6)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = "a line of a licence that stands here again and again\n"
+    texts = [fresh(500) + "ab " * 900 + fresh(450), fresh(300) + ("ab " * 140)[:401] + fresh(99), ("b a" * 140)[:400], fresh(420) + line * 60 + fresh(600), (line * 9)[7:410], fresh(90) + line * 8 + fresh(300), "xyxyz" * 700 + "q" + "xyxyz" * 300, "z" * 2_000 + fresh(30) + "z" * 900]
+    check_repeats(spark, texts)
+    assert sum(len(r.hs) for r in kept["hashed"].collect()) < 1_500
+
+
 def test_repeats_of_the_query(run, docs):
     got = run("op8_suffix_dedup").set_index("doc_id")
     texts = [(t or "").encode() for t in docs.text]
