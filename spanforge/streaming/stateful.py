@@ -73,11 +73,17 @@ class Refold(StatefulProcessor):
         horizon = self.fold.horizon(watermark)
         base, known, timer = self._held()
         rows_now = sorted([*known, *(tuple(r[c] for c in self.columns) for r in rows)], key=lambda r: r[:2])
+        given, before = {}, base  # what the rows so far had finished went out in an earlier batch
+        for row in known:
+            before, done = self.fold.step(before, row)
+            if done:
+                given[done[0]] = done
         now = base
         out, settled = [], 0
         for k, row in enumerate(rows_now):
             now, done = self.fold.step(now, row)
-            out += [done] if done else []
+            if done and given.get(done[0]) != done:
+                out.append(done)
             if row[0] < horizon:
                 base, settled = now, k + 1
         still, wanted = self.fold.open(now) if now is not None else None, None

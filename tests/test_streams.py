@@ -192,3 +192,17 @@ def test_a_key_is_read_and_written_once_for_a_batch():
         made = calls.made
         assert made.count("get") == made.count("update") == len(batches)
         assert [m for m in made if m not in ("get", "update")] == timers
+
+
+def test_a_batch_gives_out_what_it_changed_and_no_more():
+    row = Row("at", "ord", "kind")
+    fold, calls = stateful.Spans(("won",), ("lost",), 3), Calls()
+    state = stateful.Refold(fold, ["at", "ord", "kind"], ["key", *(part.split()[0] for part in fold.record.split(", "))])
+    state.init(calls)
+    given = [[(r.no, r.n_events, r.status) for r in state.handleInputRows(("k",), iter(batch), calls)] for batch in (
+        [row(1, 1, "won"), row(2, 2, "lost"), row(4, 3, "won"), row(5, 4, "lost")],
+        [row(7, 5, "won")],
+        [row(3, 6, "presence"), row(8, 7, "lost")],
+    )]
+    # the last batch's late row joins the second span; the first one stays as it went out
+    assert given == [[(0, 2, "ended"), (1, 2, "ended")], [(2, 1, "ongoing")], [(1, 3, "ended"), (2, 2, "ended")]]
