@@ -2,9 +2,10 @@
 
 A key's state is what the rows before the watermark have been folded to, and the rows since then as they are. A batch's rows,
 late ones among them, are put in order with those, and everything after the watermark is folded again: a late row can
-extend, split or re-open what had been given out. Each batch gives out the records that it changed; of a record's versions
-the last batch's counts, so at any time the output is what the batch fold of all rows gives. Rows later than the watermark
-are dropped by Spark.
+extend, split, merge or re-open what had been given out. Each batch gives out the records that it changed; of a record's
+versions the last batch's counts, so at any time the output is what the batch fold of all rows gives. Where late rows leave
+fewer records, those that are no more go out with their number alone, and ``latest`` leaves them out. Rows later than the
+watermark are dropped by Spark.
 """
 
 from __future__ import annotations
@@ -78,16 +79,21 @@ class Refold(StatefulProcessor):
             before, done = self.fold.step(before, row)
             if done:
                 given[done[0]] = done
+        last = self.fold.open(before) if before is not None else None
+        gone = {*given, *([last[0]] if last else [])}
         now = base
         out, settled = [], 0
         for k, row in enumerate(rows_now):
             now, done = self.fold.step(now, row)
-            if done and given.get(done[0]) != done:
-                out.append(done)
+            if done:
+                gone.discard(done[0])
+                if given.get(done[0]) != done:
+                    out.append(done)
             if row[0] < horizon:
                 base, settled = now, k + 1
         still, wanted = self.fold.open(now) if now is not None else None, None
         if still:
+            gone.discard(still[0])
             expiry = self.fold.expires(now)
             if expiry is not None and expiry <= watermark:
                 still = self.fold.expired(still)
@@ -102,6 +108,8 @@ class Refold(StatefulProcessor):
         self.held.update((base, rows_now[settled:], wanted))
         for record in out:
             yield self.out(*key, *record)
+        for no in sorted(gone):
+            yield self.out(*key, no, *[None] * (len(self.out) - len(key) - 1))
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         base, recent, _ = self._held()
@@ -219,7 +227,9 @@ def versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each key the row of the last batch."""
+    """Of each key the row of the last batch, unless that row has nothing but its key: then it is no more."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))
-    return rows.withColumn("_rn", place).filter("_rn = 1").drop("_rn", "batch")
+    last = rows.withColumn("_rn", place).filter("_rn = 1").drop("_rn", "batch")
+    values = [c for c in last.columns if c not in keys]
+    return last.dropna("all", subset=values) if values else last
 

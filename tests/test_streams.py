@@ -136,6 +136,24 @@ def test_late_rows_move_occurrences(spark, stream, tmp_path):
     assert as_set(done) == as_set(batch) and done.count() == batch.count()
 
 
+def test_late_rows_merge_occurrences(spark, tmp_path):
+    importable(spark)
+    stateful.stateful_session(spark)
+    hour = 3600
+    # the late row is finer and takes the later two along, so three occurrences and two become one; of 3 nothing changes
+    rows = [(0, 1, 0, "won", 1), (1, 1, 8 * hour, "won", 1), (2, 1, 9 * hour, "won", 1), (3, 2, 0, "won", 2), (4, 2, 7 * hour, "won", 2), (5, 2, 14 * hour, "won", 2), (6, 3, 0, "won", 1), (7, 3, 9 * hour, "won", 1)]
+    rows += [(30, 1, 5 * hour, "won", 0), (31, 2, 6 * hour, "won", 1), (61, 2, 11 * hour, "won", 0)]
+    df, arriving = late_rows(spark, tmp_path, rows)
+    fold = stateful.Occurrences(6 * hour * 1_000_000)
+    out = stateful.refolded(arriving, "ts", ["u"], fold, ["us", "i", "p"], "8 days")
+    streams.run_available(out, f"{tmp_path}/state", stateful.batch_sink(f"{tmp_path}/out"), "update")
+    done = stateful.latest(stateful.versions(spark, f"{tmp_path}/out", f"u long, {fold.record}"), ["u", "no"])
+    batch = windows.collapse_duplicates(df, ["u"], "us", "i", "p", 6 * hour * 1_000_000)
+    as_list = lambda rows: sorted((r.u, r["at"], r["rank"], tuple(r.members)) for r in rows.collect())
+    assert as_list(done) == as_list(batch)
+    assert sorted((r.u, len(r.members)) for r in done.collect()) == [(1, 4), (2, 5), (3, 1), (3, 1)]
+
+
 def test_silence_makes_an_end_unknown(spark, tmp_path):
     importable(spark)
     stateful.stateful_session(spark)
